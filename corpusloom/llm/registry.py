@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import media, mixing, packing, pii
+from corpusloom.llm import langid, media, mixing, packing, pii, topk
 
 QUERIES = {
     "op1_media_columns": media.op1_media_columns,
     "op5_mix_sources": mixing.op5_mix_sources,
+    "op7_language_id": langid.op7_language_id,
+    "op8_exact_top_k": topk.op8_exact_top_k,
     "op9_personal_data": pii.op9_personal_data,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
