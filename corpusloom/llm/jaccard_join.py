@@ -41,9 +41,17 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def split_words(texts: pa.Array) -> pa.ListArray:
+    """Words are runs of letters, marks and digits in lower case; a text without any is split at white space instead."""
+    lower = pc.utf8_lower(pc.fill_null(texts, ""))
+    plain = pc.utf8_trim_whitespace(pc.replace_substring_regex(lower, r"[^\pL\pM\pN]+", " "))
+    kept = pc.if_else(pc.equal(plain, ""), pc.utf8_trim_whitespace(lower), plain)
+    return pc.utf8_split_whitespace(kept)
+
+
 def word_grams(texts: pa.Array, n: int = NGRAM) -> Iterator[np.ndarray]:
     """For each text the sorted set of its n-gram hashes; fewer words than n make one gram of them all, none make none."""
-    split = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pc.fill_null(texts, "")))
+    split = split_words(texts)
     coded = split.flatten().dictionary_encode()
     words = pd.util.hash_array(coded.dictionary.to_numpy(zero_copy_only=False), categorize=False) if len(coded) else np.zeros(0, np.uint64)
     h = words[coded.indices.to_numpy()] if len(coded) else words
@@ -258,7 +266,7 @@ def jaccard_join(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD,
 
     ``n_links`` counts the other rows whose word n-grams have a Jaccard similarity of at least ``threshold``, equal
     texts included; ``class_id`` is the least ``doc_id`` of all rows that links connect with this one. Words are
-    runs without white space, compared as they are; a text of fewer words than ``n`` is one gram. A text that is
+    those of :func:`split_words`; a text of fewer words than ``n`` is one gram. A text that is
     null or without words has no gram, no link and its own ``doc_id`` as class. Repeated rows are copies of each
     other; an empty table gives no row; other columns are not read.
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import chat, html_text, langid, media, mixing, packing, pii, topk
+from corpusloom.llm import chat, html_text, jaccard_join, langid, media, mixing, packing, pii, topk
 
 QUERIES = {
     "op1_media_columns": media.op1_media_columns,
+    "op2_ngram_jaccard_join": jaccard_join.op2_ngram_jaccard_join,
     "op3_html_main_text": html_text.op3_html_main_text,
     "op4_chat_format": chat.op4_chat_format,
     "op5_mix_sources": mixing.op5_mix_sources,
