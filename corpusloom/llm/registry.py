@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import chat, html_text, jaccard_join, langid, media, mixing, packing, pii, topk
+from corpusloom.llm import chat, html_text, jaccard_join, langid, media, mixing, packing, pii, suffix_dedup, topk
 
 QUERIES = {
     "op1_media_columns": media.op1_media_columns,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_html_main_text": html_text.op3_html_main_text,
     "op4_chat_format": chat.op4_chat_format,
     "op5_mix_sources": mixing.op5_mix_sources,
+    "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op7_language_id": langid.op7_language_id,
     "op8_exact_top_k": topk.op8_exact_top_k,
     "op9_personal_data": pii.op9_personal_data,
