@@ -262,10 +262,11 @@ def _verify(threshold: float):
 
 
 def jaccard_join(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """``doc_id, class_id, n_links`` for every row of ``docs``.
+    """``doc_id, class_id, n_links, node, root`` for every row of ``docs``.
 
     ``n_links`` counts the other rows whose word n-grams have a Jaccard similarity of at least ``threshold``, equal
-    texts included; ``class_id`` is the least ``doc_id`` of all rows that links connect with this one. Words are
+    texts included; ``class_id`` is the least ``doc_id`` of all rows that links connect with this one; ``node`` is the digest of
+    the text and ``root`` the least digest of the class. Words are
     those of :func:`split_words`; a text of fewer words than ``n`` is one gram. A text that is
     null or without words has no gram, no link and its own ``doc_id`` as class. Repeated rows are copies of each
     other; an empty table gives no row; other columns are not read.
@@ -308,10 +309,24 @@ def jaccard_join(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD,
     labelled = nodes.select("node", "first_id", "copies").join(links, "node", "left").join(joined, "node", "left").select("node", "first_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("root"))
     labelled = work.table(labelled, "labelled")
     class_of = labelled.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    final = labelled.join(class_of, "root").select("node", "class_id", "n_links")
+    final = labelled.join(class_of, "root").select("node", "class_id", "n_links", "root")
     out = rows.select("doc_id", "node").join(final, "node", "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "node", "root")
+
+
+def keep_one_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each class the row with the least ``doc_id`` (then digest) stays.
+
+    Rows with equal ``doc_id`` and text are one document. Texts without words have no class and stay.
+    """
+    work = Workspace(docs.sparkSession, "keep")
+    key = lambda node: F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.coalesce(F.hex(node), F.lit("-")))
+    rows = work.table(jaccard_join(docs), "classes")
+    best = rows.where("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("best")).select("best.*")
+    kept = best.union(rows.where("root is null").select("doc_id", "node")).select(key(F.col("node")).alias("_key"))
+    keyed = docs.withColumn("_key", key(F.unhex(F.md5("text"))))
+    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(read_table(spark, sf_dir, "documents"))
+    return jaccard_join(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")

@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from corpusloom.llm.common import read_table
@@ -24,6 +25,7 @@ SAMPLE_DOCS, ROUNDS, WORD_LETTERS = 400, 2, 40
 #: Probability of a letter that no piece holds, in any language, and pseudo-count of a piece.
 UNKNOWN, PRIOR = 1e-9, 0.05
 MARK = "▁"
+LEAST_SCORE = 0.5
 
 _vocabularies: dict = {}
 
@@ -141,7 +143,10 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, folder: str | None =
 
 
 def predict(docs: DataFrame, langs: list[str], p: np.ndarray, folder: str | None = None) -> DataFrame:
-    """``doc_id, lang_pred, score`` for every row; the model is languages times 32k numbers, whatever the data."""
+    """Adds ``lang_pred, score`` to every row; the model is languages times 32k numbers, whatever the data."""
+    own = docs.drop("lang_pred", "score")
+    text_at = own.columns.index("text")
+    schema = T.StructType([*own.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     model = docs.sparkSession.sparkContext.broadcast((langs, p))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +156,7 @@ def predict(docs: DataFrame, langs: list[str], p: np.ndarray, folder: str | None
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
-                split = split_words(batch.column(1))
+                split = split_words(batch.column(text_at))
                 coded = split.flatten().dictionary_encode()
                 unique = coded.dictionary.to_pylist()
                 if len(cache) > 400_000:
@@ -172,22 +177,28 @@ def predict(docs: DataFrame, langs: list[str], p: np.ndarray, folder: str | None
                 else:
                     score, names = np.zeros(batch.num_rows), np.full(batch.num_rows, "und", object)
                 names[blank], score[blank] = "und", 0.0
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(score)], names=schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(score, "doc_id long, lang_pred string, score double")
+    return own.mapInArrow(score, schema)
 
 
 def identify(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, folder: str | None = None) -> DataFrame:
-    """``doc_id, lang_pred, score`` for every row of ``docs``; ``score`` is the posterior under equal priors.
+    """Adds ``lang_pred, score`` to every row of ``docs``; ``score`` is the posterior under equal priors.
 
     A text that is null or without letters gets ``und`` and score 0, as does every text if no labelled row
     can be learned from; ties go to the language first by name; repeated rows get equal results; an empty table
-    gives none; other columns than ``doc_id, text, lang`` are not read.
+    gives none. Columns of these two names in ``docs`` are replaced, others are kept.
     """
     langs, p = train(docs, sample_docs, folder)
     return predict(docs, langs, p, folder)
 
 
+def keep_identified(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
+    """The rows of ``docs`` whose language is told with at least ``least_score``; those without letters go."""
+    found = identify(docs.drop("lang_pred", "score"))
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least_score)).select(*docs.columns)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    return identify(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return identify(docs.select("doc_id", "text", "lang")).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

@@ -42,19 +42,19 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 
 
 def mix_sources(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    """Adds ``size, source_size, target, taken, position`` to every row of ``docs``.
+    """Adds ``size, source_size, target, taken, position, positions`` to every row of ``docs``.
 
     Each source is a stream of its documents in the order of a keyed hash of ``doc_id``, read again from the start
     when it ends, of which the mix takes ``floor(target)`` words; ``taken`` counts the words taken of a document over
     both passes, and only the last document of a stream can be taken in part. ``position`` (0 to 1, null if
     nothing is taken) is the time at which the integral of the source's weight schedule reaches the words
-    before the document's first taking: sort by it to get the training order.
+    before the document's first taking, ``positions`` has this for each taking: sort by it to get the training order.
 
     A null text or one of white space has size 0 and is taken 0 words; a null source is a source of its own,
     the last; a source without words has target 0; repeated rows and ids are rows of their own. Columns of these
-    five names in ``docs`` are replaced, others are kept.
+    six names in ``docs`` are replaced, others are kept.
     """
-    own = ("size", "source_size", "target", "taken", "position")
+    own = ("size", "source_size", "target", "taken", "position", "positions")
     kept = docs.drop(*own)
     sized = kept.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)).cast("long"), F.lit(0)))
     work = Workspace(docs.sparkSession, "mix")
@@ -75,10 +75,28 @@ def mix_sources(docs: DataFrame, seed: str = "mix") -> DataFrame:
     rest = words - passes * F.col("source_size")
     taken = F.col("size") * passes + F.least(F.col("size"), F.greatest(rest - start, F.lit(0)))
     # integral of target * (1 - s + 2 s t) from 0 to t is target * ((1 - s) t + s t^2)
-    share, slope = F.least(start / F.col("target"), F.lit(1.0)), F.col("slope")
-    time = F.when(slope == 0, share).otherwise((F.sqrt((1 - slope) * (1 - slope) + 4 * slope * share) - (1 - slope)) / (2 * slope))
+    slope = F.col("slope")
+
+    def time(words_before: Column) -> Column:
+        share = F.least(words_before / F.col("target"), F.lit(1.0))
+        return F.round(F.when(slope == 0, share).otherwise((F.sqrt((1 - slope) * (1 - slope) + 4 * slope * share) - (1 - slope)) / (2 * slope)), 6)
+
+    takings = F.ceil(F.col("taken") / F.col("size")).cast("int")
+    positions = F.when(F.col("taken") > 0, F.transform(F.sequence(F.lit(0), F.greatest(takings, F.lit(1)) - 1), lambda k: time(start + k * F.col("source_size")))).otherwise(F.array().cast("array<double>"))
     columns = [F.col(f"`{c}`") for c in kept.columns]
-    return summed.withColumn("taken", taken.cast("long")).withColumn("position", F.when(F.col("taken") > 0, F.round(time, 6))).select(*columns, *own)
+    return summed.withColumn("taken", taken.cast("long")).withColumn("positions", positions).withColumn("position", F.try_element_at("positions", F.lit(1))).select(*columns, *own)
+
+
+def training_order(docs: DataFrame, seed: str = "mix") -> DataFrame:
+    """The mix itself: the rows of ``docs``, each as often as it is taken, range-sorted by position.
+
+    Documents stay whole: the one that ends a source's stream is taken once more if at least half of its words
+    are, so a source's words differ from its target by at most half a document.
+    """
+    mixed = mix_sources(docs.drop("position", "positions"), seed)
+    times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
+    placed = mixed.withColumn("_at", F.explode(F.slice("positions", F.lit(1), times))).withColumn("_key", F.xxhash64(F.lit(seed), "doc_id"))
+    return placed.repartitionByRange("_at", "_key").sortWithinPartitions("_at", "_key").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -116,6 +116,12 @@ def redact(docs: DataFrame) -> DataFrame:
     return docs.withColumn("text", F.when(F.size("spans") > 0, clean).otherwise(text))
 
 
+def without_personal_data(docs: DataFrame) -> DataFrame:
+    """``docs`` with personal data in ``text`` replaced by its kind, and ``n_chars`` counted anew."""
+    clean = redact(pii_spans(docs.drop("spans")))
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else clean.select(*docs.columns)
+
+
 def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
