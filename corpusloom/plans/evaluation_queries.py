@@ -1 +1,206 @@
-"""Queries."""
+"""Evaluation roll-ups over deterministic cells: a row per line item, named by the remainders of its keys."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusloom.operators import evaluation as ev
+from corpusloom.plans.registry import query, table
+
+_CELLS = """cells AS (SELECT 'm' || l_linenumber % 3 AS model_id, 't' || l_partkey % 40 AS task_id, CAST(l_suppkey % 4 AS INTEGER) AS seed, 'w' || l_partkey % 5 AS workload, 'f' || l_partkey % 7 AS family,
+  CASE l_orderkey % 5 WHEN 0 THEN -1 WHEN 1 THEN 1 WHEN 2 THEN 1 ELSE 0 END AS reward, l_extendedprice / l_quantity / 1000 AS speedup, ['compile', 'correctness', 'profile'][1 + l_orderkey % 3] AS stage,
+  CAST(floor(l_quantity) AS BIGINT) AS q, l_orderkey, l_linenumber, l_partkey, l_discount, l_tax FROM lineitem)"""
+_ONE = f"""{_CELLS}, one AS (SELECT model_id, task_id, seed, family, max(reward) AS reward FROM cells GROUP BY ALL)"""
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tag = lambda letter, key, n: F.concat(F.lit(letter), (F.col(key) % n).cast("string"))
+    kind = F.col("l_orderkey") % 5
+    return table(spark, sf_dir, "lineitem").select(
+        tag("m", "l_linenumber", 3).alias("model_id"), tag("t", "l_partkey", 40).alias("task_id"), (F.col("l_suppkey") % 4).cast("int").alias("seed"), tag("w", "l_partkey", 5).alias("workload"), tag("f", "l_partkey", 7).alias("family"),
+        F.when(kind == 0, -1).when(kind.isin(1, 2), 1).otherwise(0).alias("reward"), (F.col("l_extendedprice") / F.col("l_quantity") / 1000).alias("speedup"),
+        F.element_at(F.array(*map(F.lit, ("compile", "correctness", "profile"))), (F.col("l_orderkey") % 3 + 1).cast("int")).alias("stage"),
+        F.floor("l_quantity").alias("q"), "l_orderkey", "l_linenumber", "l_partkey", "l_discount", "l_tax",
+    )
+
+
+def _one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cells(spark, sf_dir).groupBy("model_id", "task_id", "seed", "family").agg(F.max("reward").alias("reward"))
+
+
+@query(f"""
+WITH {_CELLS} SELECT model_id, count(*) AS n, count(*) FILTER (reward = 1) AS n_verified, round(count(*) FILTER (reward = 1) / count(*), 6) AS pass_rate,
+  round(median(CASE WHEN reward = 1 THEN speedup END), 6) AS median_speedup, round(min(CASE WHEN reward = 1 THEN speedup END), 6) AS least_speedup, round(max(CASE WHEN reward = 1 THEN speedup END), 6) AS best_speedup,
+  count(*) FILTER (reward = 1 AND speedup > 1.0) AS n_faster, count(*) FILTER (reward = -1) AS n_halts, count(DISTINCT CASE WHEN reward <> 1 THEN stage END) AS n_failing_stages FROM cells GROUP BY model_id""")
+def model_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.model_summary(_cells(spark, sf_dir))
+
+
+@query(f"""
+WITH {_CELLS} SELECT model_id, s AS stage, round(avg(CASE WHEN s = stage THEN CAST(q AS DOUBLE) ELSE 0.0 END), 9) AS mean_fraction FROM cells, unnest(['compile', 'correctness', 'profile', 'source']) u(s) GROUP BY ALL""")
+def stage_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = _cells(spark, sf_dir).withColumn("fractions", F.create_map("stage", F.col("q").cast("double")))
+    return ev.stage_means(cells, ("compile", "correctness", "profile", "source"))
+
+
+@query(f"WITH {_ONE} SELECT family, count(*) FILTER (model_id = 'm0' AND reward = 1) AS before, count(*) FILTER (model_id = 'm1' AND reward = 1) AS after, count(*) FILTER (model_id = 'm1' AND reward = 1) < count(*) FILTER (model_id = 'm0' AND reward = 1) AS regressed FROM one GROUP BY family")
+def family_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.family_pivot(_one(spark, sf_dir), "m0", "m1")
+
+
+_PAIRS = f"{_ONE}, paired AS (SELECT task_id, seed, family, max(CASE WHEN model_id = 'm0' THEN reward END) AS before, max(CASE WHEN model_id = 'm1' THEN reward END) AS after FROM one WHERE model_id IN ('m0', 'm1') GROUP BY ALL)"
+
+
+def _paired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.pairs(_one(spark, sf_dir), "m0", "m1", ("task_id", "seed", "family"))
+
+
+@query(f"""WITH {_PAIRS} SELECT count(*) FILTER (after > before) AS wins, count(*) FILTER (after = before) AS ties, count(*) FILTER (after < before) AS losses, CAST(sum(after - before) AS BIGINT) AS sum_delta, round(avg(after - before), 9) AS mean_delta, count(*) FILTER (after - before IS NULL) AS incomplete FROM paired""")
+def paired_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.win_tie_loss(_paired(spark, sf_dir))
+
+
+@query(f"""WITH {_PAIRS} SELECT family, count(*) FILTER (before = 1 AND after = 1) AS pass_pass, count(*) FILTER (before = 1 AND after <> 1) AS pass_fail, count(*) FILTER (before <> 1 AND after = 1) AS fail_pass, count(*) FILTER (before <> 1 AND after <> 1) AS fail_fail FROM paired GROUP BY family""")
+def paired_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.transitions(_paired(spark, sf_dir), ("family",))
+
+
+@query(f"""WITH {_CELLS} SELECT seed, workload, CAST(grouping(seed, workload) AS INTEGER) AS grain, count(*) AS n, round(count(*) FILTER (reward = 1) / nullif(count(*) FILTER (reward >= 0), 0), 6) AS pass_rate FROM cells GROUP BY GROUPING SETS ((), (seed), (workload))""")
+def rates_at_three_grains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.three_grains(_cells(spark, sf_dir))
+
+
+@query(f"""WITH {_CELLS}, t AS (SELECT task_id, max(reward) AS best, min(reward) AS worst FROM cells WHERE l_orderkey % 5 < 4 AND l_orderkey < 400 GROUP BY task_id),
+s AS (SELECT seed, round(count(*) FILTER (reward = 1) / count(*), 6) AS rate FROM cells WHERE l_orderkey % 5 < 4 AND l_orderkey < 400 GROUP BY seed)
+SELECT (SELECT count(*) FROM t WHERE best = 1) AS any_seed, (SELECT count(*) FROM t WHERE worst = 1) AS all_seeds, (SELECT round(max(rate) - min(rate), 6) FROM s) AS rate_range""")
+def seeds_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four hundred orders are the experiment's cells here, so that some task passes with every seed."""
+    return ev.seed_consistency(_cells(spark, sf_dir).where("l_orderkey % 5 < 4 AND l_orderkey < 400"))
+
+
+@query("""SELECT l_partkey AS unit, count(l_quantity) AS runs, round(median(l_quantity), 6) AS median, round(stddev_pop(l_quantity) / avg(l_quantity), 6) AS cv, count(l_quantity) >= 3 AND coalesce(stddev_pop(l_quantity) / avg(l_quantity), CAST('inf' AS DOUBLE)) <= 0.5 AS stable FROM lineitem GROUP BY l_partkey""")
+def timing_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.timing_evidence(table(spark, sf_dir, "lineitem").withColumnRenamed("l_partkey", "unit"), "unit", "l_quantity", 3, 0.5)
+
+
+@query("""SELECT l_partkey AS unit, round(median(CASE WHEN l_linenumber % 2 = 0 THEN l_extendedprice END) / nullif(median(CASE WHEN l_linenumber % 2 = 1 THEN l_extendedprice END), 0), 6) AS speedup FROM lineitem GROUP BY l_partkey""")
+def median_speedups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    side = F.when(F.col("l_linenumber") % 2 == 0, F.lit("baseline")).otherwise(F.lit("candidate"))
+    return ev.speedups(table(spark, sf_dir, "lineitem").withColumn("side", side).withColumnRenamed("l_partkey", "unit"), "unit", "l_extendedprice", "side")
+
+
+@query("""WITH c AS (SELECT 8 * (1 + l_linenumber) AS n_train, CAST(floor(l_quantity) AS BIGINT) AS score FROM lineitem), g AS (SELECT n_train, avg(score) AS mean, stddev_pop(score) AS deviation, min(score) AS least, max(score) AS largest FROM c GROUP BY n_train)
+SELECT n_train, round(mean, 6) AS mean, round(deviation, 6) AS deviation, least, largest, round(mean - lag(mean) OVER (ORDER BY n_train), 6) AS step, coalesce(mean >= lag(mean) OVER (ORDER BY n_train), true) AS rising FROM g""")
+def learning_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = table(spark, sf_dir, "lineitem").select((8 * (1 + F.col("l_linenumber"))).alias("n_train"), F.floor("l_quantity").alias("score"))
+    return ev.learning_curve(cells)
+
+
+@query("""WITH c AS (SELECT l.quality = 1 AS truth, d.n_chars > 1000 AS said FROM documents d JOIN labels l USING (doc_id)),
+k AS (SELECT count(*) FILTER (truth AND said) AS tp, count(*) FILTER (NOT truth AND said) AS fp, count(*) FILTER (truth AND NOT said) AS fn, count(*) FILTER (NOT truth AND NOT said) AS tn FROM c)
+SELECT *, round(coalesce(fp / nullif(fp + tn, 0), 0.0), 9) AS fp_rate, round(coalesce(fn / nullif(fn + tp, 0), 0.0), 9) AS fn_rate FROM k""")
+def verifier_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    return ev.confusion(rows, F.col("quality") == 1, F.col("n_chars") > 1000)
+
+
+@query("""WITH r AS (SELECT lang AS lane, n_chars // 4 AS tokens, CAST(doc_id % 100 AS BIGINT) AS nll FROM documents) SELECT lane, CAST(sum(tokens) AS BIGINT) AS tokens, round(CAST(sum(tokens * nll) AS BIGINT) / CAST(sum(tokens) AS BIGINT), 6) AS mean_nll FROM r GROUP BY ROLLUP (lane)""")
+def lane_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select(F.col("lang").alias("lane"), F.floor(F.col("n_chars") / 4).alias("tokens"), (F.col("doc_id") % 100).alias("nll"))
+    return ev.weighted_loss(rows)
+
+
+@query("""WITH r AS (SELECT 's' || row_number() OVER (ORDER BY source) AS id, 's' || (row_number() OVER (ORDER BY source) - 1) AS delta_vs, round(avg(n_chars), 6) AS rate FROM documents GROUP BY source)
+SELECT a.id, a.delta_vs, a.rate, round(a.rate - b.rate, 6) AS delta FROM r a LEFT JOIN r b ON b.id = a.delta_vs""")
+def ladder_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql.window import Window
+
+    by_source = table(spark, sf_dir, "documents").groupBy("source").agg(F.round(F.avg("n_chars"), 6).alias("rate"))
+    n = F.row_number().over(Window.orderBy("source"))
+    rungs = by_source.select(F.concat(F.lit("s"), n.cast("string")).alias("id"), F.concat(F.lit("s"), (n - 1).cast("string")).alias("delta_vs"), "rate")
+    return ev.prior_deltas(rungs)
+
+
+@query("""SELECT doc_id AS unit_id, min(doc_id) OVER (PARTITION BY sha256(text), lang) AS source_unit, doc_id <> min(doc_id) OVER (PARTITION BY sha256(text), lang) AS cache_hit FROM documents""")
+def deduplicated_work(spark: SparkSession, sf_dir: str) -> DataFrame:
+    work = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("unit_id"), F.sha2("text", 256).alias("kernel_sha"), "lang")
+    return ev.fan_out(work, ("kernel_sha", "lang"))
+
+
+@query(f"""WITH {_CELLS}, v AS (SELECT l_orderkey, l_linenumber, reward = 1 AS correct, q % 9 <> 0 AS authentic, l_discount * 10 AS similarity, l_tax < 0.07 AS stable, speedup FROM cells),
+r AS (SELECT *, list_filter([CASE WHEN NOT correct THEN 'INCORRECT' END, CASE WHEN NOT authentic THEN 'NOT_AUTHENTIC' END, CASE WHEN similarity >= 0.95 THEN 'COPIED' END, CASE WHEN NOT stable THEN 'UNSTABLE_TIMING' END], lambda x: x IS NOT NULL) AS why FROM v)
+SELECT l_orderkey, l_linenumber, array_to_string(why, '|') AS no_credit_reasons, correct AND stable AS scorable, similarity >= 0.95 AS copied, len(why) = 0 AS credited, len(why) = 0 AND speedup >= 1.05 AS headline FROM r""")
+def credit_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _verdicts(spark, sf_dir).select("l_orderkey", "l_linenumber", F.array_join("no_credit_reasons", "|").alias("no_credit_reasons"), "scorable", "copied", "credited", "headline")
+
+
+def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = _cells(spark, sf_dir)
+    return ev.verdict_lattice(cells.select("model_id", "l_orderkey", "l_linenumber", (F.col("reward") == 1).alias("correct"), (F.col("q") % 9 != 0).alias("authentic"), (F.col("l_discount") * 10).alias("similarity"), (F.col("l_tax") < 0.07).alias("stable"), "speedup"))
+
+
+@query(f"""WITH {_CELLS}, v AS (SELECT model_id, reward = 1 AND q % 9 <> 0 AND l_discount * 10 < 0.95 AND l_tax < 0.07 AS credited, l_discount * 10 >= 0.95 AS copied, reward = 1 AND l_tax < 0.07 AS scorable, speedup FROM cells)
+SELECT model_id, count(*) AS n, count(*) FILTER (copied) AS copied, count(*) FILTER (credited) AS credited, round(max(CASE WHEN scorable THEN speedup END), 6) AS best_stable_speedup FROM v GROUP BY model_id""")
+def verdict_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _verdicts(spark, sf_dir).groupBy("model_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("copied").alias("copied"), F.count_if("credited").alias("credited"), F.round(F.max(F.when(F.col("scorable"), F.col("speedup"))), 6).alias("best_stable_speedup"))
+
+
+@query("""WITH r AS (SELECT l_orderkey, l_linenumber, l_quantity * 1e9 AS flops, l_extendedprice * 1e6 AS bytes, l_extendedprice AS measured_us FROM lineitem)
+SELECT l_orderkey, l_linenumber, round(greatest(flops / 1e14, bytes / 8e11) * 1e6, 6) AS floor_us, CASE WHEN flops / 1e14 >= bytes / 8e11 THEN 'compute' ELSE 'memory' END AS bound, round(greatest(flops / 1e14, bytes / 8e11) * 1e6 / measured_us, 9) AS efficiency FROM r""")
+def roofline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") * 1e9).alias("flops"), (F.col("l_extendedprice") * 1e6).alias("bytes"), F.col("l_extendedprice").alias("measured_us"))
+    return ev.roofline(rows, 1e14, 8e11).select("l_orderkey", "l_linenumber", "floor_us", "bound", "efficiency")
+
+
+@query("""WITH e AS (SELECT event_id, ['ok', 'process timed out', 'device unavailable', 'ValueError: error', 'killed'][1 + event_id % 5] AS message, [0, 124, 1, 1, 9][1 + user_id % 5] AS code FROM events)
+SELECT event_id, CASE WHEN code = 0 THEN 'none' WHEN code IN (124, 137, 143) OR regexp_matches(message, '(?i)timed out|deadline') THEN 'timeout' WHEN regexp_matches(message, '(?i)device|unavailable|connection') THEN 'infrastructure' WHEN regexp_matches(message, '(?i)error|exception') THEN 'program' ELSE 'unknown' END AS failure FROM e""")
+def process_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pick = lambda values, key: F.element_at(F.array(*map(F.lit, values)), (F.col(key) % 5 + 1).cast("int"))
+    rows = table(spark, sf_dir, "events").select("event_id", pick(("ok", "process timed out", "device unavailable", "ValueError: error", "killed"), "event_id").alias("message"), pick((0, 124, 1, 1, 9), "user_id").alias("code"))
+    return rows.select("event_id", ev.failure_class(F.col("message"), F.col("code")).alias("failure"))
+
+
+@query("""WITH s AS (SELECT l_orderkey, l_linenumber, l_returnflag <> 'R' AS profile, l_linestatus = 'O' AS correctness, l_orderkey % 7 = 0 AS infra, CASE WHEN l_quantity > 45 THEN CAST('nan' AS DOUBLE) ELSE l_quantity / 10 END AS speedup FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE WHEN infra THEN -1 WHEN profile AND correctness THEN 1 ELSE 0 END AS reward, round(CASE WHEN infra THEN -1.0 WHEN profile AND correctness AND NOT isnan(speedup) THEN 0.3 + speedup ELSE 0.0 END, 9) AS score,
+  round(CASE WHEN NOT correctness THEN 0.0 WHEN isnan(speedup) OR speedup < 1 THEN 0.3 ELSE 0.6 + 0.4 * least(speedup - 1, 1.0) END, 9) AS clipped FROM s""")
+def verified_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "lineitem")
+    profile, correct, infra = F.col("l_returnflag") != "R", F.col("l_linestatus") == "O", F.col("l_orderkey") % 7 == 0
+    speedup = F.when(F.col("l_quantity") > 45, F.lit(float("nan"))).otherwise(F.col("l_quantity") / 10)
+    stages = F.create_map(F.lit("source"), F.lit(True), F.lit("compile"), F.lit(True), F.lit("correctness"), correct, F.lit("profile"), profile)
+    usable = F.nanvl(speedup, F.lit(0.0))
+    return items.select("l_orderkey", "l_linenumber", ev.tri_state(stages, infra).alias("reward"), F.round(ev.verified_score(F.lit(True), stages, infra, speedup), 9).alias("score"), F.round(ev.clipped_reward(correct, usable >= 1, usable), 9).alias("clipped"))
+
+
+@query(f"""WITH {_CELLS}, k AS (SELECT DISTINCT model_id, task_id FROM cells WHERE NOT (model_id = 'm1' AND task_id IN ('t3', 't5'))) SELECT task_id, count(*) AS n FROM k GROUP BY task_id HAVING count(*) < (SELECT count(DISTINCT model_id) FROM k)""")
+def unequal_task_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.unequal_task_sets(_cells(spark, sf_dir).where("NOT (model_id = 'm1' AND task_id IN ('t3', 't5'))"))
+
+
+@query("""SELECT m AS model_id, 't' || t AS task_id, CAST(s AS BIGINT) AS seed, 1000 + s * 7 AS retry_seed FROM unnest(['m0', 'm1', 'm2']) a(m), range(12) b(t), range(4) c(s)""")
+def planned_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models times tasks times seeds: three small dimensions of stated size."""
+    each = spark.range(12).select(F.concat(F.lit("t"), F.col("id").cast("string")).alias("task_id"), F.explode(F.array(*map(F.lit, ("m0", "m1", "m2")))).alias("model_id"))
+    seeded = each.select("model_id", "task_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("seed"))
+    return seeded.withColumn("retry_seed", 1000 + F.col("seed") * 7)
+
+
+@query("""SELECT event_type AS name, count(*) AS n FROM events GROUP BY event_type ORDER BY n DESC, name LIMIT 100""")
+def event_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("name")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "name").limit(100)
+
+
+@query("""WITH e AS (SELECT user_id % 20 AS step, CAST(floor(value) AS BIGINT) AS v, event_type FROM events) SELECT step, count(*) AS n, round(avg(v), 6) AS mean_value, max(v) AS most, min(v) AS least, count(*) FILTER (event_type = 'purchase') AS n_verified FROM e GROUP BY step""")
+def step_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("step"), F.floor("value").alias("v"), "event_type")
+    return rows.groupBy("step").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("v"), 6).alias("mean_value"), F.max("v").alias("most"), F.min("v").alias("least"), F.count_if(F.col("event_type") == "purchase").alias("n_verified"))
+
+
+@query("""WITH b AS (SELECT lang, avg(n_chars) AS v FROM documents WHERE doc_id % 2 = 0 GROUP BY lang), a AS (SELECT lang, avg(n_chars) AS v FROM documents WHERE doc_id % 2 = 1 GROUP BY lang)
+SELECT lang, round(a.v - b.v, 6) AS delta, round((a.v - b.v) / b.v * 100, 6) AS percent FROM a JOIN b USING (lang)""")
+def before_and_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    mean = lambda r: F.avg(F.when(F.col("doc_id") % 2 == r, F.col("n_chars")))
+    both = docs.groupBy("lang").agg(mean(0).alias("b"), mean(1).alias("a")).where("a IS NOT NULL AND b IS NOT NULL")
+    return both.select("lang", F.round(F.col("a") - F.col("b"), 6).alias("delta"), F.round((F.col("a") - F.col("b")) / F.col("b") * 100, 6).alias("percent"))
