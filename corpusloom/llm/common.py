@@ -29,9 +29,14 @@ class Workspace:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes ``df`` once and reads it back; its lineage ends here."""
-        df.write.mode("overwrite").parquet(self.path(name))
+    def table(self, df: DataFrame, name: str, **options: str) -> DataFrame:
+        """Writes ``df`` once and reads it back; its lineage ends here, and shuffle files that it needed can go.
+
+        Spark removes those when the driver's collector finds their owners gone, which an idle driver rarely does by
+        itself, so it is asked to.
+        """
+        df.write.options(**options).mode("overwrite").parquet(self.path(name))
+        self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:

@@ -24,13 +24,14 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import Workspace, read_table
 
 LENGTH = 200
-#: Fixed value: a perfect difference set. Any two residues modulo 133 have a shift of at most 132 that brings both into it.
-PERIOD, COVER = 133, (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109)
+#: Fixed value: a perfect difference set. Any two residues modulo 73 have a shift of at most 72 that brings both into it.
+PERIOD, COVER = 73, (0, 1, 3, 7, 15, 31, 36, 54, 63)
 #: A sampled suffix and its prefix lie within the string whatever the shift.
 PREFIX = LENGTH - PERIOD + 1
-BLOCK, SLICE = 2 << 20, 2 << 20
-#: Bytes of names that one task sorts, rounds in which the remaining suffixes are merged (each takes a part of the names).
-PART_BYTES, ROUNDS = 24 << 20, 2
+#: Bytes of text in a block, positions named at once (their arrays fit a core's cache), bytes of text for each part of the names.
+BLOCK, SLICE, PART_BYTES = 2 << 20, 1 << 16, 16 << 20
+#: Names of sampled prefixes only propose, so 48 bits of them do.
+SAMPLE_BITS = 48
 
 if len({(a - b) % PERIOD for a in COVER for b in COVER}) != PERIOD:
     raise ValueError("not a difference cover")
@@ -72,10 +73,6 @@ class Block:
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
         self.bytes = np.frombuffer(b"".join(texts), np.uint8)
 
-    def slices(self) -> Iterator[tuple[int, int]]:
-        for at in range(0, max(0, len(self.bytes) - LENGTH + 1), SLICE):
-            yield at, min(at + SLICE, len(self.bytes) - LENGTH + 1)
-
     def inside(self, room: int) -> np.ndarray:
         """Marks positions with at least ``room`` bytes left in their text."""
         out = np.zeros(len(self.bytes), bool)
@@ -98,7 +95,7 @@ class Block:
             here = positions[np.searchsorted(positions, at) : np.searchsorted(positions, at + SLICE)]
             if len(here):
                 names.append(_names(self.bytes[at : at + SLICE + PREFIX - 1], PREFIX, np.uint64)[here - at])
-        return positions, np.concatenate(names or [np.zeros(0, np.uint64)])
+        return positions, np.concatenate(names or [np.zeros(0, np.uint64)]) >> np.uint64(64 - SAMPLE_BITS)
 
     def remaining(self, repeated: np.ndarray) -> np.ndarray:
         """Positions that can start a repeated string: at most a period before a sampled suffix that isn't alone."""
@@ -107,83 +104,105 @@ class Block:
         np.add.at(edge, repeated + 1, -1)
         return np.flatnonzero((np.cumsum(edge[:-1]) > 0) & self.inside(LENGTH))
 
-    def strings(self, positions: np.ndarray) -> np.ndarray:
-        """96-bit names of the strings at these positions."""
-        out = np.zeros(len(positions), NAME)
-        at = 0
-        while at < len(positions):
-            low = int(positions[at])
-            end = int(np.searchsorted(positions, low + SLICE))
-            part = self.bytes[low : int(positions[end - 1]) + LENGTH]
-            here = positions[at:end] - low
-            out["a"][at:end] = _names(part, LENGTH, np.uint64)[here]
-            out["b"][at:end] = _names(part, LENGTH, np.uint32)[here]
-            at = end
-        return out
+    def strings(self, positions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Names of the strings at these positions, of 64 bits and of 16 others; bytes of no string are left out."""
+        edge = np.zeros(len(self.bytes) + 1, np.int32)
+        np.add.at(edge, positions, 1)
+        np.add.at(edge, positions + LENGTH, -1)
+        used = np.cumsum(edge[:-1]) > 0
+        text, at = self.bytes[used], (np.cumsum(used) - 1)[positions]
+        name, check = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint16)
+        for low in range(0, len(text), SLICE):
+            i, j = np.searchsorted(at, (low, low + SLICE))
+            if i < j:
+                part, here = text[low : low + SLICE + LENGTH - 1], at[i:j] - low
+                name[i:j] = _names(part, LENGTH, np.uint64)[here]
+                check[i:j] = _names(part, LENGTH, np.uint32)[here] >> np.uint32(16)
+        return name, check
 
 
-NAME = np.dtype([("a", "<u8"), ("b", "<u4")])
 SENT = "part int, block long, names binary, many binary"
 ANSWER = "block long, part int, bits binary"
 
 
+def _encode(names: np.ndarray, check: np.ndarray | None) -> bytes:
+    """Sorted names as the bytes of their differences, equal bytes of all names together, so that they compress."""
+    steps = np.diff(names)
+    width = max(1, (int(steps.max(initial=0)).bit_length() + 7) // 8)
+    planes = steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
+    return bytes([width]) + names[:1].astype("<u8").tobytes() + planes.tobytes() + (b"" if check is None else check.astype("<u2").tobytes())
+
+
+def _decode(blob: bytes, checked: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    width, rest = blob[0], len(blob) - 9
+    n = (rest + width) // (width + 2 * checked)
+    planes = np.frombuffer(blob, np.uint8, width * (n - 1), 9).reshape(width, n - 1)
+    steps = np.zeros((n - 1, 8), np.uint8)
+    steps[:, :width] = planes.T
+    names = np.concatenate([np.frombuffer(blob, "<u8", 1, 1), steps.view("<u8").ravel()]).cumsum(dtype=np.uint64)
+    return names, np.frombuffer(blob, "<u2", n, 9 + width * (n - 1)) if checked else None
+
+
 def _distinct(names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct names, whether each occurs more than once, and the place of each name among them."""
-    order = np.argsort(names["a"], kind="stable")
-    ranked = names["a"][order]
+    """The order of names, where each distinct name begins in it, and the place of each name among the distinct ones."""
+    order = np.argsort(names)
+    ranked = names[order]
     new = np.ones(len(names), bool)
     new[1:] = ranked[1:] != ranked[:-1]
     place = np.empty(len(names), np.int64)
     place[order] = np.cumsum(new) - 1
-    firsts = np.flatnonzero(new)
-    return names[order[firsts]], np.diff(np.r_[firsts, len(names)]) > 1, place
+    return order, np.flatnonzero(new), place
 
 
-def _parts(names: np.ndarray, parts: int) -> np.ndarray:
+def _parts(names: np.ndarray, parts: int, bits: int) -> np.ndarray:
     """Where each part of the range of names begins among sorted names."""
-    bounds = [(k << 64) // parts for k in range(1, parts)]
-    return np.r_[0, np.searchsorted(names["a"], np.array(bounds, np.uint64)), len(names)]
+    bounds = np.array([(k << bits) // parts for k in range(1, parts)], np.uint64)
+    return np.r_[0, np.searchsorted(names, bounds), len(names)]
 
 
-def _sent(block: int, names: np.ndarray, parts: int, only: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-    distinct, many, _ = _distinct(names)
-    cuts = _parts(distinct, parts)
-    rows = [(k, distinct[cuts[k] : cuts[k + 1]], many[cuts[k] : cuts[k + 1]]) for k in range(parts) if cuts[k] < cuts[k + 1] and k % only[1] == only[0]]
+def _sent(block: int, names: np.ndarray, check: np.ndarray | None, parts: int, bits: int) -> Iterator[pa.RecordBatch]:
+    order, first, _ = _distinct(names)
+    distinct, many = names[order[first]], np.diff(np.r_[first, len(names)]) > 1
+    extra = None if check is None else check[order[first]]
+    cuts = _parts(distinct, parts, bits)
+    rows = [(k, slice(cuts[k], cuts[k + 1])) for k in range(parts) if cuts[k] < cuts[k + 1]]
     if rows:
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()), pa.array([r[1].tobytes() for r in rows], pa.binary()), pa.array([np.packbits(r[2]).tobytes() for r in rows], pa.binary())], names=["part", "block", "names", "many"])
-
-
-def _compare(table: pa.Table) -> pa.Table:
-    """Sorts the names of a part and compares neighbours; each block gets a bit for each name it sent."""
-    blobs, many = table["names"].to_pylist(), table["many"].to_pylist()
-    names = np.frombuffer(b"".join(blobs), NAME)
-    sizes = [len(b) // NAME.itemsize for b in blobs]
-    repeated = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=n) for m, n in zip(many, sizes, strict=True)]).astype(bool)
-    order = np.lexsort((names["b"], names["a"]))
-    a, b = names["a"][order], names["b"][order]
-    equal = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
-    repeated[order[1:][equal]] = True
-    repeated[order[:-1][equal]] = True
-    ends = np.cumsum(sizes)
-    return pa.table({"block": table["block"], "part": table["part"], "bits": pa.array([np.packbits(repeated[e - n : e]).tobytes() for e, n in zip(ends, sizes, strict=True)], pa.binary())})
-
-
-def _answered(names: np.ndarray, parts: int, answers: list[dict]) -> np.ndarray:
+        blobs = [_encode(distinct[x], None if extra is None else extra[x]) for _, x in rows]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()), pa.array(blobs, pa.binary()), pa.array([np.packbits(many[x]).tobytes() for _, x in rows], pa.binary())], names=["part", "block", "names", "many"])
+
+
+def _compare(checked: bool):
+    def compare(table: pa.Table) -> pa.Table:
+        """Sorts the names of a part and compares neighbours; each block gets a bit for each name it sent."""
+        found = [_decode(blob.as_py(), checked) for blob in table["names"]]
+        sizes = [len(names) for names, _ in found]
+        names = np.concatenate([names for names, _ in found])
+        repeated = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=n) for m, n in zip(table["many"].to_pylist(), sizes, strict=True)]).astype(bool)
+        if checked:
+            check = np.concatenate([c for _, c in found])
+            order = np.lexsort((check, names))
+            equal = (names[order][1:] == names[order][:-1]) & (check[order][1:] == check[order][:-1])
+        else:
+            order = np.argsort(names)
+            equal = names[order][1:] == names[order][:-1]
+        repeated[order[1:][equal]] = True
+        repeated[order[:-1][equal]] = True
+        ends = np.cumsum(sizes)
+        return pa.table({"block": table["block"], "part": table["part"], "bits": pa.array([np.packbits(repeated[e - n : e]).tobytes() for e, n in zip(ends, sizes, strict=True)], pa.binary())})
+
+    return compare
+
+
+def _answered(names: np.ndarray, parts: int, bits: int, answers: list[dict]) -> np.ndarray:
     """Which of a block's names are repeated, from the bits that came back."""
-    distinct, _, place = _distinct(names)
-    cuts, out = _parts(distinct, parts), np.zeros(len(distinct), bool)
+    order, first, place = _distinct(names)
+    cuts, out = _parts(names[order[first]], parts, bits), np.zeros(len(first), bool)
     for x in answers:
         low, high = cuts[x["part"]], cuts[x["part"] + 1]
         out[low:high] = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=high - low)
     return out[place]
 
 
-def _as_names(values: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(values), NAME)
-    out["a"] = values
-    return out
-
-
 BLOCKS = "block long, doc_ids array<long>, texts array<binary>"
 
 
@@ -222,51 +241,44 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     A byte is removed if a string of ``LENGTH`` bytes that covers it starts anywhere else, in the same text or another;
     strings are judged on the input. Repeated rows are each other's copies and lose all bytes from ``LENGTH`` on; a
     null text is empty; texts below ``LENGTH`` bytes lose nothing; a null ``doc_id`` stays null; an empty table gives
-    no row; other columns are not read. Two different strings are taken for equal if their 96-bit names are.
+    no row; other columns are not read. Two different strings are taken for equal if their
+    80-bit names are.
     """
     work = Workspace(docs.sparkSession, "suffix")
-    blocks = work.table(text_blocks(docs), "blocks")
+    blocks = work.table(text_blocks(docs), "blocks", compression="zstd")
     total = blocks.agg(F.sum(F.aggregate("texts", F.lit(0).cast("long"), lambda n, t: n + F.octet_length(t)))).first()[0] or 0
-    parts = max(ROUNDS * 4, -(-total * NAME.itemsize // (8 * PART_BYTES)) * ROUNDS)
+    parts = max(8, -(-total // PART_BYTES))
 
-    def exchanged(sent: DataFrame, name: str) -> DataFrame:
-        return work.table(sent.groupBy("part").applyInArrow(_compare, ANSWER), name)
+    def exchanged(sent: DataFrame, checked: bool, name: str) -> DataFrame:
+        return work.table(sent.groupBy("part").applyInArrow(_compare(checked), ANSWER), name)
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                block = Block(batch.column(1)[row].as_py())
-                yield from _sent(batch.column(0)[row].as_py(), _as_names(block.sample()[1]), parts, (0, 1))
+                yield from _sent(batch.column(0)[row].as_py(), Block(batch.column(1)[row].as_py()).sample()[1], None, parts, SAMPLE_BITS)
 
     def mark(left: pa.Table, right: pa.Table) -> pa.Table:
-        block = Block(left["texts"][0].as_py())
-        positions, names = block.sample()
-        repeated = positions[_answered(_as_names(names), parts, right.to_pylist())]
+        positions, names = Block(left["texts"][0].as_py()).sample()
+        repeated = positions[_answered(names, parts, SAMPLE_BITS, right.to_pylist())]
         return left.append_column("repeated", pa.array([repeated.astype("<i8").tobytes()], pa.binary()))
 
-    answers = exchanged(blocks.select("block", "texts").mapInArrow(sample, SENT), "sampled")
-    marked = work.table(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(mark, f"{BLOCKS}, repeated binary"), "marked")
+    answers = exchanged(blocks.select("block", "texts").mapInArrow(sample, SENT), False, "sampled")
+    marked = work.table(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(mark, f"{BLOCKS}, repeated binary"), "marked", compression="zstd")
     work.drop("blocks", "sampled")
 
-    def merge(turn: int):
-        def remaining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for row in range(batch.num_rows):
-                    block = Block(batch.column(1)[row].as_py())
-                    positions = block.remaining(np.frombuffer(batch.column(2)[row].as_py(), "<i8"))
-                    yield from _sent(batch.column(0)[row].as_py(), block.strings(positions), parts, (turn, ROUNDS))
-
-        return remaining
+    def remaining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                block = Block(batch.column(1)[row].as_py())
+                names, check = block.strings(block.remaining(np.frombuffer(batch.column(2)[row].as_py(), "<i8")))
+                yield from _sent(batch.column(0)[row].as_py(), names, check, parts, 64)
 
-    merged = None
-    for turn in range(ROUNDS):
-        found = exchanged(marked.select("block", "texts", "repeated").mapInArrow(merge(turn), SENT), f"merged{turn}")
-        merged = found if merged is None else merged.union(found)
+    merged = exchanged(marked.select("block", "texts", "repeated").mapInArrow(remaining, SENT), True, "merged")
 
     def cover(left: pa.Table, right: pa.Table) -> pa.Table:
         block = Block(left["texts"][0].as_py())
         positions = block.remaining(np.frombuffer(left["repeated"][0].as_py(), "<i8"))
-        starts = positions[_answered(block.strings(positions), parts, right.to_pylist())]
+        starts = positions[_answered(block.strings(positions)[0], parts, 64, right.to_pylist())]
         edge = np.zeros(len(block.bytes) + 1, np.int32)
         np.add.at(edge, starts, 1)
         np.add.at(edge, starts + LENGTH, -1)
