@@ -236,8 +236,9 @@ def _verify(threshold: float):
                 shared = seen[code] > 1
                 code, row = column[code[shared]], row[shared]
                 n, width = end - at, int(column[-1]) + 1 if len(column) else 0
-                split = at + int((block[at:end] == lo[at]).sum()) if lo[at] != hi[at] else at
-                left, right = (slice(0, split - at), slice(split - at, n)) if split > at else (slice(0, n), slice(0, n))
+                across = lo[at] != hi[at]
+                split = int((block[at:end] == lo[at]).sum())
+                left, right = (slice(0, split), slice(split, n)) if across else (slice(0, n), slice(0, n))
                 common = np.zeros((left.stop - left.start, right.stop - right.start), np.float64)
                 order = np.argsort(code, kind="stable")
                 code, row = code[order], row[order]
@@ -248,10 +249,10 @@ def _verify(threshold: float):
                     common += x[left] @ x[right].T
                 a_size, b_size = sizes[at:end][left], sizes[at:end][right]
                 linked = common >= threshold * (a_size[:, None] + b_size[None, :] - common) - 1e-9
-                if split == at:
+                if not across:
                     np.fill_diagonal(linked, False)
                 links[at:end][left] += linked @ copies[at:end][right]
-                if split > at:
+                if across:
                     links[at:end][right] += linked.T @ copies[at:end][left]
                 a, b = np.nonzero(linked)
                 union(parent, a + at + left.start, b + at + right.start)
