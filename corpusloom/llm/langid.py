@@ -24,7 +24,7 @@ from corpusloom.llm.packing import vocabulary_path
 SAMPLE_DOCS, ROUNDS, WORD_LETTERS = 400, 2, 40
 #: Probability of a letter that no piece holds, in any language, and pseudo-count of a piece.
 UNKNOWN, PRIOR = 1e-9, 0.05
-MARK = "▁"
+MARK, CODE = "▁", np.uint64(0x9E3779B97F4A7C15)
 LEAST_SCORE = 0.5
 
 _vocabularies: dict = {}
@@ -39,19 +39,41 @@ class Vocabulary:
         model = sentencepiece.SentencePieceProcessor(model_file=vocabulary_path("piece_bpe_32k.model", folder))
         plain = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i))]
         kept = sorted({p for p in plain if (body := p.removeprefix(MARK)).isalpha() and body == body.lower() or p == MARK})
-        self.ids = {p: i for i, p in enumerate(kept)}
-        self.longest = max(map(len, kept))
+        self.size, self.longest = len(kept), max(map(len, kept))
+        self.tables = []
+        for k in range(1, self.longest + 1):
+            own = [i for i, p in enumerate(kept) if len(p) == k]
+            codes = self._codes([kept[i] for i in own], k)
+            order = np.argsort(codes)
+            self.tables.append((codes[order], np.array(own, np.int32)[order]))
+
+    @staticmethod
+    def _letters(words: list[str], n: int) -> np.ndarray:
+        return np.array(words, f"<U{n}").view("<u4").reshape(len(words), n).astype(np.uint64)
+
+    def _codes(self, words: list[str], n: int) -> np.ndarray:
+        code = np.zeros(len(words), np.uint64)
+        for letter in self._letters(words, n).T if words else ():
+            code = code * CODE + letter
+        return code
 
     def lattice(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Words of equal length together: their places, and the id of each piece by word, start and length (-1: none)."""
-        get, by_length = self.ids.get, {}
+        by_length: dict[int, list[int]] = {}
         for place, word in enumerate(words):
-            by_length.setdefault(len(word) + 1, []).append((place, MARK + word))
+            by_length.setdefault(len(word) + 1, []).append(place)
         for n, group in by_length.items():
-            for at in range(0, len(group), 8192):
-                part = group[at : at + 8192]
-                flat = [get(w[i : i + k], -1) for _, w in part for i in range(n) for k in range(1, min(self.longest, n) + 1)]
-                yield np.array([p for p, _ in part]), np.array(flat, np.int32).reshape(len(part), n, -1)
+            for at in range(0, len(group), 2048):
+                places = group[at : at + 2048]
+                letters = self._letters([MARK + words[i] for i in places], n)
+                ids = np.full((len(places), n, min(self.longest, n)), -1, np.int32)
+                code = np.zeros_like(letters)
+                for k, (codes, pieces) in enumerate(self.tables[:n]):
+                    code = code[:, : n - k] * CODE + letters[:, k:]
+                    if len(codes):
+                        found = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+                        ids[:, : n - k, k] = np.where(codes[found] == code, pieces[found], -1)
+                yield np.array(places), ids
 
 
 def vocabulary(folder: str | None) -> Vocabulary:
@@ -83,7 +105,7 @@ def word_scores(words: list[str], p: np.ndarray, folder: str | None = None) -> n
 
 def fit(words: list[str], counts: np.ndarray, folder: str | None = None, rounds: int = ROUNDS) -> np.ndarray:
     """Piece probabilities of one language, from its words and their counts."""
-    size = len(vocabulary(folder).ids)
+    size = vocabulary(folder).size
     p = np.full((size + 1, 1), 1.0 / size)
     p[-1] = 0
     lattices = list(vocabulary(folder).lattice(words))
@@ -134,7 +156,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, folder: str | None =
     sample = thin.withColumn("rank", rank).where(F.col("rank") <= sample_docs).select("lang", "text")
     rows = sample.toArrow()
     langs = sorted(set(rows["lang"].to_pylist()))
-    p = np.zeros((len(vocabulary(folder).ids) + 1, len(langs)))
+    p = np.zeros((vocabulary(folder).size + 1, len(langs)))
     for k, lang in enumerate(langs):
         words = pc.value_counts(split_words(rows.filter(pc.equal(rows["lang"], lang))["text"].combine_chunks()).flatten())
         pairs = [(w, n) for w, n in zip(words.field(0).to_pylist(), words.field(1).to_pylist(), strict=True) if w]
@@ -154,12 +176,12 @@ def predict(docs: DataFrame, langs: list[str], p: np.ndarray, folder: str | None
         cache: dict[str, int] = {"": 0}
         known = np.zeros((1, len(langs)))
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
                 split = split_words(batch.column(text_at))
                 coded = split.flatten().dictionary_encode()
                 unique = coded.dictionary.to_pylist()
-                if len(cache) > 400_000:
+                if len(cache) > 200_000:
                     cache, known = {"": 0}, np.zeros((1, len(langs)))
                 if fresh := [w for w in unique if w not in cache]:
                     cache.update(zip(fresh, range(len(known), len(known) + len(fresh)), strict=True))
