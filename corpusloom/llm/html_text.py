@@ -20,7 +20,7 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("ul ol dl table div section article main aside nav header footer form blockquote body html".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-HINT = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|cookie\w*|consent|notice|gdpr|popup|modal|newsletter|subscribe|signup|menu|nav\w*|breadcrumb\w*|sidebar|widget|share|sharing|social|related|recommend\w*|trending|comment|comments|respond|replies|disqus|footer|header|masthead|copyright|login|search|pagination|pager|toolbar|skip)(?:$|[\s_-])", re.I)
+HINT = re.compile(r"(?:^|\s)(?!(?:with|has|no|not)[-_]|(?:article|post|entry|content|main)[-_]header)(?:[a-z]+[-_])?(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|gdpr|popup|modal|newsletter|subscribe|signup|menu|nav|navbar|navigation|breadcrumbs?|sidebar|widgets?|share|sharing|social|related|recommend\w*|trending|comments?|respond|replies|disqus|footer|header|masthead|copyright|login|search|pagination|pager|toolbar|skip)(?:[-_][\w-]*)?(?=\s|$)", re.I)
 ROLE = re.compile(r"""\brole\s*=\s*["']?(navigation|banner|contentinfo|complementary|search|form|dialog|alert|alertdialog|menu|menubar)""", re.I)
 NAMED = re.compile(r"""\b(?:class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
@@ -135,8 +135,7 @@ def features(blocks: list[Block]) -> np.ndarray:
     return np.hstack([own, before, after, place, np.full((len(blocks), 1), float(any(b.inside for b in blocks)))])
 
 
-#: The labelled table: pages whose blocks carry their label, 1 for main text, in ``data-y``-free form: each
-#: entry is the page and the labels of its blocks in order.
+#: The labelled table: pages, and the labels of their blocks in order, 1 for main text.
 _S = "word " * 9
 _M = "word " * 30
 _L = "word " * 90
@@ -153,6 +152,18 @@ LABELLED = (
     (f"<div>word</div><div>word word</div><div class=sidebar><p>{_L}</p></div><table><tr><td>{_M}</td><td>{_M}</td></tr></table><p>{_L}</p><div>word word</div><div><a href=#>word</a></div>", (0, 0, 0, 1, 1, 1, 0, 0)),
     (f"<header><p>{_M}</p></header><article><header><h1>{_S}</h1></header><p>{_L}</p><p>word word word</p><footer><p>{_S}</p></footer><aside>{_M}</aside><p>{_M}</p></article><div class=related><h4>{_S}</h4><p>{_M}</p></div>", (0, 1, 1, 1, 0, 0, 1, 0, 0)),
     (f"<article><p>word</p><p>word word</p><ul><li>word</li><li><a href=#>word</a></li></ul><p>{_S}</p></article><div>{_M}</div><div>{_S}</div><p>{_L}</p><p>word</p>", (1, 1, 1, 1, 1, 0, 0, 0, 0)),
+    (f"<div class=menu><a href=#>home</a></div><div><p>{_M}</p><p>{_M}</p></div><div class=footer>{_M}</div>", (0, 1, 1, 0)),
+    (f"<div><a href=#>home</a></div><p>{_L}</p><p>word</p><p>{_L}</p><div><a href=#>more</a></div>", (0, 1, 1, 1, 0)),
+    (f"<div class=header>{_S}</div><p>{_M}</p><p>word word word word</p><p>{_M}</p><div class=comments>{_L}</div>", (0, 1, 1, 1, 0)),
+    ("<article><p>word</p></article>", (1,)),
+    (f"<article><h1>{_S}</h1><p>{_M}</p></article>", (1, 1)),
+    (f"<article><p><a href=#>{_S}</a></p><p>word word</p><p><a href=#>word</a></p></article>", (1, 1, 1)),
+    (f"<nav><a href=#>word</a></nav><main><p>{_M}</p><p><a href=#>{_M}</a></p></main>", (0, 1, 1)),
+    (f"<article><p>{_L}</p><ul><li><a href=#>word</a></li><li><a href=#>word word</a></li></ul></article><div>{_S}</div>", (1, 1, 1, 0)),
+    (f"<p>{_M}</p><p>{_L}</p><p>{_M}</p>", (1, 1, 1)),
+    (f"<h1>{_S}</h1><p>{_M}</p><p>word word</p><p>{_L}</p>", (1, 1, 1, 1)),
+    (f"<div><a href=#>word word</a> <a href=#>word</a></div><p>{_L}</p><p>{_S}</p><p>{_M}</p><div><a href=#>{_S}</a></div>", (0, 1, 1, 1, 0)),
+    (f"<div class=nav>word</div><p>{_S}</p><p>{_L}</p><p>word word</p><p>{_M}</p><div class=ad>{_M}</div><div class=newsletter>{_S}</div>", (0, 1, 1, 1, 1, 0, 0)),
 )
 
 
@@ -176,7 +187,7 @@ class Node:
     high: Node | None = None
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 8) -> Node:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 12) -> Node:
     """A classification tree by Gini impurity; the first best cut is taken, so equal tables give equal trees."""
     node = Node(int(2 * y.sum() >= len(y)))
     if depth == 0 or y.min() == y.max():
