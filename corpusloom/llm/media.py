@@ -208,7 +208,9 @@ class ArchiveReader(DataSourceReader):
             raise OSError(f"{error} ({self.attempts} attempts)")
         return None, error
 
-    def read(self, part: ArchiveRange) -> Iterator[pa.RecordBatch]:
+    def read(self, part: ArchiveRange | None) -> Iterator[pa.RecordBatch]:
+        if part is None:  # a folder without archives
+            return
         files, _ = _filesystem(self.path)
         with files.open_input_file(part.path) as f:
             entries = zipfile.ZipFile(f).infolist()

@@ -61,21 +61,21 @@ def mix_sources(docs: DataFrame, seed: str = "mix") -> DataFrame:
     key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     keyed = sized.withColumn("_key", key).withColumn("_tie", F.xxhash64("text"))
     # Staged, so that the planner knows its size and broadcasts it only where it is small.
-    targets = work.table(source_targets(sized.select("source", "size")).withColumnRenamed("source", "_source"), "targets")
+    targets = work.table(source_targets(sized.select("source", "size")).toDF("_source", "_rank", "_weight", "_slope", "source_size", "_docs", "target"), "targets")
     # A hot source is cut into ranges of the hash, so that no window holds more than some thousand rows of it.
-    ranges = F.ceil(F.col("source_docs") / F.lit(ROWS_PER_RANGE))
+    ranges = F.ceil(F.col("_docs") / F.lit(ROWS_PER_RANGE))
     placed = keyed.join(targets, keyed["source"].eqNullSafe(targets["_source"])).withColumn("_range", F.floor(F.conv(F.substring("_key", 1, 8), 16, 10).cast("double") * ranges / F.lit(4294967296.0)))
-    totals = placed.groupBy("rank", "_range").agg(F.sum("size").alias("_words"))
-    offsets = totals.select(F.col("rank").alias("_r"), F.col("_range").alias("_g"), F.coalesce(F.sum("_words").over(Window.partitionBy("rank").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
-    order = Window.partitionBy("rank", "_range").orderBy("_key", "size", "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    summed = placed.withColumn("_within", F.sum("size").over(order)).join(offsets, (F.col("rank") == F.col("_r")) & (F.col("_range") == F.col("_g")))
+    totals = placed.groupBy("_rank", "_range").agg(F.sum("size").alias("_words"))
+    offsets = totals.select(F.col("_rank").alias("_r"), F.col("_range").alias("_g"), F.coalesce(F.sum("_words").over(Window.partitionBy("_rank").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
+    order = Window.partitionBy("_rank", "_range").orderBy("_key", "size", "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = placed.withColumn("_within", F.sum("size").over(order)).join(offsets, (F.col("_rank") == F.col("_r")) & (F.col("_range") == F.col("_g")))
     start = F.col("_offset") + F.col("_within") - F.col("size")
     words = F.floor("target").cast("long")
     passes = F.when(F.col("source_size") > 0, F.floor(words / F.col("source_size"))).otherwise(0)
     rest = words - passes * F.col("source_size")
     taken = F.col("size") * passes + F.least(F.col("size"), F.greatest(rest - start, F.lit(0)))
     # integral of target * (1 - s + 2 s t) from 0 to t is target * ((1 - s) t + s t^2)
-    slope = F.col("slope")
+    slope = F.col("_slope")
 
     def time(words_before: Column) -> Column:
         share = F.least(words_before / F.col("target"), F.lit(1.0))
