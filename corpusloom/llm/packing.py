@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import Workspace, read_table
 
 CAPACITY, END_ID = 1024, 2
-OPEN_BINS = 512
+OPEN_BINS = 1024
 #: Leftover bins of so many tasks meet in one task of the second round.
 FAN_IN = 64
 #: Fixed value: the pattern that splits text before the merges of the 50k byte-level vocabulary.
@@ -122,14 +122,15 @@ def cut_and_place(docs: DataFrame, capacity: int, open_bins: int, folder: str |
                 end, piece = (len(ids) - 1) % capacity + 1, 0
                 start = 0
                 while start < len(ids):
-                    number, offset = bins.place(end - start)
-                    waiting.append((doc_id, piece, start, end - start, zlib.crc32(ids[start:end].tobytes()), base + number, offset))
+                    waiting.append((doc_id, piece, start, end - start, zlib.crc32(ids[start:end].tobytes())))
                     start, end, piece = end, end + capacity, piece + 1
-            if len(waiting) >= 20_000:
-                yield batch_of(waiting)
-                waiting = []
+            # of what has come in together, the long pieces are placed first
+            waiting.sort(key=lambda x: -x[3])
+            placed = [bins.place(x[3]) for x in waiting]
+            yield batch_of([(*x, base + number, offset) for x, (number, offset) in zip(waiting, placed, strict=True)])
+            waiting = []
         # A row without a document tells which bins are still open at the task's end.
-        yield batch_of([*waiting, *((None, -1, 0, 0, 0, base + number, 0) for number in bins.left())])
+        yield batch_of([*((None, -1, 0, 0, 0, base + number, 0) for number in bins.left())])
 
     return docs.select("doc_id", "text").mapInArrow(pack, PIECES)
 
