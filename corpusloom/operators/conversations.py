@@ -6,24 +6,28 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
-ORDER = Window.partitionBy("conv_id").orderBy("turn")
-BEFORE = ORDER.rowsBetween(Window.unboundedPreceding, -1)
-AFTER_INCLUDED = Window.partitionBy("conv_id").orderBy(F.desc("turn")).rowsBetween(Window.unboundedPreceding, 0)
+
+def in_order() -> WindowSpec:
+    return Window.partitionBy("conv_id").orderBy("turn")
+
+
+def from_the_end() -> WindowSpec:
+    return Window.partitionBy("conv_id").orderBy(F.desc("turn")).rowsBetween(Window.unboundedPreceding, 0)
 
 
 def collapse_runs(turns: DataFrame, roles: Sequence[str] = ("user", "assistant"), separator: str = "\n\n") -> DataFrame:
     """Consecutive messages of one of the ``roles`` become one, numbered by the first message's turn."""
-    begins = (F.lag("role").over(ORDER).eqNullSafe(F.col("role")) & F.col("role").isin(*roles)).cast("int")
-    runs = turns.withColumn("_begin", 1 - begins).withColumn("_run", F.sum("_begin").over(ORDER))
+    begins = (F.lag("role").over(in_order()).eqNullSafe(F.col("role")) & F.col("role").isin(*roles)).cast("int")
+    runs = turns.withColumn("_begin", 1 - begins).withColumn("_run", F.sum("_begin").over(in_order()))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), separator)
     return runs.groupBy("conv_id", "_run").agg(F.min("turn").alias("turn"), F.first("role").alias("role"), F.count(F.lit(1)).alias("n_merged"), joined.alias("text")).drop("_run")
 
 
 def newest_within(turns: DataFrame, budget: int) -> DataFrame:
     """The newest messages within ``budget`` characters; the one on the boundary keeps its tail."""
-    used = F.coalesce(F.sum(F.length("text")).over(AFTER_INCLUDED), F.lit(0)) - F.length("text")
+    used = F.coalesce(F.sum(F.length("text")).over(from_the_end()), F.lit(0)) - F.length("text")
     kept = turns.withColumn("_used", used).where(F.col("_used") < budget)
     left = F.lit(budget) - F.col("_used")
     return kept.withColumn("text", F.when(F.length("text") > left, F.right("text", left)).otherwise(F.col("text"))).drop("_used")
@@ -31,13 +35,13 @@ def newest_within(turns: DataFrame, budget: int) -> DataFrame:
 
 def prefixes(turns: DataFrame) -> DataFrame:
     """For every message, the roles and total length of all messages up to it."""
-    upto = ORDER.rowsBetween(Window.unboundedPreceding, 0)
+    upto = in_order().rowsBetween(Window.unboundedPreceding, 0)
     return turns.select("conv_id", "turn", F.array_join(F.collect_list("role").over(upto), ">").alias("roles"), F.sum(F.length("text").cast("long")).over(upto).alias("n_chars"))
 
 
 def single_turns(turns: DataFrame, system: str = "You are a helpful assistant.", orphan: str = "Continue.") -> DataFrame:
     """A row per assistant message with the last user message before it, or a synthetic one."""
-    user = F.last(F.when(F.col("role") == "user", F.col("text")), ignorenulls=True).over(BEFORE)
+    user = F.last(F.when(F.col("role") == "user", F.col("text")), ignorenulls=True).over(in_order().rowsBetween(Window.unboundedPreceding, -1))
     found = turns.withColumn("user", F.coalesce(user, F.lit(orphan))).where("role = 'assistant'")
     return found.select("conv_id", "turn", F.lit(system).alias("system"), "user", F.col("text").alias("assistant"))
 
