@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,15 +32,21 @@ class Workspace:
         return f"{self.root}/{name}"
 
     def table(self, df: DataFrame, name: str, **options: str) -> DataFrame:
-        """Writes ``df`` once and reads it back; its lineage ends here, and shuffle files that it needed can go.
-
-        Spark removes those when the driver's collector finds their owners gone, which an idle driver rarely does by
-        itself, so it is asked to.
-        """
+        """Writes ``df`` once and reads it back; its lineage ends here."""
         df.write.options(**options).mode("overwrite").parquet(self.path(name))
-        self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def release(self) -> None:
+        """Lets shuffle files of finished jobs go before a large step.
+
+        Spark removes them when the driver's collector finds their owners gone, which an idle driver rarely does by
+        itself, so it is asked to; owners that the first round frees hold others, which the second finds.
+        """
+        for _ in range(2):
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(1)
+
     def drop(self, *names: str) -> None:
         """Removes staged tables that no returned frame reads any more."""
         jvm = self.spark.sparkContext._jvm

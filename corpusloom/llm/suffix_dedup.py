@@ -232,6 +232,14 @@ def text_blocks(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(gather, BLOCKS)
 
 
+def _copies(blocks: DataFrame) -> DataFrame:
+    """``block, copies``: the texts of a block that have equal ones elsewhere, as twice their place, plus 1 for the first of all."""
+    texts = blocks.select("block", F.posexplode("texts").alias("place", "text")).select("block", "place", F.sha2("text", 256).alias("digest"))
+    classes = texts.groupBy("digest").agg(F.min(F.struct("block", "place")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    found = texts.join(classes, "digest").withColumn("is_first", (F.col("first") == F.struct("block", "place")).cast("long"))
+    return found.groupBy("block").agg(F.collect_list(F.col("place") * 2 + F.col("is_first")).alias("copies"))
+
+
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -250,7 +258,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     parts = max(8, -(-total // PART_BYTES))
 
     def exchanged(sent: DataFrame, checked: bool, name: str) -> DataFrame:
-        return work.table(sent.groupBy("part").applyInArrow(_compare(checked), ANSWER), name)
+        answers = work.table(sent.groupBy("part").applyInArrow(_compare(checked), ANSWER), name)
+        work.release()
+        return answers
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,13 +268,22 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 yield from _sent(batch.column(0)[row].as_py(), Block(batch.column(1)[row].as_py()).sample()[1], None, parts, SAMPLE_BITS)
 
     def mark(left: pa.Table, right: pa.Table) -> pa.Table:
-        positions, names = Block(left["texts"][0].as_py()).sample()
-        repeated = positions[_answered(names, parts, SAMPLE_BITS, right.to_pylist())]
-        return left.append_column("repeated", pa.array([repeated.astype("<i8").tobytes()], pa.binary()))
-
-    answers = exchanged(blocks.select("block", "texts").mapInArrow(sample, SENT), False, "sampled")
-    marked = work.table(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(mark, f"{BLOCKS}, repeated binary"), "marked", compression="zstd")
+        block = Block(left["texts"][0].as_py())
+        positions, names = block.sample()
+        answers = right.to_pylist()
+        known = _answered(names, parts, SAMPLE_BITS, [x for x in answers if x["part"] is not None])
+        # of texts with copies one text of each class stands for all
+        copies = np.array([x for row in answers if row["part"] is None for x in row["copies"]], np.int64)
+        others = np.zeros(len(block.sizes), bool)
+        others[copies[copies % 2 == 0] // 2] = True
+        kept = known & ~others[np.searchsorted(block.starts, positions, "right") - 1]
+        return left.append_column("repeated", pa.array([positions[kept].astype("<i8").tobytes()], pa.binary())).append_column("copies", pa.array([(copies // 2).tolist()], pa.list_(pa.int64())))
+
+    answers = exchanged(blocks.select("block", "texts").mapInArrow(sample, SENT), False, "sampled").withColumn("copies", F.lit(None).cast("array<long>"))
+    known = answers.unionByName(_copies(blocks), allowMissingColumns=True)
+    marked = work.table(blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(mark, f"{BLOCKS}, repeated binary, copies array<long>"), "marked", compression="zstd")
     work.drop("blocks", "sampled")
+    work.release()
 
     def remaining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,6 +302,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         np.add.at(edge, starts, 1)
         np.add.at(edge, starts + LENGTH, -1)
         gone = np.cumsum(edge[:-1]) > 0
+        for k in left["copies"][0].as_py():
+            if block.sizes[k] >= LENGTH:
+                gone[block.starts[k] : block.starts[k + 1]] = True
         out = []
         for doc_id, at, size in zip(left["doc_ids"][0].as_py(), block.starts[:-1], block.sizes, strict=True):
             mine = gone[at : at + size]
