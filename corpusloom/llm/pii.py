@@ -129,5 +129,6 @@ def _joined(spans: Column) -> Column:
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii_spans(read_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "spans")
     base = F.filter("spans", lambda x: x["rank"] < sum(k.base for k in KINDS))
-    counts = [F.size(F.filter("spans", lambda x, i=i: x["rank"] == i)).cast("long").alias(f"n_{k.name}") for i, k in enumerate(KINDS) if k.base]
+    count = lambda rank: F.size(F.filter("spans", lambda x: x["rank"] == rank)).cast("long")
+    counts = [count(i).alias(f"n_{k.name}") for i, k in enumerate(KINDS) if k.base]
     return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
