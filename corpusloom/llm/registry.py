@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import chat, html_text, jaccard_join, langid, media, mixing, packing, pii, suffix_dedup, topk
+from corpusloom.llm import chat, html_text, jaccard_join, langid, media, mixing, packing, pii, sql, suffix_dedup, topk
 
 QUERIES = {
     "op1_media_columns": media.op1_media_columns,
@@ -16,4 +16,4 @@ QUERIES = {
     "op9_personal_data": pii.op9_personal_data,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op5_mix_sources": sql.MIX, "op8_exact_top_k": sql.TOP_K, "op9_personal_data": sql.PERSONAL}
