@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,10 +23,13 @@ def shingles(sequence: Column, k: int = SHINGLE) -> Column:
 
 
 def shingle_sets(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """``key, cls, n, shingles``: ``cls`` tells equal token sequences apart from others."""
+    """``key, cls, n, shingles``: ``cls`` tells equal token sequences apart from others.
+
+    Every caller reads the sets several times, so they are kept, spilling to disk; equal plans share one copy.
+    """
     seq = df.select(key, tokens(F.coalesce(F.col(text), F.lit(""))).alias("seq"))
     sets = seq.select(key, F.sha2(F.array_join("seq", "\x01"), 256).alias("cls"), shingles(F.col("seq")).alias("shingles"))
-    return sets.select(key, "cls", F.size("shingles").cast("long").alias("n"), "shingles")
+    return sets.select(key, "cls", F.size("shingles").cast("long").alias("n"), "shingles").persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _prefixes(sets: DataFrame, order: DataFrame, threshold: float) -> DataFrame:
