@@ -130,8 +130,8 @@ def test_lane_schedule_balances(spark):
 
 
 def test_discovery_and_arrays(spark):
-    signals = (discovery.Signal("p", "pallas", "main", 5), discovery.Signal("c", "cuda", "other", 2), discovery.Signal("b", "bench", "benchmark", 1))
-    df = spark.createDataFrame([(1, "Pallas cuda", "x"), (2, "cuda", "bench"), (3, None, None)], "id int, a string, b string")
+    signals = (discovery.Signal("p", "tensor", "main", 5), discovery.Signal("c", "cuda", "other", 2), discovery.Signal("b", "bench", "benchmark", 1))
+    df = spark.createDataFrame([(1, "Tensor cuda", "x"), (2, "cuda", "bench"), (3, None, None)], "id int, a string, b string")
     scored = discovery.classify(discovery.family_scores(discovery.signal_matches(df, "id", {"a": F.col("a"), "b": F.col("b")}, signals), "id"), "main", ("other",), 3)
     assert {(r.id, r.category, r.training_policy) for r in scored.collect()} == {(1, "main_domain", "discovery_only"), (2, "cross_domain", "forbidden")}
     x = F.lit([3.0, 4.0])
