@@ -25,7 +25,7 @@ SAMPLE_DOCS, ROUNDS, WORD_LETTERS = 400, 2, 40
 #: Probability of a letter that no piece holds, in any language, and pseudo-count of a piece.
 UNKNOWN, PRIOR = 1e-9, 0.05
 MARK, CODE = "▁", np.uint64(0x9E3779B97F4A7C15)
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.3
 
 _vocabularies: dict = {}
 
