@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import Workspace, read_table
 
 CAPACITY, END_ID = 1024, 2
-OPEN_BINS = 1024
+#: Open bins, and pieces that are placed together, the long ones first: fewer than bins, so that none closes for them.
+OPEN_BINS, TOGETHER = 8192, 4096
 #: Leftover bins of so many tasks meet in one task of the second round.
 FAN_IN = 64
 #: Fixed value: the pattern that splits text before the merges of the 50k byte-level vocabulary.
@@ -116,6 +117,13 @@ def cut_and_place(docs: DataFrame, capacity: int, open_bins: int, folder: str |
             columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in PIECES.split(", ")])
 
+        def placed() -> pa.RecordBatch:
+            waiting.sort(key=lambda x: -x[3])
+            spots = [bins.place(x[3]) for x in waiting]
+            rows = [(*x, base + number, offset) for x, (number, offset) in zip(waiting, spots, strict=True)]
+            waiting.clear()
+            return batch_of(rows)
+
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = np.append(encode(text.as_py() or ""), np.uint32(END_ID)).astype("<u4")
@@ -124,13 +132,11 @@ def cut_and_place(docs: DataFrame, capacity: int, open_bins: int, folder: str |
                 while start < len(ids):
                     waiting.append((doc_id, piece, start, end - start, zlib.crc32(ids[start:end].tobytes())))
                     start, end, piece = end, end + capacity, piece + 1
-            # of what has come in together, the long pieces are placed first
-            waiting.sort(key=lambda x: -x[3])
-            placed = [bins.place(x[3]) for x in waiting]
-            yield batch_of([(*x, base + number, offset) for x, (number, offset) in zip(waiting, placed, strict=True)])
-            waiting = []
+                if len(waiting) >= TOGETHER:
+                    yield placed()
+        yield placed()
         # A row without a document tells which bins are still open at the task's end.
-        yield batch_of([*((None, -1, 0, 0, 0, base + number, 0) for number in bins.left())])
+        yield batch_of([(None, -1, 0, 0, 0, base + number, 0) for number in bins.left()])
 
     return docs.select("doc_id", "text").mapInArrow(pack, PIECES)
 
