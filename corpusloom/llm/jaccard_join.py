@@ -28,6 +28,8 @@ HASHES, BAND, STEP = 128, 4, 16
 BANDS = HASHES // BAND
 #: Documents of a block: of a bucket while pruning, of a cluster while verifying.
 BUCKET_BLOCK, CLUSTER_BLOCK = 8192, 1024
+#: N-grams that a block of a cluster holds on average, at most: long texts make smaller blocks.
+GRAM_BLOCK = 4_000_000
 _PAIRS = 400_000
 _draw = np.random.default_rng(20_240_229)
 _A = _draw.integers(0, 2**63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -286,21 +288,21 @@ def jaccard_join(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD,
     edges = work.table(candidates.select("bucket", "band", "lo", "hi", "block", "node", "sig").mapInArrow(_prune(threshold, tolerance), "a binary, b binary"), "candidates")
     found = connected_components(work, edges, "clusters")
     clusters = work.table(found.select("node", F.col("root").alias("cluster")).union(found.select("root", "root").distinct()), "cluster_of")
-    counted = clusters.join(clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")), "cluster")
+    sized = clusters.join(nodes.select("node", "first_id", "copies", "grams"), "node")
+    parts = F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(CLUSTER_BLOCK), F.sum("grams") / F.lit(GRAM_BLOCK))).cast("int")
+    wanted = sized.join(sized.groupBy("cluster").agg(parts.alias("parts")), "cluster")
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
                 kept = [batch.column(k) for k in range(5)]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array([g.tobytes() for g in word_grams(batch.column(5), n)], pa.binary())], names=["cluster", "size", "node", "copies", "grams", "shingles"])
+                yield pa.RecordBatch.from_arrays([*kept, pa.array([g.tobytes() for g in word_grams(batch.column(5), n)], pa.binary())], names=["cluster", "parts", "node", "copies", "grams", "shingles"])
 
-    wanted = counted.join(nodes.select("node", "first_id", "copies", "grams"), "node")
     texts = docs.select("doc_id", "text").withColumn("text_node", F.unhex(F.md5("text")))
     picked = wanted.join(texts, (F.col("node") == F.col("text_node")) & F.col("first_id").eqNullSafe(F.col("doc_id"))).dropDuplicates(["node"])
-    shingled = picked.select("cluster", "size", "node", "copies", "grams", "text").mapInArrow(shingle, "cluster binary, size long, node binary, copies long, grams int, shingles binary")
-    parts = F.ceil(F.col("size") / F.lit(CLUSTER_BLOCK)).cast("int")
-    dealt = _blocks(shingled.withColumn("parts", parts), "cluster", F.col("size"), CLUSTER_BLOCK)
+    shingled = picked.select("cluster", "parts", "node", "copies", "grams", "text").mapInArrow(shingle, "cluster binary, parts int, node binary, copies long, grams int, shingles binary")
+    dealt = _blocks(shingled, "cluster", F.col("parts"), 1)
     verified = work.table(dealt.select("cluster", "lo", "hi", "block", "node", "copies", "grams", "shingles", "parts").mapInArrow(_verify(threshold), "node binary, links long, root binary, parts int"), "verified")
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
     # A cluster of one block has its components already; those of more blocks are put together.
