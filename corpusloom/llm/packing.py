@@ -23,6 +23,9 @@ FAN_IN = 64
 #: Fixed value: the pattern that splits text before the merges of the 50k byte-level vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SPECIAL = re.compile(r"<\|endoftext\|>")
+#: White space runs of this length go through the JSON form: the rank form's splitter fails on about a million.
+LONG_RUN = 100_000
+_long_run = re.compile(r"(?<!\s)\s{%d}" % LONG_RUN)
 
 _encoders: dict = {}
 
@@ -40,7 +43,8 @@ def encoder(folder: str | None = None):
     """``encode(text) -> uint32 ids``, once per worker.
 
     The merges run on the rank form of the vocabulary, which holds the same ids and is several times faster;
-    texts that hold the special token's string go through the JSON form, which alone knows it.
+    texts that hold the special token's string go through the JSON form, which alone knows it, and so do those
+    with a very long run of white space.
     """
     if folder not in _encoders:
         import tiktoken
@@ -52,7 +56,7 @@ def encoder(folder: str | None = None):
         whole = Tokenizer.from_file(vocabulary_path("byte_bpe_50k.json", folder))
 
         def encode(text: str) -> np.ndarray:
-            if SPECIAL.search(text):
+            if SPECIAL.search(text) or len(text) >= LONG_RUN and _long_run.search(text):
                 return np.array(whole.encode(text, add_special_tokens=False).ids, np.uint32)
             return np.array(fast.encode_ordinary(text), np.uint32)
 

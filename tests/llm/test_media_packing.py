@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 from corpusloom.llm import media, packing
 from corpusloom.llm.common import Workspace
@@ -52,14 +53,19 @@ def test_members_are_split_by_range_and_retried_alone(spark):
 
 
 def test_ids_are_those_of_the_json_vocabulary(spark):
-    from tokenizers import Tokenizer
-
     whole, encode = Tokenizer.from_file(packing.vocabulary_path("byte_bpe_50k.json")), packing.encoder()
     texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
     for text in [*texts, "", " ", "a<|endoftext|> b", "  tabs\t\n\n x", "it's 123,45 ñandú 漢字    x"]:
         assert encode(text).tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("run", [" ", "\n", "a", "7", "-"])
+def test_ids_of_very_long_runs(run):
+    whole, encode = Tokenizer.from_file(packing.vocabulary_path("byte_bpe_50k.json")), packing.encoder()
+    text = f"before {run * 1_200_000}x {run * 3} after"
+    assert encode(text).tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
 def test_best_fit_takes_the_tightest_bin_and_closes_the_fullest():
     bins = packing.BestFit(10, 2)
     assert bins.place(6) == (0, 0) and bins.place(7) == (1, 0)
