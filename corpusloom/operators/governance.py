@@ -86,3 +86,15 @@ def nested_counts(rows: DataFrame, outer: str, inner: str) -> DataFrame:
 def unbalanced(rows: DataFrame, family: str, each: int) -> DataFrame:
     """Families that don't have exactly ``each`` rows."""
     return rows.groupBy(family).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") != each)
+
+
+def task_documents(rows: DataFrame, **fields: Column) -> DataFrame:
+    """The fields of each task document and ``task_sha256``, the digest of all of them."""
+    return rows.select(*[f.alias(name) for name, f in fields.items()], canonical_digest(**fields).alias("task_sha256"))
+
+
+def arm_deltas(rows: DataFrame, arm: str, before, after, tier: str, flags: Sequence[str]) -> DataFrame:
+    """Per tier, and overall, the rows of two arms and by how many rows more the second arm meets each flag."""
+    first, second = F.col(arm) == F.lit(before), F.col(arm) == F.lit(after)
+    deltas = [(F.count_if(second & F.col(f)) - F.count_if(first & F.col(f))).alias(f) for f in flags]
+    return rows.rollup(tier).agg((F.grouping(tier) == 1).alias("overall"), F.count_if(first).alias("n_before"), F.count_if(second).alias("n_after"), *deltas)

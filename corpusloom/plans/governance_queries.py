@@ -114,3 +114,24 @@ def metadata_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files joined with their metadata and filtered by band and language."""
     meta = table(spark, sf_dir, "documents").where(F.col("n_chars").between(300, 9000) & (F.col("lang") == "en")).select(F.col("doc_id").alias("page_id"), "source", "n_chars")
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host")).join(meta, "page_id")
+
+
+@query("""SELECT 'part-' || p_partkey AS task_id, 'Describe ' || p_name AS instruction, CAST(p_size AS BIGINT) AS size, 3 AS max_attempts,
+  sha256('{"instruction":"Describe ' || p_name || '","max_attempts":3,"size":' || p_size || ',"task_id":"part-' || p_partkey || '"}') AS task_sha256 FROM part""")
+def task_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return g.task_documents(
+        table(spark, sf_dir, "part"),
+        task_id=F.concat(F.lit("part-"), F.col("p_partkey").cast("string")),
+        instruction=F.concat(F.lit("Describe "), "p_name"),
+        size=F.col("p_size").cast("long"),
+        max_attempts=F.lit(3),
+    )
+
+
+@query("""WITH f AS (SELECT doc_id % 2 AS arm, lang AS tier, contains(text, 'license') AS licensed, n_chars > 1000 AS long_text FROM documents)
+SELECT tier, grouping(tier) = 1 AS overall, count(*) FILTER (arm = 0) AS n_before, count(*) FILTER (arm = 1) AS n_after, count(*) FILTER (arm = 1 AND licensed) - count(*) FILTER (arm = 0 AND licensed) AS licensed,
+  count(*) FILTER (arm = 1 AND long_text) - count(*) FILTER (arm = 0 AND long_text) AS long_text FROM f GROUP BY ROLLUP (tier)""")
+def arm_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select((F.col("doc_id") % 2).alias("arm"), F.col("lang").alias("tier"), F.contains("text", F.lit("license")).alias("licensed"), (F.col("n_chars") > 1000).alias("long_text"))
+    return g.arm_deltas(rows, "arm", 0, 1, "tier", ("licensed", "long_text"))
