@@ -82,24 +82,27 @@ def vocabulary(folder: str | None) -> Vocabulary:
     return _vocabularies[folder]
 
 
-def _forward(ids: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """alpha[word, language, end]: the mass of all segmentations of each prefix; ``p`` is [piece, language]."""
+def _prefixes(ids: np.ndarray, p: np.ndarray, back: bool = False) -> np.ndarray:
+    """Logarithms [word, language, end]: the mass of all segmentations of each prefix, or with ``back`` of each suffix; ``p`` is [piece, language].
+
+    Masses are held as multiples of the last one, which no word is too long or too strange for.
+    """
     words, n, longest = ids.shape
-    alpha = np.zeros((words, p.shape[1], n + 1))
-    alpha[:, :, 0] = 1
+    logs, near = np.zeros((words, p.shape[1], n + 1)), np.ones((words, p.shape[1], n + 1))
     for end in range(1, n + 1):
-        mass = alpha[:, :, end - 1] * UNKNOWN
+        mass = np.full((words, p.shape[1]), UNKNOWN)
         for k in range(1, min(longest, end) + 1):
-            mass += alpha[:, :, end - k] * p[ids[:, end - k, k - 1]]
-        alpha[:, :, end] = mass
-    return alpha
+            mass += near[:, :, end - k] * p[ids[:, n - end if back else end - k, k - 1]]
+        logs[:, :, end] = logs[:, :, end - 1] + np.log(mass)
+        near[:, :, max(0, end - longest + 1) : end] /= mass[:, :, None]
+    return logs[:, :, ::-1] if back else logs
 
 
 def word_scores(words: list[str], p: np.ndarray, folder: str | None = None) -> np.ndarray:
     """Log-probabilities [word, language]; ``p`` has a last row of zeros for absent pieces."""
     out = np.zeros((len(words), p.shape[1]))
     for places, ids in vocabulary(folder).lattice(words):
-        out[places] = np.log(_forward(ids, p)[:, :, -1])
+        out[places] = _prefixes(ids, p)[:, :, -1]
     return out
 
 
@@ -113,17 +116,12 @@ def fit(words: list[str], counts: np.ndarray, folder: str | None = None, rounds:
         expected = np.full(size + 1, PRIOR)
         for places, ids in lattices:
             n, longest = ids.shape[1:]
-            alpha, beta = _forward(ids, p)[:, 0], np.zeros((len(ids), n + 1))
-            beta[:, n] = 1
-            for start in range(n - 1, -1, -1):
-                beta[:, start] = beta[:, start + 1] * UNKNOWN
-                for k in range(1, min(longest, n - start) + 1):
-                    beta[:, start] += p[ids[:, start, k - 1], 0] * beta[:, start + k]
-            weight = counts[places] / alpha[:, n]
+            before, after = _prefixes(ids, p)[:, 0], _prefixes(ids, p, back=True)[:, 0]
             for start in range(n):
                 for k in range(1, min(longest, n - start) + 1):
                     found = ids[:, start, k - 1]
-                    expected += np.bincount(found % (size + 1), weights=weight * alpha[:, start] * p[found, 0] * beta[:, start + k], minlength=size + 1)
+                    share = np.exp(before[:, start] + after[:, start + k] - before[:, n]) * p[found, 0]
+                    expected += np.bincount(found % (size + 1), weights=counts[places] * share, minlength=size + 1)
         expected[-1] = 0
         p = (expected / expected.sum())[:, None]
     return p[:, 0]
@@ -188,8 +186,9 @@ def predict(docs: DataFrame, langs: list[str], p: np.ndarray, folder: str | None
                     known = np.vstack([known, word_scores(fresh, p, folder)])
                 rows = np.array([cache[w] for w in unique], np.int64)[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
                 ends = split.offsets.to_numpy() - split.offsets[0].as_py()
-                sums = np.vstack([np.zeros((1, len(langs))), np.cumsum(known[rows], axis=0)]) if len(langs) else np.zeros((len(rows) + 1, 0))
-                total = sums[ends[1:]] - sums[ends[:-1]]
+                filled, total = ends[1:] > ends[:-1], np.zeros((batch.num_rows, len(langs)))
+                if len(langs) and filled.any():
+                    total[filled] = np.add.reduceat(known[rows], ends[:-1][filled], axis=0)
                 letters = np.r_[0, np.cumsum(rows > 0)]
                 blank = (letters[ends[1:]] == letters[ends[:-1]]) | (len(langs) == 0)
                 if len(langs):

@@ -53,6 +53,24 @@ def test_language_of_odd_rows(spark):
     assert langid.keep_identified(odd_docs(spark)).columns == odd_docs(spark).columns
 
 
+def test_letters_outside_the_vocabulary(spark):
+    strange = "\U000103a0" * langid.WORD_LETTERS
+    p = np.full((langid.vocabulary(None).size + 1, 2), 1e-5)
+    p[-1] = 0
+    assert np.isfinite(langid.word_scores([strange], p)).all()
+    learned = langid.fit([strange, "the"], np.array([3.0, 1.0]))
+    assert np.isfinite(learned).all() and math.isclose(learned.sum(), 1)
+    plain = {"de": "der hund und die katze schlafen nicht in dem alten haus", "en": "the dog and the cat are not asleep in the old house"}
+    texts = [(lang, plain[lang]) for _ in range(20) for lang in plain]
+    texts = [("de", strange * 3), *texts, ("en", strange), *texts]
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(texts)], "doc_id long, text string, lang string").coalesce(1)
+    trained = {bool(r[0]) for r in docs.where(F.col("text").startswith(strange)).select(~langid.held_out(F.col("doc_id"))).collect()}
+    assert True in trained
+    got = langid.identify(docs).collect()
+    assert len(got) == len(texts) and all(0 <= r.score <= 1 for r in got)
+    assert all(r.lang_pred == r.lang and r.score > 0.9 for r in got if r.text in plain.values())
+
+
 def test_labelled_table_is_learned():
     x, y = html_text.labelled_table()
     assert (html_text.classify(html_text.grow(x, y), x) == y).all()
