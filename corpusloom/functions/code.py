@@ -25,9 +25,18 @@ def _parse(source: str | None) -> ast.Module | None:
         return None
 
 
+def _unparse(tree: ast.Module) -> str | None:
+    """None where a tree is nested too deeply, or a number too long, to be written."""
+    try:
+        return ast.unparse(tree)
+    except (RecursionError, ValueError):
+        return None
+
+
 def _normal(source: str) -> str:
     tree = _parse(source)
-    return " ".join(source.split()) if tree is None else ast.unparse(tree)
+    written = None if tree is None else _unparse(tree)
+    return " ".join(source.split()) if written is None else written
 
 
 @F.pandas_udf(T.StringType())
@@ -133,7 +142,7 @@ def _mutate(source: str, seed: int) -> str | None:
         spot.ops[0] = swaps[type(spot.ops[0])]()
     else:
         spot.value += 1
-    return ast.unparse(tree)
+    return _unparse(tree)
 
 
 @F.pandas_udf(T.StringType())
@@ -153,7 +162,7 @@ def _spec(source: str) -> str | None:
             doc = ast.get_docstring(node)
             node.body = [ast.Expr(ast.Constant(doc if doc else ...))]
             kept.append(node)
-    return ast.unparse(ast.Module(kept, []))
+    return _unparse(ast.Module(kept, []))
 
 
 @F.pandas_udf(T.StringType())

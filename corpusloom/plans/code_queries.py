@@ -12,34 +12,34 @@ _PROGRAM = "import numpy as np\\nLIMIT = {n}\\n\\ndef helper(x):\\n    return np
 
 
 def _snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every other document as prose, the rest as a small program that names its document."""
-    n = (F.col("doc_id") % 10).cast("string")
-    program = F.lit(_PROGRAM.replace("\\n", "\n"))
-    source = F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.replace(program, F.lit("{n}"), n))
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", source.alias("source"))
+    """Two rows a document: its whole text, and a small program that names it."""
+    program = F.replace(F.lit(_PROGRAM.replace("\\n", "\n")), F.lit("{n}"), (F.col("doc_id") % 10).cast("string"))
+    both = F.array(*(F.struct(F.lit(kind).alias("kind"), source.alias("source")) for kind, source in (("text", F.col("text")), ("program", program))))
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", F.inline(both))
 
 
 @query(r"""SELECT doc_id, sha256(array_to_string(regexp_extract_all(text, '\S+'), ' ')) AS normalized_sha256 FROM documents WHERE doc_id % 2 = 0 AND len(regexp_extract_all(text, '\S+')) > 20 AND contains(text, '.')""")
 def normalized_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prose only here: what a parser refuses is compared with SQL, what it accepts is tested apart."""
-    prose = _snippets(spark, sf_dir).where((F.col("doc_id") % 2 == 0) & (F.size(F.regexp_extract_all("source", F.lit(r"\S+"), F.lit(0))) > 20) & F.contains("source", F.lit(".")))
+    prose = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("source")).where((F.col("doc_id") % 2 == 0) & (F.size(F.regexp_extract_all("source", F.lit(r"\S+"), F.lit(0))) > 20) & F.contains("source", F.lit(".")))
     return prose.select("doc_id", F.sha2(code.normalized_code("source"), 256).alias("normalized_sha256"))
 
 
 @query()
 def code_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _snippets(spark, sf_dir)
-    return rows.select("doc_id", code.parses("source").alias("parses"), code.family_id(F.col("lang"), F.col("source"), ("the ", "und ")).alias("family_id"))
+    return rows.select("doc_id", "kind", code.parses("source").alias("parses"), code.family_id(F.col("lang"), F.col("source"), ("the ", "und ")).alias("family_id"))
 
 
 @query()
 def code_inspections(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _snippets(spark, sf_dir).withColumn("i", code.inspect_source(F.col("source"), "run", "tanh", "exp"))
-    return rows.select("doc_id", "i.*", code.source_audit("source").alias("audit"))
+    return rows.select("doc_id", "kind", "i.*", code.source_audit("source").alias("audit"))
 
 
 @query()
 def code_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _snippets(spark, sf_dir).where("doc_id % 2 = 1")
-    changed = code.mutated("source", "doc_id")
-    return rows.select("doc_id", changed.alias("mutated"), code.spec_only("source").alias("spec"), F.round(code.similarity_ratio("source", changed), 6).alias("similarity"))
+    """All three are null where a text isn't Python; the first and last also where nothing in a source can be changed."""
+    rows = _snippets(spark, sf_dir).withColumn("mutated", code.mutated("source", "doc_id"))
+    similarity = F.when(F.col("mutated").isNotNull(), F.round(code.similarity_ratio("source", "mutated"), 6))
+    return rows.select("doc_id", "kind", "mutated", code.spec_only("source").alias("spec"), similarity.alias("similarity"))

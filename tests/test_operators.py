@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import arrays, code, scrub, text
 from corpusloom.operators import admission, conversations, dedup, discovery, evaluation, ordered, packing, similarity
+from corpusloom.plans import catalog
 
 
 def one(spark, column, **values):
@@ -145,3 +146,24 @@ def test_code(spark):
     src = "from lib import kernel as k\ndef run(x):\n    if False:\n        return slow(x)\n    return helper(x)\ndef helper(x):\n    return k(x)\n"
     r = spark.createDataFrame([(src,), ("def run(",)], "s string").select(code.inspect_source(F.col("s"), "run", "lib.kernel", "slow").alias("i")).select("i.*").collect()
     assert r[0].reached and not r[0].falls_back and r[0].n_functions == 2 and not r[1].syntax_ok
+
+
+def test_code_queries_read_every_document(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    for name in ("code_families", "code_inspections", "code_mutations"):
+        got = {(r.doc_id, r.kind): r for r in catalog.QUERIES[name](spark, "/root/testdata/sf0.001").collect()}
+        assert set(got) == {(i, kind) for i in docs for kind in ("text", "program")}
+        for i, whole in docs.items():
+            prose, program = got[i, "text"], got[i, "program"]
+            if name == "code_families":
+                assert prose.parses == (code._parse(whole) is not None) and program.parses
+            elif name == "code_inspections":
+                assert prose.audit.asDict() == code._audit(whole) and program.reached and not program.falls_back
+            else:
+                assert (prose.mutated, prose.spec) == (code._mutate(whole, i), code._spec(whole)) and (prose.similarity is None) == (prose.mutated is None)
+                assert program.mutated and 0.9 < program.similarity < 1
+
+
+def test_sources_too_deep_to_write():
+    deep = "-" * 600 + "1"
+    assert code._mutate(deep, 0) is None and code._normal(deep) == deep
