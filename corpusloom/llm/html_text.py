@@ -23,6 +23,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 HINT = re.compile(r"(?:^|\s)(?!(?:with|has|no|not)[-_]|(?:article|post|entry|content|main)[-_]header)(?:[a-z]+[-_])?(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|gdpr|popup|modal|newsletter|subscribe|signup|menu|nav|navbar|navigation|breadcrumbs?|sidebar|widgets?|share|sharing|social|related|recommend\w*|trending|comments?|respond|replies|disqus|footer|header|masthead|copyright|login|search|pagination|pager|toolbar|skip)(?:[-_][\w-]*)?(?=\s|$)", re.I)
 ROLE = re.compile(r"""\brole\s*=\s*["']?(navigation|banner|contentinfo|complementary|search|form|dialog|alert|alertdialog|menu|menubar)""", re.I)
 NAMED = re.compile(r"""\b(?:class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+HREF = re.compile(r"""(?:^|[\s"'/])href\s*=""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 SPACE = re.compile(r"\s+")
@@ -68,15 +69,17 @@ class _Parser:
                     break
                 if self.stack[i][0] in SCOPES and not (ends in ("td", "th", "tr") and self.stack[i][0] != "table"):
                     break
-        if tag == "a":
-            self.links += 1
-        if tag not in VOID and not attributes.endswith("/"):
+        if tag == "a":  # it ends the one that is open, and is a link only if it leads somewhere
+            self.stack = [x for x in self.stack if x[0] != "a"]
+            self.links = int(bool(HREF.search(attributes)))
+        if tag not in VOID:  # a slash at the end says nothing of other elements
             names = " ".join(x or y or z for x, y, z in NAMED.findall(attributes))
             hinted = bool(HINT.search(names) or ROLE.search(attributes) or HIDDEN.search(attributes)) if attributes else False
             self.stack.append((tag, hinted and tag not in ("html", "body")))
 
     def _pop(self, i: int) -> None:
-        self.links -= sum(t == "a" for t, _ in self.stack[i:])
+        if any(t == "a" for t, _ in self.stack[i:]):
+            self.links = 0
         del self.stack[i:]
 
     def close(self, tag: str) -> None:

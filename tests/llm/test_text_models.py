@@ -95,6 +95,17 @@ def test_pages_without_article(tree):
     assert html_text.main_text(page, tree) == "\n\n".join([body.strip()] * 2)
 
 
+@pytest.mark.parametrize("anchor", ['<a id="top"/>', "<a href=https://x.org/>text</a>", '<a name="x"></a>', '<a href="/y"/>text<a href="/z">more</a>'])
+def test_anchors_that_end_in_a_slash(tree, anchor):
+    body = "word " * 40
+    page = f"<div class=menu><a href=#>home</a></div><div><p>{anchor} {body}</p><p>{body}</p><p>{body}</p></div><div class=footer>{body}</div>"
+    blocks = html_text.text_blocks(page)
+    assert [b.linked for b in blocks] == [1, len(re.findall("text|more", anchor)), 0, 0, 0]
+    assert html_text.main_text(page, tree).count("word") == 120
+    inside = html_text.text_blocks(f'<div><a id="top"/><p>{body}</p><p>{body}</p></div>')
+    assert [b.linked for b in inside] == [0, 0]
+
+
 @pytest.mark.parametrize("page", ["", "<", "<p", "<p>a<", "</div></p>", "<!-- never closed", "<script>never closed", "<a href='x>y", "<" * 5000, "<p>" * 5000 + "x", "&#x110000; &bad;", "a\x00b"])
 def test_broken_pages(tree, page):
     assert isinstance(html_text.main_text(page, tree), str)
