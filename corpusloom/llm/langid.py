@@ -22,8 +22,8 @@ from corpusloom.llm.packing import vocabulary_path
 
 #: Labelled documents per language that the fit may use, at most; its rounds; letters of a word scored at once.
 SAMPLE_DOCS, ROUNDS, WORD_LETTERS = 400, 2, 40
-#: Probability of a letter that no piece holds, in any language, and pseudo-count of a piece.
-UNKNOWN, PRIOR = 1e-9, 0.05
+#: Pseudo-count of a piece, and the most that an earlier prefix may outweigh a later one (no piece spans more).
+PRIOR, MOST = 0.05, 1e300
 MARK, CODE = "▁", np.uint64(0x9E3779B97F4A7C15)
 LEAST_SCORE = 0.3
 
@@ -31,7 +31,10 @@ _vocabularies: dict = {}
 
 
 class Vocabulary:
-    """Pieces of the 32k vocabulary that consist of lower-case letters, with or without the word mark."""
+    """Pieces of the 32k vocabulary that consist of lower-case letters, with or without the word mark, and its 256 byte pieces.
+
+    Every letter can be read as its bytes, so each language learns what letters outside the other pieces cost.
+    """
 
     def __init__(self, folder: str | None):
         import sentencepiece
@@ -39,7 +42,7 @@ class Vocabulary:
         model = sentencepiece.SentencePieceProcessor(model_file=vocabulary_path("piece_bpe_32k.model", folder))
         plain = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i))]
         kept = sorted({p for p in plain if (body := p.removeprefix(MARK)).isalpha() and body == body.lower() or p == MARK})
-        self.size, self.longest = len(kept), max(map(len, kept))
+        self.bytes_from, self.size, self.longest = len(kept), len(kept) + 256, max(map(len, kept))
         self.tables = []
         for k in range(1, self.longest + 1):
             own = [i for i, p in enumerate(kept) if len(p) == k]
@@ -57,8 +60,16 @@ class Vocabulary:
             code = code * CODE + letter
         return code
 
-    def lattice(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Words of equal length together: their places, and the id of each piece by word, start and length (-1: none)."""
+    def byte_pieces(self, letters: np.ndarray) -> np.ndarray:
+        """[letter, 4]: the ids of the byte pieces of each code point (-1: none)."""
+        out = np.full((len(letters), 4), -1, np.int64)
+        for row, letter in enumerate(letters.tolist()):
+            raw = chr(letter).encode("utf-8", "surrogatepass")
+            out[row, : len(raw)] = np.frombuffer(raw, np.uint8).astype(np.int64) + self.bytes_from
+        return out
+
+    def lattice(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Words of equal length together: their places, the id of each piece by word, start and length (-1: none), their letters."""
         by_length: dict[int, list[int]] = {}
         for place, word in enumerate(words):
             by_length.setdefault(len(word) + 1, []).append(place)
@@ -73,7 +84,7 @@ class Vocabulary:
                     if len(codes):
                         found = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
                         ids[:, : n - k, k] = np.where(codes[found] == code, pieces[found], -1)
-                yield np.array(places), ids
+                yield np.array(places), ids, letters
 
 
 def vocabulary(folder: str | None) -> Vocabulary:
@@ -82,7 +93,14 @@ def vocabulary(folder: str | None) -> Vocabulary:
     return _vocabularies[folder]
 
 
-def _prefixes(ids: np.ndarray, p: np.ndarray, back: bool = False) -> np.ndarray:
+def _spelled(letters: np.ndarray, p: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The mass [word, start, language] of each letter as a run of byte pieces, its distinct letters' pieces, and which letter stands where."""
+    distinct, which = np.unique(letters, return_inverse=True)
+    pieces, which = v.byte_pieces(distinct), which.reshape(letters.shape)
+    return np.where(pieces[:, :, None] >= 0, p[pieces], 1.0).prod(1)[which], pieces, which
+
+
+def _prefixes(ids: np.ndarray, spelled: np.ndarray, p: np.ndarray, back: bool = False) -> np.ndarray:
     """Logarithms [word, language, end]: the mass of all segmentations of each prefix, or with ``back`` of each suffix; ``p`` is [piece, language].
 
     Masses are held as multiples of the last one, which no word is too long or too strange for.
@@ -90,38 +108,45 @@ def _prefixes(ids: np.ndarray, p: np.ndarray, back: bool = False) -> np.ndarray:
     words, n, longest = ids.shape
     logs, near = np.zeros((words, p.shape[1], n + 1)), np.ones((words, p.shape[1], n + 1))
     for end in range(1, n + 1):
-        mass = np.full((words, p.shape[1]), UNKNOWN)
+        mass = spelled[:, n - end if back else end - 1].copy()
         for k in range(1, min(longest, end) + 1):
             mass += near[:, :, end - k] * p[ids[:, n - end if back else end - k, k - 1]]
         logs[:, :, end] = logs[:, :, end - 1] + np.log(mass)
-        near[:, :, max(0, end - longest + 1) : end] /= mass[:, :, None]
+        window = near[:, :, max(0, end - longest + 1) : end]
+        with np.errstate(over="ignore"):
+            np.minimum(window / mass[:, :, None], MOST, out=window)
     return logs[:, :, ::-1] if back else logs
 
 
 def word_scores(words: list[str], p: np.ndarray, folder: str | None = None) -> np.ndarray:
     """Log-probabilities [word, language]; ``p`` has a last row of zeros for absent pieces."""
-    out = np.zeros((len(words), p.shape[1]))
-    for places, ids in vocabulary(folder).lattice(words):
-        out[places] = _prefixes(ids, p)[:, :, -1]
+    out, v = np.zeros((len(words), p.shape[1])), vocabulary(folder)
+    for places, ids, letters in v.lattice(words):
+        out[places] = _prefixes(ids, _spelled(letters, p, v)[0], p)[:, :, -1]
     return out
 
 
 def fit(words: list[str], counts: np.ndarray, folder: str | None = None, rounds: int = ROUNDS) -> np.ndarray:
     """Piece probabilities of one language, from its words and their counts."""
-    size = vocabulary(folder).size
-    p = np.full((size + 1, 1), 1.0 / size)
+    v = vocabulary(folder)
+    p = np.full((v.size + 1, 1), 1.0 / v.size)
     p[-1] = 0
-    lattices = list(vocabulary(folder).lattice(words))
+    lattices = list(v.lattice(words))
     for _ in range(rounds):
-        expected = np.full(size + 1, PRIOR)
-        for places, ids in lattices:
+        expected = np.full(v.size + 1, PRIOR)
+        for places, ids, letters in lattices:
             n, longest = ids.shape[1:]
-            before, after = _prefixes(ids, p)[:, 0], _prefixes(ids, p, back=True)[:, 0]
+            spelled, pieces, which = _spelled(letters, p, v)
+            before, after = _prefixes(ids, spelled, p)[:, 0], _prefixes(ids, spelled, p, back=True)[:, 0]
+            weights = counts[places]
             for start in range(n):
+                share = np.exp(before[:, start] + after[:, start + 1] - before[:, n]) * spelled[:, start, 0]
+                by_letter = np.bincount(which[:, start], weights=weights * share, minlength=len(pieces))
+                np.add.at(expected, pieces, np.where(pieces >= 0, by_letter[:, None], 0.0))
                 for k in range(1, min(longest, n - start) + 1):
                     found = ids[:, start, k - 1]
                     share = np.exp(before[:, start] + after[:, start + k] - before[:, n]) * p[found, 0]
-                    expected += np.bincount(found % (size + 1), weights=counts[places] * share, minlength=size + 1)
+                    expected += np.bincount(found % (v.size + 1), weights=weights * share, minlength=v.size + 1)
         expected[-1] = 0
         p = (expected / expected.sum())[:, None]
     return p[:, 0]
@@ -162,11 +187,11 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, folder: str | None =
     return langs, p
 
 
-def predict(docs: DataFrame, langs: list[str], p: np.ndarray, folder: str | None = None) -> DataFrame:
-    """Adds ``lang_pred, score`` to every row; the model is languages times 32k numbers, whatever the data."""
-    own = docs.drop("lang_pred", "score")
+def predict(docs: DataFrame, langs: list[str], p: np.ndarray, folder: str | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Adds the two columns of ``names`` to every row; the model is languages times 23k numbers, whatever the data."""
+    own = docs.drop(*names)
     text_at = own.columns.index("text")
-    schema = T.StructType([*own.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*own.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     model = docs.sparkSession.sparkContext.broadcast((langs, p))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,30 +219,36 @@ def predict(docs: DataFrame, langs: list[str], p: np.ndarray, folder: str | None
                 if len(langs):
                     best = total.argmax(axis=1)
                     score = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-                    names = np.array(langs, object)[best]
+                    told = np.array(langs, object)[best]
                 else:
-                    score, names = np.zeros(batch.num_rows), np.full(batch.num_rows, "und", object)
-                names[blank], score[blank] = "und", 0.0
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(score)], names=schema.names)
+                    score, told = np.zeros(batch.num_rows), np.full(batch.num_rows, "und", object)
+                told[blank], score[blank] = "und", 0.0
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(told, pa.string()), pa.array(score)], names=schema.names)
 
     return own.mapInArrow(score, schema)
 
 
-def identify(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, folder: str | None = None) -> DataFrame:
-    """Adds ``lang_pred, score`` to every row of ``docs``; ``score`` is the posterior under equal priors.
+def identify(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, folder: str | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Adds ``lang_pred, score`` (or ``names``) to every row of ``docs``; the score is the posterior under equal priors.
 
     A text that is null or without letters gets ``und`` and score 0, as does every text if no labelled row
-    can be learned from; ties go to the language first by name; repeated rows get equal results; an empty table
-    gives none. Columns of these two names in ``docs`` are replaced, others are kept.
+    can be learned from; ties go to the language first by name; a row's result depends on its text and the model
+    alone, so repeated rows get equal ones; an empty table gives none. Columns of these two names in ``docs`` are
+    replaced, others are kept.
     """
     langs, p = train(docs, sample_docs, folder)
-    return predict(docs, langs, p, folder)
+    return predict(docs, langs, p, folder, names)
 
 
 def keep_identified(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
-    """The rows of ``docs`` whose language is told with at least ``least_score``; those without letters go."""
-    found = identify(docs.drop("lang_pred", "score"))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least_score)).select(*docs.columns)
+    """The rows of ``docs`` whose language is told with at least ``least_score``; those without letters or text go.
+
+    All columns come back as they were, whatever their names; repeated rows stay or go together; an empty table
+    gives no row.
+    """
+    told, score = "_lang_told", "_lang_score"
+    found = identify(docs, names=(told, score))
+    return found.where((F.col(told) != "und") & (F.col(score) >= least_score)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

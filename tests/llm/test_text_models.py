@@ -3,6 +3,7 @@ import math
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,22 +17,22 @@ def test_forward_sums_all_segmentations():
     rng = np.random.default_rng(0)
     p = np.vstack([rng.random((v.size, 2)), np.zeros((1, 2))])
     p /= p.sum(0)
-    pieces = {}
-    for words in (["a", "the", "tion", "straße", "qué"],):
-        for places, ids in v.lattice(words):
-            for place, lattice in zip(places, ids, strict=True):
-                word = langid.MARK + words[place]
-                for i, k in itertools.product(*map(range, lattice.shape)):
-                    if lattice[i, k] >= 0:
-                        pieces[word[i : i + k + 1]] = lattice[i, k]
-        got = langid.word_scores(words, p)
-        for word, score in zip(words, got, strict=True):
-            whole, mass = langid.MARK + word, np.zeros(2)
-            for cuts in itertools.product((0, 1), repeat=len(whole) - 1):
-                parts = "".join(c + "|" * cut for c, cut in zip(whole, (*cuts, 0), strict=True)).split("|")
-                mass += np.prod([p[pieces[x]] if x in pieces else np.full(2, langid.UNKNOWN if len(x) == 1 else 0.0) for x in parts], axis=0)
-            # a letter that is a piece may also be read as unknown: at most that small mass apart
-            assert np.allclose(score, np.log(mass), atol=1e-3)
+    pieces, words = {}, ["a", "the", "tion", "straße", "qué", "ሰላም", "a한"]
+    for places, ids, _ in v.lattice(words):
+        for place, lattice in zip(places, ids, strict=True):
+            word = langid.MARK + words[place]
+            for i, k in itertools.product(*map(range, lattice.shape)):
+                if lattice[i, k] >= 0:
+                    pieces[word[i : i + k + 1]] = lattice[i, k]
+    assert "ሰ" not in pieces
+    spelled = lambda letter: np.prod([p[v.bytes_from + b] for b in letter.encode()], axis=0)
+    for word, score in zip(words, langid.word_scores(words, p), strict=True):
+        whole, mass = langid.MARK + word, np.zeros(2)
+        for cuts in itertools.product((0, 1), repeat=len(whole) - 1):
+            parts = "".join(c + "|" * cut for c, cut in zip(whole, (*cuts, 0), strict=True)).split("|")
+            # a letter is read as its own piece, if it is one, or as its bytes
+            mass += np.prod([(p[pieces[x]] if x in pieces else np.zeros(2)) + (spelled(x) if len(x) == 1 else 0.0) for x in parts], axis=0)
+        assert np.allclose(score, np.log(mass), atol=1e-9)
 
 
 def test_held_out_accuracy(spark):
@@ -53,22 +54,61 @@ def test_language_of_odd_rows(spark):
     assert langid.keep_identified(odd_docs(spark)).columns == odd_docs(spark).columns
 
 
-def test_letters_outside_the_vocabulary(spark):
-    strange = "\U000103a0" * langid.WORD_LETTERS
-    p = np.full((langid.vocabulary(None).size + 1, 2), 1e-5)
+PLAIN = {"de": "der hund und die katze schlafen nicht in dem alten haus", "en": "the dog and the cat are not asleep in the old house"}
+
+
+def taught(spark, extra):
+    """A table of plain sentences in two languages, with ``extra`` rows among them."""
+    rows = [(lang, PLAIN[lang]) for _ in range(20) for lang in PLAIN]
+    rows = [x for k, row in enumerate(rows) for x in ([row, extra[k // 2]] if k % 2 == 0 and k // 2 < len(extra) else [row])]
+    return spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string").coalesce(1)
+
+
+@pytest.mark.parametrize("n", [1, 36, 39, 40, 41, 45, 400, 10_000])
+def test_letters_outside_the_vocabulary(n):
+    strange = ["\U000103a0" * n, "ሰ" * n, "the" + "ሰ" * n + "fox"]
+    words = langid.split_words(pa.array(strange)).flatten().to_pylist()
+    p = np.full((langid.vocabulary(None).size + 1, 2), 1e-7)
     p[-1] = 0
-    assert np.isfinite(langid.word_scores([strange], p)).all()
-    learned = langid.fit([strange, "the"], np.array([3.0, 1.0]))
+    assert np.isfinite(langid.word_scores(words, p)).all()
+    learned = langid.fit([*words, "the"], np.ones(len(words) + 1))
     assert np.isfinite(learned).all() and math.isclose(learned.sum(), 1)
-    plain = {"de": "der hund und die katze schlafen nicht in dem alten haus", "en": "the dog and the cat are not asleep in the old house"}
-    texts = [(lang, plain[lang]) for _ in range(20) for lang in plain]
-    texts = [("de", strange * 3), *texts, ("en", strange), *texts]
-    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(texts)], "doc_id long, text string, lang string").coalesce(1)
-    trained = {bool(r[0]) for r in docs.where(F.col("text").startswith(strange)).select(~langid.held_out(F.col("doc_id"))).collect()}
-    assert True in trained
+
+
+def test_strange_rows_change_no_other_row(spark):
+    strange = "ሰ" * 45
+    docs = taught(spark, [(None, strange), (None, "\U000103a0" * 10_000), (None, strange + " the fox")])
+    langs, p = langid.train(docs)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs, langs, p).collect()}
+    assert all(0 <= score <= 1 for _, score in got.values())
+    for order in (F.desc("doc_id"), F.xxhash64("doc_id")):
+        again = langid.predict(docs.orderBy(order).coalesce(1), langs, p).collect()
+        assert all(got[r.doc_id][0] == r.lang_pred and math.isclose(got[r.doc_id][1], r.score, rel_tol=1e-9) for r in again)
+    alone = langid.predict(docs.where(F.col("text").isin(*PLAIN.values())), langs, p).collect()
+    assert all(r.lang_pred == r.lang and math.isclose(got[r.doc_id][1], r.score, rel_tol=1e-9) for r in alone)
+
+
+def test_strange_training_rows_poison_no_language(spark):
+    strange = "ሰ" * 45
+    docs = taught(spark, [("en", strange)] * 8)
+    assert docs.where(F.col("text") == strange).where(~langid.held_out(F.col("doc_id"))).count() > 3
     got = langid.identify(docs).collect()
-    assert len(got) == len(texts) and all(0 <= r.score <= 1 for r in got)
-    assert all(r.lang_pred == r.lang and r.score > 0.9 for r in got if r.text in plain.values())
+    assert all(r.lang_pred == r.lang and 0.9 < r.score <= 1 for r in got)
+
+
+def test_scripts_outside_the_vocabulary_are_told_apart(spark):
+    texts = {"am": "ሰላም ለዓለም ሁሉ ደህና ነው", "hy": "բարև աշխարհ ինչպես եք այսօր", "km": "សួស្តី ពិភពលោក ទាំងអស់"}
+    rows = [(lang, t) for _ in range(12) for lang, t in texts.items()]
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    other = spark.createDataFrame([(1, "ዓለም", "am"), (2, "աշխարհը", "hy"), (3, "ពិភព", "km")], docs.schema)
+    langs, p = langid.train(docs)
+    assert all(r.lang_pred == r.lang for r in langid.predict(other, langs, p).collect())
+
+
+def test_kept_rows_keep_their_columns(spark):
+    docs = taught(spark, []).withColumn("score", F.lit(99)).withColumn("lang_pred", F.lit("mine"))
+    got = langid.keep_identified(docs)
+    assert got.columns == docs.columns and {(r.score, r.lang_pred) for r in got.collect()} == {(99, "mine")}
 
 
 def test_labelled_table_is_learned():
