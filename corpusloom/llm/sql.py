@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from corpusloom.llm import pii
+
 MIX = r"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5('mix:' || doc_id) AS k FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS r FROM d GROUP BY source),
@@ -26,28 +28,32 @@ _DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
 _LUHN = f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(reverse({_DIGITS})[i] AS INTEGER) WHEN CAST(reverse({_DIGITS})[i] AS INTEGER) > 4 THEN 2 * CAST(reverse({_DIGITS})[i] AS INTEGER) - 9 ELSE 2 * CAST(reverse({_DIGITS})[i] AS INTEGER) END)) % 10 = 0"
 _TURNED = "substr(replace(m, ' ', ''), 5) || substr(replace(m, ' ', ''), 1, 4)"
 _MOD97 = f"list_reduce(list_transform(string_split({_TURNED}, ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END), lambda a, b: CASE WHEN b < 10 THEN (a * 10 + b) % 97 ELSE (a * 100 + b) % 97 END, 0) = 1"
-#: Rank, kind, the contract's plain pattern, and what confirms a match.
+_IBAN = pii.IBAN
+_OTHER = pii.OTHER_NUMBERS
+#: Rank, kind, the contract's plain pattern, what confirms a match, its score in hundredths and the words that speak for it.
 _KINDS = (
-    (0, "email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
-    (1, "ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "list_bool_and(list_transform(string_split(m, '.'), lambda p: length(ltrim(p, '0')) <= 3 AND coalesce(TRY_CAST(p AS BIGINT), 999) <= 255))"),
-    (2, "card", r"[0-9](?:[\x20-]?[0-9])+", f"length({_DIGITS}) BETWEEN 12 AND 19 AND {_LUHN}"),
-    (3, "phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15"),
-    (4, "iban", r"\b[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]{4}){2,7}(?:[\x20]?[A-Z0-9]{1,3})?\b", f"length(replace(m, ' ', '')) BETWEEN 15 AND 34 AND {_MOD97}"),
-    (5, "national_id", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", r"NOT starts_with(m, '000') AND NOT starts_with(m, '9') AND regexp_matches(before, '(?i)\b(ssn|social|security|identity)\b')"),
+    (0, "email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true", 90, "e-?mail|contact|address"),
+    (1, "ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "list_bool_and(list_transform(string_split(m, '.'), lambda p: length(ltrim(p, '0')) <= 3 AND coalesce(TRY_CAST(p AS BIGINT), 999) <= 255))", 80, "ip|host|server"),
+    (2, "card", r"[0-9](?:[\x20-]?[0-9])+", f"length({_DIGITS}) BETWEEN 12 AND 19 AND {_LUHN}", 80, "card|visa|credit|payment"),
+    (3, "phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15", 80, "phone|tel|call|mobile"),
+    (4, "iban", _IBAN, _MOD97, 80, "iban|account|bank|konto"),
+    (5, "national_id", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", "NOT starts_with(m, '000') AND NOT starts_with(m, '9')", 50, "ssn|social|security|identity"),
 )
 
 
-def _kind(rank: int, kind: str, pattern: str, confirmed: str) -> str:
-    return f"""k{rank} AS (SELECT doc_id, text, regexp_extract_all(text, '{pattern}') AS ms, string_split_regex(text, '{pattern}') AS gaps FROM documents),
+def _kind(rank: int, kind: str, pattern: str, confirmed: str, score: int, words: str) -> str:
+    near = lambda p: f"(regexp_matches(before, '{p}') OR regexp_matches(after, '{p}'))"
+    return rf"""k{rank} AS (SELECT doc_id, text, regexp_extract_all(text, '{pattern}') AS ms, string_split_regex(text, '{pattern}') AS gaps FROM documents),
 r{rank} AS (SELECT doc_id, text, ms[i] AS m, CAST(coalesce(list_sum(list_transform(gaps[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s FROM k{rank}, unnest(range(1, len(ms) + 1)) u(i)),
-c{rank} AS (SELECT doc_id, m, s, s + length(m) AS e, substr(text, greatest(s - 40, 0) + 1, least(s, 40)) AS before FROM r{rank}),
-f{rank} AS (SELECT doc_id, {rank} AS r, '{kind}' AS kind, s, e FROM c{rank} WHERE {confirmed})"""
+c{rank} AS (SELECT doc_id, m, s, s + length(m) AS e, substr(text, greatest(s - 40, 0) + 1, least(s, 40)) AS before, substr(text, s + length(m) + 1, 40) AS after FROM r{rank}),
+f{rank} AS (SELECT doc_id, {rank} AS r, '{kind}' AS kind, s, e, least(100, {score} + CASE WHEN {near(rf"(?i)\b({words})\b")} THEN 25 ELSE 0 END - CASE WHEN {near(_OTHER)} THEN 20 ELSE 0 END) AS score FROM c{rank} WHERE {confirmed})"""
 
 
 PERSONAL = f"""
 WITH {", ".join(_kind(*k) for k in _KINDS)},
 spans AS ({" UNION ALL ".join(f"SELECT * FROM f{k[0]}" for k in _KINDS)}),
 a AS (SELECT doc_id, count(*) FILTER (r = 0) AS n_email, count(*) FILTER (r = 1) AS n_ip, count(*) FILTER (r = 2) AS n_card, count(*) FILTER (r = 3) AS n_phone,
-  string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, r) FILTER (r < 4) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, r) AS spans FROM spans GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+  string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, r) FILTER (r < 4) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, r) AS spans, string_agg(score, ',' ORDER BY s, r) AS scores
+  FROM spans WHERE r < 4 OR score >= 70 GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores
 FROM documents d LEFT JOIN a USING (doc_id)"""

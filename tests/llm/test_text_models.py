@@ -1,6 +1,7 @@
 import itertools
 import math
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -250,3 +251,59 @@ def test_personal_data_of_odd_rows(spark):
     kept = pii.without_personal_data(docs)
     assert kept.columns == docs.columns and sorted(map(repr, kept.select("doc_id", "text", "n_chars").collect())) == sorted(map(repr, docs.select("doc_id", "text", "n_chars").collect()))
     assert pii.pii_spans(no_docs(spark)).count() == 0 and math.isfinite(pii.ACCEPT)
+
+
+def test_running_sums_over_blocks_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(pii, "RUN", 3)
+    values = [[], [5], list(range(3)), list(range(10)), list(range(100)), [7, 1, 9, 3] * 20]
+    df = spark.createDataFrame([(v,) for v in values], "v array<int>")
+    for r in df.select("v", pii.running(F.col("v")).alias("sums"), pii.running(F.col("v"), F.greatest).alias("most")).collect():
+        assert r.sums == list(itertools.accumulate(r.v)) and r.most == list(itertools.accumulate(r.v, max))
+
+
+def test_pieces_of_a_text(spark, monkeypatch):
+    monkeypatch.setattr(pii, "PIECE", 4)
+    text = "a😀b\nc\r\n dé f" * 3
+    df = spark.createDataFrame([(text, a, b) for a in range(len(text)) for b in range(a, len(text) + 6)], "t string, a int, b int")
+    for r in df.select("*", pii.cut(pii.text_pieces(F.col("t")), F.col("a"), F.col("b")).alias("c")).collect():
+        assert r.c == text[r.a : r.b]
+
+
+@pytest.mark.parametrize("text, found", [
+    ("BE68 5390 0754 7034 OK", ["BE68 5390 0754 7034"]),
+    ("BE68539007547034 DE89370400440532013000", ["BE68539007547034", "DE89370400440532013000"]),
+    ("GB29 NWBK 6016 1331 9268 19 and NO93 8601 1117 947.", ["GB29 NWBK 6016 1331 9268 19", "NO93 8601 1117 947"]),
+    ("BE68 5390 0754 7035", []), ("XX68 5390 0754 7034", []), ("BE68 5390 0754 70345", []),
+    ("serial BE68 5390 0754 7034", []), ("serial of the account BE68 5390 0754 7034", ["BE68 5390 0754 7034"]),
+])
+def test_ibans_end_where_their_country_says(spark, text, found):
+    (r,) = pii.pii_spans(spark.createDataFrame([(text,)], "text string")).collect()
+    assert [text[s.start : s.end] for s in r.spans if s.kind == "iban"] == found
+
+
+def test_words_on_either_side_weigh(spark):
+    texts = {"ssn 123-45-6789": [75], "123-45-6789 is my social security number": [75], "123-45-6789": [], "order 123-45-6789, ssn": [], "mail a@b.cc": [90], "contact a@b.cc": [100], "order a@b.cc": [70]}
+    for r in pii.pii_spans(spark.createDataFrame([(t,) for t in texts], "text string")).collect():
+        assert [s.score for s in r.spans] == texts[r.text], r.text
+
+
+def test_many_matches_in_one_text(spark):
+    card, mail = "4111 1111 1111 1111", "a.b@example.com"
+    text = "; ".join(f"{card}, {i}, {mail}" for i in range(20_000))
+    df = spark.createDataFrame([(1, text, len(text))], "doc_id long, text string, n_chars long")
+    start = time.perf_counter()
+    (r,) = pii.pii_spans(df).collect()
+    assert time.perf_counter() - start < 60
+    assert [(s.start, s.end) for s in r.spans if s.kind == "card"] == [m.span() for m in re.finditer(card, text)]
+    assert [(s.start, s.end) for s in r.spans if s.kind == "email"] == [m.span() for m in re.finditer(mail, text)]
+    (clean,) = pii.without_personal_data(df).collect()
+    assert clean.text == text.replace(card, "[CARD]").replace(mail, "[EMAIL]") and clean.n_chars == len(clean.text)
+    numbers = " x ".join(str(10**15 + i) for i in range(200_000))
+    start = time.perf_counter()
+    (r,) = pii.pii_spans(df.withColumn("text", F.lit(numbers))).collect()
+    assert time.perf_counter() - start < 60 and len(r.spans) == sum(luhn(str(10**15 + i)) for i in range(200_000))
+
+
+def test_redaction_leaves_clashing_columns(spark):
+    df = spark.createDataFrame([("mail a@b.cc", [7]), (None, None)], "text string, spans array<int>")
+    assert sorted(map(tuple, pii.without_personal_data(df).collect()), key=repr) == sorted([("mail [EMAIL]", [7]), (None, None)], key=repr)
