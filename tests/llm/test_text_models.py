@@ -152,8 +152,106 @@ def test_broken_pages(tree, page):
     assert isinstance(html_text.main_text(page, tree), str)
 
 
+PROSE = "We show that the result holds for all cases and say why it does so in each of them. " * 4
+
+
+@pytest.mark.parametrize("lead", ["<a href=https://x.org/>", "<a href=https://x.org/ >", '<a href="https://x.org/">', '<a name="top"/>'])
+def test_nothing_is_lost_behind_an_unquoted_link(tree, lead):
+    page = f"<div>{lead}start</a></div>" + f"<p>{PROSE}</p>" * 3
+    assert html_text.main_text(page, tree).count("We show") == 12
+
+
+def test_scripts_are_never_text(tree):
+    for script in ("<script src=https://x.org/>var code = 1;</script>", "<script src='a'>if (a < b) { c = '</p>'; }</SCRIPT >", "<style>p > a{}</style\n>"):
+        assert html_text.main_text(f"{script}<article><p>{PROSE}</p>{script}</article>", tree) == PROSE.strip()
+
+
+@pytest.mark.parametrize("inner, text", [
+    ("We prove that <math><mi>x</mi><mo>&gt;</mo><mn>0</mn></math> holds for all", "We prove that x>0 holds for all"),
+    ("a <noscript>b</noscript> c", "a\n\nb\n\nc"), ("a <canvas>b</canvas> <object>c</object>", "a b c"), ("a <svg><path d=x /><text>no</text></svg> b", "a b"),
+    ("a &amp b &#x41;&#00000000000065; &#99999999999; &lt;p&gt;", "a & b AA � <p>"), ("1 < 2 <é> 3", "1 < 2 <é> 3"), ("a<!-- x --!> b --> c<!--> d", "a c d"),
+])
+def test_inside_an_article(tree, inner, text):
+    assert html_text.main_text(f"<article>{inner}</article>", tree) == text
+
+
+@pytest.mark.parametrize("name, kept", [
+    ("related-work", True), ("social-history", True), ("share-price", True), ("comment-on-law", True), ("related-posts", False), ("social-share-buttons", False), ("comments", False), ("ad", False), ("page-footer", False), ("cookie-notice", False),
+])
+def test_sections_by_name(tree, name, kept):
+    page = f"<article><p>{PROSE}</p><section class={name}><p>{PROSE}</p></section><p>{PROSE}</p></article>"
+    assert html_text.main_text(page, tree).count("We show") == (12 if kept else 8)
+
+
+def drawn(rng, depth=0, inside=False, linked=False):
+    """Well-formed markup and what its blocks are: a list of words with their links and whether an article holds them."""
+    page, blocks, words = "", [], lambda: [f"w{rng.integers(99)}" for _ in range(rng.integers(1, 5))]
+    for _ in range(rng.integers(1, 5)):
+        kind = rng.integers(6) if depth < 5 else rng.integers(3)
+        text = words()
+        if kind == 0:
+            page, blocks = page + " ".join(text) + " \n", [*blocks, (text, linked, inside)]
+        elif kind == 1 and not linked:
+            page, blocks = page + f"<a href='>'><b>{'</b> <i>'.join(text)}</i></b></a> ", [*blocks, (text, True, inside)]
+        elif kind == 2:
+            page += "<!-- > <p> -->" + "<script>'<p>'</script>"
+        else:
+            tag = ("div", "section", "article", "blockquote", "ul")[rng.integers(5)]
+            own, found = drawn(rng, depth + 1, inside or tag == "article")
+            page, blocks = page + f"<{tag} title='a > b'>{own}</{tag.upper()} >", [*blocks, None, *found, None]
+    return page, blocks
+
+
+def test_blocks_of_drawn_pages():
+    rng = np.random.default_rng(7)
+    for _ in range(400):
+        page, found = drawn(rng)
+        want = []
+        for between, run in itertools.groupby(found, lambda b: b is None):
+            if not between:
+                run = list(run)
+                want.append((" ".join(w for text, _, _ in run for w in text), sum(len(text) for text, linked, _ in run if linked), int(run[0][2])))
+        assert [(b.text, b.linked, b.inside) for b in html_text.text_blocks(page)] == want, page
+
+
+def test_an_article_is_kept_whole(tree):
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        parts = [" ".join(["word"] * int(rng.choice([1, 2, 3, 5, 9, 20, 60]))) for _ in range(rng.integers(1, 7))]
+        marks = [f"<a href=#>{p}</a>" if rng.random() < 0.3 else p for p in parts]
+        tag, block = ("article", "main")[rng.integers(2)], ("p", "li", "h2", "div", "td")[rng.integers(5)]
+        page = f"<nav><a href=#>home</a></nav><div class=ad>{parts[0]}</div><{tag}>{''.join(f'<{block}>{m}</{block}>' for m in marks)}</{tag}><footer>{parts[0]}</footer>"
+        assert html_text.main_text(page, tree) == "\n\n".join(parts), page
+
+
+def test_words_and_links_of_neighbours_decide_where_nothing_is_named():
+    plain = [s for s in html_text.SHAPES if not re.search("class=|<article|<main|<nav|<form", s)]
+    assert len(plain) > 10
+    density, whole = [], []
+    for shape in plain:
+        x, y = html_text.labelled_table(tuple(s for s in html_text.SHAPES if s != shape))
+        new, truth = html_text.labelled_table((shape,), 20)
+        k = len(html_text.DENSITY)
+        density.append((html_text.classify(html_text.grow(x[:, :k], y, 6), new[:, :k]) == truth).mean())
+        whole.append((html_text.classify(html_text.grow(x, y), new) == truth).mean())
+    assert np.mean(density) > 0.85 and np.mean(whole) > 0.95
+    assert html_text.FEATURES[html_text.grow(*html_text.labelled_table()).feature] in html_text.DENSITY
+
+
+@pytest.mark.parametrize("page", [
+    "<div>x" * 160_000, "<a " * 300_000, "</div>" * 160_000, "<div>" * 80_000 + "</p>" * 80_000, '<a ">"' * 160_000, "<ul><li>" * 100_000, "<span class=ad>" * 30_000 + "<b>" * 150_000, "<!--" * 250_000, "<" * 1_000_000,
+    "<script>" + "</script " * 100_000, "<p class='" + "advert_" * 100_000 + "!'>x", "&#" + "0" * 500_000 + "65;" + "&#" + "9" * 400_000,
+], ids=range(12))
+def test_a_megabyte_of_bad_markup_takes_seconds(tree, page):
+    start = time.perf_counter()
+    html_text.main_text(page, tree)
+    assert time.perf_counter() - start < 20
+
+
 def test_page_rows(spark):
     df = spark.createDataFrame([(1, "u", None), (2, None, ""), (None, "u", "<article><p>x</p></article>"), (None, "u", "<article><p>x</p></article>")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
+    broken = df.limit(1).select(F.lit(5).cast("long").alias("page_id"), "url", F.expr("CAST(X'3C703EC3283C2F703E' AS STRING)").alias("html"))
+    assert [r.n_chars for r in html_text.extract_main_text(broken).collect()][0] in (0, 2)
     got = sorted([tuple(r) for r in html_text.extract_main_text(df).collect()], key=repr)
     assert got == sorted([(1, "u", "", 0), (2, None, "", 0), (None, "u", "x", 1), (None, "u", "x", 1)], key=repr)
     assert html_text.extract_main_text(df.limit(0)).count() == 0
