@@ -13,6 +13,11 @@ from corpusloom.functions import text as t
 from corpusloom.operators.dedup import contained_passages
 from corpusloom.operators.similarity import THRESHOLD, class_links, shingle_sets
 
+#: Short bodies that a text is searched for at once, and the first letters by which more of them are found.
+FEW_BODIES, LETTERS = 1000, 8
+#: Digests that are hashed together.
+FAN = 4096
+
 
 def admit(rows: DataFrame, base: DataFrame, key: str, source: str, minimum_tokens: int, signals: Sequence[str], validation: float, threshold: float = THRESHOLD) -> DataFrame:
     """Adds ``lexical_tokens, reasons, status, split, sampling_weight``.
@@ -25,8 +30,8 @@ def admit(rows: DataFrame, base: DataFrame, key: str, source: str, minimum_token
     exact = theirs.groupBy("_exact").agg(F.min("base_id").alias("base_id"))
     normal = theirs.groupBy("_normal").agg(F.min("base_id").alias("base_id"))
     ours, sets = shingle_sets(rows, key), shingle_sets(base, key)
-    firsts = sets.groupBy(F.col("cls").alias("b")).agg(F.min(key).alias("base_id"))
-    near = ours.select(key, F.col("cls").alias("a")).join(class_links(ours, sets, threshold), "a").join(firsts, "b").select(key, "base_id", F.lit(2).alias("p"))
+    firsts = sets.rows.groupBy(F.col("cls").alias("b")).agg(F.min(key).alias("base_id"))
+    near = ours.rows.select(key, F.col("cls").alias("a")).join(class_links(ours, sets, threshold), "a").join(firsts, "b").select(key, "base_id", F.lit(2).alias("p"))
     found = hashed.join(exact, "_exact").select(key, "base_id", F.lit(0).alias("p")).union(hashed.join(normal, "_normal").select(key, "base_id", F.lit(1).alias("p"))).union(near)
     first = found.groupBy(key).agg(F.min(F.struct("base_id", "p")).alias("match"))
     kind = F.element_at(F.array(*map(F.lit, ("EXACT", "NORMALIZED", "NEAR"))), F.col("match.p") + 1)
@@ -117,19 +122,40 @@ def containing(df: DataFrame, key: str, bodies: DataFrame, body_key: str) -> Dat
     """``key, body_key`` where a row's text contains a body's.
 
     A body inside a text shares all of its inner shingles with it, so pairs are proposed by shingles (edge tokens may be
-    cut by their surroundings) and the substring test follows. Bodies of fewer than 8 tokens are left to a plain search.
+    cut by their surroundings) and the substring test follows. Bodies of fewer than 8 tokens have too few of them: while there
+    are few such bodies, each text is searched for all of them at once; otherwise pairs are proposed by the body's first letters.
     """
-    long = bodies.where(F.size(t.tokens(F.col("text"))) >= 8)
+    size = F.size(t.tokens(F.col("text")))
+    long, short = bodies.where(size >= 8), bodies.where(size < 8).select(body_key, F.col("text").alias("_body"))
     seq = t.tokens(F.col("text"))
     inner = long.select(body_key, F.array_join(F.slice(seq, F.lit(2), F.size(seq) - 2), " ").alias("text"))
     proposed = contained_passages(df, key, inner, body_key, 1.0).select(key, body_key)
     texts = df.select(key, F.col("text").alias("_text"))
-    long_found = proposed.join(texts, key).join(long.select(body_key, F.col("text").alias("_body")), body_key).where(F.contains("_text", F.col("_body"))).select(key, body_key)
-    short = bodies.where(F.size(t.tokens(F.col("text"))) < 8).select(body_key, F.col("text").alias("_body"))
-    return long_found.union(texts.join(short, F.contains("_text", F.col("_body"))).select(key, body_key))
+    verified = proposed.join(texts, key).join(long.select(body_key, F.col("text").alias("_body")), body_key)
+    found = verified.where(F.contains("_text", F.col("_body"))).select(key, body_key)
+    few = short.limit(FEW_BODIES + 1).collect()
+    if not few:
+        return found
+    if len(few) <= FEW_BODIES:
+        known = F.array(*[F.struct(F.lit(r[0]).alias("id"), F.lit(r[1]).alias("body")) for r in few])
+        hits = F.filter(known, lambda b: F.contains("_text", b["body"]))
+        return found.union(texts.select(key, F.explode(hits).alias("hit")).select(key, F.col("hit.id").alias(body_key)))
+    for n in range(1, LETTERS + 1):
+        own = short.where(F.least(F.length("_body"), F.lit(LETTERS)) == n).withColumn("_start", F.substring("_body", 1, n))
+        grams = F.array_distinct(F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+        pairs = texts.select(key, F.explode(grams).alias("_start")).join(own, "_start").select(key, body_key, "_body")
+        found = found.union(pairs.join(texts, key).where(F.contains("_text", F.col("_body"))).select(key, body_key))
+    return found.union(texts.join(short.where("_body = ''")).where("_text is not null").select(key, body_key))
 
 
 def manifest(rows: DataFrame, artifact: str, key: str) -> DataFrame:
-    """Counts and a digest of the rows' digests in the order of their key."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(key, F.sha2("text", 256).alias("sha")))), lambda x: x["sha"])
-    return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.sum("n_chars").alias("n_chars"), F.sha2(F.array_join(ordered, ""), 256).alias("content_sha256")).select(F.lit(artifact).alias("artifact"), "n_rows", "n_chars", "content_sha256")
+    """Counts and a digest of the rows: ``FAN`` consecutive keys at a time, then as many of these digests, then all of those.
+
+    ``key`` is a whole number, 0 or more, that tells rows apart; rows are hashed in its order, and no group is larger than
+    ``FAN`` until 68 billion keys are passed.
+    """
+    level = rows.select(F.col(key).alias("_at"), F.sha2("text", 256).alias("_sha"), F.lit(1).cast("long").alias("_n"), F.col("n_chars").alias("_chars"))
+    for group in (F.floor(F.col("_at") / FAN), F.floor(F.col("_at") / FAN), F.lit(0)):
+        shas = F.transform(F.array_sort(F.collect_list(F.struct("_at", "_sha"))), lambda x: x["_sha"])
+        level = level.groupBy(group.alias("_group")).agg(F.sha2(F.array_join(shas, ""), 256).alias("_sha"), F.sum("_n").alias("_n"), F.sum("_chars").alias("_chars")).withColumnRenamed("_group", "_at")
+    return level.select(F.lit(artifact).alias("artifact"), F.col("_n").alias("n_rows"), F.col("_chars").alias("n_chars"), F.col("_sha").alias("content_sha256"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions.text import digest, squeeze
-from corpusloom.operators.similarity import THRESHOLD, class_links, neighbours, shingle_sets
+from corpusloom.operators.similarity import THRESHOLD, ShingleSets, class_links, neighbours, shingle_sets
+from corpusloom.staging import Workspace
 
 
 def first_seen(df: DataFrame, key: str, *group: str) -> DataFrame:
@@ -30,26 +31,30 @@ def exact_and_normalized(df: DataFrame, key: str, objective: str, text: str = "t
     return joined.withColumn("exact_of", exact_of).withColumn("normalized_of", normal_of).drop("_exact", "_normal")
 
 
-def nearest_earlier(df: DataFrame, key: str, objective: str, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
+def nearest_earlier(df: DataFrame, key: str, objective: str, threshold: float = THRESHOLD, text: str = "text", sets: ShingleSets | None = None) -> DataFrame:
     """``key, near_of, similarity``: for each row the most similar earlier row of its objective, the first of equals.
 
-    Rows are compared by class of equal tokens: what counts of a class is its first row of the objective.
+    Rows are compared by class of equal tokens: what counts of a class is its first row of the objective. ``sets``
+    are those of ``df``, if they are made already.
     """
-    sets = shingle_sets(df, key, text).join(df.select(key, objective), key)
-    firsts = sets.where("n > 0").groupBy("cls", objective).agg(F.min(key).alias("first"))
-    links = neighbours(class_links(sets, threshold=threshold)).union(sets.where("n > 0").select("cls", "cls", F.lit(1.0)).distinct())
+    sets = sets or shingle_sets(df, key, text)
+    rows = sets.rows.where("n > 0").join(df.select(key, objective), key)
+    firsts = rows.groupBy("cls", objective).agg(F.min(key).alias("first"))
+    links = neighbours(class_links(sets, threshold=threshold)).union(sets.classes.where("n > 0").select("cls", "cls", F.lit(1.0)))
     known = links.join(firsts.withColumnRenamed("cls", "other"), "other")
-    pairs = sets.select(key, "cls", objective).join(known, ["cls", objective]).where(F.col("first") < F.col(key))
+    pairs = rows.select(key, "cls", objective).join(known, ["cls", objective]).where(F.col("first") < F.col(key))
     best = pairs.groupBy(key).agg(F.min_by(F.struct("first", "similarity"), F.struct(-F.col("similarity"), F.col("first"))).alias("best"))
     return best.select(key, F.col("best.first").alias("near_of"), F.col("best.similarity").alias("similarity"))
 
 
-def first_forbidden(df: DataFrame, key: str, forbidden: DataFrame, forbidden_key: str, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
+def first_forbidden(df: DataFrame, key: str, forbidden: DataFrame, forbidden_key: str, threshold: float = THRESHOLD, text: str = "text", sets: ShingleSets | None = None) -> DataFrame:
     """``key, document, exact, similarity``: the first forbidden document that a row equals or resembles."""
-    ours, theirs = shingle_sets(df, key, text), shingle_sets(forbidden, forbidden_key)
+    ours, theirs = sets or shingle_sets(df, key, text), shingle_sets(forbidden, forbidden_key)
     links = class_links(ours, theirs, threshold)
-    exact = df.select(key, digest(F.col(text)).alias("sha")).join(forbidden.select(F.col(forbidden_key).alias("document"), digest(F.col("text")).alias("sha")), "sha").select(key, "document", F.lit(True).alias("exact"), F.lit(1.0).alias("similarity"))
-    near = ours.select(key, F.col("cls").alias("a")).join(links, "a").join(theirs.select(F.col(forbidden_key).alias("document"), F.col("cls").alias("b")), "b").select(key, "document", F.lit(False).alias("exact"), "similarity")
+    sealed = forbidden.select(F.col(forbidden_key).alias("document"), digest(F.col("text")).alias("sha"))
+    exact = df.select(key, digest(F.col(text)).alias("sha")).join(sealed, "sha").select(key, "document", F.lit(True).alias("exact"), F.lit(1.0).alias("similarity"))
+    documents = theirs.rows.select(F.col(forbidden_key).alias("document"), F.col("cls").alias("b"))
+    near = ours.rows.select(key, F.col("cls").alias("a")).join(links, "a").join(documents, "b").select(key, "document", F.lit(False).alias("exact"), "similarity")
     found = exact.union(near).groupBy(key, "document").agg(F.max("exact").alias("exact"), F.max("similarity").alias("similarity"))
     return found.groupBy(key).agg(F.min_by(F.struct("document", "exact", "similarity"), "document").alias("f")).select(key, "f.*")
 
@@ -57,8 +62,9 @@ def first_forbidden(df: DataFrame, key: str, forbidden: DataFrame, forbidden_key
 def corpus_policy(df: DataFrame, key: str, objective: str, forbidden: DataFrame, forbidden_key: str, threshold: float = THRESHOLD) -> DataFrame:
     """Adds ``reasons`` (sorted) and ``status``: duplicates against all earlier rows of the objective, and held-out text."""
     marked = exact_and_normalized(df, key, objective)
-    near = nearest_earlier(df, key, objective, threshold)
-    held = first_forbidden(df, key, forbidden, forbidden_key, threshold).withColumnRenamed("similarity", "held_similarity")
+    sets = shingle_sets(df, key)
+    near = nearest_earlier(df, key, objective, threshold, sets=sets)
+    held = first_forbidden(df, key, forbidden, forbidden_key, threshold, sets=sets).withColumnRenamed("similarity", "held_similarity")
     joined = marked.join(near, key, "left").join(held, key, "left")
     reason = F.array_compact(
         F.array(
@@ -72,34 +78,31 @@ def corpus_policy(df: DataFrame, key: str, objective: str, forbidden: DataFrame,
     return joined.withColumn("reasons", F.array_sort(reason)).withColumn("status", status)
 
 
-def accepted_first(sets: DataFrame, key: str, links: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def accepted_first(sets: DataFrame, key: str, links: DataFrame) -> DataFrame:
     """``key, near_of``: rows taken one after the other, each rejected if it resembles an accepted earlier one.
 
-    Each round decides every row whose linked earlier rows are all decided, so a chain of n rows takes n rounds at
-    most and usual groups take two or three. ``links`` has ``key`` and the earlier ``other``.
+    Each round decides every row whose linked earlier rows are all decided, until none is left: the earliest open
+    row can always be decided, so rounds end, usual groups in two or three and a chain of n rows in n. A round
+    reads only the links of open rows, and is staged. ``links`` has ``key`` and the earlier ``other``.
     """
-    spark = sets.sparkSession
-    undecided, accepted = sets.select(key), None
-    edges = links.select(key, "other")
-    rejected = None
-    for turn in range(max_rounds):
-        waiting = edges.join(undecided.select(F.col(key).alias("other")), "other", "left_semi").select(key).distinct()
-        ready = undecided.join(waiting, key, "left_anti")
-        if accepted is None:
-            hit = edges.limit(0).groupBy(key).agg(F.min("other").alias("near_of"))
-        else:
-            hit = edges.join(accepted.select(F.col(key).alias("other")), "other", "left_semi").groupBy(key).agg(F.min("other").alias("near_of"))
-        decided = ready.join(hit, key, "left")
-        decided = decided.checkpoint() if spark.sparkContext.getCheckpointDir() else decided.cache()
-        if decided.isEmpty():
-            break
-        good, bad = decided.where("near_of is null").select(key), decided.where("near_of is not null")
-        accepted = good if accepted is None else accepted.union(good)
-        rejected = bad if rejected is None else rejected.union(bad)
-        undecided = undecided.join(decided.select(key), key, "left_anti")
-        undecided = undecided.checkpoint() if spark.sparkContext.getCheckpointDir() else undecided.cache()
-    out = accepted.withColumn("near_of", F.lit(None).cast(dict(sets.dtypes)[key])) if accepted is not None else sets.select(key).withColumn("near_of", F.col(key)).limit(0)
-    return out.union(rejected) if rejected is not None else out
+    work = Workspace(sets.sparkSession, "accepted")
+    edges = work.table(links.select(key, "other", F.lit(False).alias("sure")).distinct(), "edges0")
+    alone = sets.select(key).distinct().join(edges.select(key), key, "left_anti")
+    latest = work.table(alone.withColumn("near_of", F.lit(None).cast(dict(sets.dtypes)[key])), "decided0")
+    done, turn = latest, 0
+    while not edges.isEmpty():
+        turn += 1
+        verdict = latest.select(F.col(key).alias("other"), F.col("near_of").isNull().alias("accepted"))
+        told = edges.join(verdict, "other", "left").select(key, "other", (F.col("sure") | F.coalesce("accepted", F.lit(False))).alias("sure"), "accepted")
+        marked = work.table(told, f"marked{turn}")
+        waits = F.bool_or(~F.col("sure") & F.col("accepted").isNull())
+        state = marked.groupBy(key).agg(waits.alias("waits"), F.min(F.when(F.col("sure"), F.col("other"))).alias("near_of"))
+        latest = work.table(state.where("not waits").select(key, "near_of"), f"decided{turn}")
+        left = marked.where("sure or accepted is null").join(latest, key, "left_anti")
+        edges = work.table(left.select(key, "other", "sure"), f"edges{turn}")
+        work.drop(f"edges{turn - 1}", f"marked{turn}")
+        done = done.union(latest)
+    return done
 
 
 def contained_passages(df: DataFrame, key: str, passages: DataFrame, passage_key: str, share: float = 0.9) -> DataFrame:
@@ -108,9 +111,11 @@ def contained_passages(df: DataFrame, key: str, passages: DataFrame, passage_key
     An extension beside whole-document similarity, which misses passages inside longer documents. Only shingles of
     passages are joined; a row per document and passage is counted before the shuffle.
     """
-    theirs = shingle_sets(passages, passage_key).where("n > 0").select(passage_key, F.col("n").alias("total"), F.explode("shingles").alias("shingle"))
-    ours = shingle_sets(df, key).select(key, F.explode_outer("shingles").alias("shingle"))
-    hits = ours.join(theirs, "shingle").groupBy(key, passage_key, "total").agg(F.count(F.lit(1)).alias("common"))
+    theirs = shingle_sets(passages, passage_key)
+    asked = theirs.classes.where("n > 0").select("cls", F.col("n").alias("total"), F.explode("shingles").alias("shingle"))
+    ours = shingle_sets(df, key)
+    hits = ours.classes.select(F.col("cls").alias("ours"), F.explode("shingles").alias("shingle")).join(asked, "shingle").groupBy("ours", "cls", "total").agg(F.count(F.lit(1)).alias("common"))
+    hits = hits.join(theirs.rows.select("cls", passage_key), "cls").join(ours.rows.select(F.col("cls").alias("ours"), key), "ours")
     return hits.where(F.col("common") >= share * F.col("total")).select(key, passage_key, (F.col("common") / F.col("total")).alias("share"))
 
 

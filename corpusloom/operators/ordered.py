@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusloom.staging import Workspace
+
 
 def ranked(df: DataFrame, family: str, *order: Column | str) -> DataFrame:
     """Adds ``ordinal``: the place of a row in its family, from 1."""
@@ -18,15 +20,20 @@ def nested_subsets(df: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
 
 
 def round_robin(df: DataFrame, workers: int, *order: Column | str) -> DataFrame:
-    """Adds ``worker`` by the place of a row in the whole order; positions come from sorted ranges, not from one task.
+    """Adds ``worker`` by the place of a row in the whole order; places come from sorted ranges, not from one task.
 
-    Rows are range-sorted, counted per range, and numbered within their range behind the ranges before it.
+    The range of a row is staged with it, so counting and numbering see the same ranges however often they are
+    planned. Rows that ``order`` does not tell apart are numbered by their other columns' hash, then in any order.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1 + F.col("_before")
-    return ranged.join(before, "_part").withColumn("place", place).withColumn("worker", F.pmod("place", F.lit(workers))).drop("_part", "_before")
+    tie = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    ranged = df.withColumn("_tie", tie).repartitionByRange(*order, "_tie").withColumn("_part", F.spark_partition_id())
+    staged = Workspace(df.sparkSession, "places").table(ranged, "ranges")
+    counts = staged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order, "_tie")) - 1 + F.col("_before")
+    placed = staged.join(before, "_part").withColumn("place", place)
+    return placed.withColumn("worker", F.pmod("place", F.lit(workers))).drop("_part", "_before", "_tie")
 
 
 def discounted_returns(scores: DataFrame, gamma: float) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 RANGES = 256
+#: Packs of a lane whose running sums are made in one task.
+RANGE_ROWS = 4096
 
 
 def running_offsets(rows: DataFrame, group: list[str], size: str, key: str, seed: str = "pack") -> DataFrame:
@@ -51,19 +53,29 @@ def lane_schedule(packed: DataFrame, weights: Mapping[str, float], batch: int) -
     """``slot, lane, pack``: lanes are read in cycles until each has its share of tokens, and interleaved by position.
 
     The share of a lane is its weight of the total at which the lane that is largest for its weight is read once. The
-    order is filled up to whole batches with its own beginning.
+    order is filled up to whole batches with its own beginning. A lane is summed in ranges of its packs, and the slot
+    of a pack follows from its position and the lanes' lengths, so no task holds a lane.
     """
     weight = F.element_at(F.create_map(*[F.lit(x) for pair in weights.items() for x in pair]), F.col("lane"))
-    lanes = packed.groupBy("lane").agg(F.sum("token_count").alias("lane_tokens"), F.count(F.lit(1)).alias("lane_packs"))
+    ranged = packed.withColumn("_range", F.floor(F.col("pack") / RANGE_ROWS))
+    sums = ranged.groupBy("lane", "_range").agg(F.sum("token_count").alias("_tokens"), F.count(F.lit(1)).alias("_packs"))
+    earlier = Window.partitionBy("lane").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    behind = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
+    offsets = sums.select("lane", "_range", behind("_tokens").alias("_before"), behind("_packs").alias("_first"))
+    lanes = sums.groupBy("lane").agg(F.sum("_tokens").alias("lane_tokens"), F.sum("_packs").alias("lane_packs"))
     targets = lanes.withColumn("target", F.max(F.col("lane_tokens") / weight).over(Window.partitionBy()) * weight)
-    by_pack = Window.partitionBy("lane").orderBy("pack")
-    upto = F.sum("token_count").over(by_pack) - F.col("token_count")
-    ordered = packed.join(targets, "lane").withColumn("_upto", upto).withColumn("_place", F.row_number().over(by_pack) - 1)
-    cycles = ordered.withColumn("_cycle", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("target") / F.col("lane_tokens")), F.lit(1)) - 1)))
+    within = Window.partitionBy("lane", "_range").orderBy("pack")
+    upto = F.col("_before") + F.sum("token_count").over(within) - F.col("token_count")
+    place = F.col("_first") + F.row_number().over(within) - 1
+    ordered = ranged.join(offsets, ["lane", "_range"]).join(targets, "lane").withColumn("_upto", upto).withColumn("_place", place)
+    last = F.greatest(F.ceil(F.col("target") / F.col("lane_tokens")), F.lit(1)) - 1
+    cycles = ordered.withColumn("_cycle", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     kept = cycles.where(F.col("_cycle") * F.col("lane_tokens") + F.col("_upto") < F.col("target"))
-    placed = kept.withColumn("position", F.col("_cycle") * F.col("lane_packs") + F.col("_place"))
-    slot = F.row_number().over(Window.orderBy("position", "lane")) - 1
-    order = placed.select(slot.cast("long").alias("slot"), "lane", "pack")
-    size = order.agg(F.max("slot").alias("_last"))
-    filled = order.join(size).withColumn("_missing", F.pmod(-(F.col("_last") + 1), F.lit(batch))).where(F.col("slot") < F.col("_missing")).select(F.col("_last") + 1 + F.col("slot"), "lane", "pack")
-    return order.union(filled)
+    placed = kept.select("lane", "pack", (F.col("_cycle") * F.col("lane_packs") + F.col("_place")).alias("position"))
+    lengths = placed.groupBy("lane").agg((F.max("position") + 1).alias("n"))
+    known = lengths.agg(F.collect_list(F.struct("lane", "n")).alias("_lanes"), F.sum("n").alias("_all"))  # a row per lane
+    here = lambda x: F.least(x["n"], F.col("position") + (x["lane"] < F.col("lane")).cast("long"))
+    slot = F.aggregate(F.transform("_lanes", here), F.lit(0).cast("long"), lambda a, b: a + b)
+    order = placed.join(known).select(slot.alias("slot"), "lane", "pack", "_all")
+    filled = order.where(F.col("slot") < F.pmod(-F.col("_all"), F.lit(batch))).select(F.col("_all") + F.col("slot"), "lane", "pack")
+    return order.drop("_all").union(filled)

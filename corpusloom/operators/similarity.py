@@ -2,40 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions.text import tokens
+from corpusloom.staging import Workspace
 
 SHINGLE, THRESHOLD = 5, 0.8
 
 
 def shingles(sequence: Column, k: int = SHINGLE) -> Column:
-    """The distinct hashes of all k consecutive tokens; fewer than k tokens are one shingle, none give none."""
-    grams = sequence
-    for shift in range(1, k):
-        grams = F.zip_with(F.slice(grams, F.lit(1), F.greatest(F.size(sequence) - shift, F.lit(0))), F.slice(sequence, F.lit(shift + 1), F.greatest(F.size(sequence) - shift, F.lit(0))), lambda a, b: F.concat(a, F.lit("\x01"), b))
-    hashed = F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g)))
-    short = F.when(F.size(sequence) > 0, F.array(F.xxhash64(F.array_join(sequence, "\x01")))).otherwise(F.array().cast("array<bigint>"))
-    return F.when(F.size(sequence) >= k, hashed).otherwise(short)
+    """The distinct hashes of all k consecutive tokens, sorted; fewer than k tokens are one shingle, none give none.
 
+    Tokens are hashed once, and a window of k such hashes is hashed again.
+    """
 
-def shingle_sets(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """``key, cls, n, shingles``: ``cls`` tells equal token sequences apart from others.
+    def windows(hashes: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(hashes) - k + 1, F.lit(1)))
+        return F.transform(starts, lambda i: F.xxhash64(*[F.try_element_at(hashes, i + j) for j in range(k)]))
 
-    Every caller reads the sets several times, so they are kept, spilling to disk; equal plans share one copy.
-    """
+    hashed = F.element_at(F.transform(F.array(F.transform(sequence, lambda w: F.xxhash64(w))), windows), 1)
+    return F.when(F.size(sequence) > 0, F.array_sort(F.array_distinct(hashed))).otherwise(F.array().cast("array<bigint>"))
+
+
+@dataclass(frozen=True)
+class ShingleSets:
+    """``rows``: ``key, cls, n``; ``classes``: ``cls, n, shingles``, one for all rows of equal token sequences."""
+
+    rows: DataFrame
+    classes: DataFrame
+
+
+def shingle_sets(df: DataFrame, key: str, text: str = "text") -> ShingleSets:
+    """The shingles of each text, staged once: ``cls`` tells equal token sequences apart from others. A null text has none."""
+    work = Workspace(df.sparkSession, "shingles")
     seq = df.select(key, tokens(F.coalesce(F.col(text), F.lit(""))).alias("seq"))
-    sets = seq.select(key, F.sha2(F.array_join("seq", "\x01"), 256).alias("cls"), shingles(F.col("seq")).alias("shingles"))
-    return sets.select(key, "cls", F.size("shingles").cast("long").alias("n"), "shingles").persist(StorageLevel.MEMORY_AND_DISK)
+    made = seq.select(key, F.sha2(F.array_join("seq", "\x01"), 256).alias("cls"), shingles(F.col("seq")).alias("shingles"))
+    sets = work.table(made.select(key, "cls", F.size("shingles").cast("long").alias("n"), "shingles"), "sets")
+    return ShingleSets(sets.select(key, "cls", "n"), work.table(sets.select("cls", "n", "shingles").dropDuplicates(["cls"]), "classes"))
 
 
-def _prefixes(sets: DataFrame, order: DataFrame, threshold: float) -> DataFrame:
-    """The first n - ceil(t n) + 1 shingles of each set by corpus frequency: sets similar enough share one of them."""
-    flat = sets.select("cls", "n", F.explode_outer("shingles").alias("shingle")).join(order, "shingle")
-    ranked = flat.withColumn("rank", F.row_number().over(Window.partitionBy("cls").orderBy("count", "shingle")))
+def _prefixes(flat: DataFrame, order: DataFrame, threshold: float) -> DataFrame:
+    """The first n - ceil(t n) + 1 shingles of each class, rarest first: classes similar enough share one of them.
+
+    Shingles that no other class holds come first of all and can't be shared, so they only take up places.
+    """
+    shared = flat.join(order, "shingle")
+    own = Window.partitionBy("cls")
+    rank = F.row_number().over(own.orderBy("count", "shingle")) + F.col("n") - F.count(F.lit(1)).over(own)
+    ranked = shared.withColumn("rank", rank)
     return ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9)) + 1).select("cls", "n", "shingle")
 
 
@@ -44,22 +62,27 @@ def jaccard(a: Column, b: Column) -> Column:
     return common / (F.size(a) + F.size(b) - common)
 
 
-def class_links(left: DataFrame, right: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def class_links(left: ShingleSets, right: ShingleSets | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """``a, b, similarity`` of all pairs of classes of at least ``threshold``; without ``right``, pairs of ``left`` with a < b.
 
-    Both are :func:`shingle_sets`; a class takes part once, however many rows it has. A class without shingles has
-    no link. Shingles are taken in the order of their frequency, so the frequent ones never form a join group.
+    A class takes part once, however many rows it has. A class without shingles has no link. Shingles are taken in the
+    order of their frequency, so the frequent ones never form a join group.
     """
     own = right is None
-    one = left.where("n > 0").select("cls", "n", "shingles").dropDuplicates(["cls"])
-    other = one if own else right.where("n > 0").select("cls", "n", "shingles").dropDuplicates(["cls"])
-    counted = one if own else one.union(other)
-    order = counted.select(F.explode_outer("shingles").alias("shingle")).groupBy("shingle").count()
+    flat = lambda sets: sets.classes.select("cls", "n", F.explode("shingles").alias("shingle"))
+    one = flat(left)
+    if own:
+        order = one.groupBy("shingle").count().where("count > 1")
+    else:
+        both = one.select("shingle", F.lit(1).alias("l"), F.lit(0).alias("r")).union(flat(right).select("shingle", F.lit(0), F.lit(1)))
+        sums = both.groupBy("shingle").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+        order = sums.where("l > 0 and r > 0").select("shingle", (F.col("l") + F.col("r")).alias("count"))
     a = _prefixes(one, order, threshold).toDF("a", "na", "shingle")
-    b = _prefixes(other, order, threshold).toDF("b", "nb", "shingle")
+    b = (_prefixes(one, order, threshold) if own else _prefixes(flat(right), order, threshold)).toDF("b", "nb", "shingle")
     near = (F.col("na") >= threshold * F.col("nb") - 1e-9) & (F.col("nb") >= threshold * F.col("na") - 1e-9)
     pairs = a.join(b, "shingle").where(near & (F.col("a") < F.col("b") if own else F.lit(True))).select("a", "b").distinct()
-    sets_a, sets_b = one.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")), other.select(F.col("cls").alias("b"), F.col("shingles").alias("sb"))
+    sets_a = left.classes.select(F.col("cls").alias("a"), F.col("shingles").alias("sa"))
+    sets_b = (left if own else right).classes.select(F.col("cls").alias("b"), F.col("shingles").alias("sb"))
     return pairs.join(sets_a, "a").join(sets_b, "b").withColumn("similarity", jaccard(F.col("sa"), F.col("sb"))).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
 
 

@@ -18,11 +18,10 @@ def _snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "lang", F.inline(both))
 
 
-@query(r"""SELECT doc_id, sha256(array_to_string(regexp_extract_all(text, '\S+'), ' ')) AS normalized_sha256 FROM documents WHERE doc_id % 2 = 0 AND len(regexp_extract_all(text, '\S+')) > 20 AND contains(text, '.')""")
+@query()
 def normalized_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prose only here: what a parser refuses is compared with SQL, what it accepts is tested apart."""
-    prose = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("source")).where((F.col("doc_id") % 2 == 0) & (F.size(F.regexp_extract_all("source", F.lit(r"\S+"), F.lit(0))) > 20) & F.contains("source", F.lit(".")))
-    return prose.select("doc_id", F.sha2(code.normalized_code("source"), 256).alias("normalized_sha256"))
+    """Whole texts and programs: what a parser refuses is normalized by its white space, so SQL has no plain form of it."""
+    return _snippets(spark, sf_dir).select("doc_id", "kind", F.sha2(code.normalized_code("source"), 256).alias("normalized_sha256"))
 
 
 @query()

@@ -45,10 +45,13 @@ def single_turn_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH f AS (SELECT conv_id, arg_min(role, turn) AS role, min(turn) AS turn FROM conversations WHERE turn > 0 GROUP BY conv_id)
-SELECT conv_id, turn, role, text FROM conversations WHERE turn > 0 UNION ALL SELECT conv_id, turn - 1, 'user', 'Continue.' FROM f WHERE role = 'assistant'""")
+WITH c AS (SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 AND role IN ('user', 'system') THEN 'assistant' ELSE role END AS role, text FROM conversations),
+f AS (SELECT conv_id, arg_min(role, turn) AS role, min(turn) AS turn FROM c GROUP BY conv_id)
+SELECT conv_id, turn, role, text FROM c UNION ALL SELECT conv_id, turn - 1, 'user', 'Continue.' FROM f WHERE role = 'assistant'""")
 def user_led_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return c.led_by_user(table(spark, sf_dir, "conversations").where("turn > 0"))
+    """All turns; every third conversation has its first roles renamed, so that an assistant leads some."""
+    led = (F.col("conv_id") % 3 == 0) & F.col("role").isin("user", "system")
+    return c.led_by_user(table(spark, sf_dir, "conversations").withColumn("role", F.when(led, F.lit("assistant")).otherwise(F.col("role"))))
 
 
 @query("""

@@ -71,7 +71,7 @@ SELECT a, b, round(similarity, 6) AS similarity FROM sims WHERE a IN (SELECT rep
 def near_duplicate_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links between the first documents of all classes of equal tokens."""
     sets = similarity.shingle_sets(table(spark, sf_dir, "documents"), "doc_id")
-    first = sets.groupBy("cls").agg(F.min("doc_id").alias("first"))
+    first = sets.rows.groupBy("cls").agg(F.min("doc_id").alias("first"))
     links = similarity.class_links(sets).join(first.toDF("a", "fa"), "a").join(first.toDF("b", "fb"), "b")
     return links.select(F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b"), F.round("similarity", 6).alias("similarity"))
 
@@ -79,7 +79,7 @@ def near_duplicate_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT doc_id, min(doc_id) OVER (PARTITION BY array_to_string({_SEQ}, chr(1))) AS class_id FROM documents")
 def token_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The membership that belongs to ``near_duplicate_links``."""
-    sets = similarity.shingle_sets(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "cls")
+    sets = similarity.shingle_sets(table(spark, sf_dir, "documents"), "doc_id").rows.select("doc_id", "cls")
     return sets.join(sets.groupBy("cls").agg(F.min("doc_id").alias("class_id")), "cls").select("doc_id", "class_id")
 
 
@@ -88,10 +88,10 @@ def accepted_rows_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicates of accepted earlier documents only: decided in rounds, so SQL has no plain form of it."""
     docs = table(spark, sf_dir, "documents")
     sets = similarity.shingle_sets(docs, "doc_id")
-    first = sets.groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
+    first = sets.rows.groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     ordered = similarity.class_links(sets).join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b").select(F.greatest("x", "y").alias("doc_id"), F.least("x", "y").alias("other"))
     decided = dedup.accepted_first(first, "doc_id", ordered).withColumnRenamed("doc_id", "first_id")
-    return sets.join(first.withColumnRenamed("doc_id", "first_id"), "cls").join(decided, "first_id").select("doc_id", F.when(F.col("doc_id") != F.col("first_id"), F.col("first_id")).otherwise(F.col("near_of")).alias("duplicate_of"))
+    return sets.rows.join(first.withColumnRenamed("doc_id", "first_id"), "cls").join(decided, "first_id").select("doc_id", F.when(F.col("doc_id") != F.col("first_id"), F.col("first_id")).otherwise(F.col("near_of")).alias("duplicate_of"))
 
 
 @query(f"""
@@ -103,11 +103,11 @@ def benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH sealed AS (SELECT item_id, text FROM benchmark WHERE length(text) >= 40 AND contains(text, 'th'))
+WITH sealed AS (SELECT item_id, text FROM benchmark WHERE length(text) >= 40)
 SELECT d.doc_id, s.item_id FROM documents d JOIN sealed s ON contains(d.text, s.text)""")
 def sealed_bodies_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sealed bodies as substrings: proposed by the shingles they share, so documents never meet all bodies."""
-    return admission.containing(table(spark, sf_dir, "documents"), "doc_id", table(spark, sf_dir, "benchmark").where((F.length("text") >= 40) & F.contains("text", F.lit("th"))), "item_id")
+    return admission.containing(table(spark, sf_dir, "documents"), "doc_id", table(spark, sf_dir, "benchmark").where(F.length("text") >= 40), "item_id")
 
 
 ADMISSION_SQL = f"""{PAIRS_SQL},
@@ -219,7 +219,8 @@ def upserted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT 'documents' AS artifact, count(*) AS n_rows, CAST(sum(n_chars) AS BIGINT) AS n_chars, sha256(string_agg(sha256(text), '' ORDER BY doc_id)) AS content_sha256 FROM (SELECT * FROM documents WHERE doc_id < 100)""")
+WITH a AS (SELECT doc_id // 4096 AS g, sha256(string_agg(sha256(text), '' ORDER BY doc_id)) AS sha, count(*) AS n, sum(n_chars) AS c FROM documents GROUP BY 1),
+b AS (SELECT g // 4096 AS g, sha256(string_agg(sha, '' ORDER BY g)) AS sha, sum(n) AS n, sum(c) AS c FROM a GROUP BY g // 4096)
+SELECT 'documents' AS artifact, CAST(sum(n) AS BIGINT) AS n_rows, CAST(sum(c) AS BIGINT) AS n_chars, sha256(string_agg(sha, '' ORDER BY g)) AS content_sha256 FROM b""")
 def release_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A release of a fixed number of rows hashed row by row; larger ones are hashed per file by the writer."""
-    return admission.manifest(table(spark, sf_dir, "documents").where("doc_id < 100"), "documents", "doc_id")
+    return admission.manifest(table(spark, sf_dir, "documents"), "documents", "doc_id")

@@ -101,12 +101,12 @@ def headroom_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("passed"))
 
 
-@query("""SELECT doc_id, lang, NULL AS extra FROM documents WHERE doc_id < 50 UNION ALL SELECT doc_id, NULL, source FROM documents WHERE doc_id >= 950""")
+@query("""SELECT doc_id, lang, NULL AS extra FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id, NULL, source FROM documents WHERE lang <> 'en' OR lang IS NULL""")
 def united_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of a prior and a new release whose columns differ."""
+    """Rows of a prior and a new release whose columns differ: together the whole table."""
     docs = table(spark, sf_dir, "documents")
-    old = docs.where("doc_id < 50").select("doc_id", "lang")
-    return old.unionByName(docs.where("doc_id >= 950").select("doc_id", F.col("source").alias("extra")), allowMissingColumns=True)
+    old = docs.where("lang = 'en'").select("doc_id", "lang")
+    return old.unionByName(docs.where("lang <> 'en' or lang is null").select("doc_id", F.col("source").alias("extra")), allowMissingColumns=True)
 
 
 @query("""SELECT p.page_id, regexp_extract(p.url, '^https?://([^/]+)', 1) AS host, d.source, d.n_chars FROM pages p JOIN documents d ON p.page_id = d.doc_id WHERE d.n_chars BETWEEN 300 AND 9000 AND d.lang = 'en'""")

@@ -161,7 +161,7 @@ _LEAK_SQL = "[" + ", ".join(f"'{x}'" for x in _LEAKS) + f"][1 + doc_id % {len(_L
 
 def _leaky(spark: SparkSession, sf_dir: str) -> DataFrame:
     leak = F.element_at(F.array(*map(F.lit, _LEAKS)), (F.col("doc_id") % len(_LEAKS) + 1).cast("int"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("\n", F.substring("text", 1, 400), leak, F.lit("end")).alias("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("\n", F.col("text"), leak, F.lit("end")).alias("text"))
 
 
 def _duck(pattern: str) -> str:
@@ -170,7 +170,7 @@ def _duck(pattern: str) -> str:
 
 def _labelled_sql() -> str:
     """The same fold: each step counts on, and then replaces in, what the step before left."""
-    steps, prev = [f"s0 AS (SELECT doc_id, substr(text, 1, 400) || chr(10) || {_LEAK_SQL} || chr(10) || 'end' AS t, 0 AS n FROM documents)"], "s0"
+    steps, prev = [f"s0 AS (SELECT doc_id, text || chr(10) || {_LEAK_SQL} || chr(10) || 'end' AS t, 0 AS n FROM documents)"], "s0"
     for k, s in enumerate(scrub.LABELLED, 1):
         mark = ("\\1" if s.keep_prefix else "") + f"[REDACTED_{s.label.upper()}]"
         p = _duck(s.pattern)
@@ -185,7 +185,7 @@ def scrubbed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _kinds_sql() -> str:
-    steps, prev = [f"s0 AS (SELECT doc_id, substr(text, 1, 400) || chr(10) || {_LEAK_SQL} || chr(10) || 'end' AS t, 0 AS n FROM documents)"], "s0"
+    steps, prev = [f"s0 AS (SELECT doc_id, text || chr(10) || {_LEAK_SQL} || chr(10) || 'end' AS t, 0 AS n FROM documents)"], "s0"
     for k, s in enumerate(scrub.LONGEST_FIRST, 1):
         # no look-around in this engine: a boundary that keeps its character says the same here
         p = _duck(s.pattern.replace("(?<![A-Z0-9])", r"\b").replace("(?![A-Z0-9])", r"\b"))
@@ -213,20 +213,20 @@ def canaries_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-WITH d AS (SELECT doc_id, '/opt/run/' || source || '/a.py: token = ' || lang || '; see tests and ' || substr(text, 1, 80) AS error FROM documents)
-SELECT doc_id, regexp_replace(regexp_replace(
-  regexp_replace(regexp_replace(regexp_replace(error, '^/(?:[^\s:''"]+/)+[^\s:''"]*', '<path>', 'g'), '(?i)\b(api[_-]?key|authorization|bearer|credential|password|secret|token)\b\s*[:=]\s*[^\s,;]+', '\1=<redacted>', 'g'), '(?i)\b(hidden[\w.-]*|tests?|solutions?|references?)\b', '<hidden>', 'g'),
-  '(?m)[ \t\r]+$', '', 'g'), '^\s+|\s+$', '', 'g') AS shown
+WITH d AS (SELECT doc_id, '/opt/run/' || source || '/a.py: token = ' || lang || '; see tests and ' || text AS error FROM documents)
+SELECT doc_id, substr(regexp_replace(regexp_replace(
+  regexp_replace(regexp_replace(regexp_replace(error, '(^|[^\w.])/(?:[^\s:''"]+/)+[^\s:''"]*', '\1<path>', 'g'), '(?i)\b(api[_-]?key|authorization|bearer|credential|password|secret|token)\b\s*[:=]\s*[^\s,;]+', '\1=<redacted>', 'g'), '(?i)\b(hidden[\w.-]*|tests?|solutions?|references?)\b', '<hidden>', 'g'),
+  '(?m)[ \t\r]+$', '', 'g'), '^\s+|\s+$', '', 'g'), 1, 4000) AS shown
 FROM d""")
 def sanitized_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    error = F.concat(F.lit("/opt/run/"), "source", F.lit("/a.py: token = "), "lang", F.lit("; see tests and "), F.substring("text", 1, 80))
+    error = F.concat(F.lit("/opt/run/"), "source", F.lit("/a.py: token = "), "lang", F.lit("; see tests and "), F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", text.sanitize_diagnostic(error).alias("shown"))
 
 
 @query(r"""
-SELECT doc_id, trim(regexp_replace(regexp_replace(replace(substr(text, 1, 300), ' e', '-' || chr(10) || 'e'), '([a-z])-\n([a-z])', '\1\2', 'g'), '\s+', ' ', 'g')) AS joined FROM documents""")
+SELECT doc_id, trim(regexp_replace(regexp_replace(replace(text, ' e', '-' || chr(10) || 'e'), '([a-z])-\n([a-z])', '\1\2', 'g'), '\s+', ' ', 'g')) AS joined FROM documents""")
 def hyphens_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    broken = F.replace(F.substring("text", 1, 300), F.lit(" e"), F.lit("-\ne"))
+    broken = F.replace(F.col("text"), F.lit(" e"), F.lit("-\ne"))
     return table(spark, sf_dir, "documents").select("doc_id", text.join_hyphens(broken).alias("joined"))
 
 
@@ -267,9 +267,9 @@ def row_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT conv_id, turn, '{"content":' || to_json(text) || ',"role":"' || role || '"}' AS content,
        coalesce(CAST(nullif(conv_id, 3) AS VARCHAR), 'path:' || turn) AS row_id, 'Continue as ' || role || ' in turn ' || turn || '.' AS prompt
-FROM conversations WHERE regexp_matches(text, '^[ -~]*$')""")
+FROM conversations""")
 def assembled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").where(F.col("text").rlike("^[ -~]*$"))
+    rows = table(spark, sf_dir, "conversations")
     identity = F.coalesce(F.nullif(F.col("conv_id"), F.lit(3)).cast("string"), F.concat(F.lit("path:"), F.col("turn").cast("string")))
     content = F.to_json(F.struct(F.col("text").alias("content"), F.col("role").alias("role")))
     return rows.select("conv_id", "turn", content.alias("content"), identity.alias("row_id"), F.format_string("Continue as %s in turn %d.", "role", "turn").alias("prompt"))

@@ -167,3 +167,68 @@ def test_code_queries_read_every_document(spark):
 def test_sources_too_deep_to_write():
     deep = "-" * 600 + "1"
     assert code._mutate(deep, 0) is None and code._normal(deep) == deep
+
+
+def test_round_robin_keeps_every_row_on_many_partitions(spark, tmp_path):
+    keys = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.parallelismFirst")
+    before = [spark.conf.get(k) for k in keys]
+    for k, v in zip(keys, ("16", "4m", "false"), strict=True):
+        spark.conf.set(k, v)
+    try:
+        wide = spark.range(0, 400_000, 1, 8).select("id", F.xxhash64("id").alias("k"), (F.col("id") % 7).alias("few"), F.sha2(F.col("id").cast("string"), 512).alias("fill"))
+        path = f"file://{tmp_path}/wide"
+        wide.write.parquet(path)
+        placed = ordered.round_robin(spark.read.parquet(path), 7, "few", F.desc("k"))
+        placed.write.parquet(f"{path}-placed")
+        got = spark.read.parquet(f"{path}-placed").orderBy("place").toPandas()
+    finally:
+        for k, v in zip(keys, before, strict=True):
+            spark.conf.set(k, v)
+    assert got["place"].tolist() == list(range(400_000)) and (got["worker"] == got["place"] % 7).all() and got["id"].nunique() == 400_000
+    assert got.sort_values(["few", "k"], ascending=[True, False])["place"].tolist() == list(range(400_000))
+
+
+def test_round_robin_numbers_equal_rows_once(spark):
+    df = spark.createDataFrame([(1, None), (1, None), (None, "a"), (1, "b")] * 25, "a int, place string").repartition(8)
+    got = ordered.round_robin(df.withColumnRenamed("place", "x"), 3, "a").collect()
+    assert sorted(r.place for r in got) == list(range(100)) and all(r.a is None for r in got if r.place < 25)
+    assert ordered.round_robin(df.limit(0), 3, "a").count() == 0
+
+
+def test_accepted_first_decides_long_chains(spark):
+    n = 12
+    rows = spark.range(n + 3).select(F.col("id").alias("k"))
+    links = spark.createDataFrame([(i + 1, i) for i in range(n - 1)] + [(n, 0), (n, 1)], "k long, other long")
+    got = {r.k: r.near_of for r in dedup.accepted_first(rows, "k", links).collect()}
+    want = {i: (i - 1 if i % 2 else None) for i in range(n)} | {n: 0, n + 1: None, n + 2: None}
+    assert got == want
+
+
+@pytest.mark.parametrize("few", [1000, 1])
+def test_containing_finds_short_bodies(spark, monkeypatch, few):
+    monkeypatch.setattr(admission, "FEW_BODIES", few)
+    texts = ["say hello to them", "x", "", None, "one two three four five six seven eight nine ten eleven", "a\nlonger body here"]
+    bodies = ["hello", "x", "", "lo to t", "\nlonger bo", "wo three four five six seven eight nine t", "absent words"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    given = spark.createDataFrame(list(enumerate(bodies)), "b long, text string")
+    got = sorted(tuple(r) for r in admission.containing(df, "k", given, "b").collect())
+    assert got == sorted((i, j) for i, t in enumerate(texts) for j, b in enumerate(bodies) if t is not None and b in t)
+
+
+def test_lane_schedule_equals_a_plain_one(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANGE_ROWS", 3)
+    sizes = {"a": [5, 7, 9, 4, 4, 6, 8], "b": [3, 3], "c": [10, 1, 10, 1]}
+    weights, batch = {"a": 0.5, "b": 0.2, "c": 0.3}, 8
+    df = spark.createDataFrame([(lane, i, n) for lane, ns in sizes.items() for i, n in enumerate(ns)], "lane string, pack long, token_count long")
+    top = max(sum(ns) / weights[lane] for lane, ns in sizes.items())
+    placed = []
+    for lane, ns in sizes.items():
+        total, at = 0, 0
+        while total < top * weights[lane]:
+            placed.append((at, lane, at % len(ns)))
+            total += ns[at % len(ns)]
+            at += 1
+    placed.sort()
+    placed += placed[: -len(placed) % batch]
+    got = sorted(tuple(r) for r in packing.lane_schedule(df, weights, batch).collect())
+    assert got == [(i, lane, pack) for i, (_, lane, pack) in enumerate(placed)]
