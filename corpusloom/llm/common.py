@@ -1,59 +1,12 @@
-"""Shared folder, staged tables and small helpers of the training-data operators."""
+"""Small helpers of the training-data operators."""
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import time
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusloom.staging import Workspace, scratch, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session does not name one (tests on one machine) a temporary folder is made and set.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-class Workspace:
-    """Tables staged as Parquet in the shared folder, so that no later job depends on an executor's disk."""
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def table(self, df: DataFrame, name: str, **options: str) -> DataFrame:
-        """Writes ``df`` once and reads it back; its lineage ends here."""
-        df.write.options(**options).mode("overwrite").parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
-
-    def release(self) -> None:
-        """Lets shuffle files of finished jobs go before a large step.
-
-        Spark removes them when the driver's collector finds their owners gone, which an idle driver rarely does by
-        itself, so it is asked to; owners that the first round frees hold others, which the second finds.
-        """
-        for _ in range(2):
-            gc.collect()
-            self.spark.sparkContext._jvm.System.gc()
-            time.sleep(1)
-
-    def drop(self, *names: str) -> None:
-        """Removes staged tables that no returned frame reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(conf).delete(path, True)
+__all__ = ["Workspace", "read_table", "scratch", "shared_dir"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

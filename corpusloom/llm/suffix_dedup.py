@@ -259,7 +259,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     def exchanged(sent: DataFrame, checked: bool, name: str) -> DataFrame:
         answers = work.table(sent.groupBy("part").applyInArrow(_compare(checked), ANSWER), name)
-        work.release()
         return answers
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,7 +282,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     known = answers.unionByName(_copies(blocks), allowMissingColumns=True)
     marked = work.table(blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(mark, f"{BLOCKS}, repeated binary, copies array<long>"), "marked", compression="zstd")
     work.drop("blocks", "sampled")
-    work.release()
 
     def remaining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

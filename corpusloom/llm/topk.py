@@ -2,28 +2,35 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.llm.common import Workspace, read_table
 
-#: Vectors of an index shard, queries of a block, impact levels, members that end a query early once proven.
-SHARD, BLOCK, LEVELS, FEW = 16384, 512, 6, 200
+#: Vectors of an index shard, queries that travel together, queries whose accumulators are held at once.
+SHARD, BLOCK, HELD = 16384, 8192, 256
+#: Impact levels, and the members a query may have left when it stops before the last level.
+LEVELS, FEW = 12, 200
+#: Vectors of a shard have norms within a factor of two to the power of one by this.
+NORM_CLASSES = 8
 
 
 def integer_vectors(vectors: DataFrame, scale: int = 64) -> DataFrame:
-    """``vec_id, v``: floor(scale * x) of each component; one row for each ``vec_id``.
+    """``row, vec_id, v``: floor(scale * x) of each component of each row; ``row`` numbers them.
 
-    Vectors that are null or hold null or non-finite components are left out, as are rows without an id. Of
-    rows with the same id the least vector stays, so repeated rows count once.
+    Vectors that are null or hold null or non-finite components are left out, as are rows without an id. Rows with
+    the same id stay rows of their own.
     """
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
-    whole = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(F.forall("embedding", lambda x: F.coalesce(finite(x), F.lit(False))))
-    ints = whole.select("vec_id", F.transform("embedding", lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long")).alias("v"))
-    return ints.groupBy("vec_id").agg(F.min("v").alias("v"))
+    whole = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull())
+    sound = whole.where(F.forall("embedding", lambda x: F.coalesce(finite(x), F.lit(False))))
+    ints = F.transform("embedding", lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long"))
+    return sound.select(F.monotonically_increasing_id().alias("row"), "vec_id", ints.alias("v"))
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -37,110 +44,206 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return out
 
 
-def _pack(table: pa.Table) -> pa.Table:
-    """A block of vectors as one row, its ids ascending."""
-    table = table.sort_by("vec_id")
-    ids, v = table["vec_id"].to_numpy(), _matrix(table["v"])
-    return pa.table({"block": table["block"].slice(0, 1).cast(pa.int64()), "ids": pa.array([ids.astype("<i8").tobytes()], pa.binary()), "v": pa.array([v.astype("<i8").tobytes()], pa.binary()), "dims": pa.array([v.shape[1]], pa.int64())})
-
-
-def _unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    ids = np.frombuffer(table["ids"][0].as_py(), "<i8")
-    return ids, np.frombuffer(table["v"][0].as_py(), "<i8").reshape(len(ids), -1)
+PACKED = "block long, rows binary, ids binary, least binary, v binary, dims long, width int"
 
 
-def impact_segments(v: np.ndarray, levels: int = LEVELS) -> list[np.ndarray]:
-    """Postings of a shard by descending impact level: together they make up ``v``.
-
-    A component stands in the segment of its magnitude's level, quantised to the middle of the level's range; the
-    last segment holds what quantising left over, so that every score is exact once all segments are processed.
+def _pack(table: pa.Table) -> pa.Table:
+    """The vectors of a shard or block as one row, in the least whole numbers that hold them."""
+    v = _matrix(table["v"])
+    width = next(w for w in (1, 2, 4, 8) if w == 8 or np.abs(v).max(initial=0) < 1 << (8 * w - 1))
+    raw = lambda x, kind: pa.array([x.astype(kind).tobytes()], pa.binary())
+    least = table["least"].to_numpy() if "least" in table.column_names else np.zeros(0)
+    return pa.table(
+        {
+            "block": table["block"].slice(0, 1).cast(pa.int64()),
+            "rows": raw(table["row"].to_numpy(), "<i8"),
+            "ids": raw(table["vec_id"].to_numpy(), "<i8"),
+            "least": raw(least, "<f8"),
+            "v": raw(v, f"<i{width}"),
+            "dims": pa.array([v.shape[1]], pa.int64()),
+            "width": pa.array([width], pa.int32()),
+        }
+    )
+
+
+@dataclass
+class Vectors:
+    rows: np.ndarray
+    ids: np.ndarray
+    v: np.ndarray
+    least: np.ndarray
+
+
+def _unpack(table: pa.Table) -> Vectors:
+    read = lambda name, kind: np.frombuffer(table[name][0].as_py(), kind)
+    v = read("v", f"<i{table['width'][0].as_py()}").astype(np.int64).reshape(-1, table["dims"][0].as_py())
+    return Vectors(read("rows", "<i8"), read("ids", "<i8"), v, read("least", "<f8"))
+
+
+@dataclass
+class Segment:
+    """Postings of one impact: the vectors whose component ``dim`` is quantised to ``impact``."""
+
+    dim: int
+    impact: float
+    places: np.ndarray
+
+
+def impact_index(v: np.ndarray, levels: int = LEVELS) -> tuple[list[list[Segment]], np.ndarray]:
+    """Posting segments by descending level of their impact, and what each level leaves of the vectors' norms.
+
+    A component stands in one segment, that of its dimension, sign and level, and counts there as the middle of the
+    level's range; zeros stand in none. ``rest[k]`` is the norm of what the levels up to ``k`` leave of each vector: whole
+    components that are still to come, and what quantising took from those that came.
     """
-    top, rest, out = float(np.abs(v).max(initial=0)), v.astype(np.float64), []
-    level = np.minimum(levels - 2, np.floor((1 - np.abs(rest) / max(top, 1)) * (levels - 1))).astype(int)
-    for k in range(levels - 1):
-        middle = np.round(top * (1 - (k + 0.5) / (levels - 1)))
-        out.append(np.where((level == k) & (rest != 0), np.sign(rest) * middle, 0.0))
-    return [*out, rest - sum(out)]
-
-
-def score_at_a_time(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best of a shard for each query: places of queries, ids and exact scores.
-
-    Segments are added to all accumulators by descending impact. What is not yet processed changes a score by at
-    most the product of the query's norm and the norm of the rest of the vector. Once the members whose upper
-    bound reaches the k-th best lower bound are few, nothing else can be among the best, and a query's processing
-    stops; otherwise it ends with the last segment. Possible members are rescored with integers.
+    top = max(1, int(np.abs(v).max(initial=0)))
+    place, dim = np.nonzero(v)
+    value = v[place, dim].astype(np.float64)
+    level = levels - 1 - np.minimum(levels - 1, (np.abs(value) * levels / (top + 1)).astype(int))
+    impact = np.sign(value) * (levels - level - 0.5) * (top + 1) / levels
+    order = np.lexsort((place, value > 0, dim, level))
+    place, dim, value, level, impact = (x[order] for x in (place, dim, value, level, impact))
+    new = np.r_[True, (np.diff(dim) != 0) | (np.diff(level) != 0) | (np.diff(impact) != 0)][: len(place)]
+    starts = np.flatnonzero(new)
+    segments: list[list[Segment]] = [[] for _ in range(levels)]
+    for at, end in zip(starts, np.r_[starts[1:], len(place)], strict=False):
+        segments[level[at]].append(Segment(int(dim[at]), float(impact[at]), place[at:end]))
+    rest, left = np.zeros((levels, len(v))), (v.astype(np.float64) ** 2).sum(1)
+    for k in range(levels):
+        here = slice(*np.searchsorted(level, (k, k + 1)))
+        left = left + np.bincount(place[here], weights=(value[here] - impact[here]) ** 2 - value[here] ** 2, minlength=len(v))
+        rest[k] = np.sqrt(np.maximum(left, 0) * (1 + 1e-9) + 1e-6)
+    return segments, rest
+
+
+def _checked(rest: np.ndarray) -> list[int]:
+    """The levels after which bounds are looked at: whenever the largest rest has halved, and at the end."""
+    most, out = rest.max(1, initial=0), []
+    for k in range(len(most) - 1):
+        if most[k] < 0.5 * (most[out[-1]] if out else most[0] + 1):
+            out.append(k)
+    return [*out, len(most) - 1]
+
+
+def score_at_a_time(queries: Vectors, shard: Vectors, k: int, index=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of a shard for each query: places of queries and of vectors, and exact scores.
+
+    Segments are added to the accumulators by descending impact. What is not yet processed changes a score by at most the
+    product of the query's norm and the norm of the rest of the vector. A query stops once few members are left whose
+    upper bound reaches both its k-th best lower bound and ``least``, the k-th best score it has elsewhere; nothing
+    else can be among its best. Otherwise it goes on to the last segment. Possible members are rescored with integers.
     """
-    width = max(q.shape[1], v.shape[1])
-    q, v = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (q, v))
-    # own[i] is the place of query i in the shard, if it is there
-    own = np.searchsorted(ids, q_ids)
-    has_own = (own < len(ids)) & (ids[np.minimum(own, len(ids) - 1)] == q_ids)
-    qf, norm = q.astype(np.float64), np.sqrt((q.astype(np.float64) ** 2).sum(1))
-    left, live = v.astype(np.float64), np.arange(len(q))
-    scores = np.zeros((len(q), len(ids)))
-    scores[np.flatnonzero(has_own), own[has_own]] = -np.inf
+    width = max(queries.v.shape[1], shard.v.shape[1])
+    q, v = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (queries.v, shard.v))
+    segments, rest = index or impact_index(shard.v)
+    checks, n = set(_checked(rest)), len(v)
+    order = np.argsort(shard.rows)
     found_q, found_v = [], []
-    segments = impact_segments(v)
-    for step, segment in enumerate(segments):
-        scores += qf[live] @ segment.T
-        left -= segment
-        last = step == len(segments) - 1
-        if step < 2 and not last:
-            continue
-        slack = 0.0 if last else norm[live][:, None] * np.sqrt((left**2).sum(1))[None, :] * (1 + 1e-9)
-        lower = scores - slack
-        kth = np.partition(lower, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(live), -np.inf)
-        possible = (scores + slack >= kth[:, None]) & (scores > -np.inf)
-        done = np.ones(len(live), bool) if last else possible.sum(1) <= max(FEW, 2 * k)
-        at, members = np.nonzero(possible[done])
-        found_q.append(live[done][at])
-        found_v.append(members)
-        live, scores = live[~done], scores[~done]
-        if not len(live):
-            break
-    qs, vs = np.concatenate(found_q), np.concatenate(found_v)
-    exact = np.concatenate([(q[qs[i : i + 65536]] * v[vs[i : i + 65536]]).sum(1) for i in range(0, len(qs), 65536)] or [np.zeros(0, np.int64)])
-    order = np.lexsort((ids[vs], -exact, qs))
+    for low in range(0, len(q), HELD):
+        live = np.arange(low, min(low + HELD, len(q)))
+        weights = np.ascontiguousarray(q[live].T.astype(np.float64))
+        norm = np.sqrt((weights**2).sum(0))
+        scores = np.zeros((n, len(live)))
+        for level, postings in enumerate(segments):
+            for s in postings:
+                scores[s.places] += s.impact * weights[s.dim]
+            if level not in checks:
+                continue
+            slack = rest[level][:, None] * norm * (1 + 1e-9)
+            spot = np.minimum(np.searchsorted(shard.rows[order], queries.rows[live]), n - 1)
+            own = shard.rows[order][spot] == queries.rows[live]
+            upper = scores + slack
+            upper[order[spot[own]], np.flatnonzero(own)] = -np.inf
+            least = queries.least[live].copy() if len(queries.least) else np.full(len(live), -np.inf)
+            if n > k:
+                lower = scores - slack
+                lower[order[spot[own]], np.flatnonzero(own)] = -np.inf
+                least = np.maximum(least, np.partition(lower, n - k, axis=0)[n - k])
+            possible = (upper >= least) & (upper > -np.inf)
+            done = (possible.sum(0) <= max(FEW, 2 * k)) | (level == len(segments) - 1)
+            members, at = np.nonzero(possible[:, done])
+            found_q.append(live[done][at])
+            found_v.append(members)
+            live, weights, norm, scores = live[~done], np.ascontiguousarray(weights[:, ~done]), norm[~done], scores[:, ~done]
+            if not len(live):
+                break
+    empty = np.zeros(0, np.int64)
+    qs, vs = np.concatenate(found_q or [empty]), np.concatenate(found_v or [empty])
+    exact = np.concatenate([(q[qs[i : i + 65536]] * v[vs[i : i + 65536]]).sum(1) for i in range(0, len(qs), 65536)] or [empty])
+    order = np.lexsort((shard.ids[vs], -exact, qs))
     qs, vs, exact = qs[order], vs[order], exact[order]
-    first = np.searchsorted(qs, qs, "left")
-    best = np.arange(len(qs)) - first < k
-    return qs[best], ids[vs[best]], exact[best]
+    best = np.arange(len(qs)) - np.searchsorted(qs, qs, "left") < k
+    return qs[best], vs[best], exact[best]
 
 
-def exact_top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64) -> DataFrame:
-    """``query_id, rank, vec_id, score``: the ``k`` best inner products of every query with all other vectors.
+FOUND = "query long, query_id long, vec_id long, score long"
+
 
-    Queries are the rows whose ``vec_id`` is divisible by ``every``. Shards of the index meet blocks of queries
-    one pair to a task; each pair returns its best ``k``, of which the best stay. Scores are exact while their
-    partial sums stay below 2^53. Ties go to the smaller ``vec_id``; vectors of different length are
-    compared as if the shorter ended in zeros; an empty table gives no row; other columns are not read.
+def exact_top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64) -> DataFrame:
+    """``query_id, rank, vec_id, score``: the ``k`` best inner products of every query with all other rows.
+
+    Queries are the rows whose ``vec_id`` is divisible by ``every``; rows that share an id are queries, and candidates for
+    each other, on their own. Shards hold vectors of like norm, the longest first. All queries meet the first shard;
+    the k-th best score they have there holds in all others: a block of queries skips every shard whose norm
+    can't reach it, and members below it are never rescored. Scores are exact while their partial sums stay below
+    2^53. Ties go to the smaller ``vec_id``; vectors of different length are compared as if the shorter ended in
+    zeros; an empty table gives no row; other columns are not read.
     """
     work = Workspace(vectors.sparkSession, "topk")
-    ints = work.table(integer_vectors(vectors, scale), "vectors")
-    queries = ints.where(F.col("vec_id") % every == 0)
-    n, m = ints.count(), queries.count()
-    shards, blocks = max(1, -(-n // SHARD)), max(1, -(-m // BLOCK))
-    packed = "block long, ids binary, v binary, dims long"
-
-    def dealt(df: DataFrame, parts: int) -> DataFrame:
-        keyed = df.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(parts)))
-        return keyed.groupBy("block").applyInArrow(_pack, packed)
-
-    each = lambda parts: F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))
-    index = work.table(dealt(ints, shards), "index").withColumnRenamed("block", "shard").withColumn("block", F.explode(each(blocks)))
-    asked = work.table(dealt(queries, blocks), "queries").withColumn("shard", F.explode(each(shards)))
+    squares = F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
+    norm_class = F.floor(F.log2(F.greatest(squares, F.lit(0.5))) * F.lit(NORM_CLASSES / 2)).cast("int")
+    ints = work.table(integer_vectors(vectors, scale).withColumn("norm", F.sqrt(squares)).withColumn("class", norm_class), "vectors")
+    # a row per class of norms: their number is bounded by the range of the logarithm
+    classes = ints.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("most")).orderBy(F.desc("class")).collect()
+    first, parts, shards = {}, {}, 0
+    for r in classes:
+        first[r["class"]], parts[r["class"]] = shards, -(-r["n"] // SHARD)
+        shards += parts[r["class"]]
+    lookup = lambda known, c: F.element_at(F.create_map(*[F.lit(x) for pair in known.items() for x in pair]), F.col(c))
+    none = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    m = ints.where(F.col("vec_id") % every == 0).count() if shards else 0
+    if not m:
+        return none
+    draw = F.xxhash64("vec_id", "row")
+    sharded = ints.withColumn("block", lookup(first, "class") + F.pmod(draw, lookup(parts, "class").cast("long")))
+    index = work.table(sharded.select("block", "row", "vec_id", "v").groupBy("block").applyInArrow(_pack, PACKED), "index")
+    blocks = max(1, -(-m // BLOCK))
+    queries = ints.where(F.col("vec_id") % every == 0).withColumn("block", F.pmod(draw, F.lit(blocks).cast("long")))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not (left.num_rows and right.num_rows):
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
-        (ids, v), (q_ids, q) = _unpack(left), _unpack(right)
-        qs, vs, scores = score_at_a_time(q_ids, q, ids, v, k)
-        return pa.table({"query_id": q_ids[qs], "vec_id": vs, "score": scores})
-
-    pairs = index.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(search, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        out = {"query": [], "query_id": [], "vec_id": [], "score": []}
+        if left.num_rows and right.num_rows:
+            shard, asked = _unpack(left), _unpack(right)
+            qs, vs, scores = score_at_a_time(asked, shard, k)
+            out = {"query": asked.rows[qs], "query_id": asked.ids[qs], "vec_id": shard.ids[vs], "score": scores}
+        return pa.table({name: pa.array(x, pa.int64()) for name, x in out.items()})
+
+    def met(shards: DataFrame, asked: DataFrame) -> DataFrame:
+        """Blocks of queries with the shards named in their ``shards``."""
+        pairs = asked.withColumn("shard", F.explode("shards")).drop("shards")
+        wanted = pairs.select("shard", F.col("block").alias("by")).distinct()
+        sent = shards.withColumnRenamed("block", "shard").join(wanted, "shard").withColumnRenamed("by", "block")
+        return sent.groupBy("shard", "block").cogroup(pairs.groupBy("shard", "block")).applyInArrow(search, FOUND)
+
+    def packed(asked: DataFrame, name: str) -> DataFrame:
+        bounds = asked.groupBy("block").agg(F.max("norm").alias("norm"), F.min("least").alias("reach"))
+        rows = asked.select("block", "row", "vec_id", "v", "least").groupBy("block").applyInArrow(_pack, PACKED)
+        return work.table(rows.join(bounds, "block"), name)
+
+    start = packed(queries.withColumn("least", F.lit(float("-inf"))), "queries")
+    head = work.table(met(index.where("block = 0"), start.withColumn("shards", F.array(F.lit(0).cast("long"))).drop("norm", "reach")), "head")
+    best = F.sort_array(F.collect_list("score"), asc=False)
+    known = head.groupBy("query").agg(F.try_element_at(best, F.lit(k)).cast("double").alias("least"))
+    again = queries.join(known, F.col("row") == F.col("query"), "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+    found = head
+    if shards > 1:
+        spans = [(max(1, first[r["class"]]), first[r["class"]] + parts[r["class"]] - 1, r["most"]) for r in classes]
+        known = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b"), F.lit(top).alias("top")) for a, b, top in spans if a <= b])
+        near: Column = F.filter(known, lambda s: F.col("norm") * s["top"] * (1 + 1e-9) >= F.col("reach"))
+        named = packed(again, "again").withColumn("shards", F.flatten(F.transform(near, lambda s: F.sequence(s["a"], s["b"]))))
+        found = head.unionByName(met(index.where("block > 0"), named.drop("norm", "reach")))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

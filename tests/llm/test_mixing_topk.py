@@ -74,10 +74,11 @@ def test_training_order_takes_whole_documents(spark):
 
 
 def brute_top(vectors, k=20, every=20):
+    """Rows that share an id are queries and candidates on their own."""
     out = []
-    for q, x in vectors:
+    for row, (q, x) in enumerate(vectors):
         if q % every == 0:
-            scores = sorted(((-sum(a * b for a, b in zip(x, y, strict=False)), v) for v, y in vectors if v != q))
+            scores = sorted((-sum(a * b for a, b in zip(x, y, strict=False)), v) for other, (v, y) in enumerate(vectors) if other != row)
             out += [(q, i + 1, v, -s) for i, (s, v) in enumerate(scores[:k])]
     return sorted(out)
 
@@ -86,24 +87,44 @@ def as_ints(x):
     return [int(np.floor(64.0 * float(np.float32(v)))) for v in x]
 
 
-@pytest.mark.parametrize("shard,few", [(16384, 200), (17, 1)])
-def test_top_k(spark, monkeypatch, shard, few):
-    monkeypatch.setattr(topk, "SHARD", shard)
-    monkeypatch.setattr(topk, "BLOCK", 3)
-    monkeypatch.setattr(topk, "FEW", few)
+@pytest.mark.parametrize("shard,few,held,levels", [(16384, 200, 256, 12), (17, 1, 2, 12), (40, 1, 3, 2), (17, 0, 256, 40)])
+def test_top_k(spark, monkeypatch, shard, few, held, levels):
+    for name, value in {"SHARD": shard, "BLOCK": 3, "FEW": few, "HELD": held}.items():
+        monkeypatch.setattr(topk, name, value)
+    monkeypatch.setattr(topk.impact_index, "__defaults__", (levels,))
     rng = np.random.default_rng(1)
     vectors = [(int(i), (rng.standard_normal(8) * rng.choice([0.01, 1, 30])).tolist()) for i in range(150)]
-    vectors += [(i, vectors[3][1]) for i in range(150, 200)] + [(200, [0.0] * 8), (220, [1.0, 2.0])]
-    bad = [(300, None), (301, [1.0, None]), (302, [float("nan")] * 8), (303, [float("inf")] * 8), (None, [1.0] * 8), (200, [0.0] * 8)]
+    vectors += [(i, vectors[3][1]) for i in range(150, 200)] + [(200, [0.0] * 8), (220, [1.0, 2.0]), (200, [0.0] * 8), (40, vectors[60][1]), (21, vectors[21][1])]
+    bad = [(300, None), (301, [1.0, None]), (302, [float("nan")] * 8), (303, [float("inf")] * 8), (None, [1.0] * 8)]
     df = spark.createDataFrame([(i, x, 1) for i, x in vectors + bad], "vec_id long, embedding array<float>, score int")
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.exact_top_k(df).collect())
     assert got == brute_top([(i, as_ints(x)) for i, x in vectors])
     assert topk.exact_top_k(df.limit(0)).count() == 0 and topk.exact_top_k(df.where("vec_id = 20")).count() == 0
 
 
-def test_segments_make_up_the_vectors():
+def test_segments_come_by_impact_and_bound_what_is_left():
     v = np.random.default_rng(2).integers(-500, 500, (50, 6))
-    segments = topk.impact_segments(v)
-    assert np.array_equal(sum(segments), v)
-    norms = [np.abs(v - sum(segments[: k + 1])).max() for k in range(len(segments))]
-    assert norms[-1] == 0
+    v[7] = 0
+    segments, rest = topk.impact_index(v)
+    impacts = [[abs(s.impact) for s in level] for level in segments]
+    assert all(min(a) > max(b) for a, b in zip(impacts[:-1], impacts[1:], strict=True) if a and b)
+    assert sum(len(s.places) for level in segments for s in level) == np.count_nonzero(v)
+    left = v.astype(float)
+    for level, norms in zip(segments, rest, strict=True):
+        for s in level:
+            left[s.places, s.dim] -= s.impact
+        assert (np.sqrt((left**2).sum(1)) <= norms).all() and np.allclose(np.sqrt((left**2).sum(1)), norms, atol=0.01)
+
+
+def test_a_query_stops_before_the_last_segment(monkeypatch):
+    rng = np.random.default_rng(4)
+    v = rng.integers(-40, 40, (3000, 16))
+    q = v[:8] * 1
+    shard = topk.Vectors(np.arange(3000), np.arange(3000), v, np.zeros(0))
+    asked = topk.Vectors(np.arange(8), np.arange(8), q, np.zeros(0))
+    segments, rest = topk.impact_index(v)
+    broken = [*segments[:-1], [topk.Segment(0, float("nan"), np.arange(3000))]]  # the last level is never read
+    monkeypatch.setattr(topk, "FEW", 2990)
+    got = topk.score_at_a_time(asked, shard, 20, (broken, rest))
+    want = topk.score_at_a_time(asked, shard, 20, (segments, rest))
+    assert all(np.array_equal(a, b) for a, b in zip(got, want, strict=True))
