@@ -2,8 +2,9 @@
 
 Texts are joined as classes of equal texts. Candidates share a band of their MinHash signature; their remaining MinHash
 values are compared step by step, and a pair is dropped once the posterior probability that its similarity reaches
-the threshold falls below a tolerance. What is left is verified on the n-grams themselves. Pairs exist
-only inside a task's arrays: rows are made per document and block, never per pair.
+the threshold falls below a tolerance. Only the pairs that are left are verified, on the n-grams themselves: a document's
+n-grams go to those pairs of blocks in which it has such a pair. Pairs exist only inside a task's arrays: rows
+are made per document and pair of blocks, never per pair.
 """
 
 from __future__ import annotations
@@ -20,16 +21,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import Workspace, read_table
-from corpusloom.llm.components import connected_components, roots, union
+from corpusloom.llm.components import connected_components, hub_join, roots, union
 
 NGRAM, THRESHOLD, TOLERANCE = 5, 0.8, 1e-8
 #: MinHash values and values of a band. At similarity 0.8 a pair shares none of the 32 bands with probability 5e-8.
 HASHES, BAND, STEP = 128, 4, 16
 BANDS = HASHES // BAND
-#: Documents of a block: of a bucket while pruning, of a cluster while verifying.
-BUCKET_BLOCK, CLUSTER_BLOCK = 8192, 1024
-#: N-grams that a block of a cluster holds on average, at most: long texts make smaller blocks.
-GRAM_BLOCK = 4_000_000
+#: Documents of a block of a bucket, and n-grams that it holds on average, at most: long texts make smaller blocks.
+BUCKET_BLOCK, GRAM_BLOCK = 2048, 4_000_000
 _PAIRS = 400_000
 _draw = np.random.default_rng(20_240_229)
 _A = _draw.integers(0, 2**63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -107,32 +106,45 @@ def sketches(docs: DataFrame, n: int) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
-                found = [(len(g), minhash(g).tobytes()) for g in word_grams(batch.column(1), n)]
-                nodes = [hashlib.md5(t.as_py().encode()).digest() if t.is_valid else None for t in batch.column(1)]
+                found = [(len(g), minhash(g).tobytes()) for g in word_grams(readable(batch.column(1)), n)]
+                nodes = [hashlib.md5(t.as_py()).digest() if t.is_valid else None for t in batch.column(1)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary()), pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.binary())], names=["doc_id", "node", "grams", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(sketch, "doc_id long, node binary, grams int, sig binary")
+    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(sketch, "doc_id long, node binary, grams int, sig binary")
+
+
+def readable(raw: pa.Array) -> pa.Array:
+    """Bytes as text; what isn't UTF-8 is read as U+FFFD."""
+    text = raw.cast(pa.string(), safe=False)
+    try:
+        text.validate(full=True)
+        return text
+    except pa.ArrowInvalid:
+        return pa.array([x.as_py().decode("utf-8", "replace") if x.is_valid else None for x in raw], pa.string())
 
 
 def _bands(nodes: DataFrame) -> DataFrame:
-    """``bucket, band, node``: a row for each band of each signature."""
+    """``bucket, band, node, grams, sig``: a row for each band of each signature."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u8").reshape(-1, BANDS)
+                keys = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u8").reshape(-1, BANDS)
                 keys = _mix(keys * _M + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
                 places = pa.array(np.repeat(np.arange(len(keys)), BANDS))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(keys))), batch.column(0).take(places)], names=["bucket", "band", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(keys))), batch.column(0).take(places), batch.column(1).take(places)], names=["bucket", "band", "node", "grams"])
+
+    return nodes.select("node", "grams", "sig").mapInArrow(cut, "bucket long, band int, node binary, grams int")
+
 
-    return nodes.select("node", "sig").mapInArrow(cut, "bucket long, band int, node binary")
+def _blocks(members: DataFrame) -> DataFrame:
+    """Deals a bucket's rows into ``parts`` blocks and each block into its pairs with all blocks of the bucket: ``lo <= hi``."""
+    dealt = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return _sorted(dealt.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("other", "parts"))
 
 
-def _blocks(members: DataFrame, key: str, count: Column, size: int) -> DataFrame:
-    """Deals a key's rows into blocks and each block into its pairs with all blocks of the key: ``lo <= hi``."""
-    parts = F.ceil(count / F.lit(size)).cast("int")
-    dealt = members.withColumn("block", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    return dealt.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("other").repartition(key, "lo", "hi").sortWithinPartitions(key, "lo", "hi", "block")
+def _sorted(dealt: DataFrame) -> DataFrame:
+    return dealt.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "block", "node")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], key: str, rows: int) -> Iterator[pa.Table]:
@@ -187,79 +199,94 @@ def _pairs(table: pa.Table, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np
         at = to
 
 
+def _survivors(table: pa.Table, least: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of each bucket, compared step by step and pruned, at the first of the bands that they share."""
+    sig = np.frombuffer(b"".join(table["sig"].to_pylist()), "<u2").reshape(-1, HASHES)
+    keys, band = sig.view("<u8"), table["band"].to_numpy()
+    own = keys[np.arange(len(keys)), band]
+    for a, b in _pairs(table, _starts(table, "bucket")):
+        same = (band[a] == band[b]) & (own[a] == own[b])  # buckets are hashes
+        a, b = a[same], b[same]
+        for earlier in range(int(band[a].max(initial=0))):
+            new = (keys[a, earlier] != keys[b, earlier]) | (band[a] <= earlier)
+            a, b = a[new], b[new]
+        matches = np.zeros(len(a), np.int64)
+        for k, fewest in enumerate(least):
+            if not len(a):
+                break
+            matches += (sig[a, k * STEP : (k + 1) * STEP] == sig[b, k * STEP : (k + 1) * STEP]).sum(1)
+            possible = matches >= fewest
+            a, b, matches = a[possible], b[possible], matches[possible]
+        if len(a):
+            yield a, b
+
+
+DEALT = "bucket long, band int, lo int, hi int, block int, node binary, sig binary"
+
+
 def _prune(threshold: float, tolerance: float):
-    """Candidates of each bucket, pruned; what is left comes out as stars, a row per document and bucket."""
+    """The rows of each pair of blocks that have a pair left there."""
     least = least_matches(threshold, tolerance)
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches, "bucket", 20_000):
-            sig = np.frombuffer(b"".join(table["sig"].to_pylist()), "<u2").reshape(-1, HASHES)
-            keys, band, parent = sig.view("<u8"), table["band"].to_numpy(), np.arange(len(sig))
-            for a, b in _pairs(table, _starts(table, "bucket")):
-                # a pair that shares an earlier band is compared there
-                for earlier in range(int(band[a].max())):
-                    new = (keys[a, earlier] != keys[b, earlier]) | (band[a] <= earlier)
-                    a, b = a[new], b[new]
-                    if not len(a):
-                        break
-                matches = np.zeros(len(a), np.int64)
-                for k, fewest in enumerate(least):
-                    if not len(a):
-                        break
-                    matches += (sig[a, k * STEP : (k + 1) * STEP] == sig[b, k * STEP : (k + 1) * STEP]).sum(1)
-                    possible = matches >= fewest
-                    a, b, matches = a[possible], b[possible], matches[possible]
-                union(parent, a, b)
-            root = roots(parent)
-            moved = np.flatnonzero(root != np.arange(len(root)))
-            nodes = table["node"].combine_chunks()
-            yield pa.RecordBatch.from_arrays([nodes.take(pa.array(moved)), nodes.take(pa.array(root[moved]))], names=["a", "b"])
+            needed = np.zeros(table.num_rows, bool)
+            for a, b in _survivors(table, least):
+                needed[a] = needed[b] = True
+            yield from table.filter(pa.array(needed)).to_batches()
 
     return prune
 
 
-def _verify(threshold: float):
-    """Exact similarity of all pairs of a block or of two, by products of their incidence matrices."""
+def _common(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many n-grams the sets of each pair share: one by one where pairs are few, else by products of incidence matrices."""
+    if len(a) <= 4 * len(sets):
+        return np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(a, b, strict=True)])
+    values, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, code, seen = np.unique(values, return_inverse=True, return_counts=True)
+    column = np.cumsum(seen > 1) - 1
+    shared = seen[code] > 1
+    code, row = column[code[shared]], row[shared]
+    order = np.argsort(code, kind="stable")
+    code, row, common = code[order], row[order], np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, int(code[-1]) + 1 if len(code) else 0, 4096):
+        i, j = np.searchsorted(code, (low, low + 4096))
+        x = np.zeros((len(sets), min(4096, int(code[-1]) + 1 - low)), np.float32)
+        x[row[i:j], code[i:j] - low] = 1
+        common += x @ x.T
+    return common[a, b]
+
 
-    def grams_of(column: pa.Array, rows: range) -> tuple[np.ndarray, np.ndarray]:
-        parts = [np.frombuffer(column[i].as_py(), "<u8") for i in rows]
-        return np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+VERIFIED = "node binary, links long, root binary"
+
+
+def _verify(threshold: float, tolerance: float):
+    """Exact similarity of the pairs that are left in a pair of blocks; what links join comes out as stars, a row per document."""
+    least = least_matches(threshold, tolerance)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches, "cluster", 1):
-            starts = [*_starts(table, "cluster"), table.num_rows]
-            grams, sizes, copies = table["shingles"].combine_chunks(), table["grams"].to_numpy(), table["copies"].to_numpy()
-            block, lo, hi = (table[x].to_numpy() for x in ("block", "lo", "hi"))
-            parent, links = np.arange(table.num_rows), np.zeros(table.num_rows, np.int64)
-            for at, end in zip(starts[:-1], starts[1:], strict=True):
-                values, row = grams_of(grams, range(at, end))
-                distinct, code, seen = np.unique(values, return_inverse=True, return_counts=True)
-                column = np.cumsum(seen > 1) - 1
-                shared = seen[code] > 1
-                code, row = column[code[shared]], row[shared]
-                n, width = end - at, int(column[-1]) + 1 if len(column) else 0
-                across = lo[at] != hi[at]
-                split = int((block[at:end] == lo[at]).sum())
-                left, right = (slice(0, split), slice(split, n)) if across else (slice(0, n), slice(0, n))
-                common = np.zeros((left.stop - left.start, right.stop - right.start), np.float64)
-                order = np.argsort(code, kind="stable")
-                code, row = code[order], row[order]
-                for low in range(0, width, 4096):
-                    i, j = np.searchsorted(code, (low, low + 4096))
-                    x = np.zeros((n, min(4096, width - low)), np.float32)
-                    x[row[i:j], code[i:j] - low] = 1
-                    common += x[left] @ x[right].T
-                a_size, b_size = sizes[at:end][left], sizes[at:end][right]
-                linked = common >= threshold * (a_size[:, None] + b_size[None, :] - common) - 1e-9
-                if not across:
-                    np.fill_diagonal(linked, False)
-                links[at:end][left] += linked @ copies[at:end][right]
-                if across:
-                    links[at:end][right] += linked.T @ copies[at:end][left]
-                a, b = np.nonzero(linked)
-                union(parent, a + at + left.start, b + at + right.start)
+        for table in _groups(batches, "bucket", 1):
+            found = list(_survivors(table, least))
+            a, b = (np.concatenate([x[k] for x in found] or [np.zeros(0, np.int64)]) for k in (0, 1))
+            grams = [np.frombuffer(x.as_py(), "<u8") for x in table["shingles"].combine_chunks()]
+            sizes, copies = np.array([len(g) for g in grams]), table["copies"].to_numpy()
+            # what no chain of pairs connects is compared apart
+            parent = np.arange(table.num_rows)
+            union(parent, a, b)
+            part = roots(parent)
+            order = np.argsort(part[a], kind="stable")
+            a, b, linked = a[order], b[order], np.zeros(len(a), bool)
+            cuts = np.flatnonzero(np.diff(part[a])) + 1
+            for at, end in zip(np.r_[0, cuts], np.r_[cuts, len(a)], strict=True):
+                places, local = np.unique(np.r_[a[at:end], b[at:end]], return_inverse=True)
+                common = _common([grams[i] for i in places], local[: end - at], local[end - at :]) if end > at else np.zeros(0)
+                linked[at:end] = common >= threshold * (sizes[a[at:end]] + sizes[b[at:end]] - common) - 1e-9
+            a, b, parent = a[linked], b[linked], np.arange(table.num_rows)
+            union(parent, a, b)
+            links = np.bincount(a, copies[b], table.num_rows) + np.bincount(b, copies[a], table.num_rows)
+            kept = np.flatnonzero(links)
             nodes = table["node"].combine_chunks()
-            yield pa.RecordBatch.from_arrays([nodes, pa.array(links), nodes.take(pa.array(roots(parent))), table["parts"].combine_chunks()], names=["node", "links", "root", "parts"])
+            yield pa.RecordBatch.from_arrays([nodes.take(pa.array(kept)), pa.array(links[kept].astype(np.int64)), nodes.take(pa.array(roots(parent)[kept]))], names=["node", "links", "root"])
 
     return verify
 
@@ -274,61 +301,60 @@ def jaccard_join(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD,
     null or without words has no gram, no link and its own ``doc_id`` as class. Repeated rows are copies of each
     other; an empty table gives no row; other columns are not read.
 
-    A pair of similarity s at the threshold or above is missed if no band is shared (at most 5e-8) or if it is pruned
-    (at most ``tolerance`` for each of the steps); a found pair always has the exact similarity.
+    A pair of similarity ``threshold`` is missed if it shares no band (at most 5e-8) or is pruned, which at each of the
+    eight steps has a chance of at most ``tolerance`` / (1 - ``threshold``), 5e-8 (``tolerance`` is a posterior under a
+    uniform prior); more similar pairs are missed less often. A pair that is found always has the exact similarity.
     """
-    spark = docs.sparkSession
-    work = Workspace(spark, "jaccard")
+    work = Workspace(docs.sparkSession, "jaccard")
     rows = work.table(sketches(docs, n), "sketches")
-    nodes = work.table(rows.where("node is not null and grams > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("grams").alias("grams"), F.first("sig").alias("sig")), "nodes")
+    known = rows.where("node is not null and grams > 0").groupBy("node")
+    nodes = work.table(known.agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("grams").alias("grams"), F.first("sig").alias("sig")), "nodes")
     bands = _bands(nodes)
-    shared = bands.groupBy("bucket").count().where("count > 1")
-    members = bands.join(shared, "bucket")
-    candidates = _blocks(members.join(nodes.select("node", "sig"), "node"), "bucket", F.col("count"), BUCKET_BLOCK)
-    edges = work.table(candidates.select("bucket", "band", "lo", "hi", "block", "node", "sig").mapInArrow(_prune(threshold, tolerance), "a binary, b binary"), "candidates")
-    found = connected_components(work, edges, "clusters")
-    clusters = work.table(found.select("node", F.col("root").alias("cluster")).union(found.select("root", "root").distinct()), "cluster_of")
-    sized = clusters.join(nodes.select("node", "first_id", "copies", "grams"), "node")
-    parts = F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(CLUSTER_BLOCK), F.sum("grams") / F.lit(GRAM_BLOCK))).cast("int")
-    wanted = sized.join(sized.groupBy("cluster").agg(parts.alias("parts")), "cluster")
+    parts = F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(BUCKET_BLOCK), F.sum("grams") / F.lit(GRAM_BLOCK))).cast("int")
+    shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), parts.alias("parts")).where("n > 1")
+    shared = work.table(shared, "shared")
+    members = hub_join(bands.drop("grams"), shared, "bucket", "n", nodes.count())
+    candidates = _blocks(members.join(nodes.select("node", "sig"), "node"))
+    left = work.table(candidates.select(*[c.split()[0] for c in DEALT.split(", ")]).mapInArrow(_prune(threshold, tolerance), DEALT), "left")
+    wanted = left.select("node").distinct().join(nodes.select("node", "first_id", "copies"), "node")
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                kept = [batch.column(k) for k in range(5)]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array([g.tobytes() for g in word_grams(batch.column(5), n)], pa.binary())], names=["cluster", "parts", "node", "copies", "grams", "shingles"])
+                grams = pa.array([g.tobytes() for g in word_grams(readable(batch.column(2)), n)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), grams], names=["node", "copies", "shingles"])
 
-    texts = docs.select("doc_id", "text").withColumn("text_node", F.unhex(F.md5("text")))
+    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).withColumn("text_node", F.unhex(F.md5("text")))
     picked = wanted.join(texts, (F.col("node") == F.col("text_node")) & F.col("first_id").eqNullSafe(F.col("doc_id"))).dropDuplicates(["node"])
-    shingled = picked.select("cluster", "parts", "node", "copies", "grams", "text").mapInArrow(shingle, "cluster binary, parts int, node binary, copies long, grams int, shingles binary")
-    dealt = _blocks(shingled, "cluster", F.col("parts"), 1)
-    verified = work.table(dealt.select("cluster", "lo", "hi", "block", "node", "copies", "grams", "shingles", "parts").mapInArrow(_verify(threshold), "node binary, links long, root binary, parts int"), "verified")
+    shingled = work.table(picked.select("node", "copies", "text").mapInArrow(shingle, "node binary, copies long, shingles binary"), "shingled")
+    verified = work.table(_sorted(left.join(shingled, "node")).mapInArrow(_verify(threshold, tolerance), VERIFIED), "verified")
+    work.drop("shared", "left", "shingled")
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
-    # A cluster of one block has its components already; those of more blocks are put together.
-    whole = verified.where("parts = 1").select("node", "root")
-    stars = verified.where("parts > 1").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    joined = whole.union(connected_components(work, stars, "stars"))
-    labelled = nodes.select("node", "first_id", "copies").join(links, "node", "left").join(joined, "node", "left").select("node", "first_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("root"))
+    joined = connected_components(work, verified.select(F.col("node").alias("a"), F.col("root").alias("b")), "stars")
+    whole = nodes.select("node", "first_id", "copies").join(links, "node", "left").join(joined, "node", "left")
+    labelled = whole.select("node", "first_id", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("root"))
     labelled = work.table(labelled, "labelled")
-    class_of = labelled.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    final = labelled.join(class_of, "root").select("node", "class_id", "n_links", "root")
-    out = rows.select("doc_id", "node").join(final, "node", "left")
+    classes = labelled.groupBy("root").agg(F.min("first_id").alias("class_id"), F.count(F.lit(1)).alias("n"))
+    final = work.table(hub_join(labelled, classes, "root", "n", nodes.count()).select("node", "class_id", "n_links", "root", "copies"), "final")
+    work.drop("nodes", "verified", "labelled")
+    out = hub_join(rows.select("doc_id", "node"), final, "node", "copies", rows.count(), "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "node", "root")
 
 
 def keep_one_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each class the row with the least ``doc_id`` (then digest) stays.
 
-    Rows with equal ``doc_id`` and text are one document. Texts without words have no class and stay.
+    Rows with equal ``doc_id`` and text are one document. Texts without words have no class and stay, as do null ones; all
+    columns come back as they were, whatever their names; an empty table gives no row.
     """
     work = Workspace(docs.sparkSession, "keep")
     key = lambda node: F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.coalesce(F.hex(node), F.lit("-")))
     rows = work.table(jaccard_join(docs), "classes")
     best = rows.where("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("best")).select("best.*")
-    kept = best.union(rows.where("root is null").select("doc_id", "node")).select(key(F.col("node")).alias("_key"))
-    keyed = docs.withColumn("_key", key(F.unhex(F.md5("text"))))
-    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = best.union(rows.where("root is null").select("doc_id", "node")).select(key(F.col("node")).alias("_keep_key")).distinct()
+    keyed = docs.withColumn("_keep_key", key(F.unhex(F.md5("text"))))
+    return keyed.join(kept, "_keep_key", "left_semi").dropDuplicates(["_keep_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

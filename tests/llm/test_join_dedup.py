@@ -3,6 +3,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import functions as F
 
@@ -64,7 +65,8 @@ def test_join_equals_brute_force(spark):
 def test_join_across_blocks(spark, monkeypatch):
     docs = near_copies(2)
     monkeypatch.setattr(jaccard_join, "BUCKET_BLOCK", 3)
-    monkeypatch.setattr(jaccard_join, "CLUSTER_BLOCK", 2)
+    monkeypatch.setattr(jaccard_join, "GRAM_BLOCK", 1000)
+    monkeypatch.setattr(components, "HOT", 1 / 20)
     monkeypatch.setattr(jaccard_join, "_PAIRS", 7)
     got = jaccard_join.jaccard_join(spark.createDataFrame(docs, "doc_id long, text string").repartition(5))
     assert rows(got, "doc_id", "class_id", "n_links") == brute_join(docs)
@@ -149,3 +151,38 @@ def test_dedup_of_odd_rows(spark):
     assert rows(suffix_dedup.remove_repeats(cut), *COLUMNS) == brute_dedup([r[:2] for r in short])
     assert suffix_dedup.remove_repeats(odd_docs(spark)).count() == len(ROWS)
     assert suffix_dedup.remove_repeats(no_docs(spark)).count() == 0
+
+
+def test_only_pairs_that_are_left_are_verified(spark, monkeypatch):
+    seen = []
+    docs = near_copies(3)
+    table = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    rows_of = {r.node: r for r in jaccard_join.sketches(table, 5).collect()}
+    batch = pa.Table.from_pylist([{"bucket": 1, "band": 0, "lo": 0, "hi": 0, "block": 0, "node": r.node, "sig": r.sig, "copies": 1, "shingles": next(jaccard_join.word_grams(pa.array([docs[r.doc_id][1]]))).tobytes()} for r in rows_of.values()])
+    common = jaccard_join._common
+    monkeypatch.setattr(jaccard_join, "_common", lambda sets, a, b: seen.extend(zip(a, b, strict=True)) or common(sets, a, b))
+    left = [(a, b) for x, y in jaccard_join._survivors(batch, jaccard_join.least_matches()) for a, b in zip(x, y, strict=True)]
+    (out,) = jaccard_join._verify(0.8, 1e-8)(iter(batch.to_batches()))
+    assert len(seen) == len(left) > 0 and set(out["node"].to_pylist()) <= {batch["node"][int(i)].as_py() for pair in left for i in pair}
+
+
+def test_products_count_what_single_comparisons_count():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(0, 50)).astype(np.uint64)) for _ in range(12)]
+    a, b = np.triu_indices(12, 1)
+    want = [len(np.intersect1d(sets[i], sets[j])) for i, j in zip(a, b, strict=True)]
+    assert jaccard_join._common(sets, a, b).tolist() == want and jaccard_join._common(sets, a[:30], b[:30]).tolist() == want[:30]
+
+
+def test_texts_that_are_not_utf8(spark):
+    broken = spark.sql("SELECT 1L AS doc_id, CAST(X'61FF62' AS STRING) AS text UNION ALL SELECT 2, CAST(X'61FF62' AS STRING) UNION ALL SELECT 3, 'a b c'")
+    assert rows(jaccard_join.jaccard_join(broken), "doc_id", "class_id", "n_links") == [(1, 1, 1), (2, 1, 1), (3, 3, 0)]
+
+
+def test_hubs_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(components, "HOT", 0.1)
+    left = spark.createDataFrame([("a", i) for i in range(50)] + [("b", 1), (None, 2), ("c", 3)], "k string, x int")
+    right = spark.createDataFrame([("a", 50, "A"), ("b", 1, "B")], "k string, n long, y string")
+    for how in ("inner", "left"):
+        got = components.hub_join(left, right, "k", "n", 53, how)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, left.join(right.drop("n"), "k", how).collect()))
