@@ -1,19 +1,30 @@
 """Removal of byte strings that occur more than once, by a distributed difference-cover suffix sort.
 
-The order of suffixes matters here for one question only: which of them share their first 200 bytes. So suffixes
-are sorted by names of bounded prefixes: a name is made from a triple of names of shorter prefixes, recursively, and
-equal prefixes have equal names. First the suffixes at a difference cover of the positions are sorted by a short
-prefix; if two 200-byte strings are equal, a suffix of this sample starts at the same place in both. Only
-positions before a sampled suffix that has an equal neighbour in that order can start a repeated string: these
-remaining suffixes are merged by the names of their 200-byte prefixes, and adjacent prefixes are compared.
-
-Texts are staged as blocks of about ``BLOCK`` bytes. A block sends each of its names once to the task that owns its
-part of the name range, and gets a bit for each back, so a string that occurs everywhere costs a row per block.
+A string of ``LENGTH`` bytes is repeated if and only if its suffix has a neighbour, in the sorted order of all suffixes, that
+shares its first ``LENGTH`` bytes. So suffixes are sorted by as much of their beginning as that takes:
+
+1. Suffixes at a difference cover of the positions are the sample: if two strings are equal, a suffix of the sample starts
+   at the same place in both. Their first ``PERIOD`` bytes, a tuple, are sorted, and each tuple that isn't alone is
+   named by its rank.
+2. The names of a text at positions that are ``PERIOD`` apart form a string of their own. Its suffixes are sorted by
+   triples of names: what isn't alone there shares ``3 * PERIOD`` bytes with another suffix of the sample.
+3. The remaining suffixes, those that start at most a period before such a one, are merged into one order.
+4. Neighbours of equal name are compared byte by byte. A suffix whose string isn't equal to its neighbour's, although
+   its name is, is sorted once more together with all of that name, by its bytes themselves.
+
+Tuples are ordered by 48-bit numbers made of their bytes, and remaining suffixes by 64-bit ones, instead of alphabetically: then
+neighbours in the order are found by sending numbers and not strings. Different strings of one number only propose more in
+1 to 3, and 4 tells them apart, so the result is exact whatever the numbers are.
+
+Texts are staged as blocks of about ``BLOCK`` bytes. A block sends each of its numbers once to the task that owns its
+part of their range, so a string that occurs everywhere costs a row per block; strings are compared between a
+block and the one before it that has them too.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,47 +33,51 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import Workspace, read_table
+from corpusloom.llm.components import hub_join
 
 LENGTH = 200
-#: Fixed value: a perfect difference set. Any two residues modulo 73 have a shift of at most 72 that brings both into it.
-PERIOD, COVER = 73, (0, 1, 3, 7, 15, 31, 36, 54, 63)
-#: A sampled suffix and its prefix lie within the string whatever the shift.
-PREFIX = LENGTH - PERIOD + 1
-#: Bytes of text in a block, positions named at once (their arrays fit a core's cache), bytes of text for each part of the names.
-BLOCK, SLICE, PART_BYTES = 2 << 20, 1 << 16, 16 << 20
-#: Names of sampled prefixes only propose, so 48 bits of them do.
-SAMPLE_BITS = 48
-
-if len({(a - b) % PERIOD for a in COVER for b in COVER}) != PERIOD:
+#: Fixed value: a difference cover. Any two residues modulo 50 have a shift of at most 49 that brings both into it.
+PERIOD, COVER = 50, (0, 1, 3, 8, 17, 28, 32, 38)
+#: A sampled suffix and its triple of tuples lie within the string whatever the shift.
+TRIPLE = 3 * PERIOD
+#: Bytes of text in a block, positions numbered at once (their arrays fit a core's cache), bytes of text for each part of the numbers.
+BLOCK, SLICE, PART_BYTES = 4 << 20, 1 << 16, 16 << 20
+#: Bits of the numbers of tuples and triples, and of remaining suffixes.
+SAMPLE_BITS, BITS = 48, 64
+
+if len({(a - b) % PERIOD for a in COVER for b in COVER}) != PERIOD or TRIPLE + PERIOD - 1 > LENGTH:
     raise ValueError("not a difference cover")
 
 
-def _triple(x: np.ndarray, second: int, third: int, odd: int) -> np.ndarray:
-    """Names of longer prefixes from a triple of names: at a position and at two further ones."""
-    n, word = len(x) - third, x.dtype.type
-    bits = word(x.dtype.itemsize * 4 - 3)
-    out = x[:n] * word(odd)
+def _fold(x: np.ndarray, second: int, third: int, odd: int) -> np.ndarray:
+    """Numbers of longer prefixes from those at a position and at two further ones."""
+    n, bits = len(x) - third, np.uint64(29)
+    out = x[:n] * np.uint64(odd)
     out ^= out >> bits
     out += x[second : second + n]
-    out *= word(odd ^ 0x5BD1E994)
+    out *= np.uint64(odd ^ 0x5BD1E994)
     out ^= out >> bits
     out += x[third:]
-    out *= word(odd)
+    out *= np.uint64(odd)
     out ^= out >> bits
     return out
 
 
-def _names(buffer: np.ndarray, upto: int, word) -> np.ndarray:
-    """Names of all prefixes of ``PREFIX`` or ``LENGTH`` bytes, by tripling."""
-    seed = 0x9E3779B97F4A7C15 if word is np.uint64 else 0x85EBCA6B
-    names = buffer.astype(word) * word(0xD6E8FEB86659FD93 & int(np.iinfo(word).max)) + word(seed)
-    names ^= names >> word(names.dtype.itemsize * 4 + 1)
-    size, odd = 1, seed | 1
+def _numbers(buffer: np.ndarray, upto: int) -> np.ndarray:
+    """Numbers of all prefixes of ``upto`` bytes, by tripling."""
+    top, seed = (1 << 64) - 1, 0x9E3779B97F4A7C15
+    x = buffer.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(seed)
+    x ^= x >> np.uint64(33)
+    size, odd = 1, seed
     while 3 * size <= upto:
-        names, size, odd = _triple(names, size, 2 * size, (odd * 5 + 2) & int(np.iinfo(word).max) | 1), 3 * size, (odd * 7 + 4) & int(np.iinfo(word).max) | 1
+        x, size, odd = _fold(x, size, 2 * size, (odd * 5 + 2) & top | 1), 3 * size, (odd * 7 + 4) & top | 1
     if size < upto:  # the last triple overlaps
-        names = _triple(names, min(size, upto - size), upto - size, odd)
-    return names
+        x = _fold(x, min(size, upto - size), upto - size, odd)
+    return x
+
+
+def _least_bits(x: np.ndarray, bits: int) -> np.ndarray:
+    return x >> np.uint64(64 - bits) if bits else np.zeros_like(x)
 
 
 class Block:
@@ -73,134 +88,192 @@ class Block:
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
         self.bytes = np.frombuffer(b"".join(texts), np.uint8)
 
-    def inside(self, room: int) -> np.ndarray:
-        """Marks positions with at least ``room`` bytes left in their text."""
-        out = np.zeros(len(self.bytes), bool)
-        for at, size in zip(self.starts[:-1], self.sizes, strict=True):
-            out[at : at + max(0, size - room + 1)] = True
-        return out
+    def at(self, positions: np.ndarray, length: int, bits: int) -> np.ndarray:
+        """Numbers of the prefixes at these ascending positions."""
+        out = np.zeros(len(positions), np.uint64)
+        for low in range(0, len(self.bytes), SLICE):
+            i, j = np.searchsorted(positions, (low, low + SLICE))
+            if i < j:
+                first = positions[i]
+                out[i:j] = _numbers(self.bytes[first : positions[j - 1] + length], length)[positions[i:j] - first]
+        return _least_bits(out, bits)
 
     def sample(self) -> tuple[np.ndarray, np.ndarray]:
-        """Sampled positions of texts long enough to hold a string, and the names of their prefixes."""
-        in_cover = np.zeros(PERIOD, bool)
-        in_cover[list(COVER)] = True
-        chosen = self.inside(PREFIX)
-        for at, size in zip(self.starts[:-1], self.sizes, strict=True):
-            if size < LENGTH:
-                chosen[at : at + size] = False
-            else:
-                chosen[at : at + size] &= np.resize(in_cover, size)
-        positions, names = np.flatnonzero(chosen), []
-        for at in range(0, len(self.bytes), SLICE):
-            here = positions[np.searchsorted(positions, at) : np.searchsorted(positions, at + SLICE)]
-            if len(here):
-                names.append(_names(self.bytes[at : at + SLICE + PREFIX - 1], PREFIX, np.uint64)[here - at])
-        return positions, np.concatenate(names or [np.zeros(0, np.uint64)]) >> np.uint64(64 - SAMPLE_BITS)
+        """Sampled positions, ascending: of texts that can hold a string those that have a tuple left; and each one's text."""
+        out, texts = [], []
+        for k in np.flatnonzero(self.sizes >= LENGTH):
+            places = (np.arange(0, self.sizes[k], PERIOD)[:, None] + np.array(COVER)).ravel()
+            places = places[places <= self.sizes[k] - PERIOD]
+            out.append(places + self.starts[k])
+            texts.append(np.full(len(places), k))
+        empty = np.zeros(0, np.int64)
+        return np.concatenate(out or [empty]), np.concatenate(texts or [empty])
+
+    def triples(self, names: np.ndarray, left_out: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sampled positions whose three tuples all have names (0: none), outside texts left out, and the numbers of the triples."""
+        positions, text = self.sample()
+        n = max(0, len(positions) - 2 * len(COVER))
+        second, third = slice(len(COVER), len(COVER) + n), slice(2 * len(COVER), 2 * len(COVER) + n)
+        # the cover's residues come around again in each period of a text, so the next tuples stand this much further
+        inside = (text[:n] == text[third]) & ~left_out[text[:n]] & (names[:n] > 0) & (names[second] > 0) & (names[third] > 0)
+        kept = np.flatnonzero(inside)
+        x = names[kept] * np.uint64(0x9E3779B97F4A7C15)
+        for more in (names[kept + len(COVER)], names[kept + 2 * len(COVER)]):
+            x ^= x >> np.uint64(29)
+            x = (x + more) * np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(32)
+        return positions[kept], _least_bits(x * np.uint64(0x94D049BB133111EB), bits)
 
     def remaining(self, repeated: np.ndarray) -> np.ndarray:
         """Positions that can start a repeated string: at most a period before a sampled suffix that isn't alone."""
         edge = np.zeros(len(self.bytes) + 1, np.int32)
         np.add.at(edge, np.maximum(repeated - PERIOD + 1, 0), 1)
         np.add.at(edge, repeated + 1, -1)
-        return np.flatnonzero((np.cumsum(edge[:-1]) > 0) & self.inside(LENGTH))
-
-    def strings(self, positions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Names of the strings at these positions, of 64 bits and of 16 others; bytes of no string are left out."""
-        edge = np.zeros(len(self.bytes) + 1, np.int32)
-        np.add.at(edge, positions, 1)
-        np.add.at(edge, positions + LENGTH, -1)
-        used = np.cumsum(edge[:-1]) > 0
-        text, at = self.bytes[used], (np.cumsum(used) - 1)[positions]
-        name, check = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint16)
-        for low in range(0, len(text), SLICE):
-            i, j = np.searchsorted(at, (low, low + SLICE))
-            if i < j:
-                part, here = text[low : low + SLICE + LENGTH - 1], at[i:j] - low
-                name[i:j] = _names(part, LENGTH, np.uint64)[here]
-                check[i:j] = _names(part, LENGTH, np.uint32)[here] >> np.uint32(16)
-        return name, check
+        near = np.cumsum(edge[:-1]) > 0
+        for at, size in zip(self.starts[:-1], self.sizes, strict=True):
+            near[max(at, at + size - LENGTH + 1) : at + size] = False
+        return np.flatnonzero(near)
+
+
+def _differ(mine: np.ndarray, q: np.ndarray, theirs: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which strings of ``mine`` at ascending ``q`` differ from those of ``theirs`` at ``at``; bytes that strings share are read once."""
+    if not len(q):
+        return np.zeros(0, bool)
+    step = np.diff(q)
+    step = np.where((step <= LENGTH) & (np.diff(at) == step), step, LENGTH)
+    begin, size = np.r_[0, np.cumsum(step)], np.r_[step, LENGTH]
+    places = np.arange(begin[-1] + LENGTH)
+    unlike = mine[np.repeat(q - begin, size) + places] != theirs[np.repeat(at - begin, size) + places]
+    seen = np.r_[0, np.cumsum(unlike)]
+    return seen[begin + LENGTH] > seen[begin]
+
+
+def _extract(buffer: np.ndarray, positions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the strings at these positions, shared ones once, and where each string starts in them."""
+    order = np.argsort(positions, kind="stable")
+    p = positions[order]
+    step = np.minimum(np.diff(p), LENGTH)
+    begin, size = np.r_[0, np.cumsum(step)].astype(np.int64), np.r_[step, LENGTH]
+    at = np.empty(len(p), np.int64)
+    at[order] = begin
+    return buffer[np.repeat(p - begin, size) + np.arange(begin[-1] + LENGTH)], at
 
 
 SENT = "part int, block long, names binary, many binary"
-ANSWER = "block long, part int, bits binary"
+#: What a part tells a block: which of the names it sent are repeated; their ranks; with which block it shares which names
+#: (``kind`` 1: that one comes before it, 2: behind it).
+ANSWER = "block long, part int, kind int, other long, bits binary, places binary"
 
 
-def _encode(names: np.ndarray, check: np.ndarray | None) -> bytes:
+def _encode(names: np.ndarray) -> bytes:
     """Sorted names as the bytes of their differences, equal bytes of all names together, so that they compress."""
     steps = np.diff(names)
     width = max(1, (int(steps.max(initial=0)).bit_length() + 7) // 8)
     planes = steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
-    return bytes([width]) + names[:1].astype("<u8").tobytes() + planes.tobytes() + (b"" if check is None else check.astype("<u2").tobytes())
+    return bytes([width]) + names[:1].astype("<u8").tobytes() + planes.tobytes()
 
 
-def _decode(blob: bytes, checked: bool) -> tuple[np.ndarray, np.ndarray | None]:
-    width, rest = blob[0], len(blob) - 9
-    n = (rest + width) // (width + 2 * checked)
-    planes = np.frombuffer(blob, np.uint8, width * (n - 1), 9).reshape(width, n - 1)
+def _decode(blob: bytes) -> np.ndarray:
+    if len(blob) < 9:
+        return np.zeros(0, np.uint64)
+    width = blob[0]
+    n = 1 + (len(blob) - 9) // width
     steps = np.zeros((n - 1, 8), np.uint8)
-    steps[:, :width] = planes.T
-    names = np.concatenate([np.frombuffer(blob, "<u8", 1, 1), steps.view("<u8").ravel()]).cumsum(dtype=np.uint64)
-    return names, np.frombuffer(blob, "<u2", n, 9 + width * (n - 1)) if checked else None
-
-
-def _distinct(names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The order of names, where each distinct name begins in it, and the place of each name among the distinct ones."""
-    order = np.argsort(names)
-    ranked = names[order]
-    new = np.ones(len(names), bool)
-    new[1:] = ranked[1:] != ranked[:-1]
-    place = np.empty(len(names), np.int64)
-    place[order] = np.cumsum(new) - 1
-    return order, np.flatnonzero(new), place
-
-
-def _parts(names: np.ndarray, parts: int, bits: int) -> np.ndarray:
-    """Where each part of the range of names begins among sorted names."""
-    bounds = np.array([(k << bits) // parts for k in range(1, parts)], np.uint64)
-    return np.r_[0, np.searchsorted(names, bounds), len(names)]
-
-
-def _sent(block: int, names: np.ndarray, check: np.ndarray | None, parts: int, bits: int) -> Iterator[pa.RecordBatch]:
-    order, first, _ = _distinct(names)
-    distinct, many = names[order[first]], np.diff(np.r_[first, len(names)]) > 1
-    extra = None if check is None else check[order[first]]
-    cuts = _parts(distinct, parts, bits)
-    rows = [(k, slice(cuts[k], cuts[k + 1])) for k in range(parts) if cuts[k] < cuts[k + 1]]
-    if rows:
-        blobs = [_encode(distinct[x], None if extra is None else extra[x]) for _, x in rows]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()), pa.array(blobs, pa.binary()), pa.array([np.packbits(many[x]).tobytes() for _, x in rows], pa.binary())], names=["part", "block", "names", "many"])
-
-
-def _compare(checked: bool):
-    def compare(table: pa.Table) -> pa.Table:
-        """Sorts the names of a part and compares neighbours; each block gets a bit for each name it sent."""
-        found = [_decode(blob.as_py(), checked) for blob in table["names"]]
-        sizes = [len(names) for names, _ in found]
-        names = np.concatenate([names for names, _ in found])
-        repeated = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=n) for m, n in zip(table["many"].to_pylist(), sizes, strict=True)]).astype(bool)
-        if checked:
-            check = np.concatenate([c for _, c in found])
-            order = np.lexsort((check, names))
-            equal = (names[order][1:] == names[order][:-1]) & (check[order][1:] == check[order][:-1])
-        else:
-            order = np.argsort(names)
-            equal = names[order][1:] == names[order][:-1]
-        repeated[order[1:][equal]] = True
-        repeated[order[:-1][equal]] = True
-        ends = np.cumsum(sizes)
-        return pa.table({"block": table["block"], "part": table["part"], "bits": pa.array([np.packbits(repeated[e - n : e]).tobytes() for e, n in zip(ends, sizes, strict=True)], pa.binary())})
-
-    return compare
+    steps[:, :width] = np.frombuffer(blob, np.uint8, width * (n - 1), 9).reshape(width, n - 1).T
+    return np.concatenate([np.frombuffer(blob, "<u8", 1, 1), steps.view("<u8").ravel()]).cumsum(dtype=np.uint64)
+
+
+def _bits(raw: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(raw, np.uint8), count=n).astype(bool)
+
+
+class Distinct:
+    """A block's names: the distinct ones ascending, where each occurs first, and the place of each name among them."""
+
+    def __init__(self, names: np.ndarray, parts: int, bits: int):
+        order = np.argsort(names, kind="stable")
+        ranked = names[order]
+        new = np.ones(len(names), bool)
+        new[1:] = ranked[1:] != ranked[:-1]
+        starts = np.flatnonzero(new)
+        self.names, self.first, self.many = ranked[starts], order[starts], np.diff(np.r_[starts, len(names)]) > 1
+        self.place = np.empty(len(names), np.int64)
+        self.place[order] = np.cumsum(new) - 1
+        bounds = np.array([(k << bits) // parts for k in range(1, parts)], np.uint64)
+        #: Where each part of the range of names begins.
+        self.cuts = np.r_[0, np.searchsorted(self.names, bounds), len(self.names)]
+
+    def sent(self, block: int) -> Iterator[pa.RecordBatch]:
+        rows = [(k, slice(a, b)) for k, (a, b) in enumerate(zip(self.cuts[:-1], self.cuts[1:], strict=True)) if a < b]
+        if rows:
+            columns = ([k for k, _ in rows], [block] * len(rows), [_encode(self.names[x]) for _, x in rows], [np.packbits(self.many[x]).tobytes() for _, x in rows])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["part", "block", "names", "many"])
+
+    def repeated(self, answers: list[dict]) -> np.ndarray:
+        out = np.zeros(len(self.names), bool)
+        for x in answers:
+            if x["kind"] == 0:
+                low, high = self.cuts[x["part"]], self.cuts[x["part"] + 1]
+                out[low:high] = _bits(x["bits"], high - low)
+        return out
 
+    def ranks(self, answers: list[dict]) -> np.ndarray:
+        """Of each distinct name its rank among the repeated ones of all blocks, from 1; 0 for those that are alone."""
+        out = np.zeros(len(self.names), np.uint64)
+        for x in answers:
+            if x["kind"] == 0:
+                low, high = self.cuts[x["part"]], self.cuts[x["part"] + 1]
+                # parts hold ascending ranges, so a part's number before the rank in it makes a rank in all
+                out[low:high][_bits(x["bits"], high - low)] = (np.uint64(x["part"] << 32) | _decode(x["places"])) + np.uint64(1)
+        return out
 
-def _answered(names: np.ndarray, parts: int, bits: int, answers: list[dict]) -> np.ndarray:
-    """Which of a block's names are repeated, from the bits that came back."""
-    order, first, place = _distinct(names)
-    cuts, out = _parts(names[order[first]], parts, bits), np.zeros(len(first), bool)
-    for x in answers:
-        low, high = cuts[x["part"]], cuts[x["part"] + 1]
-        out[low:high] = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=high - low)
-    return out[place]
+    def shared(self, answers: list[dict], kind: int) -> dict[int, np.ndarray]:
+        """For each other block the places, ascending, of the names that it shares with this one as a neighbour."""
+        found = defaultdict(list)
+        for x in sorted((x for x in answers if x["kind"] == kind), key=lambda x: x["part"]):
+            found[x["other"]].append(self.cuts[x["part"]] + _decode(x["places"]).astype(np.int64))
+        return {other: np.concatenate(places) for other, places in found.items()}
+
+
+def _merge(with_ranks: bool, with_neighbours: bool):
+    """Sorts the names of a part, of all blocks, and looks at neighbours."""
+
+    def merge(table: pa.Table) -> pa.Table:
+        table = table.sort_by("block")
+        blocks, part = table["block"].to_numpy(), table["part"][0].as_py()
+        lists = [_decode(blob.as_py()) for blob in table["names"]]
+        sizes = np.array([len(x) for x in lists])
+        begins = np.r_[0, np.cumsum(sizes)]
+        names = np.concatenate(lists)
+        many = np.concatenate([_bits(m.as_py(), n) for m, n in zip(table["many"], sizes, strict=True)])
+        order = np.argsort(names, kind="stable")  # of equal names, those of earlier blocks come first
+        equal = names[order][1:] == names[order][:-1]
+        repeated = many
+        repeated[order[1:][equal]] = True
+        repeated[order[:-1][equal]] = True
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        ranks = np.zeros(len(names), np.uint64)
+        if with_ranks:
+            ranks[order] = np.cumsum(np.r_[True, ~equal][: len(names)]) - 1
+        rows = []
+        for k, (a, b) in enumerate(zip(begins[:-1], begins[1:], strict=True)):
+            places = _encode(ranks[a:b][repeated[a:b]]) if with_ranks else b""
+            rows.append((blocks[k], part, 0, None, np.packbits(repeated[a:b]).tobytes(), places))
+        if with_neighbours:
+            one, two = order[:-1][equal], order[1:][equal]
+            pair = owner[one] * len(sizes) + owner[two]
+            by_pair = np.argsort(pair, kind="stable")
+            one, two, pair = one[by_pair], two[by_pair], pair[by_pair]
+            cuts = np.flatnonzero(np.diff(pair)) + 1
+            for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(pair)], strict=True):
+                if a < b:
+                    r, s = owner[one[a]], owner[two[a]]
+                    rows.append((blocks[s], part, 1, blocks[r], None, _encode((two[a:b] - begins[s]).astype(np.uint64))))
+                    rows.append((blocks[r], part, 2, blocks[s], None, _encode((one[a:b] - begins[r]).astype(np.uint64))))
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in ANSWER.split(", ")])
+
+    return merge
 
 
 BLOCKS = "block long, doc_ids array<long>, texts array<binary>"
@@ -219,7 +292,7 @@ def text_blocks(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = (text.as_py() or "").encode()
+                raw = text.as_py() or b""
                 if held + len(raw) > BLOCK and ids:
                     yield row()
                     number, ids, texts, held = number + 1, [], [], 0
@@ -229,89 +302,218 @@ def text_blocks(docs: DataFrame) -> DataFrame:
         if ids:
             yield row()
 
-    return docs.select("doc_id", "text").mapInArrow(gather, BLOCKS)
+    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(gather, BLOCKS)
 
 
-def _copies(blocks: DataFrame) -> DataFrame:
+def _copies(blocks: DataFrame, n_texts: int) -> DataFrame:
     """``block, copies``: the texts of a block that have equal ones elsewhere, as twice their place, plus 1 for the first of all."""
     texts = blocks.select("block", F.posexplode("texts").alias("place", "text")).select("block", "place", F.sha2("text", 256).alias("digest"))
-    classes = texts.groupBy("digest").agg(F.min(F.struct("block", "place")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    found = texts.join(classes, "digest").withColumn("is_first", (F.col("first") == F.struct("block", "place")).cast("long"))
+    classes = texts.groupBy("digest").agg(F.min(F.struct("block", "place")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    joined = hub_join(texts, classes, "digest", "n", n_texts)
+    found = joined.withColumn("is_first", (F.col("first") == F.struct("block", "place")).cast("long"))
     return found.groupBy("block").agg(F.collect_list(F.col("place") * 2 + F.col("is_first")).alias("copies"))
 
 
+STRINGS = "block long, other long, at binary, text binary"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for every row of ``docs``, texts as UTF-8 bytes.
+def _rows(block: Block, doc_ids: list, starts: np.ndarray, copied: np.ndarray) -> list[tuple]:
+    """The result's rows of a block, from where repeated strings start and which texts have copies."""
+    edge = np.zeros(len(block.bytes) + 1, np.int32)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, starts + LENGTH, -1)
+    gone = np.cumsum(edge[:-1]) > 0
+    for k in copied:
+        if block.sizes[k] >= LENGTH:
+            gone[block.starts[k] : block.starts[k + 1]] = True
+    out = []
+    for doc_id, at, size in zip(doc_ids, block.starts[:-1], block.sizes, strict=True):
+        mine = gone[at : at + size]
+        spans = int(np.count_nonzero(mine[1:] & ~mine[:-1]) + (size > 0 and mine[0]))
+        out.append((doc_id, int(size), int(mine.sum()), spans, hashlib.sha256(block.bytes[at : at + size][~mine].tobytes()).hexdigest()))
+    return out
+
+
+def _table(rows: list[tuple], schema: str) -> pa.Table:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.table([pa.array([r[k] for r in rows], kinds[kind]) for k, (_, kind) in enumerate(fields)], names=[name for name, _ in fields])
+
+
+def remove_repeats(docs: DataFrame, bits: int = BITS) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for every row of ``docs``, texts as their bytes (UTF-8 or not).
 
     A byte is removed if a string of ``LENGTH`` bytes that covers it starts anywhere else, in the same text or another;
     strings are judged on the input. Repeated rows are each other's copies and lose all bytes from ``LENGTH`` on; a
     null text is empty; texts below ``LENGTH`` bytes lose nothing; a null ``doc_id`` stays null; an empty table gives
-    no row; other columns are not read. Two different strings are taken for equal if their
-    80-bit names are.
+    no row; other columns are not read. ``bits`` of the numbers that suffixes are sorted by: with
+    fewer, more strings are compared in vain, and the result is the same.
     """
     work = Workspace(docs.sparkSession, "suffix")
     blocks = work.table(text_blocks(docs), "blocks", compression="zstd")
-    total = blocks.agg(F.sum(F.aggregate("texts", F.lit(0).cast("long"), lambda n, t: n + F.octet_length(t)))).first()[0] or 0
-    parts = max(8, -(-total // PART_BYTES))
+    size = F.aggregate("texts", F.lit(0).cast("long"), lambda n, t: n + F.octet_length(t))
+    total, n_texts = (x or 0 for x in blocks.agg(F.sum(size), F.sum(F.size("doc_ids"))).first())
+    parts, sample_bits = max(8, -(-total // PART_BYTES)), min(bits, SAMPLE_BITS)
+
+    def merged(sent: DataFrame, name: str, with_ranks: bool = False, with_neighbours: bool = False) -> DataFrame:
+        return work.table(sent.groupBy("part").applyInArrow(_merge(with_ranks, with_neighbours), ANSWER), name)
 
-    def exchanged(sent: DataFrame, checked: bool, name: str) -> DataFrame:
-        answers = work.table(sent.groupBy("part").applyInArrow(_compare(checked), ANSWER), name)
-        return answers
+    def met(answers: DataFrame, function, schema: str, left: DataFrame = blocks) -> DataFrame:
+        """Each block with what it was told."""
+        return left.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(function, schema)
 
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tuples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                yield from _sent(batch.column(0)[row].as_py(), Block(batch.column(1)[row].as_py()).sample()[1], None, parts, SAMPLE_BITS)
+                block = Block(batch.column(1)[row].as_py())
+                yield from Distinct(block.at(block.sample()[0], PERIOD, sample_bits), parts, sample_bits).sent(batch.column(0)[row].as_py())
 
-    def mark(left: pa.Table, right: pa.Table) -> pa.Table:
-        block = Block(left["texts"][0].as_py())
-        positions, names = block.sample()
-        answers = right.to_pylist()
-        known = _answered(names, parts, SAMPLE_BITS, [x for x in answers if x["part"] is not None])
+    def triples(left: pa.Table, right: pa.Table) -> pa.Table:
+        block, answers = Block(left["texts"][0].as_py()), right.to_pylist()
+        own = Distinct(block.at(block.sample()[0], PERIOD, sample_bits), parts, sample_bits)
+        names = own.ranks([x for x in answers if x["part"] is not None])[own.place]
         # of texts with copies one text of each class stands for all
         copies = np.array([x for row in answers if row["part"] is None for x in row["copies"]], np.int64)
         others = np.zeros(len(block.sizes), bool)
         others[copies[copies % 2 == 0] // 2] = True
-        kept = known & ~others[np.searchsorted(block.starts, positions, "right") - 1]
-        return left.append_column("repeated", pa.array([positions[kept].astype("<i8").tobytes()], pa.binary())).append_column("copies", pa.array([(copies // 2).tolist()], pa.list_(pa.int64())))
-
-    answers = exchanged(blocks.select("block", "texts").mapInArrow(sample, SENT), False, "sampled").withColumn("copies", F.lit(None).cast("array<long>"))
-    known = answers.unionByName(_copies(blocks), allowMissingColumns=True)
-    marked = work.table(blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(mark, f"{BLOCKS}, repeated binary, copies array<long>"), "marked", compression="zstd")
-    work.drop("blocks", "sampled")
+        positions, numbers = block.triples(names, others, sample_bits)
+        raw = (positions.astype("<i4").tobytes(), numbers.astype("<u8").tobytes(), (copies // 2).astype("<i8").tobytes())
+        return _table([(left["block"][0].as_py(), *raw)], "block long, positions binary, numbers binary, copies binary")
 
-    def remaining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def names_of_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(batch.num_rows):
-                block = Block(batch.column(1)[row].as_py())
-                names, check = block.strings(block.remaining(np.frombuffer(batch.column(2)[row].as_py(), "<i8")))
-                yield from _sent(batch.column(0)[row].as_py(), names, check, parts, 64)
-
-    merged = exchanged(marked.select("block", "texts", "repeated").mapInArrow(remaining, SENT), True, "merged")
-
-    def cover(left: pa.Table, right: pa.Table) -> pa.Table:
-        block = Block(left["texts"][0].as_py())
-        positions = block.remaining(np.frombuffer(left["repeated"][0].as_py(), "<i8"))
-        starts = positions[_answered(block.strings(positions)[0], parts, 64, right.to_pylist())]
-        edge = np.zeros(len(block.bytes) + 1, np.int32)
-        np.add.at(edge, starts, 1)
-        np.add.at(edge, starts + LENGTH, -1)
-        gone = np.cumsum(edge[:-1]) > 0
-        for k in left["copies"][0].as_py():
-            if block.sizes[k] >= LENGTH:
-                gone[block.starts[k] : block.starts[k + 1]] = True
-        out = []
-        for doc_id, at, size in zip(left["doc_ids"][0].as_py(), block.starts[:-1], block.sizes, strict=True):
-            mine = gone[at : at + size]
-            spans = int(np.count_nonzero(mine[1:] & ~mine[:-1]) + (size > 0 and mine[0]))
-            out.append((doc_id, int(size), int(mine.sum()), spans, hashlib.sha256(block.bytes[at : at + size][~mine].tobytes()).hexdigest()))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-        return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=[x.split()[0] for x in RESULT.split(", ")])
-
-    return marked.groupBy("block").cogroup(merged.groupBy("block")).applyInArrow(cover, RESULT)
+            for number, names in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                yield from Distinct(np.frombuffer(names.as_py(), "<u8"), parts, sample_bits).sent(number)
+
+    def repeated(left: pa.Table, right: pa.Table) -> pa.Table:
+        own = Distinct(np.frombuffer(left["numbers"][0].as_py(), "<u8"), parts, sample_bits)
+        kept = np.frombuffer(left["positions"][0].as_py(), "<i4")[own.repeated(right.to_pylist())[own.place]]
+        return _table([(left["block"][0].as_py(), kept.tobytes(), left["copies"][0].as_py())], "block long, repeated binary, copies binary")
+
+    told = merged(blocks.select("block", "texts").mapInArrow(tuples, SENT), "tuples", with_ranks=True).withColumn("copies", F.lit(None).cast("array<long>"))
+    known = told.unionByName(_copies(blocks, n_texts), allowMissingColumns=True)
+    second = work.table(met(known, triples, "block long, positions binary, numbers binary, copies binary"), "second", compression="zstd")
+    answers = merged(second.select("block", "numbers").mapInArrow(names_of_triples, SENT), "triples")
+    marked = work.table(met(answers, repeated, "block long, repeated binary, copies binary", second), "marked")
+    work.drop("tuples", "second", "triples")
+
+    def suffixes(texts: pa.Table, mark: dict) -> tuple[Block, np.ndarray, Distinct]:
+        block = Block(texts["texts"][0].as_py())
+        positions = block.remaining(np.frombuffer(mark["repeated"], "<i4").astype(np.int64))
+        return block, positions, Distinct(block.at(positions, LENGTH, bits), parts, bits)
+
+    def remaining(left: pa.Table, right: pa.Table) -> pa.Table:
+        batches = list(suffixes(left, right.to_pylist()[0])[2].sent(left["block"][0].as_py()))
+        return pa.Table.from_batches(batches) if batches else _table([], SENT)
+
+    answers = merged(met(marked, remaining, SENT), "merged", with_neighbours=True)
+    # every row that tells a block of its own names goes with it from here on
+    for_block = answers.withColumn("repeated", F.lit(None).cast("binary")).withColumn("copies", F.lit(None).cast("binary")).unionByName(marked, allowMissingColumns=True)
+
+    def split(right: pa.Table) -> tuple[dict, list[dict], list[dict]]:
+        rows = right.to_pylist()
+        mark = next(r for r in rows if r["repeated"] is not None)
+        return mark, [r for r in rows if r["kind"] is not None], [r for r in rows if r.get("text") is not None]
+
+    def strings(left: pa.Table, right: pa.Table) -> pa.Table:
+        """For each block behind this one that shares names with it as a neighbour, the strings of these names."""
+        mark, told, _ = split(right)
+        block, positions, own = suffixes(left, mark)
+        rows = []
+        for other, places in own.shared(told, 2).items():
+            text, at = _extract(block.bytes, positions[own.first[places]])
+            rows.append((other, left["block"][0].as_py(), at.astype("<i4").tobytes(), text.tobytes()))
+        return _table(rows, STRINGS)
+
+    sent = work.table(met(for_block, strings, STRINGS), "strings", compression="zstd")
+    compared = for_block.unionByName(sent, allowMissingColumns=True)
+
+    def false_names(block: Block, positions: np.ndarray, own: Distinct, told: list[dict], received: list[dict]) -> np.ndarray:
+        """Names under which strings stand that aren't equal: in this block, or here and in the block before."""
+        out = [np.zeros(0, np.uint64)]
+        first = positions[own.first[own.place]]
+        again = np.flatnonzero(first != positions)
+        out.append(own.names[own.place[again[_differ(block.bytes, positions[again], block.bytes, first[again])]]])
+        mine = own.shared(told, 1)
+        for row in received:
+            places = mine[row["other"]]
+            q, at = positions[own.first[places]], np.frombuffer(row["at"], "<i4").astype(np.int64)
+            order = np.argsort(q, kind="stable")
+            unlike = _differ(block.bytes, q[order], np.frombuffer(row["text"], np.uint8), at[order])
+            out.append(own.names[places[order[unlike]]])
+        return np.unique(np.concatenate(out))
+
+    def judged(left: pa.Table, right: pa.Table) -> pa.Table:
+        mark, told, received = split(right)
+        block, positions, own = suffixes(left, mark)
+        wrong = false_names(block, positions, own, told, received)
+        starts = positions[own.repeated(told)[own.place]]
+        rows = _rows(block, left["doc_ids"][0].as_py(), starts, np.frombuffer(mark["copies"], "<i8"))
+        return _table([(*r, wrong.tobytes() if not k and len(wrong) else None) for k, r in enumerate(rows)], f"{RESULT}, wrong binary")
+
+    result = work.table(met(compared, judged, f"{RESULT}, wrong binary"), "result")
+    work.drop("strings")
+    wrong = result.where("wrong is not null")
+    if not wrong.isEmpty():
+        result = work.table(_by_bytes(work, blocks, for_block, wrong, parts, bits, met, split, suffixes), "exact")
+    work.drop("blocks", "marked", "merged")
+    return result.drop("wrong")
+
+
+def _by_bytes(work: Workspace, blocks: DataFrame, for_block: DataFrame, wrong: DataFrame, parts: int, bits: int, met, split, suffixes) -> DataFrame:
+    """The result where some names stand for several strings: all strings of these names are grouped by their bytes."""
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column(0):
+                names = np.frombuffer(raw.as_py(), "<u8")
+                own = Distinct(names, parts, bits)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(parts), np.diff(own.cuts)).astype(np.int32)), pa.array(own.names.view(np.int64))], names=["part", "name"])
+
+    names = work.table(wrong.select("wrong").mapInArrow(numbered, "part int, name long").distinct(), "wrong")
+
+    def asked(left: pa.Table, right: pa.Table) -> pa.Table:
+        mark, _, _ = split(right)
+        batches = list(suffixes(left, mark)[2].sent(left["block"][0].as_py()))
+        return pa.Table.from_batches(batches) if batches else _table([], SENT)
+
+    def known(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Which names of each block are among the wrong ones."""
+        listed = np.sort(right["name"].to_numpy().view(np.uint64))
+        rows = []
+        for block, part, blob in zip(left["block"].to_pylist(), left["part"].to_pylist(), left["names"], strict=True):
+            found = np.isin(_decode(blob.as_py()), listed)
+            rows.append((block, part, 0, None, np.packbits(found).tobytes(), None))
+        return _table(rows, ANSWER)
+
+    sent = met(for_block, asked, SENT)
+    told = work.table(sent.groupBy("part").cogroup(names.groupBy("part")).applyInArrow(known, ANSWER), "told").select("block", F.col("part").alias("at_part"), F.col("bits").alias("is_wrong"))
+    with_wrong = for_block.unionByName(told, allowMissingColumns=True)
+
+    def unsure(left: pa.Table, right: pa.Table):
+        mark, told, _ = split(right)
+        block, positions, own = suffixes(left, mark)
+        rows = [{"kind": 0, "part": r["at_part"], "bits": r["is_wrong"]} for r in right.to_pylist() if r["is_wrong"] is not None]
+        return mark, told, block, positions, own, own.repeated(rows)[own.place]
+
+    def spelled(left: pa.Table, right: pa.Table) -> pa.Table:
+        _, _, block, positions, _, doubtful = unsure(left, right)
+        number = left["block"][0].as_py()
+        return _table([(number, int(p), block.bytes[p : p + LENGTH].tobytes()) for p in positions[doubtful]], "block long, position int, string binary")
+
+    strings = work.table(met(with_wrong, spelled, "block long, position int, string binary"), "spelled")
+    counts = work.table(strings.groupBy("string").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "counts")
+    exact = hub_join(strings, counts, "string", "n", strings.count()).groupBy("block").agg(F.collect_list("position").alias("exact"))
+    final = with_wrong.unionByName(exact, allowMissingColumns=True)
+
+    def judged(left: pa.Table, right: pa.Table) -> pa.Table:
+        mark, told, block, positions, own, doubtful = unsure(left, right)
+        exact = [np.array(x, np.int64) for x in right["exact"].to_pylist() if x is not None]
+        starts = np.concatenate([positions[own.repeated(told)[own.place] & ~doubtful], *exact])
+        return _table(_rows(block, left["doc_ids"][0].as_py(), starts, np.frombuffer(mark["copies"], "<i8")), RESULT)
+
+    return met(final, judged, RESULT)
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pytest
 import regex
 from pyspark.sql import functions as F
 
@@ -136,13 +137,47 @@ def repeated_texts(seed=5):
     return docs
 
 
-def test_dedup_equals_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("block,bits", [(4 << 20, 64), (700, 64), (700, 0), (2500, 7), (4 << 20, 3)])
+def test_dedup_equals_brute_force(spark, monkeypatch, block, bits):
+    """With no bits all names are equal and only the bytes tell strings apart; with few, most names stand for several."""
     docs = repeated_texts()
-    for block in (2 << 20, 700):
-        monkeypatch.setattr(suffix_dedup, "BLOCK", block)
-        monkeypatch.setattr(suffix_dedup, "SLICE", 512)
-        got = suffix_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))
-        assert rows(got, *COLUMNS) == brute_dedup(docs)
+    monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), bits)
+    assert rows(got, *COLUMNS) == brute_dedup(docs)
+
+
+def test_strings_that_differ_in_one_byte():
+    rng = np.random.default_rng(0)
+    mine = rng.integers(0, 4, 3000).astype(np.uint8)
+    theirs = mine.copy()
+    theirs[rng.integers(0, 3000, 3)] += 1
+    for q in (np.arange(0, 2700), np.unique(rng.integers(0, 2700, 300)), np.array([5])):
+        at = q.copy()
+        want = [mine[a : a + 200].tobytes() != theirs[b : b + 200].tobytes() for a, b in zip(q, at, strict=True)]
+        assert suffix_dedup._differ(mine, q, theirs, at).tolist() == want
+        text, begin = suffix_dedup._extract(theirs, rng.permutation(q))
+        assert len(text) <= len(theirs) and len(begin) == len(q)
+    p = rng.permutation(np.unique(rng.integers(0, 2700, 200)))
+    text, begin = suffix_dedup._extract(theirs, p)
+    assert all(np.array_equal(text[b : b + 200], theirs[a : a + 200]) for a, b in zip(p, begin, strict=True))
+
+
+def test_triples_of_names_stand_for_150_bytes():
+    rng = random.Random(1)
+    same = bytes(rng.randrange(256) for _ in range(150))
+    texts = [bytes(rng.randrange(256) for _ in range(n)) + same + bytes(rng.randrange(256) for _ in range(90)) for n in (100, 137, 162)]
+    block = suffix_dedup.Block(texts)
+    positions, text = block.sample()
+    own = suffix_dedup.Distinct(block.at(positions, suffix_dedup.PERIOD, 48), 8, 48)
+    assert all((p - block.starts[t]) % 50 in suffix_dedup.COVER for p, t in zip(positions, text, strict=True))
+    (batch,) = own.sent(3)
+    answers = [x for part in batch.to_pylist() for x in suffix_dedup._merge(True, False)(pa.Table.from_pylist([part], batch.schema)).to_pylist()]
+    names = own.ranks(answers)[own.place]
+    alike = Counter(block.bytes[p : p + 50].tobytes() for p in positions)
+    assert [bool(n) for n in names] == [alike[block.bytes[p : p + 50].tobytes()] > 1 for p in positions]
+    ranked = dict(zip(own.names.tolist(), own.ranks(answers).tolist(), strict=True))
+    order = [r for _, r in sorted(ranked.items()) if r]
+    assert order == sorted(order) and len(set(order)) == len(order)
 
 
 def test_dedup_of_odd_rows(spark):
@@ -151,6 +186,8 @@ def test_dedup_of_odd_rows(spark):
     assert rows(suffix_dedup.remove_repeats(cut), *COLUMNS) == brute_dedup([r[:2] for r in short])
     assert suffix_dedup.remove_repeats(odd_docs(spark)).count() == len(ROWS)
     assert suffix_dedup.remove_repeats(no_docs(spark)).count() == 0
+    broken = spark.sql("SELECT 1L AS doc_id, CAST(unhex(repeat('61FF', 150)) AS STRING) AS text UNION ALL SELECT 2, CAST(unhex(repeat('FE61FF', 50)) AS STRING)")
+    assert rows(suffix_dedup.remove_repeats(broken), "doc_id", "n_bytes", "n_removed") == [(1, 300, 300), (2, 150, 0)]
 
 
 def test_only_pairs_that_are_left_are_verified(spark, monkeypatch):
