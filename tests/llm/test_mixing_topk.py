@@ -73,6 +73,13 @@ def test_training_order_takes_whole_documents(spark):
     assert mixing.training_order(no_docs(spark)).count() == 0 and mixing.mix_sources(no_docs(spark)).count() == 0
 
 
+def test_training_order_leaves_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, f"some words {i}", "ab"[i % 2], i, float(i), [i]) for i in range(30)], "doc_id long, text string, source string, size long, position double, positions array<long>")
+    docs = docs.withColumn("taken", F.lit("t")).withColumn("target", F.lit(None).cast("int")).withColumn("source_size", F.lit(7))
+    got = mixing.training_order(docs).collect()
+    assert len(got) > 30 and all((r.size, r.position, r.positions, r.taken, r.target, r.source_size) == (r.doc_id, float(r.doc_id), [r.doc_id], "t", None, 7) for r in got)
+
+
 def brute_top(vectors, k=20, every=20):
     """Rows that share an id are queries and candidates on their own."""
     out = []
