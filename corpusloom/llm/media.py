@@ -9,7 +9,9 @@ at its offset.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
+import time
 import zipfile
 import zlib
 from collections.abc import Iterator
@@ -17,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from corpusloom.llm.common import Workspace, read_table
@@ -68,9 +71,26 @@ def decode_png(media: bytes) -> tuple[bytes, int]:
             packed.append(body)
         at += 12 + size
     lines = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8).reshape(rows, ROW + 1)
-    if lines[:, 0].any():
-        raise ValueError("only unfiltered rows are written here")
-    return lines[:, 1:].tobytes(), n_bytes
+    return (_unfiltered(lines) if lines[:, 0].any() else lines[:, 1:]).tobytes(), n_bytes
+
+
+def _unfiltered(lines: np.ndarray) -> np.ndarray:
+    """The samples of rows that begin with their filter's number, as other writers of PNG store them."""
+    out = np.zeros((len(lines) + 1, ROW + 1), np.uint8)  # a row and a column of zeros stand before the first ones
+    for k, line in enumerate(lines, 1):
+        kind, row, up = int(line[0]), line[1:], out[k - 1]
+        if kind in (0, 2):
+            out[k, 1:] = row + (up[1:] if kind else np.uint8(0))
+        elif kind == 1:
+            out[k, 1:] = np.cumsum(row, dtype=np.uint64).astype(np.uint8)
+        elif kind in (3, 4):
+            for x in range(1, ROW + 1):
+                a, b, c = int(out[k, x - 1]), int(up[x]), int(up[x - 1])
+                near = (a + b) // 2 if kind == 3 else min((a, b, c), key=lambda v: abs(a + b - c - v))
+                out[k, x] = (int(row[x - 1]) + near) % 256
+        else:
+            raise ValueError(f"filter {kind} is unknown")
+    return out[1:, 1:]
 
 
 def describe(payload: bytes) -> str:
@@ -83,9 +103,10 @@ def describe(payload: bytes) -> str:
 
 
 def _filesystem(path: str):
+    """The file system of a path and the path in it; the names that Hadoop gives S3 are read as S3."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path)
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", path))
 
 
 def write_archives(docs: DataFrame, root: str, archive_bytes: int = 64 << 20) -> DataFrame:
@@ -119,18 +140,24 @@ def write_archives(docs: DataFrame, root: str, archive_bytes: int = 64 << 20) ->
                 done.append((final.rpartition("/")[2], members, size))
                 state["zip"] = None
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if state["zip"] is None:
-                    state["tmp"] = f"{base}/tmp-{context.taskAttemptId()}-{len(done)}"
-                    state["raw"] = files.open_output_stream(state["tmp"])
-                    state["zip"] = zipfile.ZipFile(state["raw"], "w", zipfile.ZIP_STORED)
-                media = encode_png((text.as_py() or "").encode())
-                name = zipfile.ZipInfo(f"{'null' if doc_id is None else doc_id}/{len(state['zip'].filelist)}.png")
-                state["zip"].writestr(name, media)
-                if state["zip"].fp.tell() >= archive_bytes:
-                    close()
-        close()
+        try:
+            for batch in batches:
+                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    if state["zip"] is None:
+                        state["tmp"] = f"{base}/tmp-{context.taskAttemptId()}-{len(done)}"
+                        state["raw"] = files.open_output_stream(state["tmp"])
+                        state["zip"] = zipfile.ZipFile(state["raw"], "w", zipfile.ZIP_STORED)
+                    media = encode_png(text.as_py() or b"")
+                    name = zipfile.ZipInfo(f"{'null' if doc_id is None else doc_id}/{len(state['zip'].filelist)}.png")
+                    state["zip"].writestr(name, media)
+                    if state["zip"].fp.tell() >= archive_bytes:
+                        close()
+            close()
+        except BaseException:
+            if state["zip"] is not None:  # what a failed attempt began isn't left behind
+                state["raw"].close()
+                files.delete_file(state["tmp"])
+            raise
         yield pa.RecordBatch.from_pydict(
             {
                 "archive": pa.array([x[0] for x in done], pa.string()),
@@ -139,7 +166,34 @@ def write_archives(docs: DataFrame, root: str, archive_bytes: int = 64 << 20) ->
             }
         )
 
-    return docs.select("doc_id", "text").mapInArrow(write, "archive string, members long, bytes long")
+    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(write, "archive string, members long, bytes long")
+
+
+class _Window:
+    """Bytes of an open file, read ahead: neighbouring members come with one request."""
+
+    def __init__(self, f, ahead: int):
+        self.f, self.ahead, self.start, self.held = f, ahead, 0, b""
+
+    def get(self, start: int, size: int) -> bytes:
+        if start < self.start or start + size > self.start + len(self.held):
+            self.start, self.held = start, self.f.read_at(max(size, self.ahead), start)
+        return self.held[start - self.start : start - self.start + size]
+
+
+def _header_size(head: bytes) -> int:
+    """How many bytes stand before a member's content."""
+    if len(head) != 30 or head[:4] != b"PK\x03\x04":
+        raise OSError("no member starts here")
+    return 30 + sum(struct.unpack_from("<HH", head, 26))
+
+
+def _content(raw: bytes, entry: zipfile.ZipInfo) -> bytes:
+    """A member's bytes, checked."""
+    media = zlib.decompress(raw, -15) if entry.compress_type == zipfile.ZIP_DEFLATED else raw
+    if len(media) != entry.file_size or zlib.crc32(media) != entry.CRC:
+        raise OSError("checksum or length differs")
+    return media
 
 
 class ArchiveRange(InputPartition):
@@ -151,7 +205,8 @@ class MediaArchiveSource(DataSource):
     """``spark.read.format("media_archive").load(folder)``: a row for each member of each archive.
 
     Options: ``splitBytes`` (bytes of an archive that one task takes), ``batchBytes`` (media in an Arrow
-    batch), ``attempts`` (reads of a member before it counts as failed), ``mode`` (``failfast`` raises then,
+    batch), ``attempts`` (reads of a member before it counts as failed), ``pauseSeconds`` (before the second of them, doubled
+    each time), ``mode`` (``failfast`` raises then,
     ``permissive`` returns the member with null media and its error).
     """
 
@@ -172,6 +227,7 @@ class ArchiveReader(DataSourceReader):
         self.split = int(options.get("splitBytes", 32 << 20))
         self.batch = int(options.get("batchBytes", 8 << 20))
         self.attempts = int(options.get("attempts", 3))
+        self.pause = float(options.get("pauseSeconds", 0.5))
         self.permissive = options.get("mode", "failfast").lower() == "permissive"
 
     def partitions(self) -> list[ArchiveRange]:
@@ -187,21 +243,15 @@ class ArchiveReader(DataSourceReader):
             for start in range(0, info.size, self.split)
         ]
 
-    def _member(self, files, path: str, entry: zipfile.ZipInfo) -> tuple[bytes | None, str | None]:
-        error = ""
-        for _ in range(self.attempts):
+    def _again(self, files, path: str, entry: zipfile.ZipInfo, error: str) -> tuple[bytes | None, str | None]:
+        """Reads one member at its own offset, with a longer pause before each attempt."""
+        for attempt in range(1, self.attempts):
+            time.sleep(min(self.pause * 2 ** (attempt - 1), 60.0))
             try:
                 with files.open_input_file(path) as f:
                     head = f.read_at(30, entry.header_offset)
-                    if len(head) != 30 or head[:4] != b"PK\x03\x04":
-                        raise OSError("no member starts here")
-                    names, extra = struct.unpack_from("<HH", head, 26)
-                    media = f.read_at(entry.compress_size, entry.header_offset + 30 + names + extra)
-                if entry.compress_type == zipfile.ZIP_DEFLATED:
-                    media = zlib.decompress(media, -15)
-                if len(media) != entry.file_size or zlib.crc32(media) != entry.CRC:
-                    raise OSError("checksum or length differs")
-                return media, None
+                    size = _header_size(head)
+                    return _content(f.read_at(entry.compress_size, entry.header_offset + size), entry), None
             except (OSError, zlib.error) as e:
                 error = f"{path}@{entry.header_offset}: {e}"
         if not self.permissive:
@@ -209,15 +259,21 @@ class ArchiveReader(DataSourceReader):
         return None, error
 
     def read(self, part: ArchiveRange | None) -> Iterator[pa.RecordBatch]:
+        """The archive is opened once, its directory read once, and the range's members are read as one stream."""
         if part is None:  # a folder without archives
             return
         files, _ = _filesystem(self.path)
-        with files.open_input_file(part.path) as f:
-            entries = zipfile.ZipFile(f).infolist()
         rows, size = [], 0
-        for entry in entries:
-            if part.start <= entry.header_offset < part.end:
-                media, error = self._member(files, part.path, entry)
+        with files.open_input_file(part.path) as f:
+            entries = sorted((x for x in zipfile.ZipFile(f).infolist() if part.start <= x.header_offset < part.end), key=lambda x: x.header_offset)
+            window = _Window(f, self.batch)
+            for entry in entries:
+                at = entry.header_offset
+                try:
+                    head = _header_size(window.get(at, 30))
+                    media, error = _content(window.get(at + head, entry.compress_size), entry), None
+                except (OSError, zlib.error) as e:
+                    media, error = self._again(files, part.path, entry, f"{part.path}@{at}: {e}")
                 rows.append((part.path, entry.filename, entry.header_offset, media, error))
                 size += len(media or b"")
                 if size >= self.batch:

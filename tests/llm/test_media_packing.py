@@ -19,6 +19,59 @@ def test_png_round_trip(raw):
     assert len(payload) - len(raw) < 64 or raw == b""
 
 
+@pytest.mark.parametrize("kind", range(5))
+def test_filtered_rows_are_read(kind):
+    """Rows as other writers store them: each sample less what its neighbours say."""
+    samples = np.random.default_rng(kind).integers(0, 256, (5, 64)).astype(int)
+    lines = bytearray()
+    for y in range(5):
+        lines.append(kind)
+        for x in range(64):
+            a, b, c = (samples[y, x - 1] if x else 0), (samples[y - 1, x] if y else 0), (samples[y - 1, x - 1] if x and y else 0)
+            paeth = min((a, b, c), key=lambda v: abs(a + b - c - v))
+            lines.append((samples[y, x] - (0, a, b, (a + b) // 2, paeth)[kind]) % 256)
+    raw = media.encode_png(samples.astype(np.uint8).tobytes())
+    head, rest = raw.split(b"IDAT", 1)
+    packed = zlib.compress(bytes(lines))
+    png = head[:-4] + media._chunk(b"IDAT", packed) + media._chunk(b"IEND", b"")
+    assert media.decode_png(png) == (samples.astype(np.uint8).tobytes(), 320)
+
+
+def test_features_equal_plain_ones(spark):
+    """Every column of the query against its definition, member by member."""
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()}
+    got = media.op1_media_columns(spark, "/root/testdata/sf0.001").collect()
+    assert {r.doc_id for r in got} == set(texts) and len(got) == len(texts)
+    for r in got:
+        payload = texts[r.doc_id] + bytes(-len(texts[r.doc_id]) % 64 or 64 * (not texts[r.doc_id]))
+        stored = media.encode_png(texts[r.doc_id])
+        counts = [payload.count(bytes([v])) for v in range(256)]
+        changes = sum(a != b for a, b in zip(payload[1:], payload[:-1], strict=True))
+        feature = f"n={len(payload)};mean={sum(payload) / len(payload):.4f};peak={counts.index(max(counts))};levels={256 - counts.count(0)};changes={changes}"
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(texts[r.doc_id]), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r.media_bytes, r.media_sha256, r.feature) == (len(stored), hashlib.sha256(stored).hexdigest(), feature)
+
+
+def test_a_range_is_read_ahead_and_a_failed_read_repeated(spark, tmp_path, monkeypatch):
+    work = Workspace(spark, "test-ahead")
+    media.write_archives(odd_docs(spark).repartition(1), work.path("a")).collect()
+    assert not [f for f in (tmp_path.parent).rglob("tmp-*") if "test-ahead" in str(f)]
+    reader = media.ArchiveReader({"path": work.path("a"), "pauseSeconds": "0"})
+    (part,) = reader.partitions()
+    whole = [row for batch in reader.read(part) for row in batch.to_pylist()]
+    assert len(whole) == len(ROWS) and all(r["error"] is None for r in whole)
+    plain, failed = media._Window.get, []
+
+    def flaky(self, start, size):
+        if size != 30 and start % 3 == 0 and start not in failed:
+            failed.append(start)
+            raise OSError("connection lost")
+        return plain(self, start, size)
+
+    monkeypatch.setattr(media._Window, "get", flaky)
+    assert [row for batch in reader.read(part) for row in batch.to_pylist()] == whole and failed
+
+
 def test_media_of_odd_rows(spark):
     got = media.media_columns(odd_docs(spark)).collect()
     assert len(got) == len(ROWS)
