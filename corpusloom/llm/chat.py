@@ -23,8 +23,12 @@ from corpusloom.llm.common import Workspace, read_table
 ROLES = ("system", "user", "assistant", "tool")
 STATES = 2 * len(ROLES)  # state 2 r: first line of role r; 2 r + 1: a further line
 START = STATES  # before the first line
-#: Parts of a transcript in a chunk, chunks of a transcript that one task resolves at once, transcripts to learn from.
-PARTS, FAN, SAMPLE = 64, 1024, 500
+#: Lines of a transcript in a chunk, chunks of a transcript that one task resolves at once, transcripts to learn from.
+LINES, FAN = 256, 1024
+#: The bounded sample that the model is fitted on: labelled transcripts, and turns of each from its start.
+SAMPLE, TURNS = 500, 64
+#: Parts of a transcript whose lines one window counts.
+RANGE = 4096
 MARKERS = (
     r"system|instructions?|sys",
     r"user|human|you|question|q|customer|prompt",
@@ -166,11 +170,28 @@ def parse_transcripts(transcripts: DataFrame, model) -> DataFrame:
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in _runs(batches, "key", "chunk"):
-            lines = [line for r in run for line in (r["text"] or "").split("\n")]
+            lines = [line for r in run for line in r["lines"]]
             yield pa.RecordBatch.from_pydict({"key": [run[0]["key"]], "conv_id": pa.array([run[0]["conv_id"]], pa.int64()), "chunk": pa.array([run[0]["chunk"]], pa.int64()), "lines": pa.array([lines], pa.list_(pa.string())), "matrix": [transfer(lines, model).astype("<f8").tobytes()]})
 
-    keyed = transcripts.select(F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("key"), F.col("conv_id").cast("long"), F.greatest(F.floor(F.coalesce("part", F.lit(0)) / PARTS), F.lit(0)).alias("chunk"), "part", "text")
-    dealt = keyed.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "part", "text")
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    keyed = transcripts.select(
+        F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("key"),
+        F.col("conv_id").cast("long"),
+        "part",
+        F.coalesce(F.floor(F.col("part") / RANGE), F.lit(-(1 << 60))).alias("range"),
+        lines.alias("lines"),
+        F.size(lines).cast("long").alias("n"),
+    )
+    # a line's place in its transcript: lines are counted in ranges of parts, behind the ranges before
+    sums = keyed.groupBy("key", "range").agg(F.sum("n").alias("range_lines"))
+    earlier = Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("key", "range", F.coalesce(F.sum("range_lines").over(earlier), F.lit(0)).alias("before"))
+    within = Window.partitionBy("key", "range").orderBy("part", "lines").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = keyed.withColumn("upto", F.sum("n").over(within)).join(offsets, ["key", "range"]).withColumn("at", F.col("before") + F.col("upto") - F.col("n"))
+    cut = placed.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("at") / LINES), F.floor((F.col("at") + F.col("n") - 1) / LINES))))
+    first, last = F.greatest("at", F.col("chunk") * LINES), F.least(F.col("at") + F.col("n"), (F.col("chunk") + 1) * LINES)
+    own = F.slice("lines", (first - F.col("at") + 1).cast("int"), (last - first).cast("int"))
+    dealt = cut.select("key", "conv_id", "chunk", "at", own.alias("lines")).repartition("key", "chunk").sortWithinPartitions("key", "chunk", "at")
     chunks = work.table(dealt.mapInArrow(reduce, "key string, conv_id long, chunk long, lines array<string>, matrix binary"), "chunks")
     resolved = _resolve(work, chunks.select("key", "chunk", "matrix"))
 
@@ -215,13 +236,13 @@ def raw_transcripts(conversations: DataFrame) -> DataFrame:
     return conversations.select("conv_id", F.col("turn").alias("part"), F.concat(marker, F.coalesce("text", F.lit(""))).alias("text"))
 
 
-def labelled_sample(conversations: DataFrame, sample: int = SAMPLE) -> list[list[tuple[str, str]]]:
-    """At most ``sample`` transcripts with their roles, the first in the order of a hash, to fit the model on."""
+def labelled_sample(conversations: DataFrame, sample: int = SAMPLE, turns: int = TURNS) -> list[list[tuple[str, str]]]:
+    """The first ``turns`` turns of at most ``sample`` transcripts, those first in the order of a hash, with their roles: to fit the model on."""
     chosen = conversations.where(F.col("role").isin(*ROLES)).select("conv_id").distinct().orderBy(F.xxhash64("conv_id"), "conv_id").limit(sample)
-    known = conversations.where(F.col("role").isin(*ROLES) & (F.col("turn") < PARTS)).join(F.broadcast(chosen), "conv_id", "left_semi")
+    known = conversations.where(F.col("role").isin(*ROLES) & (F.col("turn") < turns)).join(F.broadcast(chosen), "conv_id", "left_semi")
     raw = raw_transcripts(known).withColumnRenamed("conv_id", "c")
     rows = known.join(raw, (F.col("conv_id") == F.col("c")) & (F.col("turn") == F.col("part"))).select("conv_id", "turn", "role", raw["text"].alias("raw")).dropDuplicates(["conv_id", "turn"]).orderBy("conv_id", "turn").collect()
-    return [[(r["role"], r["raw"]) for r in turns] for _, turns in groupby(rows, lambda r: r["conv_id"])]
+    return [[(r["role"], r["raw"]) for r in run] for _, run in groupby(rows, lambda r: r["conv_id"])]
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

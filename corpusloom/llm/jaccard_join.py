@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import Workspace, read_table
+from corpusloom.llm.common import Workspace, read_table, readable
 from corpusloom.llm.components import connected_components, hub_join, roots, union
 
 NGRAM, THRESHOLD, TOLERANCE = 5, 0.8, 1e-8
@@ -113,16 +113,6 @@ def sketches(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(sketch, "doc_id long, node binary, grams int, sig binary")
 
 
-def readable(raw: pa.Array) -> pa.Array:
-    """Bytes as text; what isn't UTF-8 is read as U+FFFD."""
-    text = raw.cast(pa.string(), safe=False)
-    try:
-        text.validate(full=True)
-        return text
-    except pa.ArrowInvalid:
-        return pa.array([x.as_py().decode("utf-8", "replace") if x.is_valid else None for x in raw], pa.string())
-
-
 def _bands(nodes: DataFrame) -> DataFrame:
     """``bucket, band, node, grams, sig``: a row for each band of each signature."""
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from corpusloom.llm.common import read_table
+from corpusloom.llm.common import read_table, readable
 from corpusloom.llm.packing import vocabulary_path
 
 #: Labelled documents per language that the fit may use, at most; its rounds; letters of a word scored at once.
@@ -177,11 +177,11 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, folder: str | None =
     thin = keyed.join(F.broadcast(totals) if totals.count() <= 1000 else totals, F.col("lang") == F.col("language")).where(F.col("draw") * F.col("count") <= 2 * sample_docs)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id", F.xxhash64("text")))
     sample = thin.withColumn("rank", rank).where(F.col("rank") <= sample_docs).select("lang", "text")
-    rows = sample.toArrow()
+    rows = sample.withColumn("text", F.col("text").cast("binary")).toArrow()
     langs = sorted(set(rows["lang"].to_pylist()))
     p = np.zeros((vocabulary(folder).size + 1, len(langs)))
     for k, lang in enumerate(langs):
-        words = pc.value_counts(split_words(rows.filter(pc.equal(rows["lang"], lang))["text"].combine_chunks()).flatten())
+        words = pc.value_counts(split_words(readable(rows.filter(pc.equal(rows["lang"], lang))["text"].combine_chunks())).flatten())
         pairs = [(w, n) for w, n in zip(words.field(0).to_pylist(), words.field(1).to_pylist(), strict=True) if w]
         p[:, k] = fit([w for w, _ in pairs], np.array([n for _, n in pairs], float), folder)
     return langs, p
@@ -201,7 +201,7 @@ def predict(docs: DataFrame, langs: list[str], p: np.ndarray, folder: str | None
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                split = split_words(batch.column(text_at))
+                split = split_words(readable(batch.column(text_at)))
                 coded = split.flatten().dictionary_encode()
                 unique = coded.dictionary.to_pylist()
                 if len(cache) > 200_000:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import Workspace, read_table
+from corpusloom.llm.common import Workspace, read_table, readable
 
 CAPACITY, END_ID = 1024, 2
 #: Open bins, and pieces that are placed together, the long ones first: fewer than bins, so that none closes for them.
@@ -129,7 +129,7 @@ def cut_and_place(docs: DataFrame, capacity: int, open_bins: int, folder: str |
             return batch_of(rows)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc_id, text in zip(batch.column(0).to_pylist(), readable(batch.column(1)), strict=True):
                 ids = np.append(encode(text.as_py() or ""), np.uint32(END_ID)).astype("<u4")
                 end, piece = (len(ids) - 1) % capacity + 1, 0
                 start = 0

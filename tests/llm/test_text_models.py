@@ -274,14 +274,36 @@ def test_chunks_do_not_change_the_result(spark, monkeypatch):
     conversations = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
     raw, m = chat.raw_transcripts(conversations), chat.fit(chat.labelled_sample(conversations))
     whole = sorted(map(tuple, chat.parse_transcripts(raw, m).collect()))
-    monkeypatch.setattr(chat, "PARTS", 1)
+    monkeypatch.setattr(chat, "LINES", 1)
     monkeypatch.setattr(chat, "FAN", 2)
+    monkeypatch.setattr(chat, "RANGE", 2)
     assert sorted(map(tuple, chat.parse_transcripts(raw, m).collect())) == whole
     truth = {(r.conv_id, r.turn): r.role for r in conversations.collect()}
     marked = [(c, t, role) for c, t, role, *_ in whole]
     assert sum(truth.get((c, t)) == role for c, t, role in marked) >= 0.9 * len(marked)
 
 
+def test_roles_of_transcripts_that_were_not_learned_from(spark):
+    conversations = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    third = F.pmod(F.col("conv_id"), F.lit(3)) == 0
+    fitted = chat.fit(chat.labelled_sample(conversations.where(third)))
+    truth = {(r.conv_id, r.turn): r.role for r in conversations.where(~third).collect()}
+    got = chat.parse_transcripts(chat.raw_transcripts(conversations.where(~third)), fitted).collect()
+    assert len(truth) > 200 and sum(truth.get((r.conv_id, r.turn_no)) == r.role for r in got) >= 0.9 * len(got)
+
+
+def test_one_row_of_many_lines_is_cut(spark, monkeypatch):
+    monkeypatch.setattr(chat, "LINES", 5)
+    text = "\n".join(x for i in range(30) for x in (f"User: what is {i}?", "more", f"Assistant: it is {i}."))
+    got = chat.parse_transcripts(spark.createDataFrame([(1, 0, text)], "conv_id long, part long, text string"), model()).collect()
+    assert sum(r.n_lines for r in got) == 90 and [r.role for r in sorted(got, key=lambda r: r.turn_no)] == ["user", "assistant"] * 30
+
+
+def test_texts_that_are_not_utf8(spark):
+    docs = spark.sql("SELECT 1L AS doc_id, CAST(X'74686520FF20666F78' AS STRING) AS text, 'en' AS lang UNION ALL SELECT 3, 'der hund', 'de' UNION ALL SELECT 4, 'the dog', 'en'")
+    assert sorted(r.doc_id for r in langid.identify(docs).select("doc_id", "score").collect()) == [1, 3, 4]
+
+
 def test_odd_transcripts(spark):
     df = spark.createDataFrame([(1, 0, "User: hi"), (1, None, None), (None, 3, "AI: yes"), (2, 0, ""), (2, 0, "")], "conv_id long, part long, text string")
     got = chat.parse_transcripts(df, model()).collect()
