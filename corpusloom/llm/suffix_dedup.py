@@ -160,9 +160,9 @@ def _extract(buffer: np.ndarray, positions: np.ndarray) -> tuple[np.ndarray, np.
 
 
 SENT = "part int, block long, names binary, many binary"
-#: What a part tells a block: which of the names it sent are repeated; their ranks; with which block it shares which names
-#: (``kind`` 1: that one comes before it, 2: behind it).
-ANSWER = "block long, part int, kind int, other long, bits binary, places binary"
+#: What a part tells a block, in one row: which of the names it sent are repeated; their ranks; with which blocks before
+#: and behind it shares names as a neighbour, and which names with each.
+ANSWER = "block long, part int, bits binary, ranks binary, before array<long>, before_places array<binary>, behind array<long>, behind_places array<binary>"
 
 
 def _encode(names: np.ndarray) -> bytes:
@@ -212,26 +212,25 @@ class Distinct:
     def repeated(self, answers: list[dict]) -> np.ndarray:
         out = np.zeros(len(self.names), bool)
         for x in answers:
-            if x["kind"] == 0:
-                low, high = self.cuts[x["part"]], self.cuts[x["part"] + 1]
-                out[low:high] = _bits(x["bits"], high - low)
+            low, high = self.cuts[x["part"]], self.cuts[x["part"] + 1]
+            out[low:high] = _bits(x["bits"], high - low)
         return out
 
     def ranks(self, answers: list[dict]) -> np.ndarray:
         """Of each distinct name its rank among the repeated ones of all blocks, from 1; 0 for those that are alone."""
         out = np.zeros(len(self.names), np.uint64)
         for x in answers:
-            if x["kind"] == 0:
-                low, high = self.cuts[x["part"]], self.cuts[x["part"] + 1]
-                # parts hold ascending ranges, so a part's number before the rank in it makes a rank in all
-                out[low:high][_bits(x["bits"], high - low)] = (np.uint64(x["part"] << 32) | _decode(x["places"])) + np.uint64(1)
+            low, high = self.cuts[x["part"]], self.cuts[x["part"] + 1]
+            # parts hold ascending ranges, so a part's number before the rank in it makes a rank in all
+            out[low:high][_bits(x["bits"], high - low)] = (np.uint64(x["part"] << 32) | _decode(x["ranks"])) + np.uint64(1)
         return out
 
-    def shared(self, answers: list[dict], kind: int) -> dict[int, np.ndarray]:
-        """For each other block the places, ascending, of the names that it shares with this one as a neighbour."""
+    def shared(self, answers: list[dict], side: str) -> dict[int, np.ndarray]:
+        """For each block before or behind this one the places, ascending, of the names that both share as neighbours."""
         found = defaultdict(list)
-        for x in sorted((x for x in answers if x["kind"] == kind), key=lambda x: x["part"]):
-            found[x["other"]].append(self.cuts[x["part"]] + _decode(x["places"]).astype(np.int64))
+        for x in sorted(answers, key=lambda x: x["part"]):
+            for other, places in zip(x[side], x[f"{side}_places"], strict=True):
+                found[other].append(self.cuts[x["part"]] + _decode(places).astype(np.int64))
         return {other: np.concatenate(places) for other, places in found.items()}
 
 
@@ -257,8 +256,8 @@ def _merge(with_ranks: bool, with_neighbours: bool):
             ranks[order] = np.cumsum(np.r_[True, ~equal][: len(names)]) - 1
         rows = []
         for k, (a, b) in enumerate(zip(begins[:-1], begins[1:], strict=True)):
-            places = _encode(ranks[a:b][repeated[a:b]]) if with_ranks else b""
-            rows.append((blocks[k], part, 0, None, np.packbits(repeated[a:b]).tobytes(), places))
+            own = _encode(ranks[a:b][repeated[a:b]]) if with_ranks else b""
+            rows.append((blocks[k], part, np.packbits(repeated[a:b]).tobytes(), own, [], [], [], []))
         if with_neighbours:
             one, two = order[:-1][equal], order[1:][equal]
             pair = owner[one] * len(sizes) + owner[two]
@@ -268,10 +267,10 @@ def _merge(with_ranks: bool, with_neighbours: bool):
             for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(pair)], strict=True):
                 if a < b:
                     r, s = owner[one[a]], owner[two[a]]
-                    rows.append((blocks[s], part, 1, blocks[r], None, _encode((two[a:b] - begins[s]).astype(np.uint64))))
-                    rows.append((blocks[r], part, 2, blocks[s], None, _encode((one[a:b] - begins[r]).astype(np.uint64))))
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in ANSWER.split(", ")])
+                    for k, x, other in ((s, 4, r), (r, 6, s)):
+                        rows[k][x].append(blocks[other])
+                        rows[k][x + 1].append(_encode(((two if k == s else one)[a:b] - begins[k]).astype(np.uint64)))
+        return _table(rows, ANSWER)
 
     return merge
 
@@ -337,6 +336,7 @@ def _rows(block: Block, doc_ids: list, starts: np.ndarray, copied: np.ndarray) -
 
 def _table(rows: list[tuple], schema: str) -> pa.Table:
     kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
+    kinds |= {f"array<{k}>": pa.list_(t) for k, t in kinds.items()}
     fields = [x.split() for x in schema.split(", ")]
     return pa.table([pa.array([r[k] for r in rows], kinds[kind]) for k, (_, kind) in enumerate(fields)], names=[name for name, _ in fields])
 
@@ -414,14 +414,14 @@ def remove_repeats(docs: DataFrame, bits: int = BITS) -> DataFrame:
     def split(right: pa.Table) -> tuple[dict, list[dict], list[dict]]:
         rows = right.to_pylist()
         mark = next(r for r in rows if r["repeated"] is not None)
-        return mark, [r for r in rows if r["kind"] is not None], [r for r in rows if r.get("text") is not None]
+        return mark, [r for r in rows if r["part"] is not None], [r for r in rows if r.get("text") is not None]
 
     def strings(left: pa.Table, right: pa.Table) -> pa.Table:
         """For each block behind this one that shares names with it as a neighbour, the strings of these names."""
         mark, told, _ = split(right)
         block, positions, own = suffixes(left, mark)
         rows = []
-        for other, places in own.shared(told, 2).items():
+        for other, places in own.shared(told, "behind").items():
             text, at = _extract(block.bytes, positions[own.first[places]])
             rows.append((other, left["block"][0].as_py(), at.astype("<i4").tobytes(), text.tobytes()))
         return _table(rows, STRINGS)
@@ -435,7 +435,7 @@ def remove_repeats(docs: DataFrame, bits: int = BITS) -> DataFrame:
         first = positions[own.first[own.place]]
         again = np.flatnonzero(first != positions)
         out.append(own.names[own.place[again[_differ(block.bytes, positions[again], block.bytes, first[again])]]])
-        mine = own.shared(told, 1)
+        mine = own.shared(told, "before")
         for row in received:
             places = mine[row["other"]]
             q, at = positions[own.first[places]], np.frombuffer(row["at"], "<i4").astype(np.int64)
@@ -484,17 +484,17 @@ def _by_bytes(work: Workspace, blocks: DataFrame, for_block: DataFrame, wrong: D
         rows = []
         for block, part, blob in zip(left["block"].to_pylist(), left["part"].to_pylist(), left["names"], strict=True):
             found = np.isin(_decode(blob.as_py()), listed)
-            rows.append((block, part, 0, None, np.packbits(found).tobytes(), None))
-        return _table(rows, ANSWER)
+            rows.append((block, part, np.packbits(found).tobytes()))
+        return _table(rows, "block long, part int, bits binary")
 
     sent = met(for_block, asked, SENT)
-    told = work.table(sent.groupBy("part").cogroup(names.groupBy("part")).applyInArrow(known, ANSWER), "told").select("block", F.col("part").alias("at_part"), F.col("bits").alias("is_wrong"))
+    told = work.table(sent.groupBy("part").cogroup(names.groupBy("part")).applyInArrow(known, "block long, part int, bits binary"), "told").select("block", F.col("part").alias("at_part"), F.col("bits").alias("is_wrong"))
     with_wrong = for_block.unionByName(told, allowMissingColumns=True)
 
     def unsure(left: pa.Table, right: pa.Table):
         mark, told, _ = split(right)
         block, positions, own = suffixes(left, mark)
-        rows = [{"kind": 0, "part": r["at_part"], "bits": r["is_wrong"]} for r in right.to_pylist() if r["is_wrong"] is not None]
+        rows = [{"part": r["at_part"], "bits": r["is_wrong"]} for r in right.to_pylist() if r["is_wrong"] is not None]
         return mark, told, block, positions, own, own.repeated(rows)[own.place]
 
     def spelled(left: pa.Table, right: pa.Table) -> pa.Table:
