@@ -117,3 +117,23 @@ def matmul(a: DataFrame, b: DataFrame, f=lambda v: v) -> DataFrame:
     """``i, j, value`` of the product of two long matrices, from a join on the inner index and sums before the shuffle."""
     right = b.select(F.col("i").alias("k"), F.col("k").alias("j"), F.col("value").alias("w"))
     return a.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("value") * F.col("w")).alias("value")).withColumn("value", f(F.col("value")))
+
+
+def _draw(seed: int, *key: Column | str) -> Column:
+    """A number from 0 to 1 (exclusive) that follows from the key alone: 52 bits of a digest, however rows are dealt."""
+    parts = F.concat_ws(":", F.lit(str(seed)), *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in key])
+    return F.conv(F.substring(F.md5(parts), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+
+
+def seeded(kind: str, seed: int, *key: Column | str, low: float = 0.0, high: float = 1.0) -> Column:
+    """A drawn value for each key: ``normal``, ``uniform`` from low to high, ``integer`` from low up to below high, or ``bool``."""
+    if kind == "normal":
+        return F.sqrt(-2 * F.log(1 - _draw(seed, F.lit("r"), *key))) * F.cos(2 * F.pi() * _draw(seed, F.lit("a"), *key))
+    u = _draw(seed, *key)
+    if kind == "uniform":
+        return low + (high - low) * u
+    if kind == "integer":
+        return F.floor(low + max(high - low, 1) * u)
+    if kind == "bool":
+        return u < 0.5
+    raise ValueError(f"unknown kind {kind}")

@@ -9,11 +9,19 @@ import json
 import warnings
 
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 INSPECTION = T.StructType([*[T.StructField(n, T.BooleanType()) for n in ("syntax_ok", "has_entry", "reached", "falls_back")], T.StructField("n_functions", T.IntegerType())])
-AUDIT = T.StructType([T.StructField("calls", T.IntegerType()), T.StructField("imports", T.IntegerType()), T.StructField("placeholder", T.BooleanType())])
+_COUNTS = ("calls", "imports", "spec_calls", "reversed_calls", "unknown_calls")
+AUDIT = T.StructType(
+    [
+        *[T.StructField(n, T.IntegerType()) for n in _COUNTS],
+        *[T.StructField(n, T.BooleanType()) for n in ("parses", "placeholder", "has_entry")],
+        T.StructField("imported", T.ArrayType(T.StringType())),
+    ]
+)
 
 
 def _parse(source: str | None) -> ast.Module | None:
@@ -171,12 +179,70 @@ def spec_only(source: pd.Series) -> pd.Series:
     return source.map(_spec, na_action="ignore")
 
 
-def _audit(source: str) -> dict:
+def _audit(source: str | None, call: str, entry: str) -> dict:
     tree = _parse(source)
     nodes = list(ast.walk(tree)) if tree else []
-    return {"calls": sum(isinstance(n, ast.Call) for n in nodes), "imports": sum(isinstance(n, ast.Import | ast.ImportFrom) for n in nodes), "placeholder": any(isinstance(n, ast.Pass) or (isinstance(n, ast.Constant) and n.value is ...) for n in nodes) or "TODO" in (source or "")}
+    imports = [n for n in nodes if isinstance(n, ast.Import | ast.ImportFrom)]
+    # a call that takes a value and then a function: which of its two first arguments is the function?
+    specs = [n.args for n in nodes if isinstance(n, ast.Call) and len(n.args) > 1 and isinstance(n.func, ast.Attribute) and n.func.attr == call]
+    swapped = [isinstance(first, ast.Lambda) for first, *_ in specs]
+    return {
+        "calls": sum(isinstance(n, ast.Call) for n in nodes),
+        "imports": len(imports),
+        "spec_calls": len(specs),
+        "reversed_calls": sum(swapped),
+        "unknown_calls": sum(not s and not isinstance(args[1], ast.Lambda) for s, args in zip(swapped, specs, strict=True)),
+        "parses": tree is not None and source is not None,
+        "placeholder": any(isinstance(n, ast.Expr) and isinstance(n.value, ast.Constant) and n.value.value is ... for n in nodes),
+        "has_entry": any(isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef) and n.name == entry for n in (tree.body if tree else ())),
+        "imported": sorted({a.asname or (a.name if isinstance(n, ast.ImportFrom) else a.name.split(".")[0]) for n in imports if n in tree.body for a in n.names}),
+    }
+
+
+def source_audit(source, call: str = "BlockSpec", entry: str = "run"):
+    """Counts of calls and imports, calls of ``call`` with their arguments in the wrong or an unknown order, what is imported, placeholders."""
+
+    @F.pandas_udf(AUDIT)
+    def audit(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_audit(x, call, entry) for x in s], columns=AUDIT.names)
+
+    return audit(source)
+
+
+def required_block(df: DataFrame, text: str, name: str, into: str = "code") -> DataFrame:
+    """Adds the first fenced block, or unfinished last one, that defines ``name`` and parses; failing that, the first that defines it; else null."""
+    fence = r"```(?:python|py)?\n"
+    pieces = F.split(F.col(text), fence, -1)
+    tail = F.when(F.size(pieces) > 1, F.array(F.element_at(pieces, -1))).otherwise(F.array().cast("array<string>"))
+    blocks = F.concat(F.regexp_extract_all(F.col(text), F.lit(rf"(?s){fence}(.*?)```"), F.lit(1)), tail)
+    cleaned = F.transform(blocks, lambda b: F.concat(F.regexp_replace(b, r"^\s+|\s+$", ""), F.lit("\n")))
+    wanted = F.filter(cleaned, lambda b: F.contains(b, F.lit(f"def {name}")))
+    keyed = df.withColumn("_blocks", F.coalesce(wanted, F.array().cast("array<string>")))
+    # of the few blocks of a text, the parser sees the first ones; a column for each place keeps one row a text
+    first = F.when(F.size("_blocks") == 1, F.element_at("_blocks", 1))
 
-
-@F.pandas_udf(AUDIT)
-def source_audit(source: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_audit(s or "") for s in source], columns=["calls", "imports", "placeholder"])
+    @F.pandas_udf(T.StringType())
+    def preferred(blocks: pd.Series) -> pd.Series:
+        return blocks.map(lambda found: next((b for b in found if _parse(b) is not None), found[0] if len(found) else None))
+
+    return keyed.withColumn(into, F.coalesce(first, preferred("_blocks"))).drop("_blocks")
+
+
+def static_contract(df: DataFrame, text: str, entry: str, call: str, wanted: str, fallback: str) -> DataFrame:
+    """Adds ``code, stage, passed, feedback``: how far a reply gets without being run.
+
+    Stages: ``output_contract`` (one complete module that defines ``entry``), ``call_contract`` (``call`` is used with its arguments in
+    order, ``wanted`` can be reached and ``fallback`` can't), ``static_complete``.
+    """
+    found = required_block(df, text, entry).withColumn("_a", source_audit(F.col("code"), call, entry)).withColumn("_i", inspect_source(F.col("code"), entry, wanted, fallback))
+    a, i = (lambda n: F.col(f"_a.{n}")), (lambda n: F.col(f"_i.{n}"))
+    feedback = (
+        F.when(F.col("code").isNull(), F.lit(f"The reply holds no module that defines {entry}."))
+        .when(~a("parses"), F.lit("The module has a syntax error."))
+        .when(a("placeholder") | ~a("has_entry"), F.lit(f"The module is incomplete or {entry} is not at its top level."))
+        .when((a("spec_calls") == 0) | (a("reversed_calls") > 0) | (a("unknown_calls") > 0), F.lit(f"{call} takes a value first and a function second."))
+        .when(~i("reached") | i("falls_back"), F.lit(f"{wanted} must be reachable, without a fallback."))
+    )
+    incomplete = F.col("code").isNull() | ~a("parses") | a("placeholder") | ~a("has_entry")
+    stage = F.when(incomplete, F.lit("output_contract")).when(feedback.isNotNull(), F.lit("call_contract")).otherwise(F.lit("static_complete"))
+    return found.withColumn("stage", stage).withColumn("passed", feedback.isNull()).withColumn("feedback", F.coalesce(feedback, F.lit("Static checks passed."))).drop("_a", "_i")

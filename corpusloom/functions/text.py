@@ -30,10 +30,18 @@ def digest(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+def ascii_json(json: Column) -> Column:
+    """JSON with every character outside printed ASCII as the escapes of its UTF-16 units, and all escapes in lower case."""
+    tokens = F.regexp_extract_all(json, F.lit(r"(?s)\\(?:u[0-9A-Fa-f]{4}|.)|[^\x00-\x7e]|[\x00-\x5b\x5d-\x7e]+"), F.lit(0))
+    units = lambda c: F.regexp_replace(F.lower(F.hex(F.encode(c, "UTF-16BE"))), "(.{4})", r"\\u$1")
+    escaped = F.transform(tokens, lambda t: F.when(t.rlike(r"^[^\x00-\x7e]"), units(t)).when(t.rlike(r"^\\u"), F.lower(t)).otherwise(t))
+    return F.when(json.rlike(r"[^\x00-\x7e]|\\u"), F.array_join(escaped, "")).otherwise(json)
+
+
 def canonical_digest(**fields: Column) -> Column:
-    """SHA-256 of the compact JSON of the fields in alphabetical order, nulls kept; for ASCII values."""
+    """SHA-256 of the compact ASCII JSON of the fields in alphabetical order, nulls kept."""
     ordered = F.struct(*[fields[k].alias(k) for k in sorted(fields)])
-    return F.sha2(F.to_json(ordered, {"ignoreNullFields": "false"}), 256)
+    return F.sha2(ascii_json(F.to_json(ordered, {"ignoreNullFields": "false"})), 256)
 
 
 def contains_any(text: Column, signals: Sequence[str], fold: bool = False) -> Column:

@@ -42,3 +42,22 @@ def code_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _snippets(spark, sf_dir).withColumn("mutated", code.mutated("source", "doc_id"))
     similarity = F.when(F.col("mutated").isNotNull(), F.round(code.similarity_ratio("source", "mutated"), 6))
     return rows.select("doc_id", "kind", "mutated", code.spec_only("source").alias("spec"), similarity.alias("similarity"))
+
+
+@query()
+def static_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies of one block each: a program with its arguments in order, in the wrong one, unfinished, or the turn's own text."""
+    program = "import jax.experimental.pallas as pl\n\ndef run(x):\n    return pl.pallas_call(x, pl.BlockSpec({0}))"
+    bodies = (program.format("(8, 8), lambda i: i"), program.format("lambda i: i, (8, 8)"), "def run(x):\n    ...", "def run(x):\n    return (x")
+    body = F.element_at(F.array(*map(F.lit, bodies), F.col("text")), (F.pmod(F.xxhash64("conv_id", "turn"), F.lit(5)) + 1).cast("int"))
+    replies = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("Plan\n```python\n"), body, F.lit("\n```")).alias("reply"))
+    return code.static_contract(replies, "reply", "run", "BlockSpec", "pallas_call", "jnp.").select("conv_id", "turn", "stage", "passed", "feedback")
+
+
+@query()
+def required_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies with a broken block before a sound one: the sound one is taken, of turns without it the broken one."""
+    broken, sound = F.lit("```python\ndef run(x:\n    return x\n```\n"), F.lit("```py\ndef run(x):\n    return x\n```\n")
+    reply = F.concat(broken, F.coalesce("text", F.lit("")), F.lit("\n"), F.when(F.col("turn") % 2 == 0, sound).otherwise(F.lit("```\nnone\n```")))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", reply.alias("reply"))
+    return code.required_block(rows, "reply", "run").select("conv_id", "turn", F.sha2("code", 256).alias("code_sha256"))

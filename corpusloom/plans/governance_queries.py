@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators import governance as g
+from corpusloom.operators import verifying
 from corpusloom.plans.registry import query, table
 
 
@@ -135,3 +138,23 @@ def arm_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = docs.select((F.col("doc_id") % 2).alias("arm"), F.col("lang").alias("tier"), F.contains("text", F.lit("license")).alias("licensed"), (F.col("n_chars") > 1000).alias("long_text"))
     return g.arm_deltas(rows, "arm", 0, 1, "tier", ("licensed", "long_text"))
+
+
+class _ShortLines:
+    """Passes a text without a run of marks; tells how many it has."""
+
+    schema = "marks long, passed boolean"
+
+    def verify(self, batch):
+        counts = pc.count_substring(pc.fill_null(batch.column("text"), ""), "###").cast(pa.int64())
+        return [counts, pc.equal(counts, 0)]
+
+
+@query("""
+WITH d AS (SELECT doc_id, text, length(text) - length(replace(text, '###', '##')) AS n FROM documents)
+SELECT doc_id, CASE WHEN n = 0 THEN text ELSE replace(text, '###', '') END AS text, CAST(CASE WHEN n = 0 THEN 0 ELSE 1 END AS INTEGER) AS attempts, NOT contains(CASE WHEN n = 0 THEN text ELSE replace(text, '###', '') END, '###') AS passed FROM d""")
+def repaired_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pluggable verifier over Arrow batches, and one round of repair for what it rejects."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fix = lambda rows: rows.withColumn("text", F.replace("text", F.lit("###"), F.lit("")))
+    return verifying.repaired(docs, "doc_id", lambda rows: verifying.verified(rows, _ShortLines()).drop("marks"), fix, 1)

@@ -105,3 +105,15 @@ def matrix_product(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_V} SELECT vec_id, list_bool_and({_zip('abs(z[1] - z[2]) <= 0.5 + 0.5 * abs(z[2])')}) AS near, true AS same FROM v")
 def tolerant_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vectors(spark, sf_dir).select("vec_id", a.close(F.col("x"), F.col("y"), 0.5).alias("near"), a.close(F.col("x"), F.col("x")).alias("same"))
+
+
+_DRAW = "(CAST('0x' || substr(md5('{0}:' || {1}vec_id), 1, 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE))"
+
+
+@query(f"""
+SELECT vec_id, round(sqrt(-2 * ln(1 - {_DRAW.format(7, "'r:' || ")})) * cos(2 * pi() * {_DRAW.format(7, "'a:' || ")}), 6) AS normal, round(-1 + 3 * {_DRAW.format(8, "")}, 6) AS uniform,
+  CAST(floor(5 + 10 * {_DRAW.format(9, "")}) AS BIGINT) AS whole, {_DRAW.format(10, "")} < 0.5 AS flag FROM embeddings""")
+def generated_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    drawn = {"normal": a.seeded("normal", 7, "vec_id"), "uniform": a.seeded("uniform", 8, "vec_id", low=-1, high=2)}
+    return rows.select("vec_id", *[F.round(v, 6).alias(k) for k, v in drawn.items()], a.seeded("integer", 9, "vec_id", low=5, high=15).alias("whole"), a.seeded("bool", 10, "vec_id").alias("flag"))

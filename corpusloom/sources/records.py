@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import io
+import json
 import zipfile
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -122,3 +123,35 @@ def write_conversations(turns: DataFrame, path: str, scrub=None) -> None:
     rows = scrub(turns) if scrub else turns
     messages = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda m: F.struct(m["text"].alias("content"), m["role"].alias("role")))
     rows.groupBy("conv_id").agg(messages.alias("messages")).select("conv_id", "messages").write.mode("errorifexists").json(path)
+
+
+def _files(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def write_release(rows: DataFrame, path: str, artifacts: dict[str, Column], fingerprint: str, resume: bool = False) -> dict:
+    """Writes ``path/artifact=name`` for each name, of the rows for which its condition holds, in one pass; gives the manifest.
+
+    The manifest is written last and holds the fingerprint and the rows of each artifact. A folder with a finished release is
+    refused, or with ``resume`` left as it is if its fingerprint is the same one; with ``resume`` an unfinished one is made anew.
+    """
+    spark = rows.sparkSession
+    files, where = _files(spark, path)
+    if files.exists(where) and files.listStatus(where):
+        done = _files(spark, f"{path}/_manifest")[1]
+        if not resume or not (files.exists(done) or files.exists(_files(spark, f"{path}/_begun")[1])):
+            raise ScanError(f"OUTPUT_NOT_EMPTY: {path}")
+        if files.exists(done):
+            known = json.loads(spark.read.text(f"{path}/_manifest").first()[0])
+            if known["fingerprint"] != fingerprint:
+                raise ScanError("RESUME_FINGERPRINT_MISMATCH")
+            return known
+    spark.createDataFrame([(fingerprint,)], "value string").write.mode("overwrite").text(f"{path}/_begun")
+    names = F.array_compact(F.array(*[F.when(held, F.lit(name)) for name, held in artifacts.items()]))
+    rows.withColumn("artifact", F.explode(names)).write.mode("overwrite").partitionBy("artifact").parquet(f"{path}/rows")
+    counts = {r["artifact"]: r["count"] for r in spark.read.parquet(f"{path}/rows").groupBy("artifact").count().collect()}
+    manifest = {"fingerprint": fingerprint, "rows": {name: counts.get(name, 0) for name in artifacts}}
+    spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_manifest")
+    files.delete(_files(spark, f"{path}/_begun")[1], True)
+    return manifest

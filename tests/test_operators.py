@@ -1,12 +1,15 @@
 """Literal cases with known answers."""
 
+import hashlib
+import json
 import random
 
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import arrays, code, scrub, text
-from corpusloom.operators import admission, conversations, dedup, discovery, evaluation, ordered, packing, similarity
+from corpusloom.operators import admission, conversations, dedup, discovery, evaluation, ordered, packing, similarity, verifying
 from corpusloom.plans import catalog
 
 
@@ -158,7 +161,7 @@ def test_code_queries_read_every_document(spark):
             if name == "code_families":
                 assert prose.parses == (code._parse(whole) is not None) and program.parses
             elif name == "code_inspections":
-                assert prose.audit.asDict() == code._audit(whole) and program.reached and not program.falls_back
+                assert prose.audit.asDict() == code._audit(whole, "BlockSpec", "run") and program.reached and not program.falls_back
             else:
                 assert (prose.mutated, prose.spec) == (code._mutate(whole, i), code._spec(whole)) and (prose.similarity is None) == (prose.mutated is None)
                 assert program.mutated and 0.9 < program.similarity < 1
@@ -232,3 +235,74 @@ def test_lane_schedule_equals_a_plain_one(spark, monkeypatch):
     placed += placed[: -len(placed) % batch]
     got = sorted(tuple(r) for r in packing.lane_schedule(df, weights, batch).collect())
     assert got == [(i, lane, pack) for i, (_, lane, pack) in enumerate(placed)]
+
+
+def test_every_query_has_its_operators():
+    from corpusloom.plans import inventory
+
+    assert set(inventory.OPERATORS) <= set(catalog.QUERIES)
+    ids = [i for numbers in (*inventory.OPERATORS.values(), *inventory.FILES.values()) for i in numbers.split()]
+    assert len(set(ids)) >= 195
+
+
+def test_canonical_digests_equal_ascii_json(spark):
+    values = ["plain", "é", "日本 😀", "a\x01\x1fb\x7f", "back\\slash \\u00e9 \"q\"", "\n\t", None, "", "mix é\\n\x02"]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "n int, v string")
+    for r in df.select("n", "v", text.canonical_digest(v=F.col("v"), n=F.col("n")).alias("d")).collect():
+        assert r.d == hashlib.sha256(json.dumps({"v": r.v, "n": r.n}, sort_keys=True, separators=(",", ":")).encode()).hexdigest(), r.v
+
+
+def test_required_block_prefers_what_parses(spark):
+    good, bad = "def run(x):\n    return x", "def run(x:"
+    cases = {
+        f"```python\n{bad}\n```\nand\n```py\n{good}\n```": good + "\n",
+        f"```\n{bad}\n```": bad + "\n",
+        f"```python\n{good}": good + "\n",
+        "```python\nx = 1\n```": None,
+        "no code": None,
+        "": None,
+    }
+    df = spark.createDataFrame([(t,) for t in [*cases, None]], "text string")
+    assert all(r.code == cases.get(r.text) for r in code.required_block(df, "text", "run").collect())
+
+
+def test_static_stages(spark):
+    call = "import pl\ndef run(x):\n    return pl.pallas_call(x, pl.BlockSpec({}))"
+    cases = {
+        call.format("(8,), lambda i: i"): ("static_complete", True), call.format("lambda i: i, (8,)"): ("call_contract", False), call.format("(8,), index"): ("call_contract", False),
+        "def run(x):\n    return x": ("call_contract", False), "def run(x):\n    ...": ("output_contract", False), "def run(x:": ("output_contract", False), "x = 1": ("output_contract", False),
+        "import pl\ndef other(x):\n    return pl.pallas_call(x, pl.BlockSpec((8,), lambda i: i))\ndef run(x):\n    return x": ("call_contract", False),
+        "class A:\n    def run(self):\n        return 1": ("output_contract", False),
+    }
+    df = spark.createDataFrame([(t, f"```python\n{t}\n```") for t in cases], "source string, reply string")
+    got = code.static_contract(df, "reply", "run", "BlockSpec", "pallas_call", "jnp.").collect()
+    assert len(got) == len(cases) and all((r.stage, r.passed) == cases[r.source] for r in got)
+
+
+def test_audit_counts_argument_orders(spark):
+    source = "import a.b as c, d\nfrom e import f\nx.BlockSpec((1,), lambda i: i)\nx.BlockSpec(lambda i: i, (1,))\nx.BlockSpec((1,), y)\nx.BlockSpec(1)\n..."
+    (r,) = spark.createDataFrame([(source,)], "s string").select(code.source_audit(F.col("s")).alias("a")).collect()
+    assert (r.a.spec_calls, r.a.reversed_calls, r.a.unknown_calls, r.a.imported, r.a.placeholder, r.a.parses) == (3, 1, 1, ["c", "d", "f"], True, True)
+
+
+def test_seeded_values_follow_their_key(spark):
+    df = spark.range(20_000).repartition(7)
+    kinds = {"n": arrays.seeded("normal", 1, "id"), "u": arrays.seeded("uniform", 1, "id", low=2, high=4), "i": arrays.seeded("integer", 1, "id", low=-3, high=3), "b": arrays.seeded("bool", 1, "id")}
+    got = df.select("id", *[v.alias(k) for k, v in kinds.items()]).toPandas().sort_values("id").reset_index(drop=True)
+    again = df.repartition(2).select("id", *[v.alias(k) for k, v in kinds.items()]).toPandas().sort_values("id").reset_index(drop=True)
+    assert got.equals(again) and abs(got.n.mean()) < 0.03 and abs(got.n.std() - 1) < 0.03
+    assert got.u.between(2, 4).all() and abs(got.u.mean() - 3) < 0.02 and set(got.i) == set(range(-3, 3)) and abs(got.b.mean() - 0.5) < 0.02
+
+
+def test_rows_are_repaired_until_they_pass(spark):
+    class Short:
+        schema = "passed boolean"
+
+        def verify(self, batch):
+            return [pc.less(pc.utf8_length(batch.column("text")), 3)]
+
+    df = spark.createDataFrame([(1, "a"), (2, "abc"), (3, "abcde"), (4, "abcdefghij"), (5, None)], "k int, text string")
+    cut = lambda rows: rows.withColumn("text", F.expr("substring(text, 2)"))
+    got = {r.k: (r.text, r.passed, r.attempts) for r in verifying.repaired(df, "k", lambda rows: verifying.verified(rows, Short()), cut, 4).collect()}
+    assert got == {1: ("a", True, 0), 2: ("bc", True, 1), 3: ("de", True, 3), 4: ("efghij", False, 4), 5: (None, None, 4)}
+    assert verifying.verified(df.limit(0), Short()).count() == 0

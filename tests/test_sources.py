@@ -5,6 +5,7 @@ import zipfile
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.sources import paged, records
 from corpusloom.streaming import enrich
@@ -94,3 +95,19 @@ def test_enrichment_resumes(spark, tmp_path):
 def test_event_windows(spark):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     assert enrich.event_windows(events).agg({"n": "sum"}).first()[0] == events.count()
+
+
+def test_release_is_resumed_only_with_its_fingerprint(spark, tmp_path):
+    rows, path = spark.range(10).withColumn("good", F.col("id") % 3 == 0), f"file://{tmp_path}/release"
+    artifacts = {"inventory": F.lit(True), "decisions": F.lit(True), "candidates": F.col("good"), "none": F.lit(False)}
+    made = records.write_release(rows, path, artifacts, "f1")
+    assert made == {"fingerprint": "f1", "rows": {"inventory": 10, "decisions": 10, "candidates": 4, "none": 0}}
+    assert {r.id for r in spark.read.parquet(f"{path}/rows").where("artifact = 'candidates'").collect()} == {0, 3, 6, 9}
+    assert records.write_release(rows.limit(0), path, artifacts, "f1", resume=True) == made
+    for fingerprint, resume in (("f1", False), ("f2", True), ("f2", False)):
+        with pytest.raises(records.ScanError):
+            records.write_release(rows, path, artifacts, fingerprint, resume)
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / "file").write_text("x")
+    with pytest.raises(records.ScanError):
+        records.write_release(rows, f"file://{tmp_path}/other", artifacts, "f1", resume=True)
