@@ -214,9 +214,9 @@ def canaries_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""
 WITH d AS (SELECT doc_id, '/opt/run/' || source || '/a.py: token = ' || lang || '; see tests and ' || text AS error FROM documents)
-SELECT doc_id, substr(regexp_replace(regexp_replace(
-  regexp_replace(regexp_replace(regexp_replace(error, '(^|[^\w.])/(?:[^\s:''"]+/)+[^\s:''"]*', '\1<path>', 'g'), '(?i)\b(api[_-]?key|authorization|bearer|credential|password|secret|token)\b\s*[:=]\s*[^\s,;]+', '\1=<redacted>', 'g'), '(?i)\b(hidden[\w.-]*|tests?|solutions?|references?)\b', '<hidden>', 'g'),
-  '(?m)[ \t\r]+$', '', 'g'), '^\s+|\s+$', '', 'g'), 1, 4000) AS shown
+SELECT doc_id, substr(replace(regexp_replace(regexp_replace(
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace(error, '(^|[^\w.])/(?:[^\s:''"]+/)+[^\s:''"]*', '\1<path>', 'g'), '(?i)\b(api[_-]?key|authorization|bearer|credential|password|secret|token)\b\s*[:=]\s*[^\s,;]+', '\1=<redacted>', 'g'), '(?i)(^|[^\pL\pM\pN_])(?:hidden[\w.-]*|tests?|solutions?|references?)($|[^\pL\pM\pN_])', '\1<' || chr(1) || '>\2', 'g'), '(?i)(^|[^\pL\pM\pN_])(?:hidden[\w.-]*|tests?|solutions?|references?)($|[^\pL\pM\pN_])', '\1<' || chr(1) || '>\2', 'g'),
+  '(?m)[ \t\r]+$', '', 'g'), '^\s+|\s+$', '', 'g'), '<' || chr(1) || '>', '<hidden>'), 1, 4000) AS shown
 FROM d""")
 def sanitized_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     error = F.concat(F.lit("/opt/run/"), "source", F.lit("/a.py: token = "), "lang", F.lit("; see tests and "), F.col("text"))
