@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions.text import tokens
-from corpusloom.staging import Workspace
+from corpusloom.staging import Workspace, spread
 
 SHINGLE, THRESHOLD = 5, 0.8
 
@@ -39,7 +39,7 @@ class ShingleSets:
 def shingle_sets(df: DataFrame, key: str, text: str = "text") -> ShingleSets:
     """The shingles of each text, staged once: ``cls`` tells equal token sequences apart from others. A null text has none."""
     work = Workspace(df.sparkSession, "shingles")
-    seq = df.select(key, tokens(F.coalesce(F.col(text), F.lit(""))).alias("seq"))
+    seq = spread(df.select(key, text)).select(key, tokens(F.coalesce(F.col(text), F.lit(""))).alias("seq"))
     made = seq.select(key, F.sha2(F.array_join("seq", "\x01"), 256).alias("cls"), shingles(F.col("seq")).alias("shingles"))
     sets = work.table(made.select(key, "cls", F.size("shingles").cast("long").alias("n"), "shingles"), "sets")
     return ShingleSets(sets.select(key, "cls", "n"), work.table(sets.select("cls", "n", "shingles").dropDuplicates(["cls"]), "classes"))

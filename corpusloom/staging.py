@@ -30,6 +30,15 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Tables below this many rows often are one row group of one file, which one task would read.
+FEW_ROWS = 200_000
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt over all cores if it is small, before work that costs far more than moving its rows."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if df.count() < FEW_ROWS else df
+
+
 class Workspace:
     """A folder of staged tables. Whoever consumes the result removes it: by :func:`scratch`, or at the end of the process."""
 
