@@ -245,7 +245,7 @@ def test_words_and_links_of_neighbours_decide_where_nothing_is_named():
 def test_a_megabyte_of_bad_markup_takes_seconds(tree, page):
     start = time.perf_counter()
     html_text.main_text(page, tree)
-    assert time.perf_counter() - start < 20
+    assert time.perf_counter() - start < 60
 
 
 def test_page_rows(spark):
@@ -413,7 +413,7 @@ def test_many_matches_in_one_text(spark):
     df = spark.createDataFrame([(1, text, len(text))], "doc_id long, text string, n_chars long")
     start = time.perf_counter()
     (r,) = pii.pii_spans(df).collect()
-    assert time.perf_counter() - start < 60
+    assert time.perf_counter() - start < 240
     assert [(s.start, s.end) for s in r.spans if s.kind == "card"] == [m.span() for m in re.finditer(card, text)]
     assert [(s.start, s.end) for s in r.spans if s.kind == "email"] == [m.span() for m in re.finditer(mail, text)]
     (clean,) = pii.without_personal_data(df).collect()
@@ -421,7 +421,7 @@ def test_many_matches_in_one_text(spark):
     numbers = " x ".join(str(10**15 + i) for i in range(200_000))
     start = time.perf_counter()
     (r,) = pii.pii_spans(df.withColumn("text", F.lit(numbers))).collect()
-    assert time.perf_counter() - start < 60 and len(r.spans) == sum(luhn(str(10**15 + i)) for i in range(200_000))
+    assert time.perf_counter() - start < 240 and len(r.spans) == sum(luhn(str(10**15 + i)) for i in range(200_000))
 
 
 def test_redaction_leaves_clashing_columns(spark):
