@@ -136,8 +136,19 @@ def _resolve(work: Workspace, chunks: DataFrame, depth: int = 0) -> DataFrame:
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in _runs(batches, "key", "group"):
             given = run[0]["entered"]
-            found = _chain([_array(r["matrix"]).reshape(STATES + 1, STATES) for r in run], _array(given) if given is not None else ENTRY, run[0]["last"] if given is not None else -1)
-            yield pa.RecordBatch.from_pydict({"key": [r["key"] for r in run], "chunk": [r["chunk"] for r in run], "entered": [s.astype("<f8").tobytes() for s, _ in found], "last": pa.array([e for _, e in found], pa.int32())})
+            found = _chain(
+                [_array(r["matrix"]).reshape(STATES + 1, STATES) for r in run],
+                _array(given) if given is not None else ENTRY,
+                run[0]["last"] if given is not None else -1,
+            )
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "key": [r["key"] for r in run],
+                    "chunk": [r["chunk"] for r in run],
+                    "entered": [s.astype("<f8").tobytes() for s, _ in found],
+                    "last": pa.array([e for _, e in found], pa.int32()),
+                }
+            )
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in _runs(batches, "key", "group"):
@@ -171,7 +182,15 @@ def parse_transcripts(transcripts: DataFrame, model) -> DataFrame:
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in _runs(batches, "key", "chunk"):
             lines = [line for r in run for line in r["lines"]]
-            yield pa.RecordBatch.from_pydict({"key": [run[0]["key"]], "conv_id": pa.array([run[0]["conv_id"]], pa.int64()), "chunk": pa.array([run[0]["chunk"]], pa.int64()), "lines": pa.array([lines], pa.list_(pa.string())), "matrix": [transfer(lines, model).astype("<f8").tobytes()]})
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "key": [run[0]["key"]],
+                    "conv_id": pa.array([run[0]["conv_id"]], pa.int64()),
+                    "chunk": pa.array([run[0]["chunk"]], pa.int64()),
+                    "lines": pa.array([lines], pa.list_(pa.string())),
+                    "matrix": [transfer(lines, model).astype("<f8").tobytes()],
+                }
+            )
 
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     keyed = transcripts.select(
@@ -213,7 +232,13 @@ def parse_transcripts(transcripts: DataFrame, model) -> DataFrame:
     fragments = work.table(chunks.drop("matrix").join(resolved, ["key", "chunk"]).mapInArrow(speak, "key string, conv_id long, chunk long, local long, starts long, role string, n_lines long, text string"), "fragments")
     before = F.sum("starts").over(Window.partitionBy("key").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
     offsets = fragments.groupBy("key", "chunk").agg(F.max("starts").alias("starts")).select("key", "chunk", F.coalesce(before, F.lit(0)).alias("before"))
-    turns = fragments.join(offsets, ["key", "chunk"]).withColumn("turn_no", F.col("before") + F.col("local") - 1).groupBy("key", "turn_no").agg(F.first("conv_id").alias("conv_id"), F.first("role").alias("role"), F.sum("n_lines").alias("n_lines"), F.array_sort(F.collect_list(F.struct("chunk", "text"))).alias("pieces"))
+    numbered = fragments.join(offsets, ["key", "chunk"]).withColumn("turn_no", F.col("before") + F.col("local") - 1)
+    turns = numbered.groupBy("key", "turn_no").agg(
+        F.first("conv_id").alias("conv_id"),
+        F.first("role").alias("role"),
+        F.sum("n_lines").alias("n_lines"),
+        F.array_sort(F.collect_list(F.struct("chunk", "text"))).alias("pieces"),
+    )
     text = F.array_join(F.transform("pieces", lambda x: x["text"]), "\n")
     return turns.select("conv_id", "turn_no", "role", "n_lines", text.alias("text"), F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), text, F.lit("\n<|end|>")).alias("rendered"))
 
