@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import chat, html_text, jaccard_join, langid, media, mixing, packing, pii, sql, suffix_dedup, topk
+from corpusloom.llm import chat, html_text, infilling, jaccard_join, langid, media, mixing, packing, pii, resampling, sql, suffix_dedup, token_count, topk
 
 QUERIES = {
     "op1_media_columns": media.op1_media_columns,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_exact_top_k": topk.op8_exact_top_k,
     "op9_personal_data": pii.op9_personal_data,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
+    "op11_importance_resampling": resampling.op11_importance_resampling,
+    "op12_fill_in_middle": infilling.op12_fill_in_middle,
+    "op13_token_counts": token_count.op13_token_counts,
 }
-ORACLE_SQL = {"op5_mix_sources": sql.MIX, "op8_exact_top_k": sql.TOP_K, "op9_personal_data": sql.PERSONAL}
+ORACLE_SQL = {"op5_mix_sources": sql.MIX, "op8_exact_top_k": sql.TOP_K, "op9_personal_data": sql.PERSONAL, "op12_fill_in_middle": infilling.SQL}
