@@ -13,6 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -112,7 +113,7 @@ def feature_buckets(texts: pa.Array, longest: int = LONGEST, buckets: int = BUCK
 def _slices(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[pa.RecordBatch]:
     """Rows whose texts are of ``BLOCK_BYTES`` together, or one row."""
     for batch in batches:
-        sizes = np.cumsum([len(x) if x is not None else 0 for x in batch.column(text_at).to_pylist()])
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         at = 0
         while at < batch.num_rows:
             to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + BLOCK_BYTES, "right")))
