@@ -113,12 +113,6 @@ def transpose(long: DataFrame, f=lambda v: v) -> DataFrame:
     return long.select(F.col("k").cast("long").alias("i"), F.col("i").alias("k"), f(F.col("value")).alias("value"))
 
 
-def matmul(a: DataFrame, b: DataFrame, f=lambda v: v) -> DataFrame:
-    """``i, j, value`` of the product of two long matrices, from a join on the inner index and sums before the shuffle."""
-    right = b.select(F.col("i").alias("k"), F.col("k").alias("j"), F.col("value").alias("w"))
-    return a.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("value") * F.col("w")).alias("value")).withColumn("value", f(F.col("value")))
-
-
 def _draw(seed: int, *key: Column | str) -> Column:
     """A number from 0 to 1 (exclusive) that follows from the key alone: 52 bits of a digest, however rows are dealt."""
     parts = F.concat_ws(":", F.lit(str(seed)), *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in key])

@@ -7,6 +7,7 @@ import difflib
 import hashlib
 import json
 import warnings
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -81,28 +82,38 @@ def similarity_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, _normal(x or ""), _normal(y or ""), autojunk=False).ratio() for x, y in zip(a, b, strict=True)])
 
 
-def _live(body: list[ast.stmt]) -> list[ast.stmt]:
-    """Statements that can run: branches on constants are decided."""
-    out = []
+def _live(body: list[ast.stmt]) -> Iterator[ast.AST]:
+    """Statements and expressions that can run, at every level: branches and loops on constants are decided, what follows a
+    return is dead, and functions defined inside wait for a call."""
     for node in body:
-        if isinstance(node, ast.If) and isinstance(node.test, ast.Constant):
-            out += _live(node.body if node.test.value else node.orelse)
-        else:
-            out.append(node)
-            if isinstance(node, ast.Return | ast.Raise):
-                break
-    return out
+        if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
+            continue
+        if isinstance(node, ast.If | ast.While) and isinstance(node.test, ast.Constant):
+            yield from _live(node.body if node.test.value else node.orelse)
+            if isinstance(node, ast.If):
+                continue
+            if node.test.value and not any(isinstance(x, ast.Break) for x in ast.walk(node)):
+                return
+            continue
+        blocks = [x for x in ast.iter_child_nodes(node) if isinstance(x, ast.stmt | ast.ExceptHandler | ast.match_case)]
+        for part in ast.iter_child_nodes(node):
+            if part not in blocks:
+                yield from ast.walk(part)
+        for name in ("body", "orelse", "finalbody"):
+            yield from _live(getattr(node, name, []))
+        for inner in (*getattr(node, "handlers", []), *getattr(node, "cases", [])):
+            yield from _live(inner.body)
+        if isinstance(node, ast.Return | ast.Raise | ast.Break | ast.Continue):
+            return
 
 
 def _calls(body: list[ast.stmt]) -> set[str]:
-    found = set()
-    for stmt in _live(body):
-        if isinstance(stmt, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
-            continue
-        for node in ast.walk(stmt):
-            if isinstance(node, ast.Call):
-                found.add(ast.unparse(node.func))
-    return found
+    return {ast.unparse(node.func) for node in _live(body) if isinstance(node, ast.Call)}
+
+
+def _names(call: str, wanted: str) -> bool:
+    """Whether a dotted name is ``wanted`` or ends in it as a whole name."""
+    return call == wanted or call.endswith("." + wanted) or (wanted.endswith(".") and call.startswith(wanted))
 
 
 def _inspect(source: str | None, entry: str, wanted: str, fallback: str) -> dict:
@@ -121,11 +132,12 @@ def _inspect(source: str | None, entry: str, wanted: str, fallback: str) -> dict
             head, _, rest = call.partition(".")
             calls.add(".".join(filter(None, (aliases.get(head, head), rest))))
             todo.append(head)
-    return {"syntax_ok": True, "has_entry": entry in functions, "reached": any(c.endswith(wanted) for c in calls), "falls_back": any(fallback in c for c in calls), "n_functions": len(functions)}
+    return {"syntax_ok": True, "has_entry": entry in functions, "reached": any(_names(c, wanted) for c in calls), "falls_back": any(_names(c, fallback) for c in calls), "n_functions": len(functions)}
 
 
 def inspect_source(source, entry: str, wanted: str, fallback: str):
-    """Whether a call whose name ends in ``wanted`` can be reached from ``entry``, through aliases and live branches only."""
+    """Whether a call of the name ``wanted`` can be reached from ``entry``, through aliases and live branches only, and one of
+    ``fallback`` (a name, or a module with a dot behind it). Both are hints: whether a result is used isn't followed."""
 
     @F.pandas_udf(INSPECTION)
     def inspect(s: pd.Series) -> pd.DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as t
 from corpusloom.operators.dedup import contained_passages
-from corpusloom.operators.similarity import THRESHOLD, class_links, shingle_sets
+from corpusloom.operators.similarity import THRESHOLD, least_classes, shingle_sets
 
 #: Short bodies that a text is searched for at once, and the first letters by which more of them are found.
 FEW_BODIES, LETTERS = 1000, 8
@@ -30,8 +30,8 @@ def admit(rows: DataFrame, base: DataFrame, key: str, source: str, minimum_token
     exact = theirs.groupBy("_exact").agg(F.min("base_id").alias("base_id"))
     normal = theirs.groupBy("_normal").agg(F.min("base_id").alias("base_id"))
     ours, sets = shingle_sets(rows, key), shingle_sets(base, key)
-    firsts = sets.rows.groupBy(F.col("cls").alias("b")).agg(F.min(key).alias("base_id"))
-    near = ours.rows.select(key, F.col("cls").alias("a")).join(class_links(ours, sets, threshold), "a").join(firsts, "b").select(key, "base_id", F.lit(2).alias("p"))
+    firsts = sets.rows.groupBy("cls").agg(F.min(key).alias("first"))
+    near = ours.rows.select(key, "cls").join(least_classes(ours, sets, firsts, threshold), "cls").select(key, F.col("first").alias("base_id"), F.lit(2).alias("p"))
     found = hashed.join(exact, "_exact").select(key, "base_id", F.lit(0).alias("p")).union(hashed.join(normal, "_normal").select(key, "base_id", F.lit(1).alias("p"))).union(near)
     first = found.groupBy(key).agg(F.min(F.struct("base_id", "p")).alias("match"))
     kind = F.element_at(F.array(*map(F.lit, ("EXACT", "NORMALIZED", "NEAR"))), F.col("match.p") + 1)
@@ -65,10 +65,22 @@ class Policy:
     family_share: float
 
 
-def readiness(rows: DataFrame, source: str, family: str, policy: Policy) -> DataFrame:
-    """One row: what was observed and which rules fail, in the order of the rules."""
-    shares = lambda key, name: rows.groupBy(key).count().agg(F.count(F.lit(1)).alias(f"{name}_count"), (F.max("count") / F.sum("count")).alias(f"max_{name}"), F.min("count").alias(f"least_{name}"), F.sum("count").alias(f"rows_{name}"))
-    seen = shares(source, "source").withColumn("one", F.lit(1)).join(shares(family, "family").withColumn("one", F.lit(1)), "one")
+def readiness(rows: DataFrame, source: str, family: str, policy: Policy, contamination: DataFrame | None = None) -> DataFrame:
+    """One row: what was observed, which rules fail, in the order of the rules, and whether none does.
+
+    ``contamination`` has a row for each row that held-out text was found in: any of them fails. ``source_counts`` and
+    ``family_counts`` are maps in the order of their keys; sources and families are few beside rows.
+    """
+
+    def shares(key: str, name: str) -> DataFrame:
+        counts = rows.groupBy(key).count()
+        entries = F.array_sort(F.collect_list(F.when(F.col(key).isNotNull(), F.struct(F.col(key).cast("string").alias("k"), F.col("count").alias("v")))))
+        return counts.agg(F.count(F.lit(1)).alias(f"{name}_count"), F.coalesce(F.max("count") / F.sum("count"), F.lit(0.0)).alias(f"max_{name}"), F.min("count").alias(f"least_{name}"), F.coalesce(F.sum("count"), F.lit(0)).alias(f"rows_{name}"), F.map_from_entries(entries).alias(f"{name}_counts"))
+
+    one = lambda df: df.withColumn("one", F.lit(1))
+    seen = one(shares(source, "source")).join(one(shares(family, "family")), "one")
+    held = contamination.agg(F.count(F.lit(1)).alias("holdout_contamination")) if contamination is not None else None
+    seen = seen.join(one(held), "one") if held is not None else seen.withColumn("holdout_contamination", F.lit(0).cast("long"))
     failing = F.array_compact(
         F.array(
             F.when(F.col("rows_family") < policy.rows, F.lit("VERIFIED_ROWS_INSUFFICIENT")),
@@ -77,9 +89,10 @@ def readiness(rows: DataFrame, source: str, family: str, policy: Policy) -> Data
             F.when(F.col("least_family") < policy.rows_per_family, F.lit("FAMILY_DEPTH_INSUFFICIENT")),
             F.when(F.col("max_source") > policy.source_share, F.lit("SOURCE_CONCENTRATION_EXCEEDED")),
             F.when(F.col("max_family") > policy.family_share, F.lit("FAMILY_CONCENTRATION_EXCEEDED")),
+            F.when(F.col("holdout_contamination") > 0, F.lit("HOLDOUT_CONTAMINATION_PRESENT")),
         )
     )
-    return seen.select(F.col("rows_family").alias("verified_rows"), "family_count", "source_count", F.round("max_source", 9).alias("max_source"), F.round("max_family", 9).alias("max_family"), F.array_join(failing, "|").alias("reasons"))
+    return seen.select(F.col("rows_family").alias("verified_rows"), "family_count", "source_count", "family_counts", "source_counts", F.round("max_source", 9).alias("max_source"), F.round("max_family", 9).alias("max_family"), "holdout_contamination", F.array_join(failing, "|").alias("reasons"), (F.size(failing) == 0).alias("authorized"))
 
 
 def leaking(splits: DataFrame, key: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions.text import digest, squeeze
-from corpusloom.operators.similarity import THRESHOLD, ShingleSets, class_links, neighbours, shingle_sets
+from corpusloom.operators.similarity import THRESHOLD, ShingleSets, earlier_classes, least_classes, shingle_sets
 from corpusloom.staging import Workspace
 
 
@@ -34,27 +34,33 @@ def exact_and_normalized(df: DataFrame, key: str, objective: str, text: str = "t
 def nearest_earlier(df: DataFrame, key: str, objective: str, threshold: float = THRESHOLD, text: str = "text", sets: ShingleSets | None = None) -> DataFrame:
     """``key, near_of, similarity``: for each row the most similar earlier row of its objective, the first of equals.
 
-    Rows are compared by class of equal tokens: what counts of a class is its first row of the objective. ``sets``
-    are those of ``df``, if they are made already.
+    Rows are compared by class of equal tokens: what counts of a class is its first row of the objective. A row that is
+    not the first of its shingle set resembles that first one most of all; the others have their class's best.
+    ``sets`` are those of ``df``, if they are made already.
     """
     sets = sets or shingle_sets(df, key, text)
-    rows = sets.rows.where("n > 0").join(df.select(key, objective), key)
-    firsts = rows.groupBy("cls", objective).agg(F.min(key).alias("first"))
-    links = neighbours(class_links(sets, threshold=threshold)).union(sets.classes.where("n > 0").select("cls", "cls", F.lit(1.0)))
-    known = links.join(firsts.withColumnRenamed("cls", "other"), "other")
-    pairs = rows.select(key, "cls", objective).join(known, ["cls", objective]).where(F.col("first") < F.col(key))
-    best = pairs.groupBy(key).agg(F.min_by(F.struct("first", "similarity"), F.struct(-F.col("similarity"), F.col("first"))).alias("best"))
-    return best.select(key, F.col("best.first").alias("near_of"), F.col("best.similarity").alias("similarity"))
+    work = Workspace(df.sparkSession, "nearest")
+    rows = work.table(sets.rows.where("n > 0").join(df.select(key, F.col(objective).alias("grp")), key), "rows")
+    firsts = work.table(rows.groupBy("cls", "grp").agg(F.min(key).alias("first")), "firsts")
+    shapes = sets.classes.where("n > 0").select("cls", F.md5(F.array_join(F.transform("shingles", lambda x: x.cast("string")), ",")).alias("shape"))
+    shaped = firsts.where("grp is not null").join(shapes, "cls")
+    equal = shaped.join(shaped.groupBy("shape", "grp").agg(F.min("first").alias("equal")), ["shape", "grp"]).select("cls", "grp", "equal")
+    best = earlier_classes(sets, firsts.where("grp is not null"), threshold)
+    told = work.table(equal.join(best, ["cls", "grp"], "left"), "told")
+    joined = rows.join(told, ["cls", "grp"])
+    copy = F.col("equal") < F.col(key)
+    found = joined.select(key, F.when(copy, F.col("equal")).otherwise(F.col("first")).alias("near_of"), F.when(copy, 1.0).otherwise(F.col("similarity")).alias("similarity"))
+    return found.where("near_of is not null")
 
 
 def first_forbidden(df: DataFrame, key: str, forbidden: DataFrame, forbidden_key: str, threshold: float = THRESHOLD, text: str = "text", sets: ShingleSets | None = None) -> DataFrame:
     """``key, document, exact, similarity``: the first forbidden document that a row equals or resembles."""
     ours, theirs = sets or shingle_sets(df, key, text), shingle_sets(forbidden, forbidden_key)
-    links = class_links(ours, theirs, threshold)
+    documents = theirs.rows.groupBy("cls").agg(F.min(forbidden_key).alias("first"))
+    best = least_classes(ours, theirs, documents, threshold)
     sealed = forbidden.select(F.col(forbidden_key).alias("document"), digest(F.col("text")).alias("sha"))
     exact = df.select(key, digest(F.col(text)).alias("sha")).join(sealed, "sha").select(key, "document", F.lit(True).alias("exact"), F.lit(1.0).alias("similarity"))
-    documents = theirs.rows.select(F.col(forbidden_key).alias("document"), F.col("cls").alias("b"))
-    near = ours.rows.select(key, F.col("cls").alias("a")).join(links, "a").join(documents, "b").select(key, "document", F.lit(False).alias("exact"), "similarity")
+    near = ours.rows.select(key, "cls").join(best, "cls").select(key, F.col("first").alias("document"), F.lit(False).alias("exact"), "similarity")
     found = exact.union(near).groupBy(key, "document").agg(F.max("exact").alias("exact"), F.max("similarity").alias("similarity"))
     return found.groupBy(key).agg(F.min_by(F.struct("document", "exact", "similarity"), "document").alias("f")).select(key, "f.*")
 

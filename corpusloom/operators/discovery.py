@@ -39,16 +39,58 @@ def family_scores(matches: DataFrame, key: str) -> DataFrame:
     return by_family.groupBy(key).agg(F.map_from_entries(entries).alias("scores"), F.sum("w").alias("score"))
 
 
+#: Tags, parts of names and a pattern of names that tell a benchmark.
+BENCHMARK_TAGS = ("benchmark", "benchmarks", "evaluation", "kernel-benchmark", "kernelbench", "pallasbench", "llm-evaluation")
+BENCHMARK_NAMES = ("kernelbench", "pallasbench", "jaxbench")
+BENCHMARK_ID = r"(?:^|[-_/])(?:eval|evaluation|benchmark|bench|test)(?:$|[-_/])"
+
+
+def is_benchmark(scores: Column, tags: Column, name: Column) -> Column:
+    """Whether a source is a benchmark or an evaluation set by its signals, its tags (of any case) or its name."""
+    folded, lower = F.transform(F.coalesce(tags, F.array().cast("array<string>")), lambda t: F.lower(t)), F.lower(F.coalesce(name, F.lit("")))
+    found = F.coalesce(F.try_element_at(scores, F.lit("benchmark")) > 0, F.lit(False)) | F.coalesce(F.arrays_overlap(folded, F.array(*map(F.lit, BENCHMARK_TAGS))), F.lit(False)) | lower.rlike(BENCHMARK_ID)
+    for part in BENCHMARK_NAMES:
+        found = found | F.contains(lower, F.lit(part))
+    return found
+
+
+def source_risks(revision: Column, licence: Column, **flags: Column) -> Column:
+    """Risk flags of a source, sorted: revision not pinned, licence not verified, and those of ``flags`` that hold (``private, gated, disabled``)."""
+    rules = [F.when(~F.coalesce(revision.rlike("^[0-9a-f]{40}$"), F.lit(False)), F.lit("SOURCE_REVISION_UNPINNED"))]
+    rules.append(F.when(F.coalesce((licence == "unverified") | licence.startswith("multiple:"), F.lit(True)), F.lit("SOURCE_LICENSE_UNVERIFIED")))
+    rules += [F.when(F.coalesce(held, F.lit(False)), F.lit(f"SOURCE_{name.upper()}")) for name, held in flags.items()]
+    return F.array_sort(F.array_distinct(F.array_compact(F.array(*rules))))
+
+
 def classify(scored: DataFrame, domain: str, others: Sequence[str], threshold: int) -> DataFrame:
-    """Adds ``category`` and ``training_policy``: the domain wins ties against the other families."""
+    """The decision on each source, as columns added to ``scored``: the domain wins ties against the other families.
+
+    ``scored`` has ``scores, score, tags, name, risk_flags, signals`` (the matched signals). Added are ``category, source_role,
+    benchmark, status, training_policy, objectives, decision_reasons`` (sorted); ``risk_flags`` gain that of a benchmark.
+    """
     of = lambda f: F.coalesce(F.try_element_at("scores", F.lit(f)), F.lit(0).cast("long"))
     strongest = F.greatest(F.lit(0).cast("long"), *[of(f) for f in others]) if others else F.lit(0)
     known = of(domain) > 0
     for f in others:
         known = known | (of(f) > 0)
+    benchmark = is_benchmark(F.col("scores"), F.col("tags"), F.col("name"))
     category = F.when((F.col("score") < threshold) | ~known, "irrelevant_or_ambiguous").when(of(domain) >= strongest, "main_domain").when(of("trace") > 0, "agent_trace").otherwise("cross_domain")
-    policy = F.when(F.col("category") == "irrelevant_or_ambiguous", "rejected").when(of("benchmark") > 0, "forbidden").otherwise("discovery_only")
-    return scored.withColumn("category", category).withColumn("training_policy", policy)
+    judged = scored.withColumn("benchmark", benchmark).withColumn("category", category)
+    relevant = F.col("category") != "irrelevant_or_ambiguous"
+    policy = F.when(~relevant, "rejected").when(F.col("benchmark"), "forbidden").otherwise("discovery_only")
+    repair = (F.col("category") == "agent_trace") | F.col("benchmark")
+    objectives = F.when(relevant, F.array_compact(F.array(F.lit("dapt_candidate"), F.when(repair, F.lit("repair_candidate"))))).otherwise(F.array().cast("array<string>"))
+    risks = F.array_sort(F.array_distinct(F.concat("risk_flags", F.when(relevant & F.col("benchmark"), F.array(F.lit("BENCHMARK_CONTAMINATION"))).otherwise(F.array().cast("array<string>")))))
+    return judged.withColumns(
+        {
+            "training_policy": policy,
+            "status": F.when(relevant, "candidate").otherwise("rejected"),
+            "source_role": F.when(F.col("benchmark"), "benchmark_or_evaluation").otherwise("domain_source"),
+            "objectives": objectives,
+            "risk_flags": risks,
+            "decision_reasons": F.array_sort("signals"),
+        }
+    )
 
 
 def format_score(suffixes: Column) -> Column:

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusloom.operators.ordered import round_robin
+from corpusloom.operators.selection import medians
+
 #: Stages that a verified result must have passed.
 STAGES = ("source", "compile", "correctness", "profile")
 
@@ -40,26 +43,90 @@ def clipped_reward(correct: Column, fast: Column, speedup: Column) -> Column:
     return F.when(~correct, 0.0).otherwise(0.3 + F.when(fast, 0.3 + 0.4 * extra).otherwise(0.0))
 
 
-def failure_class(message: Column, code: Column) -> Column:
-    """Why a process failed: timeouts and lost devices are the machine's fault, the rest the program's."""
-    return F.when(code == 0, "none").when(code.isin(124, 137, 143) | message.rlike("(?i)timed out|deadline"), "timeout").when(message.rlike("(?i)device|unavailable|connection"), "infrastructure").when(message.rlike("(?i)error|exception"), "program").otherwise("unknown")
+#: What a process leaves behind when the candidate broke it, and what makes a device unsafe to use again.
+CANDIDATE_MARKERS = ("aborted", "check failed", "dma", "out of bounds", "segmentation fault", "sigabrt")
+POISON_MARKERS = ("core halted", "device halted", "dma.hbm_to_vmem", "dma.vmem_to_hbm", "sigabrt", "segmentation fault")
+CANDIDATE_CODES, POISON_CODES = (124, 134, 137, 139), (134, 137, 139)
+#: The stages that a candidate has passed when its process fails, and those it has not.
+PASSED_STAGES = ("artifact_contract", "pallas_api", "tpu_compile")
+OPEN_STAGES = ("full_shape_correctness", "normal_lowering", "runtime_safety", "profile")
+
+
+def _any_marker(text: Column, markers: Sequence[str]) -> Column:
+    folded, found = F.lower(F.coalesce(text, F.lit(""))), F.lit(False)
+    for m in markers:
+        found = found | F.contains(folded, F.lit(m))
+    return found
+
+
+def needs_recovery(code: Column, stderr: Column, error: Column) -> Column:
+    """Whether a failure may leave the device unsafe to use again: killed, aborted, or a marker in what it wrote."""
+    return F.coalesce((code < 0) | code.isin(*POISON_CODES), F.lit(False)) | _any_marker(stderr, POISON_MARKERS) | _any_marker(error, POISON_MARKERS)
+
+
+def process_failure(code: Column, stderr: Column, timed_out: Column) -> Column:
+    """A struct ``passed, stage, error, infrastructure_error, worker_recovery_required, stages`` of a process that failed.
+
+    Timeouts, signals and what the markers tell are the candidate's failure in ``runtime_safety``, the rest the verifier's.
+    ``stages`` is null where nothing is known of the candidate.
+    """
+    out = F.coalesce(timed_out, F.lit(False))
+    candidate = out | F.coalesce((code < 0) | code.isin(*CANDIDATE_CODES), F.lit(False)) | _any_marker(stderr, CANDIDATE_MARKERS)
+    number = code.cast("string")
+    error = F.when(out, F.lit("CANDIDATE_PROCESS_TIMEOUT")).when(candidate, F.concat(F.lit("CANDIDATE_PROCESS_EXIT_"), number)).otherwise(F.concat(F.lit("VERIFIER_PROCESS_EXIT_"), number))
+    stages = F.create_map(*[F.lit(x) for name in (*PASSED_STAGES, *OPEN_STAGES) for x in (name, name in PASSED_STAGES)])
+    return F.struct(
+        F.lit(False).alias("passed"),
+        F.when(candidate, F.lit("runtime_safety")).otherwise(F.lit("infrastructure")).alias("stage"),
+        error.alias("error"),
+        (~candidate).alias("infrastructure_error"),
+        candidate.alias("worker_recovery_required"),
+        F.when(candidate, stages).alias("stages"),
+    )
+
+
+def _counted(rows: DataFrame, key: str, value: Column, name: str) -> DataFrame:
+    """``key`` and a map from each value to its rows, in the order of the values; rows whose value is null don't count."""
+    counts = rows.select(key, value.cast("string").alias("_v")).where("_v is not null").groupBy(key, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    return counts.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_v", "_c")))).alias(name))
 
 
-def model_summary(cells: DataFrame) -> DataFrame:
-    """Per model: pass rate, speedups of verified cells (median, least, largest, above one), halts, failing stages."""
+def model_summary(cells: DataFrame, headroom: float = 1.05) -> DataFrame:
+    """Per model: pass rate, verified speedups (median, least, largest, above one, at least ``headroom``), failures by stage and family, halts.
+
+    ``cells`` has ``model_id, reward, speedup, stage, family, worker_recovery_required``. A failed cell without a stage
+    counts as ``unknown``. :func:`verified_speedups` lists the speedups themselves, a row each; :func:`stage_means` has
+    the shares of passed stages.
+    """
     verified = F.col("reward") == 1
-    speedup = F.when(verified, F.col("speedup"))
-    return cells.groupBy("model_id").agg(
+    speedup, failed = F.when(verified, F.col("speedup")), cells.where(~verified)
+    summed = cells.groupBy("model_id").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(verified).alias("n_verified"),
         guarded_rate(F.count_if(verified), F.count(F.lit(1))).alias("pass_rate"),
-        F.round(F.median(speedup), 6).alias("median_speedup"),
         F.round(F.min(speedup), 6).alias("least_speedup"),
         F.round(F.max(speedup), 6).alias("best_speedup"),
         F.count_if(speedup > 1.0).alias("n_faster"),
-        F.count_if(F.col("reward") == -1).alias("n_halts"),
-        F.count_distinct(F.when(~verified, F.col("stage"))).alias("n_failing_stages"),
+        F.count_if(speedup >= headroom).alias("n_headroom"),
+        F.count_if(F.col("worker_recovery_required")).alias("n_halts"),
     )
+    middle = medians(cells, ["model_id"], median_speedup=speedup).withColumn("median_speedup", F.round("median_speedup", 6))
+    stages = _counted(failed, "model_id", F.coalesce("stage", F.lit("unknown")), "failure_stages")
+    families = _counted(failed, "model_id", F.col("family"), "failure_families")
+    none = F.create_map().cast("map<string,bigint>")
+    joined = summed.join(middle, "model_id").join(stages, "model_id", "left").join(families, "model_id", "left")
+    return joined.withColumns({c: F.coalesce(c, none) for c in ("failure_stages", "failure_families")})
+
+
+def verified_speedups(cells: DataFrame) -> DataFrame:
+    """``model_id, rank, speedup``: the speedups of each model's verified cells in order, from 1.
+
+    Ranks come from ranges of the whole order, so a model with most of the cells is numbered by all tasks.
+    """
+    rows = cells.where((F.col("reward") == 1) & F.col("speedup").isNotNull()).select("model_id", "speedup")
+    placed = round_robin(rows, 1, "model_id", "speedup")
+    first = placed.groupBy("model_id").agg(F.min("place").alias("_first"))
+    return placed.join(first, "model_id").select("model_id", (F.col("place") - F.col("_first") + 1).alias("rank"), "speedup")
 
 
 def stage_means(cells: DataFrame, stages: Sequence[str], fractions: str = "fractions") -> DataFrame:
@@ -111,20 +178,31 @@ def timing_evidence(samples: DataFrame, key: str, value: str, minimum: int = 3,
     """Median and coefficient of variation (population) of each key's samples, and whether they are stable."""
     cv = F.stddev_pop(value) / F.avg(value)
     stable = (F.count(value) >= minimum) & (F.coalesce(cv, F.lit(float("inf"))) <= largest_cv)
-    return samples.groupBy(key).agg(F.count(value).alias("runs"), F.round(F.median(value), 6).alias("median"), F.round(cv, 6).alias("cv"), stable.alias("stable"))
+    summed = samples.groupBy(key).agg(F.count(value).alias("runs"), F.round(cv, 6).alias("cv"), stable.alias("stable"))
+    middle = medians(samples, [key], median=F.col(value)).select(F.col(key).alias("_key"), F.round("median", 6).alias("median"))
+    return summed.join(middle, F.col(key).eqNullSafe(F.col("_key"))).select(key, "runs", "median", "cv", "stable")
 
 
 def speedups(samples: DataFrame, key: str, value: str, side: str) -> DataFrame:
     """The ratio of the baseline's median to the candidate's."""
-    median = lambda s: F.median(F.when(F.col(side) == s, F.col(value)))
-    return samples.groupBy(key).agg(F.round(F.try_divide(median("baseline"), median("candidate")), 6).alias("speedup"))
+    of = lambda s: F.when(F.col(side) == s, F.col(value))
+    both = medians(samples, [key], _baseline=of("baseline"), _candidate=of("candidate"))
+    return both.select(key, F.round(F.try_divide("_baseline", "_candidate"), 6).alias("speedup"))
 
 
 def learning_curve(cells: DataFrame) -> DataFrame:
-    """Per training count the mean, population deviation and range of scores, and the step from the count before."""
+    """Per training count the mean, population deviation and range of scores, and the step from the count before.
+
+    On every row ``slope``, the mean step from the first count to the last (null for a single one), and ``monotonic``,
+    whether no step of the whole curve falls. Counts are few, so one task orders them.
+    """
     by_count = cells.groupBy("n_train").agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("deviation"), F.min("score").alias("least"), F.max("score").alias("largest"))
     step = F.col("mean") - F.lag("mean").over(Window.orderBy("n_train"))
-    return by_count.withColumn("step", F.round(step, 6)).withColumn("rising", F.coalesce(step >= 0, F.lit(True))).select("n_train", F.round("mean", 6).alias("mean"), F.round("deviation", 6).alias("deviation"), "least", "largest", "step", "rising")
+    every = Window.orderBy("n_train").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rise = (F.last("mean").over(every) - F.first("mean").over(every)) / F.nullif(F.count(F.lit(1)).over(every) - 1, F.lit(0))
+    told = by_count.withColumn("_step", step).withColumn("rising", F.coalesce(F.col("_step") >= 0, F.lit(True)))
+    told = told.withColumn("slope", F.round(rise, 6)).withColumn("monotonic", F.bool_and("rising").over(every))
+    return told.select("n_train", F.round("mean", 6).alias("mean"), F.round("deviation", 6).alias("deviation"), "least", "largest", F.round("_step", 6).alias("step"), "rising", "slope", "monotonic")
 
 
 def confusion(cells: DataFrame, truth: Column, said: Column) -> DataFrame:
@@ -151,18 +229,37 @@ def fan_out(work: DataFrame, key: Sequence[str]) -> DataFrame:
     return work.join(first, list(key)).select("unit_id", "source_unit", (F.col("unit_id") != F.col("source_unit")).alias("cache_hit"))
 
 
-def verdict_lattice(rows: DataFrame) -> DataFrame:
-    """Scorable, copied, credited and headline results, with the reasons against credit in their order."""
-    reasons = F.array_compact(
+def verdict_lattice(rows: DataFrame, copy_threshold: float = 0.90, headline: float = 1.05, need_lowering: bool = False) -> DataFrame:
+    """Adds ``scorable, copied, credited, kernel_credited, headline, no_credit_reasons`` (in order, each once).
+
+    ``rows`` has ``context`` (``spec``, or ``baseline`` where the prompt showed the reference), ``compiled, correct,
+    similarity`` (null if unknown), ``verbatim, authentic, inspection`` (the reasons against authenticity), ``stable``
+    (null if unknown), ``lowering`` (null if there is no evidence) and ``speedup``. A copy counts only where the prompt showed
+    the reference; unstable timing costs the headline alone.
+    """
+    known = lambda c: F.coalesce(F.col(c), F.lit(False))
+    scorable = F.coalesce(F.col("context") == "spec", F.lit(False))
+    near = known("verbatim") | F.coalesce(F.col("similarity") >= copy_threshold, F.lit(False))
+    copied = F.coalesce(F.col("context") == "baseline", F.lit(False)) & near
+    compiled, correct, authentic, lowered = known("compiled"), known("correct"), known("authentic"), known("lowering")
+    asked = F.lit(need_lowering) & compiled & correct & authentic & ~lowered
+    reasons = F.concat(
+        F.array(
+            F.when(~scorable, F.lit("DIAGNOSTIC_PROMPT_CONTEXT")),
+            F.when(~compiled, F.lit("TPU_COMPILE_FAILED")),
+            F.when(~correct, F.lit("CORRECTNESS_FAILED")),
+            F.when(copied, F.lit("REFERENCE_COPY")),
+        ),
+        F.coalesce("inspection", F.array().cast("array<string>")),
         F.array(
-            F.when(~F.col("correct"), F.lit("INCORRECT")),
-            F.when(~F.col("authentic"), F.lit("NOT_AUTHENTIC")),
-            F.when(F.col("similarity") >= 0.95, F.lit("COPIED")),
-            F.when(~F.col("stable"), F.lit("UNSTABLE_TIMING")),
-        )
+            F.when(F.col("stable") == F.lit(False), F.lit("TIMING_UNSTABLE")),
+            F.when(asked & F.col("lowering").isNotNull(), F.lit("LOWERING_EVIDENCE_FAILED")).when(asked, F.lit("LOWERING_EVIDENCE_MISSING")),
+        ),
     )
-    credited = F.size("no_credit_reasons") == 0
-    return rows.withColumn("no_credit_reasons", reasons).withColumn("scorable", F.col("correct") & F.col("stable")).withColumn("copied", F.col("similarity") >= 0.95).withColumn("credited", credited).withColumn("headline", credited & (F.col("speedup") >= 1.05))
+    credited = scorable & correct & ~copied
+    kernel = credited & compiled & authentic & (lowered if need_lowering else F.lit(True))
+    fast = kernel & known("stable") & F.coalesce(F.col("speedup") >= headline, F.lit(False))
+    return rows.withColumns({"scorable": scorable, "copied": copied, "credited": credited, "kernel_credited": kernel, "headline": fast, "no_credit_reasons": F.array_distinct(F.array_compact(reasons))})
 
 
 def roofline(rows: DataFrame, flops_per_s: float, bytes_per_s: float) -> DataFrame:
@@ -177,3 +274,21 @@ def unequal_task_sets(cells: DataFrame) -> DataFrame:
     models = cells.agg(F.count_distinct("model_id").alias("models"))
     by_task = cells.groupBy("task_id").agg(F.count_distinct("model_id").alias("n"))
     return by_task.join(models).where(F.col("n") < F.col("models")).select("task_id", "n")
+
+
+#: Models and seeds that a plan may name: configured lists, not data.
+MOST_PLANNED = 10_000
+
+
+def planned(tasks: DataFrame, models: DataFrame, seeds: DataFrame) -> DataFrame:
+    """``task_id, model_id, seed``: every task with every model and seed. A row of ``tasks`` unfolds by itself, whatever their number.
+
+    Models times seeds may be ``MOST_PLANNED`` at most; more is an error, not a longer list.
+    """
+    held = {name: [r[0] for r in df.select(name).distinct().limit(MOST_PLANNED + 1).collect()] for name, df in (("model_id", models), ("seed", seeds))}
+    if len(held["model_id"]) * len(held["seed"]) > MOST_PLANNED:
+        raise ValueError(f"more than {MOST_PLANNED} models and seeds")
+    if not held["model_id"] or not held["seed"]:
+        return tasks.limit(0).select("task_id", F.lit(None).cast(dict(models.dtypes)["model_id"]).alias("model_id"), F.lit(None).cast(dict(seeds.dtypes)["seed"]).alias("seed"))
+    every = lambda name, df: F.explode(F.array(*[F.lit(x).cast(dict(df.dtypes)[name]) for x in held[name]])).alias(name)
+    return tasks.select("task_id", every("model_id", models)).select("task_id", "model_id", every("seed", seeds))

@@ -10,20 +10,40 @@ from pyspark.sql import functions as F
 from corpusloom.functions.text import canonical_digest
 
 
-def upload_gate(slices: DataFrame, providers: DataFrame, headroom: float) -> DataFrame:
-    """``slice, allowed, reasons``: provider and slice must be approved, the cost within the headroom, the text scrubbed."""
+def upload_gate(slices: DataFrame, providers: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
+    """``slice, allowed, reasons``: what stands against the upload of each slice, in the order of the rules.
+
+    ``slices`` has ``slice, provider, source_found, manifest_found, rights_cleared, secrets_scrubbed, scrub_hits,
+    canaries_lost``; without its source or its rights manifest nothing else of a slice is looked at. ``providers`` has
+    ``provider, upload_approved, retention_reviewed``. With a ``ledger`` (``provider, usd_remaining``) there must be money left;
+    a provider without a row of it has no ledger.
+    """
+    known = lambda c: F.coalesce(F.col(c), F.lit(False))
     joined = slices.join(providers, "provider", "left")
-    reasons = F.array_compact(
-        F.array(
-            F.when(~F.coalesce("provider_approved", F.lit(False)), F.lit("PROVIDER_NOT_APPROVED")),
-            F.when(~F.col("slice_approved"), F.lit("SLICE_NOT_APPROVED")),
-            F.when(F.col("cost") > headroom, F.lit("SPEND_HEADROOM_EXCEEDED")),
-            F.when(F.col("scrub_hits") > 0, F.lit("SCRUB_HITS_PRESENT")),
-        )
+    if ledger is not None:
+        joined = joined.join(ledger.withColumn("_ledger", F.lit(True)), "provider", "left")
+    money = [F.when(F.col("_ledger").isNull(), F.lit("SPEND_LEDGER_MISSING")).when(F.coalesce(F.col("usd_remaining"), F.lit(0.0)) <= 0, F.lit("SPEND_HEADROOM_EXHAUSTED"))] if ledger is not None else []
+    rules = F.array(
+        F.when(~(known("upload_approved") & known("retention_reviewed")), F.lit("PROVIDER_NOT_APPROVED")),
+        F.when(~(known("rights_cleared") & known("secrets_scrubbed")), F.lit("SLICE_NOT_CLEARED")),
+        *money,
+        F.when(F.col("scrub_hits") > 0, F.lit("SCRUB_HITS_PRESENT")),
+        F.when(F.size("canaries_lost") > 0, F.concat(F.lit("CANARY_EMBED_FAILED:"), F.array_join("canaries_lost", ","))),
     )
+    reasons = F.when(~known("source_found"), F.array(F.lit("SOURCE_MISSING"))).when(~known("manifest_found"), F.array(F.lit("RIGHTS_MANIFEST_MISSING"))).otherwise(F.array_compact(rules))
     return joined.select("slice", (F.size(reasons) == 0).alias("allowed"), reasons.alias("reasons"))
 
 
+def first_rows(rows: DataFrame, group: str, order: str, n: int) -> DataFrame:
+    """The first ``n`` rows of each group, numbered by ``k`` from 1. Tasks keep ``n`` rows of a group each before any meet."""
+    from pyspark.sql.window import Window
+
+    place = lambda *by: F.row_number().over(Window.partitionBy(group, *by).orderBy(order))
+    dealt = rows.withColumn("_deal", F.pmod(F.xxhash64(order), F.lit(256)))
+    early = dealt.withColumn("_k", place("_deal")).where(F.col("_k") <= n).drop("_deal", "_k")
+    return early.withColumn("k", place()).where(F.col("k") <= n)
+
+
 def preflight(rows: DataFrame, group: str, forbidden: Sequence[str], canaries: Sequence[str]) -> DataFrame:
     """Per group how many rows show a forbidden marker or a canary; both lists are short and configured."""
     holds = lambda words: F.greatest(F.lit(False), *[F.contains("text", F.lit(w)) for w in words])

@@ -8,21 +8,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-RANGES = 256
-#: Packs of a lane whose running sums are made in one task.
+from corpusloom.staging import Workspace
+
+#: Rows of a group, or packs of a lane, whose running sums are made in one task.
 RANGE_ROWS = 4096
 
 
 def running_offsets(rows: DataFrame, group: list[str], size: str, key: str, seed: str = "pack") -> DataFrame:
     """Adds ``start`` (what precedes a row in its group) and ``total``, rows in the order of a keyed hash.
 
-    A group is cut into ranges of the hash: sums are made per range and then over the ranges, so no task holds a group.
+    A group is cut into ranges of the hash, as many as its rows ask for: sums are made per range and then over the
+    ranges, so no task holds a group.
     """
     keyed = rows.withColumn("_key", F.sha2(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")), 256))
-    ranged = keyed.withColumn("_range", F.floor(F.conv(F.substring("_key", 1, 4), 16, 10).cast("double") / F.lit(65536 / RANGES)))
+    sizes = Workspace(rows.sparkSession, "offsets").table(rows.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / RANGE_ROWS).alias("_ranges"), F.sum(size).alias("total")), "sizes")
+    place = F.conv(F.substring("_key", 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    ranged = keyed.join(sizes, group).withColumn("_range", F.floor(place * F.col("_ranges"))).drop("_ranges")
     sums = ranged.groupBy(*group, "_range").agg(F.sum(size).alias("_sum"))
     before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).withColumn("total", F.sum("_sum").over(Window.partitionBy(*group))).drop("_sum")
+    offsets = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
     within = Window.partitionBy(*group, "_range").orderBy("_key", key).rowsBetween(Window.unboundedPreceding, -1)
     return ranged.join(offsets, [*group, "_range"]).withColumn("start", F.col("_before") + F.coalesce(F.sum(size).over(within), F.lit(0))).drop("_key", "_range", "_before")
 

@@ -1,9 +1,20 @@
-"""Shingles and exact Jaccard joins, as equi-joins on the rare shingles of each set."""
+"""Shingles and exact Jaccard joins: a prefix index proposes pairs of blocks, which are compared inside tasks.
+
+Classes of equal token sequences are joined. Shingles are taken in the order of their frequency; classes that are similar
+enough share one of their first few. Classes lie in blocks of those that resemble each other, and a class goes to each
+pair of blocks in which it shares such a shingle with another: rows are made per class and pair of blocks, and
+pairs of classes only inside a task's arrays, where filters by length and position come before the comparison. So a cluster
+of n classes costs n times the number of its blocks, not n squared rows.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,6 +23,10 @@ from corpusloom.functions.text import tokens
 from corpusloom.staging import Workspace, spread
 
 SHINGLE, THRESHOLD = 5, 0.8
+#: Classes of a block, at most, and shared shingles: long texts make smaller blocks.
+BLOCK_CLASSES, BLOCK_SHINGLES = 2048, 2_000_000
+#: Columns of a product, entries of it from which pairs aren't listed one by one, and pairs that are handled together.
+_COLUMNS, _DENSE, _PAIRS = 2048, 0.25, 1 << 20
 
 
 def shingles(sequence: Column, k: int = SHINGLE) -> Column:
@@ -45,45 +60,255 @@ def shingle_sets(df: DataFrame, key: str, text: str = "text") -> ShingleSets:
     return ShingleSets(sets.select(key, "cls", "n"), work.table(sets.select("cls", "n", "shingles").dropDuplicates(["cls"]), "classes"))
 
 
-def _prefixes(flat: DataFrame, order: DataFrame, threshold: float) -> DataFrame:
-    """The first n - ceil(t n) + 1 shingles of each class, rarest first: classes similar enough share one of them.
+def _shared(sets: ShingleSets, order: DataFrame, threshold: float) -> DataFrame:
+    """``cls, n, codes, prefix``: a class's shingles that another class holds, rarest first, and how many of them to look up.
 
-    Shingles that no other class holds come first of all and can't be shared, so they only take up places.
+    Two classes of the threshold have one of their first n - ceil(t n) + 1 shingles in common. Those that no other class
+    holds come first of all and can't be shared, so they only take up places; classes that are left without any drop out.
     """
-    shared = flat.join(order, "shingle")
-    own = Window.partitionBy("cls")
-    rank = F.row_number().over(own.orderBy("count", "shingle")) + F.col("n") - F.count(F.lit(1)).over(own)
-    ranked = shared.withColumn("rank", rank)
-    return ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9)) + 1).select("cls", "n", "shingle")
+    flat = sets.classes.select("cls", "n", F.explode("shingles").alias("shingle")).join(order, "shingle")
+    ordered = flat.groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("count", "shingle"))).alias("o"))
+    prefix = F.size("codes") - F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9)) + 1
+    return ordered.select("cls", "n", F.transform("o", lambda x: x["shingle"]).alias("codes")).withColumn("prefix", prefix.cast("int")).where("prefix > 0")
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    common = F.size(F.array_intersect(a, b))
-    return common / (F.size(a) + F.size(b) - common)
+def _placed(work: Workspace, nodes: DataFrame, side: str) -> DataFrame:
+    """``node, cls, grp, first, block``, staged: blocks of a group's nodes that have the same least prefix shingle, or nearly so."""
+    local = F.array_min(F.transform(F.slice("codes", F.lit(1), F.col("prefix")), lambda s: F.xxhash64(s)))
+    weight = F.size("codes") / F.lit(BLOCK_SHINGLES) + F.lit(1 / BLOCK_CLASSES)
+    slim = nodes.select("cls", "grp", "first", local.alias("local"), weight.alias("weight"))
+    ranged = work.table(slim.repartitionByRange("grp", "local", "cls").withColumn("part", F.spark_partition_id()), f"ranged_{side}")
+    running = F.sum("weight").over(Window.partitionBy("part").orderBy("grp", "local", "cls").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    block = F.col("part").cast("long") * F.lit(1 << 32) + F.floor(running).cast("long")
+    return work.table(ranged.select("cls", "grp", "first", block.alias("block")), f"placed_{side}")
 
 
-def class_links(left: ShingleSets, right: ShingleSets | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """``a, b, similarity`` of all pairs of classes of at least ``threshold``; without ``right``, pairs of ``left`` with a < b.
+def _posts(placed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``grp, shingle, block, cls`` for each prefix shingle."""
+    looked_up = nodes.select("cls", F.explode(F.slice("codes", F.lit(1), F.col("prefix"))).alias("shingle")).distinct()
+    return placed.select("cls", "grp", "block").join(looked_up, "cls").select("grp", "shingle", "block", "cls")
+
+
+def _meetings(posts: DataFrame, others: DataFrame, own: bool, right: bool = False) -> DataFrame:
+    """``grp, lo, hi, cls, right``: the pairs of blocks in which a class shares a prefix shingle with one of the other side."""
+    heads = others.groupBy("grp", "shingle", F.col("block").alias("other")).agg(F.count(F.lit(1)).alias("held"))
+    met = posts.join(heads, ["grp", "shingle"])
+    if own:
+        met = met.where("block <> other or held > 1")
+        return met.select("grp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "cls", (F.col("block") > F.col("other")).alias("right")).distinct()
+    lo, hi = ("other", "block") if right else ("block", "other")
+    return met.select("grp", F.col(lo).alias("lo"), F.col(hi).alias("hi"), "cls", F.lit(right).alias("right")).distinct()
+
+
+@dataclass
+class _Side:
+    """The classes of one block: their names, keys and sizes; ``codes`` of all of them, whose ``row`` and place ``at`` stand beside."""
+
+    cls: np.ndarray
+    first: pa.Array
+    n: np.ndarray
+    codes: np.ndarray
+    row: np.ndarray
+    at: np.ndarray
+    held: np.ndarray
+    prefix: np.ndarray
+
+    @classmethod
+    def of(cls, table: pa.Table) -> _Side:
+        codes = table["codes"].combine_chunks()
+        held = np.diff(codes.offsets.to_numpy())
+        row = np.repeat(np.arange(len(held)), held)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(held) - held, held)
+        return cls(table["cls"].to_numpy(), table["first"].combine_chunks(), table["n"].to_numpy(), codes.flatten().to_numpy(), row, at, held, table["prefix"].to_numpy())
+
+
+def _candidates(a: _Side, b: _Side, own: bool, threshold: float) -> tuple[np.ndarray, np.ndarray] | None:
+    """Pairs that share a prefix shingle and pass the filters; none if they are most of all pairs."""
+    in_a, in_b = a.at < a.prefix[a.row], b.at < b.prefix[b.row]
+    code_a, row_a, at_a = a.codes[in_a], a.row[in_a], a.at[in_a]
+    code_b, row_b, at_b = b.codes[in_b], b.row[in_b], b.at[in_b]
+    order = np.argsort(code_b, kind="stable")
+    code_b, row_b, at_b = code_b[order], row_b[order], at_b[order]
+    lo, hi = np.searchsorted(code_b, code_a, "left"), np.searchsorted(code_b, code_a, "right")
+    counts = hi - lo
+    if counts.sum() > max(_DENSE * len(a.n) * len(b.n), 4096):
+        return None
+    left = np.repeat(np.arange(len(counts)), counts)
+    right = np.arange(len(left)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(lo, counts)
+    i, j, at_i, at_j = row_a[left], row_b[right], at_a[left], at_b[right]
+    kept = (i < j) if own else np.ones(len(i), bool)
+    kept &= (a.n[i] >= threshold * b.n[j] - 1e-9) & (b.n[j] >= threshold * a.n[i] - 1e-9)
+    i, j, at_i, at_j = i[kept], j[kept], at_i[kept], at_j[kept]
+    # the first shingle that a pair shares bounds how many it shares at all
+    order = np.lexsort((at_i, j, i))
+    i, j, at_i, at_j = i[order], j[order], at_i[order], at_j[order]
+    new = np.ones(len(i), bool)
+    new[1:] = (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+    i, j, at_i, at_j = i[new], j[new], at_i[new], at_j[new]
+    most = 1 + np.minimum(a.held[i] - at_i - 1, b.held[j] - at_j - 1)
+    possible = most >= threshold / (1 + threshold) * (a.n[i] + b.n[j]) - 1e-6
+    return i[possible], j[possible]
+
+
+def _common(a: _Side, b: _Side, rows_a: np.ndarray, rows_b: np.ndarray) -> np.ndarray:
+    """[row of a, row of b]: how many shingles they share, by products of incidence matrices."""
+    place_a, place_b = np.full(len(a.n), -1), np.full(len(b.n), -1)
+    place_a[rows_a], place_b[rows_b] = np.arange(len(rows_a)), np.arange(len(rows_b))
+    in_a, in_b = place_a[a.row] >= 0, place_b[b.row] >= 0
+    code_a, code_b = a.codes[in_a], b.codes[in_b]
+    both = np.intersect1d(code_a, code_b)
+    column_a, column_b = np.searchsorted(both, code_a), np.searchsorted(both, code_b)
+    found_a = (column_a < len(both)) & (both[np.minimum(column_a, len(both) - 1)] == code_a) if len(both) else np.zeros(len(code_a), bool)
+    found_b = (column_b < len(both)) & (both[np.minimum(column_b, len(both) - 1)] == code_b) if len(both) else np.zeros(len(code_b), bool)
+    row_a, column_a = place_a[a.row[in_a]][found_a], column_a[found_a]
+    row_b, column_b = place_b[b.row[in_b]][found_b], column_b[found_b]
+    common = np.zeros((len(rows_a), len(rows_b)), np.float32)
+    sort_a, sort_b = np.argsort(column_a, kind="stable"), np.argsort(column_b, kind="stable")
+    row_a, column_a, row_b, column_b = row_a[sort_a], column_a[sort_a], row_b[sort_b], column_b[sort_b]
+    for low in range(0, len(both), _COLUMNS):
+        width = min(_COLUMNS, len(both) - low)
+        x, y = np.zeros((len(rows_a), width), np.float32), np.zeros((len(rows_b), width), np.float32)
+        for m, row, column in ((x, row_a, column_a), (y, row_b, column_b)):
+            s, e = np.searchsorted(column, (low, low + width))
+            m[row[s:e], column[s:e] - low] = 1
+        common += x @ y.T
+    return common
+
+
+def _links(a: _Side, b: _Side, own: bool, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of all pairs of the threshold and their similarity, in arrays of bounded length."""
+    pairs = _candidates(a, b, own, threshold)
+    if pairs is not None and len(pairs[0]) <= 4 * (len(a.n) + len(b.n)):
+        i, j = pairs
+        ends_a, ends_b = np.cumsum(a.held), np.cumsum(b.held)
+        set_a, set_b = (lambda r: a.codes[ends_a[r] - a.held[r] : ends_a[r]]), (lambda r: b.codes[ends_b[r] - b.held[r] : ends_b[r]])
+        common = np.array([len(np.intersect1d(set_a(x), set_b(y), assume_unique=True)) for x, y in zip(i, j, strict=True)], float)
+        similarity = common / (a.n[i] + b.n[j] - common)
+        kept = similarity >= threshold
+        yield i[kept], j[kept], similarity[kept]
+        return
+    rows_a, rows_b = (np.arange(len(a.n)), np.arange(len(b.n))) if pairs is None else (np.unique(pairs[0]), np.unique(pairs[1]))
+    step = max(1, _PAIRS // max(len(rows_b), 1))
+    for at in range(0, len(rows_a), step):
+        some = rows_a[at : at + step]
+        common = _common(a, b, some, rows_b).astype(float)
+        similarity = common / (a.n[some][:, None] + b.n[rows_b][None, :] - common)
+        x, y = np.nonzero(similarity >= threshold)
+        i, j, similarity = some[x], rows_b[y], similarity[x, y]
+        kept = (i < j) if own else np.ones(len(i), bool)
+        yield i[kept], j[kept], similarity[kept]
+
+
+def _best(node: np.ndarray, order: tuple[np.ndarray, ...]) -> np.ndarray:
+    """The places of the first entry of each node in the given order, the most important key first."""
+    sort = np.lexsort((*order[::-1], node))
+    new = np.ones(len(sort), bool)
+    new[1:] = node[sort][1:] != node[sort][:-1]
+    return sort[new]
 
-    A class takes part once, however many rows it has. A class without shingles has no link. Shingles are taken in the
-    order of their frequency, so the frequent ones never form a join group.
+
+def _compared(work: Workspace, left: DataFrame, right: DataFrame | None, threshold: float, want: str, kind: str) -> DataFrame:
+    """Compares the nodes ``cls, n, codes, prefix, grp, first`` of two sides, or of one with itself, group by group.
+
+    ``want`` is ``links`` (``a, b, similarity`` of all pairs), ``earlier`` (``cls, grp, first, similarity``: for each node its most
+    similar one with a lesser ``first``, the least of equals) or ``least`` (for each node of the left the similar one of the
+    right with the least ``first``); of the latter two a row for each pair of blocks in which there is one. ``kind`` is the
+    type of ``first``.
     """
     own = right is None
-    flat = lambda sets: sets.classes.select("cls", "n", F.explode("shingles").alias("shingle"))
-    one = flat(left)
+    nodes = {"l": work.table(left, "nodes_l")} | ({} if own else {"r": work.table(right, "nodes_r")})
+    placed = {k: _placed(work, x, k) for k, x in nodes.items()}
+    posts = {k: work.table(_posts(placed[k], x), f"posts_{k}") for k, x in nodes.items()}
+    carry = lambda met, k: met.join(nodes[k].drop("first", "grp").dropDuplicates(["cls"]), "cls").join(placed[k].drop("block"), ["cls", "grp"])
     if own:
-        order = one.groupBy("shingle").count().where("count > 1")
+        shipped = carry(_meetings(posts["l"], posts["l"], True), "l")
     else:
-        both = one.select("shingle", F.lit(1).alias("l"), F.lit(0).alias("r")).union(flat(right).select("shingle", F.lit(0), F.lit(1)))
-        sums = both.groupBy("shingle").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
-        order = sums.where("l > 0 and r > 0").select("shingle", (F.col("l") + F.col("r")).alias("count"))
-    a = _prefixes(one, order, threshold).toDF("a", "na", "shingle")
-    b = (_prefixes(one, order, threshold) if own else _prefixes(flat(right), order, threshold)).toDF("b", "nb", "shingle")
-    near = (F.col("na") >= threshold * F.col("nb") - 1e-9) & (F.col("nb") >= threshold * F.col("na") - 1e-9)
-    pairs = a.join(b, "shingle").where(near & (F.col("a") < F.col("b") if own else F.lit(True))).select("a", "b").distinct()
-    sets_a = left.classes.select(F.col("cls").alias("a"), F.col("shingles").alias("sa"))
-    sets_b = (left if own else right).classes.select(F.col("cls").alias("b"), F.col("shingles").alias("sb"))
-    return pairs.join(sets_a, "a").join(sets_b, "b").withColumn("similarity", jaccard(F.col("sa"), F.col("sb"))).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
+        shipped = carry(_meetings(posts["l"], posts["r"], False), "l").unionByName(carry(_meetings(posts["r"], posts["l"], False, True), "r"))
+    group_type = dict(left.dtypes)["grp"]
+    schema = "a string, b string, similarity double" if want == "links" else f"cls string, grp {group_type}, first {kind}, similarity double"
+
+    def compare(table: pa.Table) -> pa.Table:
+        within = own and table["lo"][0] == table["hi"][0]
+        table = table.sort_by("cls")
+        mask = table["right"].combine_chunks()
+        a = _Side.of(table if within else table.filter(pc.invert(mask)))
+        b = a if within else _Side.of(table.filter(mask))
+        out: list[tuple] = []
+        if want == "links":
+            for i, j, s in _links(a, b, within, threshold):
+                out.append((np.minimum(a.cls[i], b.cls[j]), np.maximum(a.cls[i], b.cls[j]), s) if own else (a.cls[i], b.cls[j], s))
+            columns = [np.concatenate([x[k] for x in out]) if out else np.zeros(0) for k in range(3)]
+            return pa.table([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.float64())], names=["a", "b", "similarity"])
+        keys = (b.first if want == "least" else pa.concat_arrays([a.first, b.first])).dictionary_encode()
+        sort = pc.array_sort_indices(keys.dictionary)
+        rank = np.empty(len(sort), np.int64)
+        rank[sort.to_numpy()] = np.arange(len(sort))
+        ranks = rank[keys.indices.to_numpy()]
+        of_a, of_b = ranks[: len(a.n)], ranks[len(ranks) - len(b.n) :]
+        for i, j, s in _links(a, b, within, threshold):
+            if want == "least":
+                kept = _best(i, (of_b[j],))
+                out.append((i[kept], of_b[j[kept]], s[kept]))
+                continue
+            # both ways: rows of b are numbered behind those of a
+            node, other, both = np.r_[i, j + (0 if within else len(a.n))], np.r_[of_b[j], of_a[i]], np.r_[s, s]
+            earlier = other < np.r_[of_a[i], of_b[j]]
+            node, other, both = node[earlier], other[earlier], both[earlier]
+            kept = _best(node, (-both, other))
+            out.append((node[kept], other[kept], both[kept]))
+        node, other, s = (np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64) for k in range(3))
+        kept = _best(node, (other,) if want == "least" else (-s, other))
+        name = a.cls if within or want == "least" else np.r_[a.cls, b.cls]
+        firsts = keys.dictionary.take(sort).take(pa.array(other[kept], pa.int64()))
+        group = pa.chunked_array([pa.array([table["grp"][0].as_py()] * len(kept), table.schema.field("grp").type)])
+        return pa.table([pa.array(name[node[kept]], pa.string()), group, firsts, pa.array(s[kept], pa.float64())], names=["cls", "grp", "first", "similarity"])
+
+    return shipped.select("grp", "lo", "hi", "right", "cls", "n", "codes", "prefix", "first").groupBy("grp", "lo", "hi").applyInArrow(compare, schema)
+
+
+def _orders(left: ShingleSets, right: ShingleSets | None) -> DataFrame:
+    """``shingle, count`` of the shingles that two classes hold, one of each side if there are two."""
+    one = left.classes.select(F.explode("shingles").alias("shingle"))
+    if right is None:
+        return one.groupBy("shingle").count().where("count > 1")
+    two = right.classes.select(F.explode("shingles").alias("shingle"))
+    sums = one.select("shingle", F.lit(1).alias("l"), F.lit(0).alias("r")).union(two.select("shingle", F.lit(0), F.lit(1))).groupBy("shingle").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+    return sums.where("l > 0 and r > 0").select("shingle", (F.col("l") + F.col("r")).alias("count"))
+
+
+def class_links(left: ShingleSets, right: ShingleSets | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """``a, b, similarity`` of all pairs of classes of at least ``threshold``; without ``right``, pairs of ``left`` with a < b.
+
+    A class takes part once, however many rows it has. A class without shingles has no link. A row for each link is what is
+    asked for here; :func:`earlier_classes` and :func:`least_classes` make one for each class.
+    """
+    work, order = Workspace(left.classes.sparkSession, "links"), _orders(left, right)
+    order = work.table(order, "order")
+    nodes = [_shared(x, order, threshold).withColumn("grp", F.lit(0)).withColumn("first", F.lit(0)) for x in (left, right) if x is not None]
+    return _compared(work, nodes[0], nodes[1] if right else None, threshold, "links", "int")
+
+
+def earlier_classes(sets: ShingleSets, firsts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``cls, grp, first, similarity``: of each class of each group the most similar class with a lesser ``first``, the least of equals.
+
+    ``firsts`` has ``cls, grp, first``; classes without an earlier one of the threshold have no row.
+    """
+    work = Workspace(sets.classes.sparkSession, "earlier")
+    order = work.table(_orders(sets, None), "order")
+    nodes = _shared(sets, order, threshold).join(firsts.select("cls", "grp", "first"), "cls")
+    found = _compared(work, nodes, None, threshold, "earlier", dict(firsts.dtypes)["first"])
+    best = F.min_by(F.struct("first", "similarity"), F.struct(-F.col("similarity"), F.col("first"))).alias("best")
+    return found.groupBy("cls", "grp").agg(best).select("cls", "grp", "best.*")
+
+
+def least_classes(left: ShingleSets, right: ShingleSets, firsts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``cls, first, similarity``: for each class of ``left`` the similar one of ``right`` with the least ``first``; ``firsts`` has ``cls, first``."""
+    work = Workspace(left.classes.sparkSession, "least")
+    order, kind = work.table(_orders(left, right), "order"), dict(firsts.dtypes)["first"]
+    ours = _shared(left, order, threshold).withColumn("grp", F.lit(0)).withColumn("first", F.lit(None).cast(kind))
+    theirs = _shared(right, order, threshold).withColumn("grp", F.lit(0)).join(firsts.select("cls", "first"), "cls")
+    found = _compared(work, ours, theirs, threshold, "least", kind)
+    return found.groupBy("cls").agg(F.min_by(F.struct("first", "similarity"), "first").alias("best")).select("cls", "best.*")
 
 
 def neighbours(links: DataFrame) -> DataFrame:

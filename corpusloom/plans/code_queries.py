@@ -8,12 +8,27 @@ from pyspark.sql import functions as F
 from corpusloom.functions import code
 from corpusloom.plans.registry import query, table
 
-_PROGRAM = "import numpy as np\\nLIMIT = {n}\\n\\ndef helper(x):\\n    return np.tanh(x) + {n}\\n\\ndef run(x):\\n    \"\"\"Doc.\"\"\"\\n    if False:\\n        return np.exp(x)\\n    return helper(x)"
+_PARTS = (
+    "import numpy as np\nfrom numpy import tanh as squash\n\nLIMIT = {n}\n\n",
+    "def h0(x):\n    return np.tanh(x) + {n}\n\n",
+    "def h1(x):\n    y = h0(x) * {n}\n    return y - {k}\n\n",
+    "def h2(x):\n    for _ in range({k}):\n        if False:\n            return np.exp(x)\n    return squash(h1(x))\n\n",
+)
+_ENDS = (
+    'def run(x):\n    """Doc {n}."""\n    if x < {n}:\n        return x\n    return {h}(x)\n',
+    "def run(x):\n    while False:\n        return np.exp(x)\n    return np.arctanh({h}(x)) * {n}\n",
+    "def run(x):\n    y = x + {n}\n    try:\n        return {h}(y) if y > {k} else y\n        return np.exp(y)\n    finally:\n        y = {k}\n",
+)
 
 
 def _snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two rows a document: its whole text, and a small program that names it."""
-    program = F.replace(F.lit(_PROGRAM.replace("\\n", "\n")), F.lit("{n}"), (F.col("doc_id") % 10).cast("string"))
+    """Two rows a document: its whole text, and a program whose constants, depth and branches follow from the document."""
+    draw = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "doc_id", "text"), F.lit(n))
+    depth = draw("depth", len(_PARTS) - 1).cast("int")
+    body = F.concat(F.array_join(F.slice(F.array(*map(F.lit, _PARTS)), F.lit(1), depth + 2), ""), F.element_at(F.array(*map(F.lit, _ENDS)), (draw("end", len(_ENDS)) + 1).cast("int")))
+    program = body
+    for mark, value in (("{n}", draw("n", 1_000_003)), ("{k}", draw("k", 97) + 1), ("{h}", F.concat(F.lit("h"), depth.cast("string")))):
+        program = F.replace(program, F.lit(mark), value.cast("string"))
     both = F.array(*(F.struct(F.lit(kind).alias("kind"), source.alias("source")) for kind, source in (("text", F.col("text")), ("program", program))))
     return table(spark, sf_dir, "documents").select("doc_id", "lang", F.inline(both))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators import conversations as c
+from corpusloom.operators import table_functions
 from corpusloom.plans.registry import query, table
 
 #: Every third role is folded onto the one before, so that runs exist.
@@ -44,6 +45,25 @@ def single_turn_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.single_turns(table(spark, sf_dir, "conversations"))
 
 
+@query("""
+WITH u AS (SELECT *, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS q FROM conversations)
+SELECT conv_id, turn, 'Answer.' AS system, coalesce(q, 'Go on.') AS user, text AS assistant FROM u WHERE role = 'assistant'""")
+def flattened_by_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``single_turn_rows`` as SQL users write it."""
+    table_functions.register(spark)
+    return spark.sql("SELECT * FROM flatten_turns(TABLE({turns}), 'Answer.', 'Go on.')", turns=table(spark, sf_dir, "conversations"))
+
+
+@query("""
+WITH r AS (SELECT lang AS grp, doc_id AS key, n_chars // 4 AS size, CAST(sum(n_chars // 4) OVER (PARTITION BY lang ORDER BY doc_id) AS BIGINT) AS upto FROM documents),
+p AS (SELECT grp, key, upto - size AS lo, upto AS hi, unnest(range((upto - size) // 1000, (upto - 1) // 1000 + 1)) AS pack FROM r WHERE size > 0)
+SELECT grp, key, pack, greatest(lo, pack * 1000) - pack * 1000 AS offset, least(hi, (pack + 1) * 1000) - greatest(lo, pack * 1000) AS tokens FROM p""")
+def packed_by_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table_functions.register(spark)
+    rows = table(spark, sf_dir, "documents").select(F.col("lang").alias("grp"), F.col("doc_id").alias("key"), F.floor(F.col("n_chars") / 4).alias("size"))
+    return spark.sql("SELECT * FROM pack_rows(TABLE({rows}), 1000)", rows=rows)
+
+
 @query("""
 WITH c AS (SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 AND role IN ('user', 'system') THEN 'assistant' ELSE role END AS role, text FROM conversations),
 f AS (SELECT conv_id, arg_min(role, turn) AS role, min(turn) AS turn FROM c GROUP BY conv_id)
@@ -71,6 +91,35 @@ def conversation_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.audit(table(spark, sf_dir, "conversations"))
 
 
+@query(r"""
+WITH e AS (SELECT conv_id, count(*) AS messages, count(*) FILTER (role = 'user') AS users, count(*) FILTER (role = 'assistant') AS assistants, bool_or(role IN ('tool', 'function') OR regexp_matches(text, 'tool_call|<tool')) AS tool_use,
+  coalesce(sum(len(regexp_extract_all(text, '\S+'))) FILTER (role = 'assistant'), 0) AS words, string_agg(role || chr(1) || text, chr(2) ORDER BY turn) AS content,
+  CASE conv_id % 4 WHEN 0 THEN 'success' WHEN 1 THEN 'failure' WHEN 2 THEN 'ok' ELSE 'unknown' END AS outcome, ['MIT', 'apache-2.0', NULL][1 + conv_id % 3] AS license, conv_id % 5 = 0 AS recovery FROM conversations GROUP BY conv_id),
+g AS (SELECT *, messages >= 2 AND users > 0 AND assistants > 0 AS complete FROM e WHERE conv_id % 17 <> 0 AND conv_id % 19 <> 0),
+o AS (SELECT string_agg(outcome || '=' || n, ',' ORDER BY outcome) AS outcome_counts FROM (SELECT outcome, count(*) AS n FROM g GROUP BY outcome)),
+l AS (SELECT string_agg(license || '=' || n, ',' ORDER BY license) AS license_tags FROM (SELECT license, count(*) AS n FROM g WHERE license IS NOT NULL GROUP BY license)),
+m AS (SELECT string_agg(k || '=' || n, ',' ORDER BY k) AS missing_fields FROM (SELECT k, count(*) AS n FROM (SELECT 'complete' AS k FROM g WHERE NOT complete UNION ALL SELECT 'license' FROM g WHERE license IS NULL
+  UNION ALL SELECT 'json' FROM e WHERE conv_id % 17 = 0 UNION ALL SELECT 'non_object' FROM e WHERE conv_id % 19 = 0 AND conv_id % 17 <> 0) GROUP BY k))
+SELECT (SELECT count(*) FROM e) AS n_records, count(*) FILTER (complete) AS complete_trajectories, count(*) FILTER (tool_use) AS with_tool_use, CAST(sum(assistants) AS BIGINT) AS assistant_messages, CAST(sum(words) AS BIGINT) AS approx_assistant_tokens,
+  count(*) FILTER (recovery) AS recovery_segments, count(*) - count(DISTINCT content || outcome || coalesce(license, '-') || recovery) AS duplicate_hashes, (SELECT outcome_counts FROM o) AS outcome_counts, (SELECT license_tags FROM l) AS license_tags, (SELECT missing_fields FROM m) AS missing_fields FROM g""")
+def trajectory_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as a line of a record file, some of them broken, with outcome, licence and recovery under several names."""
+    n = F.col("conv_id")
+    messages = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content")))
+    fields = [
+        F.when(n % 4 == 0, F.lit("success")).when(n % 4 == 1, F.lit("failure")).alias("outcome"),
+        F.when(n % 4 == 2, F.lit("ok")).alias("label"),
+        F.when(n % 3 == 0, F.lit("MIT")).alias("license"),
+        F.when(n % 3 == 1, F.lit("apache-2.0")).alias("license_tag"),
+        (n % 5 == 0).alias("repaired"),
+    ]
+    records = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(messages.alias("messages"))
+    line = F.when(n % 17 == 0, F.lit('{"messages": [')).when(n % 19 == 0, F.lit("[1, 2]")).otherwise(F.to_json(F.struct("messages", *fields)))
+    found = c.audit_records(records.select(line.alias("value")))
+    shown = lambda m: F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return found.withColumns({m: shown(m) for m in ("outcome_counts", "license_tags", "missing_fields")})
+
+
 @query("SELECT role, count(*) AS n FROM conversations GROUP BY role")
 def role_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").groupBy("role").agg(F.count(F.lit(1)).alias("n"))

@@ -144,18 +144,24 @@ def source_yields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admission.yields(_admission(spark, sf_dir), known)
 
 
-@query("""
-WITH r AS (SELECT d.source, d.lang FROM documents d JOIN labels l USING (doc_id) WHERE l.quality = 1),
+@query(f"""
+WITH {shingle_sql("sh", "documents", "doc_id")}, {HELD_SQL},
+r AS (SELECT d.doc_id, d.source, d.lang FROM documents d JOIN labels l USING (doc_id) WHERE l.quality = 1),
 s AS (SELECT source, count(*) AS n FROM r GROUP BY source), f AS (SELECT lang, count(*) AS n FROM r GROUP BY lang),
-o AS (SELECT (SELECT count(*) FROM r) AS verified_rows, (SELECT count(*) FROM f) AS family_count, (SELECT count(*) FROM s) AS source_count,
-  (SELECT max(n) / sum(n) FROM s) AS max_source, (SELECT max(n) / sum(n) FROM f) AS max_family, (SELECT min(n) FROM f) AS least_family)
-SELECT verified_rows, family_count, source_count, round(max_source, 9) AS max_source, round(max_family, 9) AS max_family,
-  array_to_string(list_filter([CASE WHEN verified_rows < 500 THEN 'VERIFIED_ROWS_INSUFFICIENT' END, CASE WHEN family_count < 4 THEN 'FAMILY_DIVERSITY_INSUFFICIENT' END,
+o AS (SELECT (SELECT count(*) FROM r) AS verified_rows, (SELECT count(*) FROM f) AS family_count, (SELECT count(*) FROM s) AS source_count, (SELECT string_agg(source || '=' || n, ',' ORDER BY source) FROM s) AS source_counts, (SELECT string_agg(lang || '=' || n, ',' ORDER BY lang) FROM f) AS family_counts,
+  (SELECT max(n) / sum(n) FROM s) AS max_source, (SELECT max(n) / sum(n) FROM f) AS max_family, (SELECT min(n) FROM f) AS least_family, (SELECT count(*) FROM r WHERE doc_id IN (SELECT doc_id FROM held_first)) AS holdout_contamination),
+w AS (SELECT *, list_filter([CASE WHEN verified_rows < 500 THEN 'VERIFIED_ROWS_INSUFFICIENT' END, CASE WHEN family_count < 4 THEN 'FAMILY_DIVERSITY_INSUFFICIENT' END,
   CASE WHEN source_count < 25 THEN 'SOURCE_DIVERSITY_INSUFFICIENT' END, CASE WHEN least_family < 20 THEN 'FAMILY_DEPTH_INSUFFICIENT' END,
-  CASE WHEN max_source > 0.2 THEN 'SOURCE_CONCENTRATION_EXCEEDED' END, CASE WHEN max_family > 0.5 THEN 'FAMILY_CONCENTRATION_EXCEEDED' END], lambda r: r IS NOT NULL), '|') AS reasons FROM o""")
+  CASE WHEN max_source > 0.2 THEN 'SOURCE_CONCENTRATION_EXCEEDED' END, CASE WHEN max_family > 0.5 THEN 'FAMILY_CONCENTRATION_EXCEEDED' END, CASE WHEN holdout_contamination > 0 THEN 'HOLDOUT_CONTAMINATION_PRESENT' END], lambda r: r IS NOT NULL) AS why FROM o)
+SELECT verified_rows, family_count, source_count, family_counts, source_counts, round(max_source, 9) AS max_source, round(max_family, 9) AS max_family, holdout_contamination, array_to_string(why, '|') AS reasons, len(why) = 0 AS authorized FROM w""")
 def readiness_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").where("quality = 1"), "doc_id")
-    return admission.readiness(good, "source", "lang", admission.Policy(500, 4, 25, 20, 0.2, 0.5))
+    """The admitted rows, and how many of them held-out text was found in."""
+    docs = table(spark, sf_dir, "documents")
+    good = docs.join(table(spark, sf_dir, "labels").where("quality = 1"), "doc_id")
+    held = dedup.first_forbidden(good.select("doc_id", "text"), "doc_id", table(spark, sf_dir, "benchmark"), "item_id")
+    found = admission.readiness(good, "source", "lang", admission.Policy(500, 4, 25, 20, 0.2, 0.5), held)
+    shown = lambda m: F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return found.withColumns({m: shown(m) for m in ("family_counts", "source_counts")})
 
 
 @query("""
@@ -200,21 +206,23 @@ def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH lanes AS (SELECT 'a' AS lane, doc_id, sha256(text) AS content FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT 'b', doc_id, sha256(text) FROM documents WHERE doc_id % 3 = 0)
+WITH lanes AS (SELECT 'a' AS lane, doc_id, sha256(text) AS content FROM documents WHERE lang = 'en' OR n_chars < 2000 UNION ALL SELECT 'b', doc_id, sha256(text) FROM documents WHERE lang IS DISTINCT FROM 'en')
 SELECT 'id' AS fault, CAST(doc_id AS VARCHAR) AS value, count(*) AS n FROM lanes GROUP BY doc_id HAVING count(*) > 1
 UNION ALL SELECT 'content', content, count(*) FROM lanes GROUP BY content HAVING count(DISTINCT lane) > 1""")
 def lane_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("content"))
-    return admission.lane_faults({"a": docs.where("doc_id % 2 = 0"), "b": docs.where("doc_id % 3 = 0")}, "doc_id", "content")
+    """Two lanes that together hold every document, some of them both."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("content"), "lang", "n_chars")
+    return admission.lane_faults({"a": docs.where("lang = 'en' or n_chars < 2000"), "b": docs.where("not lang <=> 'en'")}, "doc_id", "content")
 
 
 @query("""
 SELECT coalesce(n.id, o.id) AS id, coalesce(n.lang, o.lang) AS lang, coalesce(n.note, o.note) AS note FROM
- (SELECT doc_id AS id, lang, 'old' AS note FROM documents WHERE doc_id % 2 = 0) o FULL JOIN (SELECT doc_id AS id, CASE WHEN doc_id % 6 = 0 THEN NULL ELSE 'xx' END AS lang, 'new' AS note FROM documents WHERE doc_id % 3 = 0) n ON o.id = n.id""")
+ (SELECT doc_id AS id, lang, 'old' AS note FROM documents WHERE lang = 'en' OR n_chars < 2000) o FULL JOIN (SELECT doc_id AS id, CASE WHEN n_chars < 500 THEN NULL ELSE 'xx' END AS lang, 'new' AS note FROM documents WHERE lang IS DISTINCT FROM 'en') n ON o.id = n.id""")
 def upserted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Old and new rows that together are every document; short new ones bring no language."""
     docs = table(spark, sf_dir, "documents")
-    old = docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), "lang", F.lit("old").alias("note"))
-    new = docs.where("doc_id % 3 = 0").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 6 != 0, F.lit("xx")).alias("lang"), F.lit("new").alias("note"))
+    old = docs.where("lang = 'en' or n_chars < 2000").select(F.col("doc_id").alias("id"), "lang", F.lit("old").alias("note"))
+    new = docs.where("not lang <=> 'en'").select(F.col("doc_id").alias("id"), F.when(F.col("n_chars") >= 500, F.lit("xx")).alias("lang"), F.lit("new").alias("note"))
     return admission.upsert(old, new, "id")
 
 

@@ -9,8 +9,8 @@ from corpusloom.operators import evaluation as ev
 from corpusloom.plans.registry import query, table
 
 _CELLS = """cells AS (SELECT 'm' || l_linenumber % 3 AS model_id, 't' || l_partkey % 40 AS task_id, CAST(l_suppkey % 4 AS INTEGER) AS seed, 'w' || l_partkey % 5 AS workload, 'f' || l_partkey % 7 AS family,
-  CASE l_orderkey % 5 WHEN 0 THEN -1 WHEN 1 THEN 1 WHEN 2 THEN 1 ELSE 0 END AS reward, l_extendedprice / l_quantity / 1000 AS speedup, ['compile', 'correctness', 'profile'][1 + l_orderkey % 3] AS stage,
-  CAST(floor(l_quantity) AS BIGINT) AS q, l_orderkey, l_linenumber, l_partkey, l_discount, l_tax FROM lineitem)"""
+  CASE l_orderkey % 5 WHEN 0 THEN -1 WHEN 1 THEN 1 WHEN 2 THEN 1 ELSE 0 END AS reward, l_extendedprice / l_quantity / 1000 AS speedup, ['compile', 'correctness', 'profile'][1 + l_orderkey % 3] AS stage, l_orderkey % 11 = 0 AS worker_recovery_required,
+  CAST(floor(l_quantity) AS BIGINT) AS q, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_discount, l_tax FROM lineitem)"""
 _ONE = f"""{_CELLS}, one AS (SELECT model_id, task_id, seed, family, max(reward) AS reward FROM cells GROUP BY ALL)"""
 
 
@@ -20,8 +20,8 @@ def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(
         tag("m", "l_linenumber", 3).alias("model_id"), tag("t", "l_partkey", 40).alias("task_id"), (F.col("l_suppkey") % 4).cast("int").alias("seed"), tag("w", "l_partkey", 5).alias("workload"), tag("f", "l_partkey", 7).alias("family"),
         F.when(kind == 0, -1).when(kind.isin(1, 2), 1).otherwise(0).alias("reward"), (F.col("l_extendedprice") / F.col("l_quantity") / 1000).alias("speedup"),
-        F.element_at(F.array(*map(F.lit, ("compile", "correctness", "profile"))), (F.col("l_orderkey") % 3 + 1).cast("int")).alias("stage"),
-        F.floor("l_quantity").alias("q"), "l_orderkey", "l_linenumber", "l_partkey", "l_discount", "l_tax",
+        F.element_at(F.array(*map(F.lit, ("compile", "correctness", "profile"))), (F.col("l_orderkey") % 3 + 1).cast("int")).alias("stage"), (F.col("l_orderkey") % 11 == 0).alias("worker_recovery_required"),
+        F.floor("l_quantity").alias("q"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_discount", "l_tax",
     )
 
 
@@ -30,11 +30,23 @@ def _one(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_CELLS} SELECT model_id, count(*) AS n, count(*) FILTER (reward = 1) AS n_verified, round(count(*) FILTER (reward = 1) / count(*), 6) AS pass_rate,
+WITH {_CELLS}, f AS (SELECT model_id, CASE WHEN l_linenumber = 1 THEN NULL ELSE stage END AS stage, family FROM cells WHERE reward <> 1),
+st AS (SELECT model_id, string_agg(k || '=' || c, ',' ORDER BY k) AS failure_stages FROM (SELECT model_id, coalesce(stage, 'unknown') AS k, count(*) AS c FROM f GROUP BY ALL) GROUP BY model_id),
+fa AS (SELECT model_id, string_agg(k || '=' || c, ',' ORDER BY k) AS failure_families FROM (SELECT model_id, family AS k, count(*) AS c FROM f GROUP BY ALL) GROUP BY model_id),
+s AS (SELECT model_id, count(*) AS n, count(*) FILTER (reward = 1) AS n_verified, round(count(*) FILTER (reward = 1) / count(*), 6) AS pass_rate,
   round(median(CASE WHEN reward = 1 THEN speedup END), 6) AS median_speedup, round(min(CASE WHEN reward = 1 THEN speedup END), 6) AS least_speedup, round(max(CASE WHEN reward = 1 THEN speedup END), 6) AS best_speedup,
-  count(*) FILTER (reward = 1 AND speedup > 1.0) AS n_faster, count(*) FILTER (reward = -1) AS n_halts, count(DISTINCT CASE WHEN reward <> 1 THEN stage END) AS n_failing_stages FROM cells GROUP BY model_id""")
+  count(*) FILTER (reward = 1 AND speedup > 1.0) AS n_faster, count(*) FILTER (reward = 1 AND speedup >= 1.05) AS n_headroom, count(*) FILTER (worker_recovery_required) AS n_halts FROM cells GROUP BY model_id)
+SELECT * FROM s JOIN st USING (model_id) JOIN fa USING (model_id)""")
 def model_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.model_summary(_cells(spark, sf_dir))
+    """The first line of an order has no stage, so that some failures are unknown."""
+    cells = _cells(spark, sf_dir).withColumn("stage", F.when(F.col("l_linenumber") != 1, F.col("stage")))
+    shown = lambda m: F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return ev.model_summary(cells).withColumns({m: shown(m) for m in ("failure_stages", "failure_families")})
+
+
+@query(f"""WITH {_CELLS} SELECT model_id, row_number() OVER (PARTITION BY model_id ORDER BY speedup) AS rank, round(speedup, 9) AS speedup FROM cells WHERE reward = 1 AND speedup IS NOT NULL""")
+def verified_speedups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.verified_speedups(_cells(spark, sf_dir)).withColumn("speedup", F.round("speedup", 9))
 
 
 @query(f"""
@@ -89,8 +101,10 @@ def median_speedups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.speedups(table(spark, sf_dir, "lineitem").withColumn("side", side).withColumnRenamed("l_partkey", "unit"), "unit", "l_extendedprice", "side")
 
 
-@query("""WITH c AS (SELECT 8 * (1 + l_linenumber) AS n_train, CAST(floor(l_quantity) AS BIGINT) AS score FROM lineitem), g AS (SELECT n_train, avg(score) AS mean, stddev_pop(score) AS deviation, min(score) AS least, max(score) AS largest FROM c GROUP BY n_train)
-SELECT n_train, round(mean, 6) AS mean, round(deviation, 6) AS deviation, least, largest, round(mean - lag(mean) OVER (ORDER BY n_train), 6) AS step, coalesce(mean >= lag(mean) OVER (ORDER BY n_train), true) AS rising FROM g""")
+@query("""WITH c AS (SELECT 8 * (1 + l_linenumber) AS n_train, CAST(floor(l_quantity) AS BIGINT) AS score FROM lineitem), g AS (SELECT n_train, avg(score) AS mean, stddev_pop(score) AS deviation, min(score) AS least, max(score) AS largest FROM c GROUP BY n_train),
+w AS (SELECT *, mean - lag(mean) OVER (ORDER BY n_train) AS step FROM g)
+SELECT n_train, round(mean, 6) AS mean, round(deviation, 6) AS deviation, least, largest, round(step, 6) AS step, coalesce(step >= 0, true) AS rising,
+  round((last_value(mean) OVER e - first_value(mean) OVER e) / nullif(count(*) OVER e - 1, 0), 6) AS slope, bool_and(coalesce(step >= 0, true)) OVER e AS monotonic FROM w WINDOW e AS (ORDER BY n_train ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""")
 def learning_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = table(spark, sf_dir, "lineitem").select((8 * (1 + F.col("l_linenumber"))).alias("n_train"), F.floor("l_quantity").alias("score"))
     return ev.learning_curve(cells)
@@ -127,22 +141,34 @@ def deduplicated_work(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.fan_out(work, ("kernel_sha", "lang"))
 
 
-@query(f"""WITH {_CELLS}, v AS (SELECT l_orderkey, l_linenumber, reward = 1 AS correct, q % 9 <> 0 AS authentic, l_discount * 10 AS similarity, l_tax < 0.07 AS stable, speedup FROM cells),
-r AS (SELECT *, list_filter([CASE WHEN NOT correct THEN 'INCORRECT' END, CASE WHEN NOT authentic THEN 'NOT_AUTHENTIC' END, CASE WHEN similarity >= 0.95 THEN 'COPIED' END, CASE WHEN NOT stable THEN 'UNSTABLE_TIMING' END], lambda x: x IS NOT NULL) AS why FROM v)
-SELECT l_orderkey, l_linenumber, array_to_string(why, '|') AS no_credit_reasons, correct AND stable AS scorable, similarity >= 0.95 AS copied, len(why) = 0 AS credited, len(why) = 0 AND speedup >= 1.05 AS headline FROM r""")
-def credit_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _verdicts(spark, sf_dir).select("l_orderkey", "l_linenumber", F.array_join("no_credit_reasons", "|").alias("no_credit_reasons"), "scorable", "copied", "credited", "headline")
+_VERDICTS = f"""{_CELLS}, v AS (SELECT model_id, l_orderkey, l_linenumber, CASE WHEN l_partkey % 4 = 0 THEN 'baseline' ELSE 'spec' END AS context, l_suppkey % 8 <> 0 AS compiled, reward = 1 AS correct, CASE WHEN l_partkey % 6 <> 0 THEN l_discount * 10 + 0.1 END AS similarity, l_orderkey % 13 = 0 AS verbatim,
+  q % 9 <> 0 AS authentic, CASE WHEN q % 9 = 0 THEN ['PALLAS_CALL_MISSING', 'PALLAS_RESULT_UNUSED'] ELSE [] END AS inspection, CASE WHEN l_partkey % 10 <> 0 THEN l_tax < 0.07 END AS stable, CASE l_suppkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS lowering, speedup FROM cells),
+w AS (SELECT *, context = 'spec' AS scorable, context = 'baseline' AND (verbatim OR coalesce(similarity >= 0.9, false)) AS copied FROM v),
+x AS (SELECT *, scorable AND correct AND NOT copied AS credited, scorable AND correct AND NOT copied AND compiled AND authentic AND coalesce(lowering, false) AS kernel_credited,
+  list_filter(list_concat([CASE WHEN NOT scorable THEN 'DIAGNOSTIC_PROMPT_CONTEXT' END, CASE WHEN NOT compiled THEN 'TPU_COMPILE_FAILED' END, CASE WHEN NOT correct THEN 'CORRECTNESS_FAILED' END, CASE WHEN copied THEN 'REFERENCE_COPY' END], inspection,
+    [CASE WHEN NOT stable THEN 'TIMING_UNSTABLE' END, CASE WHEN compiled AND correct AND authentic AND lowering IS DISTINCT FROM true THEN CASE WHEN lowering IS NULL THEN 'LOWERING_EVIDENCE_MISSING' ELSE 'LOWERING_EVIDENCE_FAILED' END END]), lambda r: r IS NOT NULL) AS why FROM w)"""
 
 
 def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = _cells(spark, sf_dir)
-    return ev.verdict_lattice(cells.select("model_id", "l_orderkey", "l_linenumber", (F.col("reward") == 1).alias("correct"), (F.col("q") % 9 != 0).alias("authentic"), (F.col("l_discount") * 10).alias("similarity"), (F.col("l_tax") < 0.07).alias("stable"), "speedup"))
+    """Cells with all evidence that a verdict asks for, some of it unknown."""
+    part, supp, false = F.col("l_partkey"), F.col("l_suppkey"), F.col("q") % 9 == 0
+    rows = _cells(spark, sf_dir).select(
+        "model_id", "l_orderkey", "l_linenumber", F.when(part % 4 == 0, F.lit("baseline")).otherwise(F.lit("spec")).alias("context"), (supp % 8 != 0).alias("compiled"), (F.col("reward") == 1).alias("correct"),
+        F.when(part % 6 != 0, F.col("l_discount") * 10 + 0.1).alias("similarity"), (F.col("l_orderkey") % 13 == 0).alias("verbatim"), (~false).alias("authentic"),
+        F.when(false, F.array(F.lit("PALLAS_CALL_MISSING"), F.lit("PALLAS_RESULT_UNUSED"))).otherwise(F.array().cast("array<string>")).alias("inspection"),
+        F.when(part % 10 != 0, F.col("l_tax") < 0.07).alias("stable"), F.when(supp % 3 == 0, F.lit(True)).when(supp % 3 == 1, F.lit(False)).alias("lowering"), "speedup",
+    )
+    return ev.verdict_lattice(rows, need_lowering=True)
 
 
-@query(f"""WITH {_CELLS}, v AS (SELECT model_id, reward = 1 AND q % 9 <> 0 AND l_discount * 10 < 0.95 AND l_tax < 0.07 AS credited, l_discount * 10 >= 0.95 AS copied, reward = 1 AND l_tax < 0.07 AS scorable, speedup FROM cells)
-SELECT model_id, count(*) AS n, count(*) FILTER (copied) AS copied, count(*) FILTER (credited) AS credited, round(max(CASE WHEN scorable THEN speedup END), 6) AS best_stable_speedup FROM v GROUP BY model_id""")
+@query(f"""WITH {_VERDICTS} SELECT l_orderkey, l_linenumber, array_to_string(why, '|') AS no_credit_reasons, scorable, copied, credited, kernel_credited, kernel_credited AND coalesce(stable, false) AND coalesce(speedup >= 1.05, false) AS headline FROM x""")
+def credit_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _verdicts(spark, sf_dir).select("l_orderkey", "l_linenumber", F.array_join("no_credit_reasons", "|").alias("no_credit_reasons"), "scorable", "copied", "credited", "kernel_credited", "headline")
+
+
+@query(f"""WITH {_VERDICTS} SELECT model_id, count(*) AS n, count(*) FILTER (copied) AS copied, count(*) FILTER (credited) AS credited, round(max(CASE WHEN kernel_credited AND stable THEN speedup END), 6) AS best_stable_speedup FROM x GROUP BY model_id""")
 def verdict_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _verdicts(spark, sf_dir).groupBy("model_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("copied").alias("copied"), F.count_if("credited").alias("credited"), F.round(F.max(F.when(F.col("scorable"), F.col("speedup"))), 6).alias("best_stable_speedup"))
+    return _verdicts(spark, sf_dir).groupBy("model_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("copied").alias("copied"), F.count_if("credited").alias("credited"), F.round(F.max(F.when(F.col("kernel_credited") & F.col("stable"), F.col("speedup"))), 6).alias("best_stable_speedup"))
 
 
 @query("""WITH r AS (SELECT l_orderkey, l_linenumber, l_quantity * 1e9 AS flops, l_extendedprice * 1e6 AS bytes, l_extendedprice AS measured_us FROM lineitem)
@@ -152,12 +178,20 @@ def roofline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.roofline(rows, 1e14, 8e11).select("l_orderkey", "l_linenumber", "floor_us", "bound", "efficiency")
 
 
-@query("""WITH e AS (SELECT event_id, ['ok', 'process timed out', 'device unavailable', 'ValueError: error', 'killed'][1 + event_id % 5] AS message, [0, 124, 1, 1, 9][1 + user_id % 5] AS code FROM events)
-SELECT event_id, CASE WHEN code = 0 THEN 'none' WHEN code IN (124, 137, 143) OR regexp_matches(message, '(?i)timed out|deadline') THEN 'timeout' WHEN regexp_matches(message, '(?i)device|unavailable|connection') THEN 'infrastructure' WHEN regexp_matches(message, '(?i)error|exception') THEN 'program' ELSE 'unknown' END AS failure FROM e""")
+_STDERR = ("", "Aborted (core dumped)", "runner configuration missing", "Check failed: x", "Core halted unexpectedly during dma.hbm_to_vmem", "DEVICE HALTED", "index out of bounds")
+_CODES = (2, 134, 139, -9, 1, 124, 137)
+
+
+@query(f"""WITH e AS (SELECT event_id, {list(_STDERR)}[1 + event_id % 7] AS stderr, {list(_CODES)}[1 + user_id % 7] AS code, event_id % 17 = 0 AS timed_out, {list(_STDERR)}[1 + user_id % 5] AS error FROM events),
+c AS (SELECT *, timed_out OR code < 0 OR code IN (124, 134, 137, 139) OR regexp_matches(lower(stderr), 'aborted|check failed|dma|out of bounds|segmentation fault|sigabrt') AS candidate FROM e)
+SELECT event_id, false AS passed, CASE WHEN candidate THEN 'runtime_safety' ELSE 'infrastructure' END AS stage, CASE WHEN timed_out THEN 'CANDIDATE_PROCESS_TIMEOUT' WHEN candidate THEN 'CANDIDATE_PROCESS_EXIT_' || code ELSE 'VERIFIER_PROCESS_EXIT_' || code END AS error, NOT candidate AS infrastructure_error, candidate AS worker_recovery_required,
+  CASE WHEN candidate THEN 'artifact_contract,pallas_api,tpu_compile' END AS stages_passed, code < 0 OR code IN (134, 137, 139) OR regexp_matches(lower(stderr || chr(10) || error), 'core halted|device halted|dma[.]hbm_to_vmem|dma[.]vmem_to_hbm|sigabrt|segmentation fault') AS unsafe FROM c""")
 def process_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pick = lambda values, key: F.element_at(F.array(*map(F.lit, values)), (F.col(key) % 5 + 1).cast("int"))
-    rows = table(spark, sf_dir, "events").select("event_id", pick(("ok", "process timed out", "device unavailable", "ValueError: error", "killed"), "event_id").alias("message"), pick((0, 124, 1, 1, 9), "user_id").alias("code"))
-    return rows.select("event_id", ev.failure_class(F.col("message"), F.col("code")).alias("failure"))
+    pick = lambda values, key, n: F.element_at(F.array(*map(F.lit, values)), (F.col(key) % n + 1).cast("int"))
+    rows = table(spark, sf_dir, "events").select("event_id", pick(_STDERR, "event_id", 7).alias("stderr"), pick(_CODES, "user_id", 7).alias("code"), (F.col("event_id") % 17 == 0).alias("timed_out"), pick(_STDERR, "user_id", 5).alias("said"))
+    told = rows.select("event_id", ev.process_failure(F.col("code"), F.col("stderr"), F.col("timed_out")).alias("f"), ev.needs_recovery(F.col("code"), F.col("stderr"), F.col("said")).alias("unsafe"))
+    passed = F.array_join(F.array_sort(F.map_keys(F.map_filter("f.stages", lambda _, ok: ok))), ",").alias("stages_passed")
+    return told.select("event_id", "f.passed", "f.stage", "f.error", "f.infrastructure_error", "f.worker_recovery_required", passed, "unsafe")
 
 
 @query("""WITH s AS (SELECT l_orderkey, l_linenumber, l_returnflag <> 'R' AS profile, l_linestatus = 'O' AS correctness, l_orderkey % 7 = 0 AS infra, CASE WHEN l_quantity > 45 THEN CAST('nan' AS DOUBLE) ELSE l_quantity / 10 END AS speedup FROM lineitem)
@@ -177,12 +211,14 @@ def unequal_task_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.unequal_task_sets(_cells(spark, sf_dir).where("NOT (model_id = 'm1' AND task_id IN ('t3', 't5'))"))
 
 
-@query("""SELECT m AS model_id, 't' || t AS task_id, CAST(s AS BIGINT) AS seed, 1000 + s * 7 AS retry_seed FROM unnest(['m0', 'm1', 'm2']) a(m), range(12) b(t), range(4) c(s)""")
+@query(f"""WITH {_CELLS}, m AS (SELECT DISTINCT model_id FROM cells), t AS (SELECT DISTINCT 'p' || l_partkey AS task_id FROM lineitem), s AS (SELECT DISTINCT seed FROM cells)
+SELECT model_id, task_id, CAST(seed AS BIGINT) AS seed, 1000 + CAST(seed AS BIGINT) * 7 AS retry_seed FROM m, t, s""")
 def planned_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Models times tasks times seeds: three small dimensions of stated size."""
-    each = spark.range(12).select(F.concat(F.lit("t"), F.col("id").cast("string")).alias("task_id"), F.explode(F.array(*map(F.lit, ("m0", "m1", "m2")))).alias("model_id"))
-    seeded = each.select("model_id", "task_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("seed"))
-    return seeded.withColumn("retry_seed", 1000 + F.col("seed") * 7)
+    """Every task of the table with every model and seed that occurs there; models and seeds are few."""
+    items, cells = table(spark, sf_dir, "lineitem"), _cells(spark, sf_dir)
+    tasks = items.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("task_id")).distinct()
+    planned = ev.planned(tasks, cells.select("model_id").distinct(), cells.select(F.col("seed").cast("long").alias("seed")).distinct())
+    return planned.select("model_id", "task_id", "seed", (1000 + F.col("seed") * 7).alias("retry_seed"))
 
 
 @query("""SELECT event_type AS name, count(*) AS n FROM events GROUP BY event_type ORDER BY n DESC, name LIMIT 100""")

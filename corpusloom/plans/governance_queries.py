@@ -12,15 +12,36 @@ from corpusloom.operators import verifying
 from corpusloom.plans.registry import query, table
 
 
-@query("""WITH p AS (SELECT * FROM (VALUES ('p0', true), ('p1', false)) t(provider, ok)), s AS (SELECT source AS slice, 'p' || length(source) % 3 AS provider, source <> 'src7' AS approved, sum(n_chars) AS cost, count(*) FILTER (contains(text, '@')) AS hits FROM documents GROUP BY source),
-r AS (SELECT slice, list_filter([CASE WHEN NOT coalesce(ok, false) THEN 'PROVIDER_NOT_APPROVED' END, CASE WHEN NOT approved THEN 'SLICE_NOT_APPROVED' END, CASE WHEN cost > 120000 THEN 'SPEND_HEADROOM_EXCEEDED' END, CASE WHEN hits > 0 THEN 'SCRUB_HITS_PRESENT' END], lambda x: x IS NOT NULL) AS reasons FROM s LEFT JOIN p USING (provider))
+_CARRIED = "'CANARY-' || substr(sha256(provider || ':' || slice || ':' || k), 1, 16)"
+
+
+@query(f"""WITH p AS (SELECT DISTINCT 'p' || length(source) % 3 AS provider, length(source) % 3 <> 1 AS approved, length(source) % 3 <> 2 AS reviewed FROM documents WHERE source IS NOT NULL),
+l AS (SELECT DISTINCT 'p' || length(source) % 3 AS provider, 100.0 - 100 * (length(source) % 3 // 2) AS usd_remaining FROM documents WHERE length(source) % 3 <> 1),
+d AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents WHERE source IS NOT NULL),
+s AS (SELECT source AS slice, 'p' || length(source) % 3 AS provider, source <> 'src7' AS cleared, sum(n_chars) % 7 <> 0 AS manifest_found, sum(n_chars) % 11 <> 0 AS source_found, count(*) FILTER (contains(text, '@')) AS hits FROM documents WHERE source IS NOT NULL GROUP BY source),
+c AS (SELECT slice, {_CARRIED} AS canary, k FROM s, unnest(range(1, 4)) u(k)),
+f AS (SELECT c.slice, string_agg(canary, ',' ORDER BY c.k) FILTER (d.doc_id IS NULL) AS lost FROM c LEFT JOIN d ON d.source = c.slice AND d.k = c.k AND d.text IS NOT NULL GROUP BY c.slice),
+r AS (SELECT s.slice, CASE WHEN NOT source_found THEN ['SOURCE_MISSING'] WHEN NOT manifest_found THEN ['RIGHTS_MANIFEST_MISSING'] ELSE list_filter([CASE WHEN NOT (coalesce(approved, false) AND coalesce(reviewed, false)) THEN 'PROVIDER_NOT_APPROVED' END, CASE WHEN NOT cleared THEN 'SLICE_NOT_CLEARED' END,
+  CASE WHEN l.provider IS NULL THEN 'SPEND_LEDGER_MISSING' WHEN usd_remaining <= 0 THEN 'SPEND_HEADROOM_EXHAUSTED' END, CASE WHEN hits > 0 THEN 'SCRUB_HITS_PRESENT' END, CASE WHEN lost IS NOT NULL THEN 'CANARY_EMBED_FAILED:' || lost END], lambda x: x IS NOT NULL) END AS reasons
+  FROM s LEFT JOIN p USING (provider) LEFT JOIN l USING (provider) LEFT JOIN f USING (slice))
 SELECT slice, len(reasons) = 0 AS allowed, array_to_string(reasons, '|') AS reasons FROM r""")
 def upload_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    slices = docs.groupBy(F.col("source").alias("slice")).agg(F.sum("n_chars").alias("cost"), F.count_if(F.contains("text", F.lit("@"))).alias("scrub_hits"))
-    slices = slices.withColumn("provider", F.concat(F.lit("p"), (F.length("slice") % 3).cast("string"))).withColumn("slice_approved", F.col("slice") != "src7")
-    providers = spark.range(2).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("provider"), (F.col("id") == 0).alias("provider_approved"))
-    return g.upload_gate(slices, providers, 120_000).withColumn("reasons", F.array_join("reasons", "|"))
+    """Sources as slices: providers and ledgers follow from their names, the k-th canary of a slice goes into its k-th document
+    (those of documents without text, or of slices with fewer, are lost)."""
+    docs = table(spark, sf_dir, "documents").where("source is not null")
+    kind = F.length("source") % 3
+    provider = F.concat(F.lit("p"), kind.cast("string"))
+    each = docs.groupBy(F.col("source").alias("slice")).agg(F.sum("n_chars").alias("chars"), F.count_if(F.contains("text", F.lit("@"))).alias("scrub_hits"))
+    named = each.withColumn("source", F.col("slice")).withColumn("provider", provider).drop("source")
+    canary = lambda k: F.concat(F.lit("CANARY-"), F.substring(F.sha2(F.concat("provider", F.lit(":"), "slice", F.lit(":"), k.cast("string")), 256), 1, 16))
+    sown = named.select("slice", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("k"), "provider").select("slice", "k", canary(F.col("k")).alias("canary"))
+    carriers = g.first_rows(docs.select("source", "doc_id", "text"), "source", "doc_id", 3)
+    held = sown.join(carriers.withColumnRenamed("source", "slice"), ["slice", "k"], "left").withColumn("sent", F.concat("text", F.lit("\n"), "canary"))
+    lost = held.groupBy("slice").agg(F.transform(F.array_sort(F.collect_list(F.when(~F.coalesce(F.contains("sent", F.col("canary")), F.lit(False)), F.struct("k", "canary")))), lambda x: x["canary"]).alias("canaries_lost"))
+    slices = named.join(lost, "slice").withColumns({"source_found": F.col("chars") % 11 != 0, "manifest_found": F.col("chars") % 7 != 0, "rights_cleared": F.col("slice") != "src7", "secrets_scrubbed": F.lit(True)})
+    providers = docs.select(provider.alias("provider"), (kind != 1).alias("upload_approved"), (kind != 2).alias("retention_reviewed")).distinct()
+    ledger = docs.where(kind != 1).select(provider.alias("provider"), (100.0 - 100 * F.floor(kind / 2)).alias("usd_remaining")).distinct()
+    return g.upload_gate(slices, providers, ledger).withColumn("reasons", F.array_join("reasons", "|"))
 
 
 @query("""SELECT source, count(*) AS n, count(*) FILTER (contains(text, 'license') OR contains(text, 'zzz')) AS n_forbidden, count(*) FILTER (contains(text, 'example.com')) AS n_canaries,
@@ -47,10 +68,11 @@ def rescored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.rescored(stored, changed, ("doc_id",), ("score", "lang"))
 
 
-@query("""SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'left_only' ELSE 'right_only' END AS side FROM (SELECT doc_id FROM documents WHERE doc_id % 2 = 0) a FULL JOIN (SELECT doc_id FROM documents WHERE doc_id % 3 = 0) b ON a.doc_id = b.doc_id WHERE a.doc_id IS NULL OR b.doc_id IS NULL""")
+@query("""SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'left_only' ELSE 'right_only' END AS side FROM (SELECT doc_id FROM documents WHERE lang = 'en' OR n_chars < 2000) a FULL JOIN (SELECT doc_id FROM documents WHERE lang IS DISTINCT FROM 'en') b ON a.doc_id = b.doc_id WHERE a.doc_id IS NULL OR b.doc_id IS NULL""")
 def stream_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id")
-    return g.merged_streams(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 3 = 0"), "doc_id")
+    """Two streams that together hold every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    return g.merged_streams(docs.where("lang = 'en' or n_chars < 2000"), docs.where("not lang <=> 'en'"), "doc_id")
 
 
 @query("""WITH t AS (SELECT sha256('{"brand":"' || p_brand || '","size":' || p_size || '}') AS signature, p_partkey FROM part), c AS (SELECT signature, count(*) AS n FROM t WHERE p_partkey % 2 = 0 GROUP BY signature)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import arrays as a
+from corpusloom.operators import tiles
 from corpusloom.plans.registry import query, table
 
 _V = "v AS (SELECT vec_id, list_transform(embedding, lambda e: CAST(e AS DOUBLE)) AS x, list_reverse(list_transform(embedding, lambda e: CAST(e AS DOUBLE))) AS y FROM embeddings)"
@@ -94,12 +95,13 @@ def transposed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.transpose(long).groupBy("i").agg(total(v).alias("plain"), total(v * v).alias("square"), total(F.abs(v)).alias("absolute"))
 
 
-@query(f"""WITH {_LONG}, p AS (SELECT a.i, b.k AS j, sum(a.value * b.value) AS value FROM m a JOIN m b ON a.k = b.i GROUP BY a.i, b.k)
-SELECT i, CAST(j AS INTEGER) AS j, round(value, 6) AS value, round(greatest(value, 0.0), 6) AS relu, round(value * value, 6) AS square FROM p""")
+@query(f"""WITH {_LONG}, g AS (SELECT a.k AS i, b.k AS j, sum(a.value * b.value) AS value FROM m a JOIN m b ON a.i = b.i GROUP BY a.k, b.k), p AS (SELECT m.i, g.j, sum(m.value * g.value) AS value FROM m JOIN g ON m.k = g.i GROUP BY m.i, g.j)
+SELECT i, CAST(j AS BIGINT) AS j, round(value, 4) + 0.0 AS value, round(greatest(value, 0.0), 4) AS relu, round(value * value, 4) AS square FROM p""")
 def matrix_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors as a matrix X, and X times (X' X): rectangular operands, the whole table on both sides."""
     long = a.entries(_vectors(spark, sf_dir), "vec_id", "x")
-    product = a.matmul(long, long)
-    return product.select("i", "j", F.round("value", 6).alias("value"), F.round(F.greatest("value", F.lit(0.0)), 6).alias("relu"), F.round(F.col("value") * F.col("value"), 6).alias("square"))
+    product = tiles.matmul(long, tiles.matmul(a.transpose(long), long).select("i", F.col("j").alias("k"), "value"))
+    return product.select("i", "j", (F.round("value", 4) + 0.0).alias("value"), F.round(F.greatest("value", F.lit(0.0)), 4).alias("relu"), F.round(F.col("value") * F.col("value"), 4).alias("square"))
 
 
 @query(f"WITH {_V} SELECT vec_id, list_bool_and({_zip('abs(z[1] - z[2]) <= 0.5 + 0.5 * abs(z[2])')}) AS near, true AS same FROM v")

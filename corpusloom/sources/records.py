@@ -2,53 +2,68 @@
 
 from __future__ import annotations
 
-import io
 import json
-import zipfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.sources.archives import zip_members
+from corpusloom.sources.lines import PLACE, line_number, numbered, ranges, split_lines
+from corpusloom.staging import Workspace
+
 
 class ScanError(ValueError):
     """A scan that must not go on; the message begins with a code."""
 
 
-def _numbered(spark: SparkSession, path: str) -> DataFrame:
-    """``path, line_no, value``: whole files split into lines, so a line keeps its number."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    lines = files.select("path", F.posexplode(F.split("value", "\r?\n")).alias("p", "value"))
-    return lines.select("path", (F.col("p") + 1).alias("line_no"), "value").where(F.trim("value") != "")
+def _is_object(value: Column) -> Column:
+    return F.coalesce(F.startswith(F.ltrim(value), F.lit("{")) & F.try_parse_json(value).isNotNull(), F.lit(False))
 
 
-def _parsed(lines: DataFrame, schema: T.StructType | str) -> DataFrame:
-    """Adds ``record``, and ``bad`` where a line is no JSON object."""
-    is_object = F.coalesce(F.startswith(F.ltrim("value"), F.lit("{")) & F.try_parse_json("value").isNotNull(), F.lit(False))
-    return lines.withColumn("bad", ~is_object).withColumn("record", F.from_json("value", schema))
+def _first_bad(lines: DataFrame) -> tuple[str, int] | None:
+    """Path and line number of the first line that is no JSON object; one reading, a row for each byte range of a file."""
+    bad = (F.trim("value") != "") & ~_is_object(F.col("value"))
+    found = ranges(lines, bad=F.min(F.when(bad, F.col("at")))).where("bad is not null")
+    first = found.agg(F.min(F.struct("path", line_number("bad").alias("line_no"))).alias("f")).first()["f"]
+    return None if first is None else (first["path"], first["line_no"])
 
 
 def json_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """Strict: the first bad line, by path and number, ends the scan with a code."""
-    parsed = _parsed(_numbered(spark, path), schema)
-    first = parsed.where("bad").agg(F.min(F.struct("path", "line_no")).alias("f")).first()["f"]
-    if first is not None:
-        raise ScanError(f"JSONL_INVALID: {first['path']}:{first['line_no']}")
-    return parsed.select("record.*")
+    """Strict: the first bad line, by path and number, ends the scan with a code. Blank lines count, but aren't rows.
+
+    Lines are checked once, before the first row is given, and parsed into ``schema`` when rows are read.
+    """
+    lines = split_lines(spark, path)
+    if bad := _first_bad(lines):
+        raise ScanError(f"JSONL_INVALID: {bad[0]}:{bad[1]}")
+    return lines.where(F.trim("value") != "").select(F.from_json("value", schema).alias("record")).select("record.*")
+
+
+def _parsed(spark: SparkSession, path: str, schema: T.StructType | str) -> tuple[DataFrame, DataFrame]:
+    """All lines but blank ones, parsed once and staged: ``path, block, at, bad, record, raw`` (of bad ones); the byte ranges.
+
+    Places hold for one reading of the files only, so lines that are to be numbered stay with theirs.
+    """
+    lines = split_lines(spark, path)
+    bad = ~_is_object(F.col("value"))
+    parsed = lines.select(*PLACE, (F.trim("value") == "").alias("blank"), bad.alias("bad"), F.when(~bad, F.from_json("value", schema)).alias("record"), F.when(bad, F.col("value")).alias("raw"))
+    staged = Workspace(spark, "lines").table(parsed, "parsed")
+    return staged.where("not blank").drop("blank"), ranges(staged)
 
 
 def json_lines_permissive(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """Bad lines stay as rows with ``malformed_line`` and ``raw``."""
-    parsed = _parsed(_numbered(spark, path), schema)
-    return parsed.select("record.*", F.when(F.col("bad"), F.col("line_no")).alias("malformed_line"), F.when(F.col("bad"), F.col("value")).alias("raw"))
+    """Bad lines stay as rows with ``malformed_line`` and ``raw``; only these are numbered."""
+    rows, found = _parsed(spark, path, schema)
+    good = rows.where("not bad").select("record.*", F.lit(None).cast("long").alias("malformed_line"), "raw")
+    return good.union(numbered(rows.where("bad"), found).select("record.*", F.col("line_no").alias("malformed_line"), "raw"))
 
 
 def json_lines_audit(spark: SparkSession, path: str) -> DataFrame:
     """``path, lines, malformed``: bad lines counted, none fatal."""
-    parsed = _parsed(_numbered(spark, path), "x string")
-    return parsed.groupBy("path").agg(F.count(F.lit(1)).alias("lines"), F.count_if("bad").alias("malformed"))
+    held = split_lines(spark, path).where(F.trim("value") != "")
+    return held.groupBy("path").agg(F.count(F.lit(1)).alias("lines"), F.count_if(~_is_object(F.col("value"))).alias("malformed"))
 
 
 def json_array(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -73,30 +88,23 @@ def text_files(spark: SparkSession, root: str, suffixes: Sequence[str], exclude:
 
 
 def zip_markdown(spark: SparkSession, path: str, preferred: Sequence[str] = ()) -> DataFrame:
-    """``archive, member, content`` of the Markdown files in ZIP archives, preferred paths first."""
-
-    def unzip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for archive, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                with zipfile.ZipFile(io.BytesIO(raw.as_py())) as z:
-                    for name in z.namelist():
-                        if name.endswith(".md"):
-                            yield pa.RecordBatch.from_pydict({"archive": [archive], "member": [name], "content": [z.read(name).decode("utf-8", "replace")]})
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    members = files.mapInArrow(unzip, "archive string, member string, content string")
+    """``archive, member, content`` of the Markdown files in ZIP archives, preferred paths first; what isn't UTF-8 is read as U+FFFD."""
+    members = zip_members(spark, path, "*.md").select("archive", "member", F.col("content").cast("string"))
     first = F.lit(1)
     for p in preferred:
         first = F.when(F.contains("member", F.lit(p)), 0).otherwise(first)
-    return members.orderBy(first, "archive", "member")
+    return members.select("archive", "member", F.when(F.is_valid_utf8("content"), F.col("content")).otherwise(F.make_valid_utf8("content")).alias("content")).orderBy(first, "archive", "member")
 
 
 TRAJECTORY = "id string, source string, messages array<struct<role:string,content:string>>, conversation struct<messages:array<struct<role:string,content:string>>>"
 
 
 def trajectories(spark: SparkSession, path: str) -> DataFrame:
-    """``id, source, messages``: wrapped conversations are unwrapped, missing ids are the file's stem and the line."""
-    parsed = _parsed(_numbered(spark, path), TRAJECTORY).where("not bad")
+    """``id, source, messages``: wrapped conversations are unwrapped, missing ids are the file's stem and the line, from 0."""
+    rows, found = _parsed(spark, path, TRAJECTORY)
+    good = rows.where("not bad")
+    named = good.where("record.id is not null").withColumn("line_no", F.lit(None).cast("long"))
+    parsed = named.unionByName(numbered(good.where("record.id is null"), found))
     stem = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)
     identity = F.coalesce("record.id", F.concat(stem, F.lit("-"), (F.col("line_no") - 1).cast("string")))
     return parsed.select(identity.alias("id"), F.coalesce("record.source", stem).alias("source"), F.coalesce("record.conversation.messages", "record.messages").alias("messages"))

@@ -22,6 +22,42 @@ def test_json_lines(spark, tmp_path):
     assert {(r.path[-7:], r.lines, r.malformed) for r in records.json_lines_audit(spark, str(tmp_path)).collect()} == {("a.jsonl", 2, 0), ("b.jsonl", 3, 2)}
 
 
+@pytest.fixture
+def small_ranges(spark):
+    """Files are cut into ranges of some hundred bytes."""
+    conf = {"spark.sql.files.maxPartitionBytes": "100", "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_one_file_is_read_in_ranges(spark, tmp_path, small_ranges):
+    """Every line keeps the number that a single reader gives it, wherever the ranges' borders fall."""
+    bad = {"a.jsonl": {17, 18, 203, 400}, "b.jsonl": {1, 399}, "c.jsonl": set()}
+    for name, wrong in bad.items():
+        lines = ["" if i % 50 == 9 else "[1]" if i in wrong else json.dumps({"x": i, "pad": "é" * (i % 37)}, ensure_ascii=False) for i in range(1, 401)]
+        (tmp_path / name).write_bytes(("\r\n" if name == "b.jsonl" else "\n").join(lines).encode())
+    assert lines_of(spark, tmp_path).rdd.getNumPartitions() > 100
+    rows = records.json_lines_permissive(spark, str(tmp_path), "x int").collect()
+    assert sorted(r.malformed_line for r in rows if r.raw) == sorted(x for xs in bad.values() for x in xs) and all(r.raw == "[1]" for r in rows if r.malformed_line)
+    assert sorted(r.x for r in rows if r.x) == sorted(i for wrong in bad.values() for i in range(1, 401) if i % 50 != 9 and i not in wrong)
+    with pytest.raises(records.ScanError, match=r"JSONL_INVALID: .*a\.jsonl:17$"):
+        records.json_lines(spark, str(tmp_path), "x int")
+    with pytest.raises(records.ScanError, match=r"JSONL_INVALID: .*b\.jsonl:1$"):
+        records.json_lines(spark, str(tmp_path / "b.jsonl"), "x int")
+    assert records.json_lines(spark, str(tmp_path / "c.jsonl"), "x int").agg(F.sum("x")).first()[0] == sum(i for i in range(1, 401) if i % 50 != 9)
+    assert {(r.path[-7:], r.lines, r.malformed) for r in records.json_lines_audit(spark, str(tmp_path)).collect()} == {(n, 392, len(w)) for n, w in bad.items()}
+    ids = sorted(r.id for r in records.trajectories(spark, str(tmp_path / "c.jsonl")).collect())
+    assert ids == sorted(f"c-{i - 1}" for i in range(1, 401) if i % 50 != 9)
+
+
+def lines_of(spark, path):
+    return spark.read.text(str(path))
+
+
 def test_arrays_files_and_archives(spark, tmp_path):
     (tmp_path / "a.json").write_text('[{"x": 1}, {"x": 2}]')
     assert records.json_array(spark, str(tmp_path / "a.json"), "x int").count() == 2
