@@ -23,7 +23,7 @@ def token_count(text: Column) -> Column:
 
 def squeeze(text: Column) -> Column:
     """Words joined by one space."""
-    return F.array_join(F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0)), " ")
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
 def digest(text: Column) -> Column:

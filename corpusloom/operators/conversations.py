@@ -82,7 +82,8 @@ def prefixes(turns: DataFrame, size: int = RANGE) -> DataFrame:
     by the whole range until the row is made.
     """
     ranged = _ranged(turns, size)
-    roles = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]), ">")
+    listed = F.array_compact(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]))
+    roles = F.when(F.size(listed) > 0, F.array_join(listed, ">"))
     held = ranged.groupBy("conv_id", "_range").agg(roles.alias("_roles"), F.sum(F.length("text").cast("long")).alias("_chars"))
     placed = _with_carried(ranged, _carried(held, _before=F.collect_list(F.struct("_range", "_roles")), _earlier=F.sum("_chars")))
     upto = _within().rowsBetween(Window.unboundedPreceding, 0)

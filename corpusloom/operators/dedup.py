@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions.text import digest, squeeze
+from corpusloom.operators.joins import hub_join
 from corpusloom.operators.similarity import THRESHOLD, ShingleSets, earlier_classes, least_classes, shingle_sets
-from corpusloom.staging import Workspace
+from corpusloom.staging import Workspace, spread
 
 
 def first_seen(df: DataFrame, key: str, *group: str) -> DataFrame:
@@ -16,16 +17,28 @@ def first_seen(df: DataFrame, key: str, *group: str) -> DataFrame:
     return df.groupBy(*group).agg(F.min(key).alias("first"))
 
 
+def hashed_texts(df: DataFrame, text: str = "text") -> DataFrame:
+    """Adds ``content_sha256`` and ``normalized_sha256``, that of the text but for white space."""
+    return df.withColumn("content_sha256", digest(F.col(text))).withColumn("normalized_sha256", digest(squeeze(F.col(text))))
+
+
+def _with_first(df: DataFrame, key: str, objective: str, content: str, name: str, total: int) -> DataFrame:
+    """Adds the least ``key`` of each objective and content; one that holds many rows of the table doesn't meet in a task."""
+    on = F.when(F.col(content).isNotNull(), F.struct(F.col(objective), F.col(content)))
+    keyed = df.withColumn("_on", on)
+    firsts = keyed.where("_on is not null").groupBy("_on").agg(F.min(key).alias(name), F.count(F.lit(1)).alias("_n"))
+    return hub_join(keyed, firsts, "_on", "_n", total, "left").drop("_on")
+
+
 def exact_and_normalized(df: DataFrame, key: str, objective: str, text: str = "text") -> DataFrame:
-    """Adds ``content_sha256, normalized_sha256, exact_of, normalized_of``.
+    """Adds ``content_sha256, normalized_sha256, exact_of, normalized_of``; columns of these names that ``df`` has already are taken.
 
     ``exact_of`` is the first row of the same objective and text, where that is an earlier one; ``normalized_of`` that of
-    the same text but for white space, only for rows that are no exact duplicates.
+    the same text but for white space, only for rows that are no exact duplicates. Null objectives are one.
     """
-    hashed = df.withColumn("content_sha256", digest(F.col(text))).withColumn("normalized_sha256", digest(squeeze(F.col(text))))
-    exact = first_seen(hashed, key, objective, "content_sha256").withColumnRenamed("first", "_exact")
-    normal = first_seen(hashed, key, objective, "normalized_sha256").withColumnRenamed("first", "_normal")
-    joined = hashed.join(exact, [objective, "content_sha256"], "left").join(normal, [objective, "normalized_sha256"], "left")
+    hashed = df if "normalized_sha256" in df.columns else hashed_texts(df, text)
+    total = hashed.count()
+    joined = _with_first(_with_first(hashed, key, objective, "content_sha256", "_exact", total), key, objective, "normalized_sha256", "_normal", total)
     exact_of = F.when(F.col("_exact") < F.col(key), F.col("_exact"))
     normal_of = F.when(exact_of.isNull() & (F.col("_normal") < F.col(key)), F.col("_normal"))
     return joined.withColumn("exact_of", exact_of).withColumn("normalized_of", normal_of).drop("_exact", "_normal")
@@ -42,35 +55,37 @@ def nearest_earlier(df: DataFrame, key: str, objective: str, threshold: float =
     work = Workspace(df.sparkSession, "nearest")
     rows = work.table(sets.rows.where("n > 0").join(df.select(key, F.col(objective).alias("grp")), key), "rows")
     firsts = work.table(rows.groupBy("cls", "grp").agg(F.min(key).alias("first")), "firsts")
-    shapes = sets.classes.where("n > 0").select("cls", F.md5(F.array_join(F.transform("shingles", lambda x: x.cast("string")), ",")).alias("shape"))
-    shaped = firsts.where("grp is not null").join(shapes, "cls")
-    equal = shaped.join(shaped.groupBy("shape", "grp").agg(F.min("first").alias("equal")), ["shape", "grp"]).select("cls", "grp", "equal")
     best = earlier_classes(sets, firsts.where("grp is not null"), threshold)
-    told = work.table(equal.join(best, ["cls", "grp"], "left"), "told")
-    joined = rows.join(told, ["cls", "grp"])
+    mate = best.withColumnRenamed("first", "near")
+    told = firsts.where("grp is not null").join(mate, ["cls", "grp"], "left").select("cls", "grp", "near", "similarity", F.when(F.col("similarity") == 1, F.col("near")).otherwise(F.col("first")).alias("equal"))
+    joined = rows.join(work.table(told, "told"), ["cls", "grp"])
     copy = F.col("equal") < F.col(key)
-    found = joined.select(key, F.when(copy, F.col("equal")).otherwise(F.col("first")).alias("near_of"), F.when(copy, 1.0).otherwise(F.col("similarity")).alias("similarity"))
+    found = joined.select(key, F.when(copy, F.col("equal")).otherwise(F.col("near")).alias("near_of"), F.when(copy, 1.0).otherwise(F.col("similarity")).alias("similarity"))
     return found.where("near_of is not null")
 
 
 def first_forbidden(df: DataFrame, key: str, forbidden: DataFrame, forbidden_key: str, threshold: float = THRESHOLD, text: str = "text", sets: ShingleSets | None = None) -> DataFrame:
-    """``key, document, exact, similarity``: the first forbidden document that a row equals or resembles."""
+    """``key, document, exact, similarity``: the first forbidden document that a row equals or resembles. A column ``content_sha256`` of
+    ``df`` is taken for the digest of its text, then ``sets`` must be given."""
     ours, theirs = sets or shingle_sets(df, key, text), shingle_sets(forbidden, forbidden_key)
     documents = theirs.rows.groupBy("cls").agg(F.min(forbidden_key).alias("first"))
     best = least_classes(ours, theirs, documents, threshold)
     sealed = forbidden.select(F.col(forbidden_key).alias("document"), digest(F.col("text")).alias("sha"))
-    exact = df.select(key, digest(F.col(text)).alias("sha")).join(sealed, "sha").select(key, "document", F.lit(True).alias("exact"), F.lit(1.0).alias("similarity"))
+    sha = F.col("content_sha256") if "content_sha256" in df.columns else digest(F.col(text))
+    exact = df.select(key, sha.alias("sha")).join(sealed, "sha").select(key, "document", F.lit(True).alias("exact"), F.lit(1.0).alias("similarity"))
     near = ours.rows.select(key, "cls").join(best, "cls").select(key, F.col("first").alias("document"), F.lit(False).alias("exact"), "similarity")
     found = exact.union(near).groupBy(key, "document").agg(F.max("exact").alias("exact"), F.max("similarity").alias("similarity"))
     return found.groupBy(key).agg(F.min_by(F.struct("document", "exact", "similarity"), "document").alias("f")).select(key, "f.*")
 
 
 def corpus_policy(df: DataFrame, key: str, objective: str, forbidden: DataFrame, forbidden_key: str, threshold: float = THRESHOLD) -> DataFrame:
-    """Adds ``reasons`` (sorted) and ``status``: duplicates against all earlier rows of the objective, and held-out text."""
-    marked = exact_and_normalized(df, key, objective)
+    """The columns of ``df`` but for its text, and ``reasons`` (sorted) and ``status``: duplicates against all earlier rows of the
+    objective, and held-out text. Texts are read twice, for their digests and their shingles."""
+    hashed = Workspace(df.sparkSession, "policy").table(hashed_texts(spread(df)).drop("text"), "hashed")
+    marked = exact_and_normalized(hashed, key, objective)
     sets = shingle_sets(df, key)
-    near = nearest_earlier(df, key, objective, threshold, sets=sets)
-    held = first_forbidden(df, key, forbidden, forbidden_key, threshold, sets=sets).withColumnRenamed("similarity", "held_similarity")
+    near = nearest_earlier(hashed, key, objective, threshold, sets=sets)
+    held = first_forbidden(hashed, key, forbidden, forbidden_key, threshold, sets=sets).withColumnRenamed("similarity", "held_similarity")
     joined = marked.join(near, key, "left").join(held, key, "left")
     reason = F.array_compact(
         F.array(

@@ -45,7 +45,8 @@ def shingles(sequence: Column, k: int = SHINGLE) -> Column:
 
 @dataclass(frozen=True)
 class ShingleSets:
-    """``rows``: ``key, cls, n``; ``classes``: ``cls, n, shingles``, one for all rows of equal token sequences."""
+    """``rows``: ``key, cls, n``; ``classes``: ``cid, cls, n, shingles``, one for all rows of equal token sequences; ``cid`` is a number
+    that stands for ``cls`` where a class has many rows."""
 
     rows: DataFrame
     classes: DataFrame
@@ -57,26 +58,30 @@ def shingle_sets(df: DataFrame, key: str, text: str = "text") -> ShingleSets:
     seq = spread(df.select(key, text)).select(key, tokens(F.coalesce(F.col(text), F.lit(""))).alias("seq"))
     made = seq.select(key, F.sha2(F.array_join("seq", "\x01"), 256).alias("cls"), shingles(F.col("seq")).alias("shingles"))
     sets = work.table(made.select(key, "cls", F.size("shingles").cast("long").alias("n"), "shingles"), "sets")
-    return ShingleSets(sets.select(key, "cls", "n"), work.table(sets.select("cls", "n", "shingles").dropDuplicates(["cls"]), "classes"))
+    return ShingleSets(sets.select(key, "cls", "n"), work.table(sets.select("cls", "n", "shingles").dropDuplicates(["cls"]).withColumn("cid", F.monotonically_increasing_id()), "classes"))
 
 
-def _shared(sets: ShingleSets, order: DataFrame, threshold: float) -> DataFrame:
-    """``cls, n, codes, prefix``: a class's shingles that another class holds, rarest first, and how many of them to look up.
+def _shared(flat: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """``cls, n, codes, prefix`` of the shared shingles ``cid, n, shingle, count``: rarest first, and how many of them to look up.
 
     Two classes of the threshold have one of their first n - ceil(t n) + 1 shingles in common. Those that no other class
     holds come first of all and can't be shared, so they only take up places; classes that are left without any drop out.
     """
-    flat = sets.classes.select("cls", "n", F.explode("shingles").alias("shingle")).join(order, "shingle")
-    ordered = flat.groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("count", "shingle"))).alias("o"))
+    ordered = flat.groupBy("cid", "n").agg(F.array_sort(F.collect_list(F.struct("count", "shingle"))).alias("o"))
     prefix = F.size("codes") - F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9)) + 1
-    return ordered.select("cls", "n", F.transform("o", lambda x: x["shingle"]).alias("codes")).withColumn("prefix", prefix.cast("int")).where("prefix > 0")
+    found = ordered.select("cid", "n", F.transform("o", lambda x: x["shingle"]).alias("codes")).withColumn("prefix", prefix.cast("int")).where("prefix > 0")
+    return found.join(classes.select("cid", "cls"), "cid").drop("cid")
+
+
+def _weight() -> Column:
+    """What a class takes of a block."""
+    return F.size("codes") / F.lit(BLOCK_SHINGLES) + F.lit(1 / BLOCK_CLASSES)
 
 
 def _placed(work: Workspace, nodes: DataFrame, side: str) -> DataFrame:
     """``node, cls, grp, first, block``, staged: blocks of a group's nodes that have the same least prefix shingle, or nearly so."""
     local = F.array_min(F.transform(F.slice("codes", F.lit(1), F.col("prefix")), lambda s: F.xxhash64(s)))
-    weight = F.size("codes") / F.lit(BLOCK_SHINGLES) + F.lit(1 / BLOCK_CLASSES)
-    slim = nodes.select("cls", "grp", "first", local.alias("local"), weight.alias("weight"))
+    slim = nodes.select("cls", "grp", "first", local.alias("local"), _weight().alias("weight"))
     ranged = work.table(slim.repartitionByRange("grp", "local", "cls").withColumn("part", F.spark_partition_id()), f"ranged_{side}")
     running = F.sum("weight").over(Window.partitionBy("part").orderBy("grp", "local", "cls").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     block = F.col("part").cast("long") * F.lit(1 << 32) + F.floor(running).cast("long")
@@ -217,13 +222,19 @@ def _compared(work: Workspace, left: DataFrame, right: DataFrame | None, thresho
     """
     own = right is None
     nodes = {"l": work.table(left, "nodes_l")} | ({} if own else {"r": work.table(right, "nodes_r")})
-    placed = {k: _placed(work, x, k) for k, x in nodes.items()}
-    posts = {k: work.table(_posts(placed[k], x), f"posts_{k}") for k, x in nodes.items()}
-    carry = lambda met, k: met.join(nodes[k].drop("first", "grp").dropDuplicates(["cls"]), "cls").join(placed[k].drop("block"), ["cls", "grp"])
-    if own:
-        shipped = carry(_meetings(posts["l"], posts["l"], True), "l")
+    carried = ("grp", "lo", "hi", "right", "cls", "n", "codes", "prefix", "first")
+    if all((x.agg(F.sum(_weight())).first()[0] or 0) <= 1 for x in nodes.values()):
+        # a block a side holds all there is
+        alone = lambda k: nodes[k].withColumns({"lo": F.lit(0).cast("long"), "hi": F.lit(0 if own else 1).cast("long"), "right": F.lit(k == "r")}).select(*carried)
+        shipped = alone("l") if own else alone("l").unionByName(alone("r"))
     else:
-        shipped = carry(_meetings(posts["l"], posts["r"], False), "l").unionByName(carry(_meetings(posts["r"], posts["l"], False, True), "r"))
+        placed = {k: _placed(work, x, k) for k, x in nodes.items()}
+        posts = {k: work.table(_posts(placed[k], x), f"posts_{k}") for k, x in nodes.items()}
+        carry = lambda met, k: met.join(nodes[k].drop("first", "grp").dropDuplicates(["cls"]), "cls").join(placed[k].drop("block"), ["cls", "grp"])
+        if own:
+            shipped = carry(_meetings(posts["l"], posts["l"], True), "l")
+        else:
+            shipped = carry(_meetings(posts["l"], posts["r"], False), "l").unionByName(carry(_meetings(posts["r"], posts["l"], False, True), "r"))
     group_type = dict(left.dtypes)["grp"]
     schema = "a string, b string, similarity double" if want == "links" else f"cls string, grp {group_type}, first {kind}, similarity double"
 
@@ -263,17 +274,25 @@ def _compared(work: Workspace, left: DataFrame, right: DataFrame | None, thresho
         group = pa.chunked_array([pa.array([table["grp"][0].as_py()] * len(kept), table.schema.field("grp").type)])
         return pa.table([pa.array(name[node[kept]], pa.string()), group, firsts, pa.array(s[kept], pa.float64())], names=["cls", "grp", "first", "similarity"])
 
-    return shipped.select("grp", "lo", "hi", "right", "cls", "n", "codes", "prefix", "first").groupBy("grp", "lo", "hi").applyInArrow(compare, schema)
+    return shipped.select(*carried).groupBy("grp", "lo", "hi").applyInArrow(compare, schema)
+
+
+def _flat(sets: ShingleSets) -> DataFrame:
+    return sets.classes.select("cid", "n", F.explode("shingles").alias("shingle"))
 
 
-def _orders(left: ShingleSets, right: ShingleSets | None) -> DataFrame:
-    """``shingle, count`` of the shingles that two classes hold, one of each side if there are two."""
-    one = left.classes.select(F.explode("shingles").alias("shingle"))
-    if right is None:
-        return one.groupBy("shingle").count().where("count > 1")
-    two = right.classes.select(F.explode("shingles").alias("shingle"))
-    sums = one.select("shingle", F.lit(1).alias("l"), F.lit(0).alias("r")).union(two.select("shingle", F.lit(0), F.lit(1))).groupBy("shingle").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
-    return sums.where("l > 0 and r > 0").select("shingle", (F.col("l") + F.col("r")).alias("count"))
+def _own_nodes(work: Workspace, sets: ShingleSets, threshold: float) -> DataFrame:
+    """Nodes of one side: of the shingles that two classes hold. These are staged, so that the planner knows whether they are few."""
+    order = work.table(_flat(sets).groupBy("shingle").count().where("count > 1"), "order")
+    return _shared(_flat(sets).join(order, "shingle"), sets.classes, threshold)
+
+
+def _two_nodes(work: Workspace, left: ShingleSets, right: ShingleSets, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Nodes of two sides: of the shingles that both hold. The right's shingles sift the left's, which are read once."""
+    theirs = work.table(_flat(right), "theirs")
+    ours = work.table(_flat(left).join(theirs.select("shingle").distinct(), "shingle"), "ours")
+    order = work.table(ours.groupBy("shingle").count().withColumnRenamed("count", "l").join(theirs.groupBy("shingle").count(), "shingle").select("shingle", (F.col("l") + F.col("count")).alias("count")), "order")
+    return _shared(ours.join(order, "shingle"), left.classes, threshold), _shared(theirs.join(order, "shingle"), right.classes, threshold)
 
 
 def class_links(left: ShingleSets, right: ShingleSets | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -282,9 +301,9 @@ def class_links(left: ShingleSets, right: ShingleSets | None = None, threshold:
     A class takes part once, however many rows it has. A class without shingles has no link. A row for each link is what is
     asked for here; :func:`earlier_classes` and :func:`least_classes` make one for each class.
     """
-    work, order = Workspace(left.classes.sparkSession, "links"), _orders(left, right)
-    order = work.table(order, "order")
-    nodes = [_shared(x, order, threshold).withColumn("grp", F.lit(0)).withColumn("first", F.lit(0)) for x in (left, right) if x is not None]
+    work = Workspace(left.classes.sparkSession, "links")
+    sides = _two_nodes(work, left, right, threshold) if right else (_own_nodes(work, left, threshold),)
+    nodes = [x.withColumn("grp", F.lit(0)).withColumn("first", F.lit(0)) for x in sides]
     return _compared(work, nodes[0], nodes[1] if right else None, threshold, "links", "int")
 
 
@@ -294,8 +313,7 @@ def earlier_classes(sets: ShingleSets, firsts: DataFrame, threshold: float = THR
     ``firsts`` has ``cls, grp, first``; classes without an earlier one of the threshold have no row.
     """
     work = Workspace(sets.classes.sparkSession, "earlier")
-    order = work.table(_orders(sets, None), "order")
-    nodes = _shared(sets, order, threshold).join(firsts.select("cls", "grp", "first"), "cls")
+    nodes = _own_nodes(work, sets, threshold).join(firsts.select("cls", "grp", "first"), "cls")
     found = _compared(work, nodes, None, threshold, "earlier", dict(firsts.dtypes)["first"])
     best = F.min_by(F.struct("first", "similarity"), F.struct(-F.col("similarity"), F.col("first"))).alias("best")
     return found.groupBy("cls", "grp").agg(best).select("cls", "grp", "best.*")
@@ -304,13 +322,7 @@ def earlier_classes(sets: ShingleSets, firsts: DataFrame, threshold: float = THR
 def least_classes(left: ShingleSets, right: ShingleSets, firsts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``cls, first, similarity``: for each class of ``left`` the similar one of ``right`` with the least ``first``; ``firsts`` has ``cls, first``."""
     work = Workspace(left.classes.sparkSession, "least")
-    order, kind = work.table(_orders(left, right), "order"), dict(firsts.dtypes)["first"]
-    ours = _shared(left, order, threshold).withColumn("grp", F.lit(0)).withColumn("first", F.lit(None).cast(kind))
-    theirs = _shared(right, order, threshold).withColumn("grp", F.lit(0)).join(firsts.select("cls", "first"), "cls")
-    found = _compared(work, ours, theirs, threshold, "least", kind)
+    (ours, theirs), kind = _two_nodes(work, left, right, threshold), dict(firsts.dtypes)["first"]
+    ours = ours.withColumn("grp", F.lit(0)).withColumn("first", F.lit(None).cast(kind))
+    found = _compared(work, ours, theirs.withColumn("grp", F.lit(0)).join(firsts.select("cls", "first"), "cls"), threshold, "least", kind)
     return found.groupBy("cls").agg(F.min_by(F.struct("first", "similarity"), "first").alias("best")).select("cls", "best.*")
-
-
-def neighbours(links: DataFrame) -> DataFrame:
-    """Links in both directions: ``cls, other, similarity``."""
-    return links.select(F.col("a").alias("cls"), F.col("b").alias("other"), "similarity").union(links.select("b", "a", "similarity"))
