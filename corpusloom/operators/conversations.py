@@ -89,7 +89,8 @@ def prefixes(turns: DataFrame, size: int = RANGE) -> DataFrame:
     upto = _within().rowsBetween(Window.unboundedPreceding, 0)
     before = F.transform(F.array_sort("_before"), lambda x: x["_roles"])
     own = F.collect_list("role").over(upto)
-    chars = F.sum(F.length("text").cast("long")).over(upto) + F.coalesce("_earlier", F.lit(0))
+    here = F.sum(F.length("text").cast("long")).over(upto)
+    chars = F.coalesce(here + F.col("_earlier"), here, F.col("_earlier"))
     return placed.select("conv_id", "turn", F.array_join(F.concat(F.coalesce(before, F.array().cast("array<string>")), own), ">").alias("roles"), chars.alias("n_chars"))
 
 

@@ -67,9 +67,11 @@ OPERATORS = {
     "source_yields": "A4",
     "readiness_gate": "A7",
     "exact_duplicate_groups": "A8",
-    "conversation_audit": "A9 V9",
+    "conversation_audit": "V9",
+    "trajectory_audit": "A9",
     "role_counts": "A10",
     "model_summaries": "A11 T6",
+    "verified_speedups": "A11",
     "stage_fractions": "A12",
     "family_comparison": "A13",
     "paired_transitions": "A15",
@@ -96,7 +98,8 @@ OPERATORS = {
     "collapsed_turns": "W9",
     "newest_messages": "W10",
     "conversation_prefixes": "W11",
-    "group_advantages": "W12 W13 X8",
+    "group_advantages": "W12 W13",
+    "flattened_by_table_function": "X8",
     "centered_advantages": "W14",
     "packed_pieces": "W15",
     "lane_balanced_order": "W16",
@@ -128,7 +131,10 @@ OPERATORS = {
 }
 #: Sources, sinks and streams, which read and write files: covered by tests, by the function's name.
 FILES = {
-    "sources.records": "S1 S2 S3 S5 S6 S7 S10 S11 S12 S13 S14 S16 S17 S18",
+    "sources.records": "S5 S6 S7 S12 S14 S16 S18",
+    "sources.lines": "S1 S2 S3 S11",
+    "sources.archives": "S10",
+    "sources.artifacts": "S13 S17",
     "sources.paged": "S8 X5",
     "streaming.enrich": "X1 X2 X3",
 }
