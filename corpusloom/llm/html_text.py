@@ -27,6 +27,7 @@ BLOCKS = frozenset(
 SCOPES = frozenset("ul ol menu dl table section article main aside nav header footer form blockquote body html".split())
 HEAD = frozenset("title meta link script style base noscript template".split())
 HEADINGS, ITEMS = frozenset("h1 h2 h3 h4 h5 h6".split()), frozenset("li td th dt dd".split())
+TEXT_TAGS = HEADINGS | frozenset("p li dt dd td th blockquote pre figcaption".split())
 AROUND = frozenset("nav aside form footer dialog menu noscript".split())
 _WHAT = (
     r"ad|ads|advert[a-z]*|banner|sponsor[a-z]*|promo[a-z]*|cookies?|consent|notice|gdpr|popup|modal|newsletter|subscribe|signup|menu|nav|navbar|"
@@ -43,6 +44,12 @@ HINT = re.compile(
     rf"(?:^|\s)(?!(?:with|has|no|not)[-_]|(?:article|post|entry|content|main)[-_]header)(?:[a-z]+[-_])?(?:{_WHAT})(?:[-_]+(?:{_PART}|{_WHAT}))*(?=\s|$)",
     re.I,
 )
+#: Names that a wrapper or a part of an article may have too: a container of such a name that holds most of the page isn't what it is
+#: called, and inside an article those of ``PARTS`` say nothing. The other names always count.
+WEAK = re.compile(r"sidebar|social|header|notice|widgets?|share|banner|search|masthead|login|skip", re.I)
+WHAT = re.compile(_WHAT, re.I)
+PARTS = re.compile(r"(?:social|notice|(?:[a-z]+[-_])?header|banner|search|skip)$", re.I)
+EXCUSED_TAGS = frozenset("form noscript header".split())
 ROLE = re.compile(r"""\brole\s*=\s*["']?(navigation|banner|contentinfo|complementary|search|form|dialog|alert|alertdialog|menu|menubar)""", re.I)
 NAMED = re.compile(r"""(?:^|[\s"'])(?:class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HREF = re.compile(r"""(?:^|[\s"'/])href\s*=""", re.I)
@@ -73,6 +80,20 @@ class Block:
     hint: int
     heading: int
     item: int
+    tag: str = ""
+    suspect: int = -1
+
+
+@dataclass(slots=True)
+class Suspect:
+    """A container that says that it isn't main text: its element (``boiler``) or its name (``hint``), and whether another reading is open."""
+
+    parent: int
+    boiler: bool
+    hint: bool
+    weak: bool
+    words: int = 0
+    article: bool = False
 
 
 class Frame(NamedTuple):
@@ -80,8 +101,7 @@ class Frame(NamedTuple):
 
     tag: str = ""
     inside: bool = False
-    boiler: bool = False
-    hint: bool = False
+    suspect: int = -1
     heading: bool = False
     item: bool = False
     silent: bool = False
@@ -99,6 +119,7 @@ class _Parser:
     """All that a tag needs to know is carried by the innermost open block, so each takes constant time on average."""
 
     blocks: list[Block] = field(default_factory=list)
+    suspects: list[Suspect] = field(default_factory=list)
     stack: list[Frame] = field(default_factory=lambda: [Frame(inline=[], tags={})])
     count: dict[str, int] = field(default_factory=dict)
     parts: list[str] = field(default_factory=list)
@@ -109,8 +130,7 @@ class _Parser:
         text = SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
             top = self.stack[-1]
-            hint = top.hint or bool(top.inline)
-            self.blocks.append(Block(text, len(text.split()), self.linked, int(top.inside), int(top.boiler), int(hint), int(top.heading), int(top.item)))
+            self.blocks.append(Block(text, len(text.split()), self.linked, int(top.inside), 0, int(bool(top.inline)), int(top.heading), int(top.item), top.tag, top.suspect))
         self.parts, self.linked = [], 0
 
     def pop_to(self, depth: int) -> None:
@@ -119,11 +139,48 @@ class _Parser:
         if self.link > depth:
             self.link = -1
 
+    def told(self, named: str, attributes: str) -> tuple[bool, bool]:
+        """Whether names, role or style say that an element isn't main text, beyond doubt or only maybe."""
+        found = [m[0].strip() for m in HINT.finditer(named)]
+        if self.stack[-1].inside:
+            found = [x for x in found if not PARTS.match(x)]
+        role = ROLE.search(attributes)
+        parts = [p for x in found for p in re.split("[-_]+", x) if WHAT.fullmatch(p)]
+        strong = any(not WEAK.fullmatch(p) for p in parts) or bool(HIDDEN.search(attributes)) or bool(role and role[1].lower() != "form")
+        return strong, bool(found or role)
+
+    def settled(self) -> list[Block]:
+        """The blocks, told what holds for them: a container that may be a mere wrapper is one if it holds the article, or, on a page
+        without any, more than half of the words that are neither linked nor surely something else."""
+        sure: list[bool] = []
+        for s in self.suspects:
+            sure.append(not s.weak or s.parent >= 0 and sure[s.parent])
+        total, without = 0, not any(b.inside for b in self.blocks)
+        for b in self.blocks:
+            if b.suspect < 0 or not sure[b.suspect]:
+                total += b.words - b.linked
+                if b.suspect >= 0:
+                    self.suspects[b.suspect].words += b.words - b.linked
+        for s in reversed(self.suspects):
+            if s.parent >= 0:
+                self.suspects[s.parent].words += s.words
+                self.suspects[s.parent].article |= s.article
+        held: list[tuple[bool, bool]] = []
+        for s in self.suspects:
+            above = held[s.parent] if s.parent >= 0 else (False, False)
+            excused = s.weak and (s.article or without and 2 * s.words > total)
+            held.append((above[0] or s.boiler and not excused, above[1] or s.hint and not excused))
+        for b in self.blocks:
+            if b.suspect >= 0:
+                b.boiler, b.hint = int(held[b.suspect][0]), int(b.hint or held[b.suspect][1])
+        return self.blocks
+
     def open(self, tag: str, attributes: str) -> None:
         if tag == "a":  # it ends the one that is open, and is a link only if it leads somewhere
             self.link = len(self.stack) if HREF.search(attributes) else -1
         named = " ".join(x or y or z for x, y, z in NAMED.findall(attributes)) if attributes else ""
-        hint = bool(HINT.search(named) or ROLE.search(attributes) or HIDDEN.search(attributes)) if attributes else False
+        strong, weak = self.told(named, attributes) if attributes else (False, False)
+        hint = strong or weak
         if tag not in BLOCKS and tag not in SILENT:
             top = self.stack[-1]
             if tag not in VOID and (hint or top.tags.get(tag)):
@@ -144,12 +201,19 @@ class _Parser:
             return
         top, at = self.stack[-1], len(self.stack)
         scope, table = tag in SCOPES, tag == "table"
+        boiler = tag in AROUND and not (tag == "noscript" and top.inside) or tag == "header" and not top.inside
+        hint, suspect = bool(top.inline) or hint and tag not in ("html", "body"), top.suspect
+        if boiler or hint:
+            weak = not top.inline and not strong and (not boiler or tag in EXCUSED_TAGS)
+            self.suspects.append(Suspect(suspect, boiler, hint, weak))
+            suspect = len(self.suspects) - 1
+        if tag in ("article", "main") and suspect >= 0:
+            self.suspects[suspect].article = True
         self.stack.append(
             Frame(
                 tag,
                 top.inside or tag in ("article", "main"),
-                top.boiler or tag in AROUND and not (tag == "noscript" and top.inside) or tag == "header" and not top.inside,
-                top.hint or bool(top.inline) or hint and tag not in ("html", "body"),
+                suspect,
                 top.heading or tag in HEADINGS,
                 top.item or tag in ITEMS,
                 top.silent or tag in SILENT,
@@ -236,7 +300,8 @@ def text_blocks(page: str) -> list[Block]:
         elif not (attributes.endswith("/") and (tag in ("svg", "math") or parser.stack[-1].tag == "svg")):
             parser.open(tag, attributes)
     parser.flush()
-    return parser.blocks
+    return parser.settled()
+
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "inside", "boiler", "hint", "heading", "item", "article_page")
 #: Word count and link density of a block and its neighbours; the rest says where it stands.
@@ -372,12 +437,24 @@ def classify(tree: Node, x: np.ndarray) -> np.ndarray:
     return out
 
 
+def chosen(blocks: list[Block], tree: Node) -> np.ndarray:
+    """Which blocks are main text. On a page without an article whose paragraphs are too short for the tree, so that it leaves most of
+    their words out, all paragraphs, headings, items and cells count that are no links and not named as something else."""
+    kept = classify(tree, features(blocks)).astype(bool)
+    if any(b.inside for b in blocks):
+        return kept
+    plain = np.array([b.tag in TEXT_TAGS and not (b.boiler or b.hint) and 2 * b.linked < b.words for b in blocks])
+    words = np.array([b.words for b in blocks])
+    if any(p and b.tag == "p" for p, b in zip(plain, blocks, strict=True)) and 2 * words[kept].sum() < words[plain].sum():
+        return kept | plain
+    return kept
+
+
 def main_text(page: str, tree: Node) -> str:
     blocks = text_blocks(page)
     if not blocks:
         return ""
-    kept = classify(tree, features(blocks))
-    return "\n\n".join(b.text for b, k in zip(blocks, kept, strict=True) if k)
+    return "\n\n".join(b.text for b, k in zip(blocks, chosen(blocks, tree), strict=True) if k)
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:

@@ -183,6 +183,39 @@ def test_sections_by_name(tree, name, kept):
     assert html_text.main_text(page, tree).count("We show") == (12 if kept else 8)
 
 
+FOUR = "".join(f"<p>{PROSE}</p>" for _ in range(4))
+AROUND = "<nav><a href=/>home</a> <a href=/b>more</a></nav><div class=cookie-notice><p>We use cookies to do many things that you may not like at all.</p></div>{}<section id=comments><h3>Comments</h3><p>" + "I have read this and think that it is wrong in every way. " * 9 + "</p><p>So do I.</p></section><div class=footer><p>Some rights reserved by someone.</p></div>"
+ITEMS = "".join(f"<p>Line {i} is short.</p>" for i in range(10))
+
+
+@pytest.mark.parametrize("inner, text", [
+    (f'<form id="aspnetForm" action=x>{FOUR}</form>', "\n\n".join([PROSE.strip()] * 4)),
+    (f'<form id="aspnetForm"><div class="header"><a href=/>Site</a></div>{FOUR}<form><label>Mail</label></form></form>', "\n\n".join([PROSE.strip()] * 4)),
+    (f'<div class="sidebar-right"><div>{FOUR}</div></div>', "\n\n".join([PROSE.strip()] * 4)),
+    (f'<div class="layout sidebar-right"><article><p>{PROSE}</p></article></div>', PROSE.strip()),
+    (f'<form><main><h1>Title</h1><p>{PROSE}</p><form><input><p>Subscribe</p></form></main></form>', f"Title\n\n{PROSE.strip()}"),
+    (f'<article><p>{PROSE}</p><section id="social"><h2>Social effects</h2><p>They are many.</p></section></article>', f"{PROSE.strip()}\n\nSocial effects\n\nThey are many."),
+    ('<article><div class="section-header"><h2>Heading</h2></div><p>Text.</p></article>', "Heading\n\nText."),
+    ('<article><table><tr class="table-header"><th>Name</th><th>Age</th></tr><tr><td>Ann</td><td>9</td></tr></table></article>', "Name\n\nAge\n\nAnn\n\n9"),
+    ('<article><p>One.</p><div class="notice"><p>Mind the gap.</p></div></article>', "One.\n\nMind the gap."),
+    (ITEMS, "\n\n".join(f"Line {i} is short." for i in range(10))),
+    (f"<h1>Ten lines</h1><div>{ITEMS}</div>", "\n\n".join(["Ten lines", *(f"Line {i} is short." for i in range(10))])),
+    (f"<noscript>{FOUR}</noscript>", "\n\n".join([PROSE.strip()] * 4)),
+    (f'<div class="sidebar"><p>{PROSE}</p></div>{FOUR}', "\n\n".join([PROSE.strip()] * 4)),
+    ("", ""),
+])
+def test_ordinary_pages(tree, inner, text):
+    """Wrappers named as what they are not, parts of articles with such names, short paragraphs: the text is whole, what stands around is gone."""
+    assert html_text.main_text(AROUND.format(inner), tree) == text
+    assert html_text.main_text(f"<body>{inner}</body>", tree) == text
+
+
+def test_names_and_wrappers_in_linear_time(tree):
+    page = "<div class=sidebar>" * 60_000 + f"<article><p>{PROSE}</p></article>"
+    start = time.perf_counter()
+    assert html_text.main_text(page, tree) == PROSE.strip() and time.perf_counter() - start < 60
+
+
 def drawn(rng, depth=0, inside=False, linked=False):
     """Well-formed markup and what its blocks are: a list of words with their links and whether an article holds them."""
     page, blocks, words = "", [], lambda: [f"w{rng.integers(99)}" for _ in range(rng.integers(1, 5))]
