@@ -20,8 +20,8 @@ from pyspark.sql.window import Window
 from corpusloom.llm.common import read_table, readable
 from corpusloom.llm.packing import vocabulary_path
 
-#: Labelled documents per language that the fit may use, at most; its rounds; letters of a word scored at once.
-SAMPLE_DOCS, ROUNDS, WORD_LETTERS = 400, 2, 40
+#: Labelled documents per language that the fit may use, at most; its rounds; numbers of a lattice that are held at once.
+SAMPLE_DOCS, ROUNDS, HELD = 400, 2, 2_000_000
 #: Pseudo-count of a piece, and the most that an earlier prefix may outweigh a later one (no piece spans more).
 PRIOR, MOST = 0.05, 1e300
 MARK, CODE = "▁", np.uint64(0x9E3779B97F4A7C15)
@@ -74,8 +74,9 @@ class Vocabulary:
         for place, word in enumerate(words):
             by_length.setdefault(len(word) + 1, []).append(place)
         for n, group in by_length.items():
-            for at in range(0, len(group), 2048):
-                places = group[at : at + 2048]
+            together = max(1, min(2048, HELD // (n * min(self.longest, n))))
+            for at in range(0, len(group), together):
+                places = group[at : at + together]
                 letters = self._letters([MARK + words[i] for i in places], n)
                 ids = np.full((len(places), n, min(self.longest, n)), -1, np.int32)
                 code = np.zeros_like(letters)
@@ -106,15 +107,22 @@ def _prefixes(ids: np.ndarray, spelled: np.ndarray, p: np.ndarray, back: bool =
     Masses are held as multiples of the last one, which no word is too long or too strange for.
     """
     words, n, longest = ids.shape
-    logs, near = np.zeros((words, p.shape[1], n + 1)), np.ones((words, p.shape[1], n + 1))
-    for end in range(1, n + 1):
-        mass = spelled[:, n - end if back else end - 1].copy()
-        for k in range(1, min(longest, end) + 1):
-            mass += near[:, :, end - k] * p[ids[:, n - end if back else end - k, k - 1]]
-        logs[:, :, end] = logs[:, :, end - 1] + np.log(mass)
-        window = near[:, :, max(0, end - longest + 1) : end]
-        with np.errstate(over="ignore"):
-            np.minimum(window / mass[:, :, None], MOST, out=window)
+    logs, near = np.zeros((words, p.shape[1], n + 1)), np.zeros((words, p.shape[1], longest + n + 1))
+    near[:, :, longest] = 1  # the empty prefix; before it there is none
+    length = np.arange(1, longest + 1)
+    step = max(1, HELD // max(1, words * longest * p.shape[1]))
+    for low in range(1, n + 1, step):
+        # the pieces that end in a slice of ends, by length; masses are carried from slice to slice
+        ends = np.arange(low, min(n + 1, low + step))
+        starts = np.where(length <= ends[:, None], n - ends[:, None] if back else ends[:, None] - length, -1)
+        mass_of = p[np.where(starts >= 0, ids[:, np.maximum(starts, 0), length - 1], -1)]
+        for row, end in enumerate(ends.tolist()):
+            window = near[:, :, end : end + longest]
+            mass = spelled[:, n - end if back else end - 1] + np.einsum("wlk,wkl->wl", window[:, :, ::-1], mass_of[:, row])
+            logs[:, :, end] = logs[:, :, end - 1] + np.log(mass)
+            with np.errstate(over="ignore"):
+                np.minimum(window / mass[:, :, None], MOST, out=window)
+            near[:, :, longest + end] = 1
     return logs[:, :, ::-1] if back else logs
 
 
@@ -139,25 +147,28 @@ def fit(words: list[str], counts: np.ndarray, folder: str | None = None, rounds:
             spelled, pieces, which = _spelled(letters, p, v)
             before, after = _prefixes(ids, spelled, p)[:, 0], _prefixes(ids, spelled, p, back=True)[:, 0]
             weights = counts[places]
-            for start in range(n):
-                share = np.exp(before[:, start] + after[:, start + 1] - before[:, n]) * spelled[:, start, 0]
-                by_letter = np.bincount(which[:, start], weights=weights * share, minlength=len(pieces))
+            length = np.arange(1, longest + 1)
+            step = max(1, HELD // (len(places) * longest))
+            for low in range(0, n, step):
+                starts = np.arange(low, min(n, low + step))
+                begun = before[:, starts] - before[:, [n]]
+                alone = np.exp(begun + after[:, starts + 1]) * spelled[:, starts, 0]
+                by_letter = np.bincount(which[:, starts].ravel(), weights=(weights[:, None] * alone).ravel(), minlength=len(pieces))
                 np.add.at(expected, pieces, np.where(pieces >= 0, by_letter[:, None], 0.0))
-                for k in range(1, min(longest, n - start) + 1):
-                    found = ids[:, start, k - 1]
-                    share = np.exp(before[:, start] + after[:, start + k] - before[:, n]) * p[found, 0]
-                    expected += np.bincount(found % (v.size + 1), weights=weights * share, minlength=v.size + 1)
+                found = ids[:, starts]
+                between = np.where(found >= 0, begun[:, :, None] + after[:, np.minimum(starts[:, None] + length, n)], 0.0)
+                share = np.exp(between) * p[found, 0]
+                expected += np.bincount((found % (v.size + 1)).ravel(), weights=(weights[:, None, None] * share).ravel(), minlength=v.size + 1)
         expected[-1] = 0
         p = (expected / expected.sum())[:, None]
     return p[:, 0]
 
 
 def split_words(texts: pa.Array) -> pa.ListArray:
-    """Lower-case runs of letters, none longer than ``WORD_LETTERS`` (longer ones are scored in parts)."""
+    """Lower-case runs of letters, whole, however long."""
     plain = pc.utf8_lower(pc.fill_null(texts, ""))
     spaced = pc.replace_substring_regex(plain, r"[^\pL]+", " ")
-    cut = pc.replace_substring_regex(spaced, r"(\pL{%d})" % WORD_LETTERS, r"\1 ")
-    return pc.split_pattern(pc.utf8_trim(cut, " "), " ")
+    return pc.split_pattern(pc.utf8_trim(spaced, " "), " ")
 
 
 def held_out(doc_id: Column) -> Column:

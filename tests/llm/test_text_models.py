@@ -76,6 +76,35 @@ def test_letters_outside_the_vocabulary(n):
     assert np.isfinite(learned).all() and math.isclose(learned.sum(), 1)
 
 
+@pytest.mark.parametrize("held", [1, 700, 2_000_000])
+def test_long_runs_of_letters_are_one_lattice(held, monkeypatch):
+    """Slices of a lattice carry their masses: a run of any length sums all segmentations, and the fit sees it whole."""
+    monkeypatch.setattr(langid, "HELD", held)
+    rng, v = np.random.default_rng(5), langid.vocabulary(None)
+    p = np.vstack([rng.dirichlet(np.ones(v.size), 2).T, np.zeros((1, 2))])
+    for words in (["donaudampfschifffahrtsgesellschaftskapitänsmützenabzeichenfabrikant"], ["the", "the" * 30, "x" * 41]):
+        for word, score in zip(words, langid.word_scores(words, p), strict=True):
+            pieces = {piece: i for i, piece in enumerate(plain_pieces(v))}
+            text, sums = langid.MARK + word, [np.zeros(2)]
+            for end in range(1, len(text) + 1):
+                raw = [v.bytes_from + b for b in text[end - 1].encode()]
+                ways = [sums[end - 1] + np.log(p[raw]).sum(0)] + [sums[start] + np.log(p[pieces[text[start:end]]]) for start in range(max(0, end - v.longest), end) if text[start:end] in pieces]
+                sums.append(np.logaddexp.reduce(ways))
+            assert score == pytest.approx(sums[-1], rel=1e-9)
+    fitted = langid.fit(["the" * 30, "haus", "a" * 200], np.array([2.0, 3.0, 1.0]))
+    assert fitted.sum() == pytest.approx(1) and np.isfinite(fitted).all()
+    assert langid.split_words(pa.array(["Ab" * 50 + " c"])).to_pylist() == [["ab" * 50, "c"]]
+
+
+def plain_pieces(v):
+    """The vocabulary's pieces in the order of their ids, read again from its file."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=langid.vocabulary_path("piece_bpe_32k.model"))
+    plain = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i))]
+    return sorted({x for x in plain if (body := x.removeprefix(langid.MARK)).isalpha() and body == body.lower() or x == langid.MARK})
+
+
 def test_strange_rows_change_no_other_row(spark):
     strange = "ሰ" * 45
     docs = taught(spark, [(None, strange), (None, "\U000103a0" * 10_000), (None, strange + " the fox")])
