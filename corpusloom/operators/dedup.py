@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -78,9 +80,10 @@ def first_forbidden(df: DataFrame, key: str, forbidden: DataFrame, forbidden_key
     return found.groupBy(key).agg(F.min_by(F.struct("document", "exact", "similarity"), "document").alias("f")).select(key, "f.*")
 
 
-def corpus_policy(df: DataFrame, key: str, objective: str, forbidden: DataFrame, forbidden_key: str, threshold: float = THRESHOLD) -> DataFrame:
+def corpus_policy(df: DataFrame, key: str, objective: str, forbidden: DataFrame, forbidden_key: str, threshold: float = THRESHOLD, unverified: Sequence[str] = ("sft",)) -> DataFrame:
     """The columns of ``df`` but for its text, and ``reasons`` (sorted) and ``status``: duplicates against all earlier rows of the
-    objective, and held-out text. Texts are read twice, for their digests and their shingles."""
+    objective, and held-out text. A row without reasons is ``eligible``, or ``verification_required`` where its objective is one of
+    ``unverified``. Texts are read twice, for their digests and their shingles."""
     hashed = Workspace(df.sparkSession, "policy").table(hashed_texts(spread(df)).drop("text"), "hashed")
     marked = exact_and_normalized(hashed, key, objective)
     sets = shingle_sets(df, key)
@@ -95,7 +98,8 @@ def corpus_policy(df: DataFrame, key: str, objective: str, forbidden: DataFrame,
             F.when(F.col("exact"), F.concat(F.lit("HOLDOUT_EXACT_MATCH:"), F.col("document"))).when(F.col("document").isNotNull(), F.concat(F.lit("HOLDOUT_NEAR_MATCH:"), F.col("document"), F.format_string(":%.6f", "held_similarity"))),
         )
     )
-    status = F.when(F.size("reasons") > 0, F.lit("rejected")).otherwise(F.lit("eligible"))
+    asked = F.coalesce(F.col(objective).isin(*unverified), F.lit(False)) if unverified else F.lit(False)
+    status = F.when(F.size("reasons") > 0, F.lit("rejected")).when(asked, F.lit("verification_required")).otherwise(F.lit("eligible"))
     return joined.withColumn("reasons", F.array_sort(reason)).withColumn("status", status)
 
 

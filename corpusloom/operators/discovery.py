@@ -65,7 +65,7 @@ def source_risks(revision: Column, licence: Column, **flags: Column) -> Column:
 def classify(scored: DataFrame, domain: str, others: Sequence[str], threshold: int) -> DataFrame:
     """The decision on each source, as columns added to ``scored``: the domain wins ties against the other families.
 
-    ``scored`` has ``scores, score, tags, name, risk_flags, signals`` (the matched signals). Added are ``category, source_role,
+    ``scored`` has ``scores, score`` and, as far as known, ``tags, name, risk_flags, signals`` (the matched signals). Added are ``category, source_role,
     benchmark, status, training_policy, objectives, decision_reasons`` (sorted); ``risk_flags`` gain that of a benchmark.
     """
     of = lambda f: F.coalesce(F.try_element_at("scores", F.lit(f)), F.lit(0).cast("long"))
@@ -73,6 +73,8 @@ def classify(scored: DataFrame, domain: str, others: Sequence[str], threshold: i
     known = of(domain) > 0
     for f in others:
         known = known | (of(f) > 0)
+    unknown = {"tags": "array<string>", "name": "string", "risk_flags": "array<string>", "signals": "array<string>"}
+    scored = scored.withColumns({c: F.array().cast(kind) if kind != "string" else F.lit(None).cast(kind) for c, kind in unknown.items() if c not in scored.columns})
     benchmark = is_benchmark(F.col("scores"), F.col("tags"), F.col("name"))
     category = F.when((F.col("score") < threshold) | ~known, "irrelevant_or_ambiguous").when(of(domain) >= strongest, "main_domain").when(of("trace") > 0, "agent_trace").otherwise("cross_domain")
     judged = scored.withColumn("benchmark", benchmark).withColumn("category", category)

@@ -278,3 +278,10 @@ def test_readiness_gate_and_sources(spark):
     assert got["kernelbench-traces"].training_policy == "forbidden" and got["kernelbench-traces"].objectives == ["dapt_candidate", "repair_candidate"] and got["kernelbench-traces"].risk_flags == ["BENCHMARK_CONTAMINATION", "R"]
     assert (got["b"].category, got["b"].source_role, got["b"].status) == ("agent_trace", "benchmark_or_evaluation", "candidate") and got["kernelbench-traces"].decision_reasons == ["s1", "s2"]
     assert got["c"].objectives == ["dapt_candidate"] and got["c"].training_policy == "discovery_only" and (got["d"].status, got["d"].objectives, got["d"].risk_flags) == ("rejected", [], ["R"])
+
+
+def test_rows_that_need_verification(spark):
+    df = spark.createDataFrame([(1, "sft", "some words that stand alone here"), (2, "dapt", "other words that nobody has written"), (3, "sft", "some words that stand alone here")], "doc_id int, lang string, text string")
+    held = spark.createDataFrame([(9, "nothing of the kind")], "item_id int, text string")
+    got = {r.doc_id: (r.status, r.reasons) for r in dedup.corpus_policy(df, "doc_id", "lang", held, "item_id").collect()}
+    assert got[1] == ("verification_required", []) and got[2] == ("eligible", []) and got[3][0] == "rejected" and got[3][1][0] == "EXACT_DUPLICATE:1"
