@@ -44,9 +44,9 @@ def model_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.model_summary(cells).withColumns({m: shown(m) for m in ("failure_stages", "failure_families")})
 
 
-@query(f"""WITH {_CELLS} SELECT model_id, row_number() OVER (PARTITION BY model_id ORDER BY speedup) AS rank, round(speedup, 9) AS speedup FROM cells WHERE reward = 1 AND speedup IS NOT NULL""")
+@query(f"""WITH {_CELLS} SELECT model_id, row_number() OVER (PARTITION BY model_id ORDER BY speedup) AS rank, speedup FROM cells WHERE reward = 1 AND speedup IS NOT NULL""")
 def verified_speedups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.verified_speedups(_cells(spark, sf_dir)).withColumn("speedup", F.round("speedup", 9))
+    return ev.verified_speedups(_cells(spark, sf_dir))
 
 
 @query(f"""
