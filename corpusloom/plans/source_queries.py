@@ -18,6 +18,8 @@ from corpusloom.streaming import enrich
 #: Rows in a file, by ranges of their ids, so that no file grows with the table: of lines, which many tasks read at once, of
 #: whole texts and archives, and of an array, which is one value to whoever reads it.
 LINE_ROWS, FILE_ROWS, ARRAY_ROWS = 20000, 1000, 100
+#: Files in a stream's batch: each batch commits the state of all its partitions once.
+STREAM_FILES = 500
 
 DOCUMENT = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -192,15 +194,16 @@ def released_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{path}/rows").groupBy("artifact").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("n_chars").alias("n_chars"))
 
 
-@query("SELECT doc_id, md5(lower(text)) AS digest, n_chars FROM documents")
+@query("SELECT doc_id, md5(lower(text)) AS digest, n_chars, CASE WHEN n_chars > 2000 THEN 'long' ELSE 'short' END AS size FROM documents")
 def enriched_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents arrive twice; each is enriched once, over two runs of the stream."""
     work = Workspace(spark, "enriched")
     docs = _documents(spark, sf_dir).select("doc_id", "text", "n_chars")
-    step = lambda rows: rows.select("doc_id", F.md5(F.lower("text")).alias("digest"), "n_chars")
+    digests = lambda rows: rows.select("doc_id", F.md5(F.lower("text")).alias("digest"), "n_chars")
+    step = lambda rows: rows.withColumn("size", F.when(F.col("n_chars") > 2000, F.lit("long")).otherwise(F.lit("short")))
     for _ in range(2):
         docs.write.mode("append").parquet(work.path("in"))
-        enrich.enrich(spark, work.path("in"), docs.schema, work.path("out"), work.path("checkpoint"), "doc_id", step).awaitTermination()
+        enrich.enrich(spark, work.path("in"), docs.schema, work.path("out"), work.path("checkpoint"), "doc_id", step, STREAM_FILES, digests).awaitTermination()
     return spark.read.parquet(work.path("out"))
 
 
@@ -213,7 +216,7 @@ def first_documents_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k in range(2):
         if k:
             docs.withColumn("n", F.lit(0).cast("long")).write.mode("append").parquet(work.path("in"))
-        enrich.register_first(spark, work.path("in"), least.schema, work.path("out"), work.path("checkpoint"), "source", "doc_id").awaitTermination()
+        enrich.register_first(spark, work.path("in"), least.schema, work.path("out"), work.path("checkpoint"), "source", "doc_id", STREAM_FILES).awaitTermination()
     return spark.read.parquet(work.path("out"))
 
 

@@ -54,14 +54,15 @@ def _started(spark: SparkSession, writer) -> StreamingQuery:
             spark.conf.set(STATE_STORE, before)
 
 
-def enrich(spark: SparkSession, source: str, schema: T.StructType | str, sink: str, checkpoint: str, key: str, step: Callable[[DataFrame], DataFrame], files_per_batch: int = 25) -> StreamingQuery:
+def enrich(spark: SparkSession, source: str, schema: T.StructType | str, sink: str, checkpoint: str, key: str, step: Callable[[DataFrame], DataFrame], files_per_batch: int = 25, prepare: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
     """Runs ``step`` over the rows of new files whose ``key`` no earlier row had, until no file is left.
 
-    ``step`` is a projection or filter, as any stream takes. The keys seen are state in the checkpoint and the sink keeps a
+    ``step`` is a projection or filter, as any stream takes. ``prepare``, a cheap projection that keeps the key, runs
+    on all rows before keys are looked up, so that wide columns that ``step`` needs only a part of aren't shuffled. The keys seen are state in the checkpoint and the sink keeps a
     log of its files, so a batch that runs again after a failure appends nothing twice, and no batch reads the sink.
     """
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
-    fresh = step(rows.dropDuplicates([key]))
+    fresh = step((prepare(rows) if prepare else rows).dropDuplicates([key]))
     return _started(spark, fresh.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True))
 
 
