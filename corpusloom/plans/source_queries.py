@@ -167,7 +167,7 @@ def _labelled(docs: DataFrame) -> DataFrame:
 def written_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three artifacts in one pass, read back by the files that the manifest lists."""
     path = Workspace(spark, "artifacts").path("out")
-    artifacts.write_artifacts(_labelled(_documents(spark, sf_dir)), path, "overwrite")
+    artifacts.write_artifacts(_labelled(_documents(spark, sf_dir)), path, "overwrite", compression="gzip")
     parts = [artifacts.read_artifact(spark, path, name, DOCUMENT).select(F.lit(name).alias("artifact"), "doc_id", "text", "lang", "source", "n_chars") for name in _ARTIFACTS]
     return parts[0].union(parts[1]).union(parts[2])
 
@@ -179,7 +179,7 @@ def appended_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two steps append to one log; its manifests are the rows."""
     path, docs = Workspace(spark, "log").path("out"), _labelled(_documents(spark, sf_dir))
     for step in ("first", "second"):
-        artifacts.write_artifacts(docs, path, note=step)
+        artifacts.write_artifacts(docs, path, note=step, compression="gzip")
     log = spark.read.schema("version long, rows map<string,long>").json(f"{path}/{artifacts.LOG}")
     return log.select("version", F.explode("rows").alias("artifact", "n_rows"))
 

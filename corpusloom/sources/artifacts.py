@@ -30,7 +30,8 @@ class Artifacts(DataSource):
     A row goes into each artifact that it names, as a line of JSON with its other columns in the order of their names; nulls are
     kept. Tasks write files that nobody looks for. The commit adds one manifest to the log, by rename; only files that a
     manifest lists are part of an artifact, so a task that is killed, run twice or belongs to a failed job leaves nothing
-    visible. ``append`` keeps earlier manifests, ``overwrite`` makes readers begin at the new one. Option ``note`` is written into the manifest.
+    visible. ``append`` keeps earlier manifests, ``overwrite`` makes readers begin at the new one. Options: ``note`` is written into the manifest,
+    ``compression`` is ``none`` or ``gzip`` (a file, which is a task's part of an artifact, is then read by one task).
     """
 
     @classmethod
@@ -46,6 +47,9 @@ class ArtifactWriter(DataSourceArrowWriter):
         if "artifact" not in schema.names:
             raise ValueError("rows need a column named artifact")
         self.path, self.note, self.overwrite = options["path"], options.get("note"), overwrite
+        self.compression = options.get("compression", "none")
+        if self.compression not in ("none", "gzip"):
+            raise ValueError("compression is none or gzip")
         self.names = sorted(x for x in schema.names if x != "artifact")
         self.job = uuid.uuid4().hex
 
@@ -62,8 +66,9 @@ class ArtifactWriter(DataSourceArrowWriter):
                         if name not in open_files:
                             folder = f"{base}/{DATA}/{name}"
                             files.create_dir(folder, recursive=True)
-                            at = f"{folder}/{self.job}-{attempt}.jsonl"
-                            open_files[name], counts[name], sizes[name] = (at, files.open_output_stream(at)), 0, 0
+                            at = f"{folder}/{self.job}-{attempt}.jsonl" + (".gz" if self.compression == "gzip" else "")
+                            stream = files.open_output_stream(at, compression="gzip" if self.compression == "gzip" else None)
+                            open_files[name], counts[name], sizes[name] = (at, stream), 0, 0
                         raw = line.encode() + b"\n"
                         open_files[name][1].write(raw)
                         counts[name] += 1
@@ -119,10 +124,10 @@ def manifests(path: str) -> list[dict]:
     return log[last:]
 
 
-def write_artifacts(rows: DataFrame, path: str, mode: str = "append", note: str | None = None) -> dict:
-    """Writes ``rows`` by their column ``artifact`` in one pass; gives the manifest."""
+def write_artifacts(rows: DataFrame, path: str, mode: str = "append", note: str | None = None, compression: str = "none") -> dict:
+    """Writes ``rows`` by their column ``artifact`` in one pass; gives the manifest. Sizes in it are those of the lines, uncompressed."""
     rows.sparkSession.dataSource.register(Artifacts)
-    options = {"path": path} | ({"note": note} if note is not None else {})
+    options = {"path": path, "compression": compression} | ({"note": note} if note is not None else {})
     rows.write.format("artifacts").mode(mode).options(**options).save()
     return manifests(path)[-1]
 
