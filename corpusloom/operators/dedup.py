@@ -55,7 +55,7 @@ def nearest_earlier(df: DataFrame, key: str, objective: str, threshold: float =
     """
     sets = sets or shingle_sets(df, key, text)
     work = Workspace(df.sparkSession, "nearest")
-    rows = work.table(sets.rows.where("n > 0").join(df.select(key, F.col(objective).alias("grp")), key), "rows")
+    rows = work.table(sets.rows.where("some").join(df.select(key, F.col(objective).alias("grp")), key), "rows")
     firsts = work.table(rows.groupBy("cls", "grp").agg(F.min(key).alias("first")), "firsts")
     best = earlier_classes(sets, firsts.where("grp is not null"), threshold)
     mate = best.withColumnRenamed("first", "near")

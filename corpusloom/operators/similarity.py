@@ -25,6 +25,8 @@ from corpusloom.staging import Workspace, spread
 SHINGLE, THRESHOLD = 5, 0.8
 #: Classes of a block, at most, and shared shingles: long texts make smaller blocks.
 BLOCK_CLASSES, BLOCK_SHINGLES = 2048, 2_000_000
+#: Shingles of a bucket or of a part, those that a task deals out at once, and so few of one side that they sift the other's.
+BUCKET_SHINGLES, DEALT_SHINGLES, FEW_SHINGLES = 4_000_000, 2_000_000, 250_000
 #: Columns of a product, entries of it from which pairs aren't listed one by one, and pairs that are handled together.
 _COLUMNS, _DENSE, _PAIRS = 2048, 0.25, 1 << 20
 
@@ -45,32 +47,120 @@ def shingles(sequence: Column, k: int = SHINGLE) -> Column:
 
 @dataclass(frozen=True)
 class ShingleSets:
-    """``rows``: ``key, cls, n``; ``classes``: ``cid, cls, n, shingles``, one for all rows of equal token sequences; ``cid`` is a number
-    that stands for ``cls`` where a class has many rows."""
+    """``rows``: ``key, cls, some``, whether it has shingles; ``classes``: ``cid, cls, n, shingles``, one for all rows of equal token
+    sequences; ``cid`` is a number that stands for ``cls`` where a class has many rows."""
 
     rows: DataFrame
     classes: DataFrame
 
 
 def shingle_sets(df: DataFrame, key: str, text: str = "text") -> ShingleSets:
-    """The shingles of each text, staged once: ``cls`` tells equal token sequences apart from others. A null text has none."""
+    """The shingles of each text, staged once: ``cls`` tells equal token sequences apart from others. A null text has none.
+
+    Texts meet by class and are cut into shingles then, as these are several times longer: so texts are read twice.
+    """
     work = Workspace(df.sparkSession, "shingles")
-    seq = spread(df.select(key, text)).select(key, tokens(F.coalesce(F.col(text), F.lit(""))).alias("seq"))
-    made = seq.select(key, F.sha2(F.array_join("seq", "\x01"), 256).alias("cls"), shingles(F.col("seq")).alias("shingles"))
-    sets = work.table(made.select(key, "cls", F.size("shingles").cast("long").alias("n"), "shingles"), "sets")
-    return ShingleSets(sets.select(key, "cls", "n"), work.table(sets.select("cls", "n", "shingles").dropDuplicates(["cls"]).withColumn("cid", F.monotonically_increasing_id()), "classes"))
+    whole = spread(df.select(key, F.coalesce(F.col(text), F.lit("")).alias("text")))
+    seq = tokens(F.col("text"))
+    named = whole.select(key, "text", F.element_at(F.transform(F.array(seq), lambda s: F.struct(F.sha2(F.array_join(s, "\x01"), 256).alias("cls"), (F.size(s) > 0).alias("some"))), 1).alias("of"))
+    rows = work.table(named.select(key, "of.*"), "rows")
+    sets = named.select("of.cls", "text").dropDuplicates(["cls"]).select("cls", shingles(seq).alias("shingles"))
+    made = sets.select("cls", F.size("shingles").cast("long").alias("n"), "shingles").withColumn("cid", F.monotonically_increasing_id())
+    return ShingleSets(rows, work.table(made, "classes"))
+
 
+def _lists(ends: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
 
-def _shared(flat: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """``cls, n, codes, prefix`` of the shared shingles ``cid, n, shingle, count``: rarest first, and how many of them to look up.
 
-    Two classes of the threshold have one of their first n - ceil(t n) + 1 shingles in common. Those that no other class
-    holds come first of all and can't be shared, so they only take up places; classes that are left without any drop out.
+def _dealt(classes: DataFrame, buckets: int, right: bool) -> DataFrame:
+    """``bucket, right, cids, ns, held, codes``: a list for each bucket of the shingles of many classes, with the number of each class."""
+
+    def lists(table: pa.Table) -> pa.RecordBatch:
+        sets = table["shingles"].combine_chunks()
+        held, codes = np.diff(sets.offsets.to_numpy()), sets.flatten().to_numpy()
+        row = np.repeat(np.arange(len(held)), held)
+        bucket = _bucket(codes, buckets)
+        order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
+        codes, row, bucket = codes[order], row[order], bucket[order]
+        starts = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (row[1:] != row[:-1])]) if len(row) else np.zeros(0, np.int64)
+        known = np.unique(bucket)
+        ends = lambda sorted_: np.r_[np.searchsorted(sorted_, known), len(sorted_)]
+        runs, owner = ends(bucket[starts]), row[starts]
+        columns = [pa.array(known, pa.int32()), pa.array(np.full(len(known), right)), _lists(runs, table["cid"].to_numpy()[owner]), _lists(runs, table["n"].to_numpy()[owner].astype(np.int32)), _lists(runs, np.diff(np.r_[starts, len(row)]).astype(np.int32)), _lists(ends(bucket), codes)]
+        return pa.RecordBatch.from_arrays(columns, names=["bucket", "right", "cids", "ns", "held", "codes"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, total = [], 0
+        for batch in batches:
+            kept, total = [*kept, batch], total + pc.sum(batch["n"]).as_py() if batch.num_rows else total
+            if total >= DEALT_SHINGLES:
+                yield lists(pa.Table.from_batches(kept))
+                kept, total = [], 0
+        if total:
+            yield lists(pa.Table.from_batches(kept))
+
+    return classes.select("cid", "n", "shingles").mapInArrow(deal, "bucket int, right boolean, cids array<bigint>, ns array<int>, held array<int>, codes array<bigint>")
+
+
+def _bucket(codes: np.ndarray, buckets: int) -> np.ndarray:
+    """Ranges of a multiplied hash, as many as there are buckets."""
+    mixed = (codes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
+    return ((mixed * np.uint64(buckets)) >> np.uint64(24)).astype(np.int64)
+
+
+def _nodes(left: DataFrame, right: DataFrame | None, threshold: float) -> DataFrame:
+    """``right, cid, n, codes, prefix`` of the shared shingles: rarest first, and how many of them to look up.
+
+    Two classes of the threshold have one of their first n - ceil(t n) + 1 shingles in common. Those that no other class (of
+    two sides: none of the other side) holds come first of all and can't be shared, so they only take up places; classes that
+    are left without any drop out. Shingles travel in lists: all of a bucket meet, which counts them, and those that are shared
+    go on to their classes. A list takes little more than its shingles, where a row each takes five times as much.
     """
+    own, sides = right is None, (left,) if right is None else (left, right)
+    total = sum(x.agg(F.sum("n")).first()[0] or 0 for x in sides)
+    buckets = parts = max(int(total // BUCKET_SHINGLES) + 1, min(32, int(total // 10_000) + 1))
+
+    def count(table: pa.Table) -> pa.Table:
+        flat = lambda name: table[name].combine_chunks().flatten().to_numpy()
+        codes, held, side = flat("codes"), flat("held"), np.repeat(table["right"].to_numpy(), pc.list_value_length(table["cids"]).to_numpy())
+        order = np.argsort(codes, kind="stable")
+        codes, run = codes[order], np.repeat(np.arange(len(held)), held)[order]
+        starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+        times = np.diff(np.r_[starts, len(codes)])
+        theirs = np.add.reduceat(side[run].astype(np.int64), starts)
+        kept = np.repeat(times > 1 if own else (theirs > 0) & (theirs < times), times)
+        codes, run, times = codes[kept], run[kept], np.repeat(times, times)[kept].astype(np.int32)
+        cid, side = flat("cids")[run], side[run]
+        part = 2 * _bucket(cid, parts) + side
+        order = np.argsort(part, kind="stable")
+        order = order[np.lexsort((run[order], part[order]))]
+        known = np.unique(part)
+        ends = np.r_[np.searchsorted(part[order], known), len(part)]
+        columns = [pa.array(known, pa.int32()), *[_lists(ends, x[order]) for x in (cid, flat("ns")[run], times, codes)]]
+        return pa.table(columns, names=["part", "cids", "ns", "times", "codes"])
+
+    def ordered(table: pa.Table) -> pa.Table:
+        cid, n, times, codes = (table[name].combine_chunks().flatten().to_numpy() for name in ("cids", "ns", "times", "codes"))
+        order = np.lexsort((codes, times, cid))
+        cid, n, codes = cid[order], n[order], codes[order]
+        starts = np.flatnonzero(np.r_[True, cid[1:] != cid[:-1]])
+        held = np.diff(np.r_[starts, len(cid)])
+        prefix = held - np.ceil(n[starts] * threshold - 1e-9).astype(np.int64) + 1
+        kept = prefix > 0
+        columns = [pa.array(np.full(kept.sum(), table["part"][0].as_py() % 2 == 1)), pa.array(cid[starts][kept]), pa.array(n[starts][kept], pa.int64()), _lists(np.r_[0, np.cumsum(held[kept])], codes[np.repeat(kept, held)]), pa.array(prefix[kept], pa.int32())]
+        return pa.table(columns, names=["right", "cid", "n", "codes", "prefix"])
+
+    dealt = _dealt(left, buckets, False) if own else _dealt(left, buckets, False).union(_dealt(right, buckets, True))
+    shared = dealt.groupBy("bucket").applyInArrow(count, "part int, cids array<bigint>, ns array<int>, times array<int>, codes array<bigint>")
+    return shared.groupBy("part").applyInArrow(ordered, "right boolean, cid bigint, n bigint, codes array<bigint>, prefix int")
+
+
+def _shared(flat: DataFrame, threshold: float) -> DataFrame:
+    """``cid, n, codes, prefix`` as in :func:`_nodes`, of rows ``cid, n, shingle, count`` that are few."""
     ordered = flat.groupBy("cid", "n").agg(F.array_sort(F.collect_list(F.struct("count", "shingle"))).alias("o"))
     prefix = F.size("codes") - F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9)) + 1
-    found = ordered.select("cid", "n", F.transform("o", lambda x: x["shingle"]).alias("codes")).withColumn("prefix", prefix.cast("int")).where("prefix > 0")
-    return found.join(classes.select("cid", "cls"), "cid").drop("cid")
+    return ordered.select("cid", "n", F.transform("o", lambda x: x["shingle"]).alias("codes")).withColumn("prefix", prefix.cast("int")).where("prefix > 0")
 
 
 def _weight() -> Column:
@@ -79,37 +169,44 @@ def _weight() -> Column:
 
 
 def _placed(work: Workspace, nodes: DataFrame, side: str) -> DataFrame:
-    """``node, cls, grp, first, block``, staged: blocks of a group's nodes that have the same least prefix shingle, or nearly so."""
+    """``node, cid, grp, first, block``, staged: blocks of a group's nodes that have the same least prefix shingle, or nearly so."""
     local = F.array_min(F.transform(F.slice("codes", F.lit(1), F.col("prefix")), lambda s: F.xxhash64(s)))
-    slim = nodes.select("cls", "grp", "first", local.alias("local"), _weight().alias("weight"))
-    ranged = work.table(slim.repartitionByRange("grp", "local", "cls").withColumn("part", F.spark_partition_id()), f"ranged_{side}")
-    running = F.sum("weight").over(Window.partitionBy("part").orderBy("grp", "local", "cls").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    slim = nodes.select("cid", "grp", "first", local.alias("local"), _weight().alias("weight"))
+    ranged = work.table(slim.repartitionByRange("grp", "local", "cid").withColumn("part", F.spark_partition_id()), f"ranged_{side}")
+    running = F.sum("weight").over(Window.partitionBy("part").orderBy("grp", "local", "cid").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     block = F.col("part").cast("long") * F.lit(1 << 32) + F.floor(running).cast("long")
-    return work.table(ranged.select("cls", "grp", "first", block.alias("block")), f"placed_{side}")
+    return work.table(ranged.select("cid", "grp", "first", block.alias("block")), f"placed_{side}")
 
 
 def _posts(placed: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``grp, shingle, block, cls`` for each prefix shingle."""
-    looked_up = nodes.select("cls", F.explode(F.slice("codes", F.lit(1), F.col("prefix"))).alias("shingle")).distinct()
-    return placed.select("cls", "grp", "block").join(looked_up, "cls").select("grp", "shingle", "block", "cls")
+    """``grp, shingle, block, cid, n, rest`` for each prefix shingle; ``rest`` counts the class's shared shingles from it on."""
+    heads = nodes.select("cid", "grp", "n", F.size("codes").alias("held"), F.slice("codes", F.lit(1), F.col("prefix")).alias("head"))
+    looked_up = placed.select("cid", "grp", "block").join(heads, ["cid", "grp"])
+    return looked_up.select("grp", "block", "cid", "n", "held", F.posexplode("head").alias("at", "shingle")).select("grp", "shingle", "block", "cid", "n", (F.col("held") - F.col("at")).alias("rest"))
 
 
-def _meetings(posts: DataFrame, others: DataFrame, own: bool, right: bool = False) -> DataFrame:
-    """``grp, lo, hi, cls, right``: the pairs of blocks in which a class shares a prefix shingle with one of the other side."""
-    heads = others.groupBy("grp", "shingle", F.col("block").alias("other")).agg(F.count(F.lit(1)).alias("held"))
-    met = posts.join(heads, ["grp", "shingle"])
+def _meetings(posts: DataFrame, others: DataFrame, threshold: float, own: bool, right: bool = False) -> DataFrame:
+    """``grp, lo, hi, cid, right``: the pairs of blocks in which a class shares a prefix shingle with one of the other side.
+
+    Blocks are met only if their classes of that shingle reach the size and the number of common shingles that the threshold asks for.
+    """
+    heads = others.groupBy("grp", "shingle", F.col("block").alias("other")).agg(F.count(F.lit(1)).alias("held"), F.min("n").alias("_least"), F.max("n").alias("_most"), F.max("rest").alias("_rest"))
+    t, n = F.lit(threshold), F.col("n")
+    sized = (n * t <= F.col("_most") + 1e-9) & (F.col("_least") * t <= n + 1e-9)
+    reached = F.least("rest", "_rest") >= F.lit(threshold / (1 + threshold)) * (n + F.greatest(F.col("_least").cast("double"), n * t)) - 1e-6
+    met = posts.join(heads, ["grp", "shingle"]).where(sized & reached)
     if own:
         met = met.where("block <> other or held > 1")
-        return met.select("grp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "cls", (F.col("block") > F.col("other")).alias("right")).distinct()
+        return met.select("grp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "cid", (F.col("block") > F.col("other")).alias("right")).distinct()
     lo, hi = ("other", "block") if right else ("block", "other")
-    return met.select("grp", F.col(lo).alias("lo"), F.col(hi).alias("hi"), "cls", F.lit(right).alias("right")).distinct()
+    return met.select("grp", F.col(lo).alias("lo"), F.col(hi).alias("hi"), "cid", F.lit(right).alias("right")).distinct()
 
 
 @dataclass
 class _Side:
     """The classes of one block: their names, keys and sizes; ``codes`` of all of them, whose ``row`` and place ``at`` stand beside."""
 
-    cls: np.ndarray
+    cid: np.ndarray
     first: pa.Array
     n: np.ndarray
     codes: np.ndarray
@@ -124,7 +221,7 @@ class _Side:
         held = np.diff(codes.offsets.to_numpy())
         row = np.repeat(np.arange(len(held)), held)
         at = np.arange(len(row)) - np.repeat(np.cumsum(held) - held, held)
-        return cls(table["cls"].to_numpy(), table["first"].combine_chunks(), table["n"].to_numpy(), codes.flatten().to_numpy(), row, at, held, table["prefix"].to_numpy())
+        return cls(table["cid"].to_numpy(), table["first"].combine_chunks(), table["n"].to_numpy(), codes.flatten().to_numpy(), row, at, held, table["prefix"].to_numpy())
 
 
 def _candidates(a: _Side, b: _Side, own: bool, threshold: float) -> tuple[np.ndarray, np.ndarray] | None:
@@ -213,16 +310,16 @@ def _best(node: np.ndarray, order: tuple[np.ndarray, ...]) -> np.ndarray:
 
 
 def _compared(work: Workspace, left: DataFrame, right: DataFrame | None, threshold: float, want: str, kind: str) -> DataFrame:
-    """Compares the nodes ``cls, n, codes, prefix, grp, first`` of two sides, or of one with itself, group by group.
+    """Compares the nodes ``cid, n, codes, prefix, grp, first`` of two sides, or of one with itself, group by group.
 
-    ``want`` is ``links`` (``a, b, similarity`` of all pairs), ``earlier`` (``cls, grp, first, similarity``: for each node its most
+    ``want`` is ``links`` (``a, b, similarity`` of all pairs), ``earlier`` (``cid, grp, first, similarity``: for each node its most
     similar one with a lesser ``first``, the least of equals) or ``least`` (for each node of the left the similar one of the
     right with the least ``first``); of the latter two a row for each pair of blocks in which there is one. ``kind`` is the
     type of ``first``.
     """
     own = right is None
     nodes = {"l": work.table(left, "nodes_l")} | ({} if own else {"r": work.table(right, "nodes_r")})
-    carried = ("grp", "lo", "hi", "right", "cls", "n", "codes", "prefix", "first")
+    carried = ("grp", "lo", "hi", "right", "cid", "n", "codes", "prefix", "first")
     if all((x.agg(F.sum(_weight())).first()[0] or 0) <= 1 for x in nodes.values()):
         # a block a side holds all there is
         alone = lambda k: nodes[k].withColumns({"lo": F.lit(0).cast("long"), "hi": F.lit(0 if own else 1).cast("long"), "right": F.lit(k == "r")}).select(*carried)
@@ -230,26 +327,26 @@ def _compared(work: Workspace, left: DataFrame, right: DataFrame | None, thresho
     else:
         placed = {k: _placed(work, x, k) for k, x in nodes.items()}
         posts = {k: work.table(_posts(placed[k], x), f"posts_{k}") for k, x in nodes.items()}
-        carry = lambda met, k: met.join(nodes[k].drop("first", "grp").dropDuplicates(["cls"]), "cls").join(placed[k].drop("block"), ["cls", "grp"])
+        carry = lambda met, k: met.join(nodes[k], ["cid", "grp"])
         if own:
-            shipped = carry(_meetings(posts["l"], posts["l"], True), "l")
+            shipped = carry(_meetings(posts["l"], posts["l"], threshold, True), "l")
         else:
-            shipped = carry(_meetings(posts["l"], posts["r"], False), "l").unionByName(carry(_meetings(posts["r"], posts["l"], False, True), "r"))
+            shipped = carry(_meetings(posts["l"], posts["r"], threshold, False), "l").unionByName(carry(_meetings(posts["r"], posts["l"], threshold, False, True), "r"))
     group_type = dict(left.dtypes)["grp"]
-    schema = "a string, b string, similarity double" if want == "links" else f"cls string, grp {group_type}, first {kind}, similarity double"
+    schema = "a bigint, b bigint, similarity double" if want == "links" else f"cid bigint, grp {group_type}, first {kind}, similarity double"
 
     def compare(table: pa.Table) -> pa.Table:
         within = own and table["lo"][0] == table["hi"][0]
-        table = table.sort_by("cls")
+        table = table.sort_by("cid")
         mask = table["right"].combine_chunks()
         a = _Side.of(table if within else table.filter(pc.invert(mask)))
         b = a if within else _Side.of(table.filter(mask))
         out: list[tuple] = []
         if want == "links":
             for i, j, s in _links(a, b, within, threshold):
-                out.append((np.minimum(a.cls[i], b.cls[j]), np.maximum(a.cls[i], b.cls[j]), s) if own else (a.cls[i], b.cls[j], s))
+                out.append((np.minimum(a.cid[i], b.cid[j]), np.maximum(a.cid[i], b.cid[j]), s) if own else (a.cid[i], b.cid[j], s))
             columns = [np.concatenate([x[k] for x in out]) if out else np.zeros(0) for k in range(3)]
-            return pa.table([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.float64())], names=["a", "b", "similarity"])
+            return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["a", "b", "similarity"])
         keys = (b.first if want == "least" else pa.concat_arrays([a.first, b.first])).dictionary_encode()
         sort = pc.array_sort_indices(keys.dictionary)
         rank = np.empty(len(sort), np.int64)
@@ -269,10 +366,10 @@ def _compared(work: Workspace, left: DataFrame, right: DataFrame | None, thresho
             out.append((node[kept], other[kept], both[kept]))
         node, other, s = (np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64) for k in range(3))
         kept = _best(node, (other,) if want == "least" else (-s, other))
-        name = a.cls if within or want == "least" else np.r_[a.cls, b.cls]
+        name = a.cid if within or want == "least" else np.r_[a.cid, b.cid]
         firsts = keys.dictionary.take(sort).take(pa.array(other[kept], pa.int64()))
         group = pa.chunked_array([pa.array([table["grp"][0].as_py()] * len(kept), table.schema.field("grp").type)])
-        return pa.table([pa.array(name[node[kept]], pa.string()), group, firsts, pa.array(s[kept], pa.float64())], names=["cls", "grp", "first", "similarity"])
+        return pa.table([pa.array(name[node[kept]], pa.int64()), group, firsts, pa.array(s[kept], pa.float64())], names=["cid", "grp", "first", "similarity"])
 
     return shipped.select(*carried).groupBy("grp", "lo", "hi").applyInArrow(compare, schema)
 
@@ -281,18 +378,15 @@ def _flat(sets: ShingleSets) -> DataFrame:
     return sets.classes.select("cid", "n", F.explode("shingles").alias("shingle"))
 
 
-def _own_nodes(work: Workspace, sets: ShingleSets, threshold: float) -> DataFrame:
-    """Nodes of one side: of the shingles that two classes hold. These are staged, so that the planner knows whether they are few."""
-    order = work.table(_flat(sets).groupBy("shingle").count().where("count > 1"), "order")
-    return _shared(_flat(sets).join(order, "shingle"), sets.classes, threshold)
-
-
 def _two_nodes(work: Workspace, left: ShingleSets, right: ShingleSets, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Nodes of two sides: of the shingles that both hold. The right's shingles sift the left's, which are read once."""
+    """Nodes of two sides: of the shingles that both hold. A right of few shingles sifts the left's, which then need not travel."""
+    if (right.classes.agg(F.sum("n")).first()[0] or 0) > FEW_SHINGLES:
+        both = work.table(_nodes(left.classes, right.classes, threshold), "both")
+        return both.where("not right").drop("right"), both.where("right").drop("right")
     theirs = work.table(_flat(right), "theirs")
-    ours = work.table(_flat(left).join(theirs.select("shingle").distinct(), "shingle"), "ours")
+    ours = work.table(_flat(left).join(F.broadcast(theirs.select("shingle").distinct()), "shingle"), "ours")
     order = work.table(ours.groupBy("shingle").count().withColumnRenamed("count", "l").join(theirs.groupBy("shingle").count(), "shingle").select("shingle", (F.col("l") + F.col("count")).alias("count")), "order")
-    return _shared(ours.join(order, "shingle"), left.classes, threshold), _shared(theirs.join(order, "shingle"), right.classes, threshold)
+    return _shared(ours.join(order, "shingle"), threshold), _shared(theirs.join(order, "shingle"), threshold)
 
 
 def class_links(left: ShingleSets, right: ShingleSets | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -302,9 +396,13 @@ def class_links(left: ShingleSets, right: ShingleSets | None = None, threshold:
     asked for here; :func:`earlier_classes` and :func:`least_classes` make one for each class.
     """
     work = Workspace(left.classes.sparkSession, "links")
-    sides = _two_nodes(work, left, right, threshold) if right else (_own_nodes(work, left, threshold),)
+    sides = _two_nodes(work, left, right, threshold) if right else (_nodes(left.classes, None, threshold).drop("right"),)
     nodes = [x.withColumn("grp", F.lit(0)).withColumn("first", F.lit(0)) for x in sides]
-    return _compared(work, nodes[0], nodes[1] if right else None, threshold, "links", "int")
+    found = _compared(work, nodes[0], nodes[1] if right else None, threshold, "links", "int")
+    name = lambda sets, k: sets.classes.select(F.col("cid").alias(k), F.col("cls").alias(f"_{k}"))
+    named = found.join(name(left, "a"), "a").join(name(right or left, "b"), "b")
+    ends = ("_a", "_b") if right else (F.least("_a", "_b"), F.greatest("_a", "_b"))
+    return named.select(*ends, "similarity").toDF("a", "b", "similarity")
 
 
 def earlier_classes(sets: ShingleSets, firsts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -313,10 +411,11 @@ def earlier_classes(sets: ShingleSets, firsts: DataFrame, threshold: float = THR
     ``firsts`` has ``cls, grp, first``; classes without an earlier one of the threshold have no row.
     """
     work = Workspace(sets.classes.sparkSession, "earlier")
-    nodes = _own_nodes(work, sets, threshold).join(firsts.select("cls", "grp", "first"), "cls")
+    names = sets.classes.select("cid", "cls")
+    nodes = _nodes(sets.classes, None, threshold).drop("right").join(firsts.join(names, "cls").select("cid", "grp", "first"), "cid")
     found = _compared(work, nodes, None, threshold, "earlier", dict(firsts.dtypes)["first"])
     best = F.min_by(F.struct("first", "similarity"), F.struct(-F.col("similarity"), F.col("first"))).alias("best")
-    return found.groupBy("cls", "grp").agg(best).select("cls", "grp", "best.*")
+    return found.groupBy("cid", "grp").agg(best).join(names, "cid").select("cls", "grp", "best.*")
 
 
 def least_classes(left: ShingleSets, right: ShingleSets, firsts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -324,5 +423,7 @@ def least_classes(left: ShingleSets, right: ShingleSets, firsts: DataFrame, thre
     work = Workspace(left.classes.sparkSession, "least")
     (ours, theirs), kind = _two_nodes(work, left, right, threshold), dict(firsts.dtypes)["first"]
     ours = ours.withColumn("grp", F.lit(0)).withColumn("first", F.lit(None).cast(kind))
-    found = _compared(work, ours, theirs.withColumn("grp", F.lit(0)).join(firsts.select("cls", "first"), "cls"), threshold, "least", kind)
-    return found.groupBy("cls").agg(F.min_by(F.struct("first", "similarity"), "first").alias("best")).select("cls", "best.*")
+    numbered = firsts.join(right.classes.select("cid", "cls"), "cls").select("cid", "first")
+    found = _compared(work, ours, theirs.withColumn("grp", F.lit(0)).join(numbered, "cid"), threshold, "least", kind)
+    best = found.groupBy("cid").agg(F.min_by(F.struct("first", "similarity"), "first").alias("best"))
+    return best.join(left.classes.select("cid", "cls"), "cid").select("cls", "best.*")
