@@ -175,8 +175,12 @@ def seed_consistency(cells: DataFrame) -> DataFrame:
 
 
 def timing_evidence(samples: DataFrame, key: str, value: str, minimum: int = 3, largest_cv: float = 0.1) -> DataFrame:
-    """Median and coefficient of variation (population) of each key's samples, and whether they are stable."""
-    cv = F.stddev_pop(value) / F.avg(value)
+    """Median and coefficient of variation (population) of each key's samples, and whether they are stable.
+
+    The last digits of a deviation depend on the order in which samples are added, so it is taken to 13 places: one
+    that is the largest allowed, or halfway between two roundings, is treated as such in any order.
+    """
+    cv = F.round(F.stddev_pop(value) / F.avg(value), 13)
     stable = (F.count(value) >= minimum) & (F.coalesce(cv, F.lit(float("inf"))) <= largest_cv)
     summed = samples.groupBy(key).agg(F.count(value).alias("runs"), F.round(cv, 6).alias("cv"), stable.alias("stable"))
     middle = medians(samples, [key], median=F.col(value)).select(F.col(key).alias("_key"), F.round("median", 6).alias("median"))
