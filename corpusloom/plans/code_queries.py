@@ -54,9 +54,8 @@ def code_inspections(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def code_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All three are null where a text isn't Python; the first and last also where nothing in a source can be changed."""
-    rows = _snippets(spark, sf_dir).withColumn("mutated", code.mutated("source", "doc_id"))
-    similarity = F.when(F.col("mutated").isNotNull(), F.round(code.similarity_ratio("source", "mutated"), 6))
-    return rows.select("doc_id", "kind", "mutated", code.spec_only("source").alias("spec"), similarity.alias("similarity"))
+    rows = _snippets(spark, sf_dir).withColumn("m", code.mutation("source", "doc_id"))
+    return rows.select("doc_id", "kind", "m.mutated", "m.spec", F.round("m.similarity", 6).alias("similarity"))
 
 
 @query()
