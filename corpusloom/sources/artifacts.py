@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import json
 import uuid
 from collections.abc import Iterator
@@ -15,6 +16,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 from corpusloom.sources.archives import filesystem
 
 LOG, DATA = "_log", "data"
+#: gzip's fastest level: texts take an eighth more than at its slowest, in a sixth of the time.
+LEVEL = 1
 
 
 @dataclass
@@ -67,16 +70,20 @@ class ArtifactWriter(DataSourceArrowWriter):
                             folder = f"{base}/{DATA}/{name}"
                             files.create_dir(folder, recursive=True)
                             at = f"{folder}/{self.job}-{attempt}.jsonl" + (".gz" if self.compression == "gzip" else "")
-                            stream = files.open_output_stream(at, compression="gzip" if self.compression == "gzip" else None)
-                            open_files[name], counts[name], sizes[name] = (at, stream), 0, 0
+                            raw_file = files.open_output_stream(at, compression=None)
+                            stream = gzip.GzipFile("", "wb", LEVEL, raw_file, 0) if self.compression == "gzip" else raw_file
+                            open_files[name], counts[name], sizes[name] = (at, stream, raw_file), 0, 0
                         raw = line.encode() + b"\n"
                         open_files[name][1].write(raw)
                         counts[name] += 1
                         sizes[name] += len(raw)
         finally:
-            for _, stream in open_files.values():
-                stream.close()
-        return Written([{"artifact": n, "file": at[len(base) + 1 :], "rows": counts[n], "bytes": sizes[n]} for n, (at, _) in sorted(open_files.items())])
+            for _, stream, raw_file in open_files.values():
+                try:
+                    stream.close()
+                finally:
+                    raw_file.close()
+        return Written([{"artifact": n, "file": at[len(base) + 1 :], "rows": counts[n], "bytes": sizes[n]} for n, (at, *_) in sorted(open_files.items())])
 
     def commit(self, messages: list[Written | None]) -> None:
         """Adds the next manifest; a file of that number is there wholly or not at all."""
