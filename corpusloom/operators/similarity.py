@@ -1,6 +1,7 @@
 """Shingles and exact Jaccard joins: a prefix index proposes pairs of blocks, which are compared inside tasks.
 
-Classes of equal token sequences are joined. Shingles are taken in the order of their frequency; classes that are similar
+Classes of equal token sequences are joined. Most have nothing alike: :func:`_kept` finds those that may have by a part of their
+shingles, in four bytes each, and only they are cut into shingles that are staged and travel. Shingles are taken in the order of their frequency; classes that are similar
 enough share one of their first few. Classes lie in blocks of those that resemble each other, and a class goes to each
 pair of blocks in which it shares such a shingle with another: rows are made per class and pair of blocks, and
 pairs of classes only inside a task's arrays, where filters by length and position come before the comparison. So a cluster
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,8 @@ BLOCK_CLASSES, BLOCK_SHINGLES = 2048, 2_000_000
 BUCKET_SHINGLES, DEALT_SHINGLES, FEW_SHINGLES = 4_000_000, 2_000_000, 250_000
 #: Columns of a product, entries of it from which pairs aren't listed one by one, and pairs that are handled together.
 _COLUMNS, _DENSE, _PAIRS = 2048, 0.25, 1 << 20
+#: Tokens above which classes are sifted, the share of a class's shingles that is looked up besides its prefix, and lists' codes of a bucket.
+SIFTED_TOKENS, EXTRA, BUCKET_CODES = 1_000_000, 0.2, 16_000_000
 
 
 def shingles(sequence: Column, k: int = SHINGLE) -> Column:
@@ -47,26 +51,185 @@ def shingles(sequence: Column, k: int = SHINGLE) -> Column:
 
 @dataclass(frozen=True)
 class ShingleSets:
-    """``rows``: ``key, cls, some``, whether it has shingles; ``classes``: ``cid, cls, n, shingles``, one for all rows of equal token
-    sequences; ``cid`` is a number that stands for ``cls`` where a class has many rows."""
+    """``rows``: ``key, cls, some, size``, whether it has shingles and how many tokens; ``texts``: ``key, text``.
+
+    ``classes``: ``cls, n, shingles, cid``, one for all rows of equal token sequences; ``cid`` is a number that stands for ``cls`` where a
+    class has many rows. They are made when they are asked for, from texts that are read again, as shingles are several times longer.
+    """
 
     rows: DataFrame
-    classes: DataFrame
+    texts: DataFrame
+    key: str
 
+    @cached_property
+    def classes(self) -> DataFrame:
+        return self._cut(self.texts.select(_named("text"), "text").select("of.cls", "text").dropDuplicates(["cls"]))
 
-def shingle_sets(df: DataFrame, key: str, text: str = "text") -> ShingleSets:
-    """The shingles of each text, staged once: ``cls`` tells equal token sequences apart from others. A null text has none.
+    @cached_property
+    def tokens(self) -> int:
+        return self.rows.agg(F.sum("size")).first()[0] or 0
 
-    Texts meet by class and are cut into shingles then, as these are several times longer: so texts are read twice.
-    """
+    def some(self, ids: DataFrame) -> DataFrame:
+        """Of ``classes`` those of the given ``id``: the texts of their first rows are looked up."""
+        work = Workspace(self.rows.sparkSession, "some")
+        chosen = self.rows.select(self.key, "cls", _id().alias("id")).join(ids, "id", "left_semi").groupBy("cls").agg(F.min(self.key).alias(self.key))
+        return self._cut(self.texts.join(work.table(chosen, "chosen"), self.key).select("cls", "text"))
+
+    def _cut(self, texts: DataFrame) -> DataFrame:
+        cut = texts.select("cls", shingles(tokens(F.col("text"))).alias("shingles"))
+        made = cut.select("cls", F.size("shingles").cast("long").alias("n"), "shingles").withColumn("cid", F.monotonically_increasing_id())
+        return Workspace(self.rows.sparkSession, "classes").table(made, "classes")
+
+
+def _named(text: str) -> Column:
+    of = lambda s: F.struct(F.sha2(F.array_join(s, "\x01"), 256).alias("cls"), (F.size(s) > 0).alias("some"), F.size(s).alias("size"))
+    return F.element_at(F.transform(F.array(tokens(F.col(text))), of), 1).alias("of")
+
+
+def _id() -> Column:
+    """A number for a class, while it is only asked which classes go on."""
+    return F.xxhash64("cls")
+
+
+def shingle_sets(df: DataFrame, key: str, text: str = "text") -> ShingleSets:
+    """The classes and shingles of each text: ``cls`` tells equal token sequences apart from others. A null text has none."""
     work = Workspace(df.sparkSession, "shingles")
-    whole = spread(df.select(key, F.coalesce(F.col(text), F.lit("")).alias("text")))
+    whole = df.select(key, F.coalesce(F.col(text), F.lit("")).alias("text"))
+    dealt = spread(whole)
+    texts = whole if dealt is whole else work.table(dealt, "texts")
+    return ShingleSets(work.table(texts.select(key, _named("text")).select(key, "of.*"), "rows"), texts, key)
+
+
+def _hashes(sets: ShingleSets, right: bool = False) -> DataFrame:
+    """``id, right, hashes`` of the tokens of each row."""
     seq = tokens(F.col("text"))
-    named = whole.select(key, "text", F.element_at(F.transform(F.array(seq), lambda s: F.struct(F.sha2(F.array_join(s, "\x01"), 256).alias("cls"), (F.size(s) > 0).alias("some"))), 1).alias("of"))
-    rows = work.table(named.select(key, "of.*"), "rows")
-    sets = named.select("of.cls", "text").dropDuplicates(["cls"]).select("cls", shingles(seq).alias("shingles"))
-    made = sets.select("cls", F.size("shingles").cast("long").alias("n"), "shingles").withColumn("cid", F.monotonically_increasing_id())
-    return ShingleSets(rows, work.table(made, "classes"))
+    of = F.element_at(F.transform(F.array(seq), lambda s: F.struct(F.xxhash64(F.sha2(F.array_join(s, "\x01"), 256)).alias("id"), F.lit(right).alias("right"), F.transform(s, lambda w: F.xxhash64(w)).alias("hashes"))), 1)
+    return sets.texts.select(of.alias("of")).select("of.*")
+
+
+def _windows(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of the lists ``hashes``, and the distinct codes of their shingles, sorted by row and code; how many each row has."""
+    sets = table["hashes"].combine_chunks()
+    held, flat = np.diff(sets.offsets.to_numpy()), sets.flatten().to_numpy().view(np.uint64)
+    row, at = np.repeat(np.arange(len(held)), held), np.arange(len(flat))
+    end = np.repeat(np.cumsum(held), held)
+    started = (at == end - held[row]) | (at + SHINGLE <= end)
+    row, at, end = row[started], at[started], end[started]
+    codes = np.zeros(len(at), np.uint64)
+    for j in range(SHINGLE):
+        codes ^= np.where(at + j < end, flat[np.minimum(at + j, len(flat) - 1)], np.uint64(0))
+        codes *= np.uint64(0x9E3779B97F4A7C15)
+        codes ^= codes >> np.uint64(31)
+    order = np.lexsort((codes, row))
+    row, codes = row[order], codes[order]
+    new = np.r_[True, (row[1:] != row[:-1]) | (codes[1:] != codes[:-1])][: len(row)]
+    return row[new], codes[new], np.bincount(row[new], minlength=len(held))
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches of ``id, right, hashes`` in tables of some million tokens, a row for each class that has any."""
+    kept, total = [], 0
+    for batch in batches:
+        some = batch.filter(pc.greater(pc.list_value_length(batch["hashes"]), 0))
+        if some.num_rows:
+            kept, total = [*kept, some], total + len(some["hashes"].flatten())
+        if total >= DEALT_SHINGLES:
+            yield _classes_of(kept)
+            kept, total = [], 0
+    if kept:
+        yield _classes_of(kept)
+
+
+def _classes_of(batches: list[pa.RecordBatch]) -> pa.Table:
+    table = pa.Table.from_batches(batches)
+    return table.take(np.sort(np.unique(table["id"].to_numpy(), return_index=True)[1]))
+
+
+def _kept(left: ShingleSets, right: ShingleSets | None, threshold: float) -> DataFrame:
+    """``id`` of the classes that may have a link, staged; of ``left`` alone if ``right`` has few tokens, else of both sides.
+
+    A class of n shingles shares at least ceil(t n) of them with each that it is linked to. In the order of their codes, the first
+    n - ceil(t n) + 1 + floor(e n) of a class, e being ``EXTRA``, hold at least floor(e n) and one of what two linked classes share,
+    for both of them. So a class goes on if as many of its first codes are held by other classes (of two sides: by the other one).
+    Codes travel in 32 bits and their bucket: two that fall together only let a class go on. Copies count as one class.
+    """
+    work = Workspace(left.rows.sparkSession, "kept")
+    if right is not None and right.tokens <= FEW_SHINGLES:
+
+        def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for table in _gathered(batches):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(_windows(table)[1]).view(np.int64))], names=["code"])
+
+        few = np.sort(np.array([r.code for r in _hashes(right).mapInArrow(codes, "code bigint").distinct().collect()], np.int64).view(np.uint64))
+
+        def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for table in _gathered(batches) if len(few) else ():
+                row, found, n = _windows(table)
+                hit = few[np.minimum(np.searchsorted(few, found), len(few) - 1)] == found
+                kept = np.bincount(row[hit], minlength=len(n)) >= threshold * n - 1e-9
+                yield pa.RecordBatch.from_arrays([pa.array(table["id"].to_numpy()[kept])], names=["id"])
+
+        return work.table(_hashes(left).mapInArrow(held, "id bigint").distinct(), "ids")
+    two, extra, total = right is not None, min(EXTRA, threshold), left.tokens + (right.tokens if right else 0)
+    buckets = parts = max(int(total * min(1, 1 - threshold + extra) // BUCKET_CODES) + 1, min(32, int(total // 10_000) + 1))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _gathered(batches):
+            row, codes, n = _windows(table)
+            first = n - np.ceil(n * threshold - 1e-9).astype(np.int64) + 1 + np.floor(n * extra).astype(np.int64)
+            head = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) < first[row]
+            row, codes = row[head], codes[head]
+            bucket = _bucket(codes, buckets)
+            order = np.argsort(bucket, kind="stable")
+            row, codes, bucket = row[order], codes[order], bucket[order]
+            starts = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (row[1:] != row[:-1])])
+            known = np.unique(bucket)
+            ends = lambda sorted_: np.r_[np.searchsorted(sorted_, known), len(sorted_)]
+            runs, owner = ends(bucket[starts]), row[starts]
+            asked = np.maximum(np.floor(n * extra) - 1, 1).astype(np.int32)
+            columns = [pa.array(known, pa.int32()), pa.array(np.full(len(known), table["right"][0].as_py())), _lists(runs, table["id"].to_numpy()[owner]), _lists(runs, asked[owner]), _lists(runs, np.diff(np.r_[starts, len(row)]).astype(np.int32)), _lists(ends(bucket), codes.astype(np.uint32).view(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["bucket", "right", "ids", "asked", "held", "codes"])
+
+    def count(table: pa.Table) -> pa.Table:
+        flat = lambda name: table[name].combine_chunks().flatten().to_numpy()
+        ids, asked = flat("ids"), flat("asked")
+        side = np.repeat(table["right"].to_numpy(), pc.list_value_length(table["ids"]).to_numpy())
+        codes = flat("codes")
+        order = np.argsort(codes)
+        codes, run = codes[order], np.repeat(np.arange(len(ids), dtype=np.int32), flat("held"))[order]
+        starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+        told = side if two else ids
+        both = np.minimum.reduceat(told[run], starts) != np.maximum.reduceat(told[run], starts)
+        hits = np.bincount(run[np.repeat(both, np.diff(np.r_[starts, len(codes)]))], minlength=len(ids))
+        # copies of a class have the same hits
+        names, first = np.unique(ids, return_index=True)
+        first = first[hits[first] > 0]
+        names, asked, hits = ids[first], asked[first], hits[first].astype(np.int32)
+        part = _bucket(names, parts)
+        order = np.argsort(part, kind="stable")
+        known = np.unique(part)
+        ends = np.r_[np.searchsorted(part[order], known), len(part)]
+        columns = [pa.array(known, pa.int32()), *[_lists(ends, x[order]) for x in (names, asked, hits)]]
+        return pa.table(columns, names=["part", "ids", "asked", "hits"])
+
+    def chosen(table: pa.Table) -> pa.Table:
+        ids, asked, hits = (table[name].combine_chunks().flatten().to_numpy() for name in ("ids", "asked", "hits"))
+        names, first, of = np.unique(ids, return_index=True, return_inverse=True)
+        return pa.table([pa.array(names[np.bincount(of, hits) >= asked[first]])], names=["id"])
+
+    told = _hashes(left) if right is None else _hashes(left).union(_hashes(right, True))
+    dealt = told.mapInArrow(deal, "bucket int, right boolean, ids array<bigint>, asked array<int>, held array<int>, codes array<int>")
+    shared = dealt.groupBy("bucket").applyInArrow(count, "part int, ids array<bigint>, asked array<int>, hits array<int>")
+    return work.table(shared.groupBy("part").applyInArrow(chosen, "id bigint"), "ids")
+
+
+def _sifted(left: ShingleSets, right: ShingleSets | None, threshold: float) -> tuple[DataFrame, ...]:
+    """The classes of each side, without those that :func:`_kept` tells to have no link if there are many tokens."""
+    sides = (left,) if right is None else (left, right)
+    if left.tokens <= SIFTED_TOKENS:
+        return tuple(x.classes for x in sides)
+    ids = _kept(left, right, threshold)
+    return tuple(x.classes if x is right and x.tokens <= FEW_SHINGLES else x.some(ids) for x in sides)
 
 
 def _lists(ends: np.ndarray, values: np.ndarray) -> pa.ListArray:
@@ -374,14 +537,14 @@ def _compared(work: Workspace, left: DataFrame, right: DataFrame | None, thresho
     return shipped.select(*carried).groupBy("grp", "lo", "hi").applyInArrow(compare, schema)
 
 
-def _flat(sets: ShingleSets) -> DataFrame:
-    return sets.classes.select("cid", "n", F.explode("shingles").alias("shingle"))
+def _flat(classes: DataFrame) -> DataFrame:
+    return classes.select("cid", "n", F.explode("shingles").alias("shingle"))
 
 
-def _two_nodes(work: Workspace, left: ShingleSets, right: ShingleSets, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Nodes of two sides: of the shingles that both hold. A right of few shingles sifts the left's, which then need not travel."""
-    if (right.classes.agg(F.sum("n")).first()[0] or 0) > FEW_SHINGLES:
-        both = work.table(_nodes(left.classes, right.classes, threshold), "both")
+def _two_nodes(work: Workspace, left: DataFrame, right: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Nodes of the classes of two sides: of the shingles that both hold. A right of few shingles sifts the left's, which then need not travel."""
+    if (right.agg(F.sum("n")).first()[0] or 0) > FEW_SHINGLES:
+        both = work.table(_nodes(left, right, threshold), "both")
         return both.where("not right").drop("right"), both.where("right").drop("right")
     theirs = work.table(_flat(right), "theirs")
     ours = work.table(_flat(left).join(F.broadcast(theirs.select("shingle").distinct()), "shingle"), "ours")
@@ -395,12 +558,13 @@ def class_links(left: ShingleSets, right: ShingleSets | None = None, threshold:
     A class takes part once, however many rows it has. A class without shingles has no link. A row for each link is what is
     asked for here; :func:`earlier_classes` and :func:`least_classes` make one for each class.
     """
-    work = Workspace(left.classes.sparkSession, "links")
-    sides = _two_nodes(work, left, right, threshold) if right else (_nodes(left.classes, None, threshold).drop("right"),)
+    work = Workspace(left.rows.sparkSession, "links")
+    classes = _sifted(left, right, threshold)
+    sides = _two_nodes(work, *classes, threshold) if right else (_nodes(*classes, None, threshold).drop("right"),)
     nodes = [x.withColumn("grp", F.lit(0)).withColumn("first", F.lit(0)) for x in sides]
     found = _compared(work, nodes[0], nodes[1] if right else None, threshold, "links", "int")
-    name = lambda sets, k: sets.classes.select(F.col("cid").alias(k), F.col("cls").alias(f"_{k}"))
-    named = found.join(name(left, "a"), "a").join(name(right or left, "b"), "b")
+    name = lambda side, k: side.select(F.col("cid").alias(k), F.col("cls").alias(f"_{k}"))
+    named = found.join(name(classes[0], "a"), "a").join(name(classes[-1], "b"), "b")
     ends = ("_a", "_b") if right else (F.least("_a", "_b"), F.greatest("_a", "_b"))
     return named.select(*ends, "similarity").toDF("a", "b", "similarity")
 
@@ -410,9 +574,10 @@ def earlier_classes(sets: ShingleSets, firsts: DataFrame, threshold: float = THR
 
     ``firsts`` has ``cls, grp, first``; classes without an earlier one of the threshold have no row.
     """
-    work = Workspace(sets.classes.sparkSession, "earlier")
-    names = sets.classes.select("cid", "cls")
-    nodes = _nodes(sets.classes, None, threshold).drop("right").join(firsts.join(names, "cls").select("cid", "grp", "first"), "cid")
+    work = Workspace(sets.rows.sparkSession, "earlier")
+    (classes,) = _sifted(sets, None, threshold)
+    names = classes.select("cid", "cls")
+    nodes = _nodes(classes, None, threshold).drop("right").join(firsts.join(names, "cls").select("cid", "grp", "first"), "cid")
     found = _compared(work, nodes, None, threshold, "earlier", dict(firsts.dtypes)["first"])
     best = F.min_by(F.struct("first", "similarity"), F.struct(-F.col("similarity"), F.col("first"))).alias("best")
     return found.groupBy("cid", "grp").agg(best).join(names, "cid").select("cls", "grp", "best.*")
@@ -420,10 +585,11 @@ def earlier_classes(sets: ShingleSets, firsts: DataFrame, threshold: float = THR
 
 def least_classes(left: ShingleSets, right: ShingleSets, firsts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``cls, first, similarity``: for each class of ``left`` the similar one of ``right`` with the least ``first``; ``firsts`` has ``cls, first``."""
-    work = Workspace(left.classes.sparkSession, "least")
-    (ours, theirs), kind = _two_nodes(work, left, right, threshold), dict(firsts.dtypes)["first"]
+    work = Workspace(left.rows.sparkSession, "least")
+    classes = _sifted(left, right, threshold)
+    (ours, theirs), kind = _two_nodes(work, *classes, threshold), dict(firsts.dtypes)["first"]
     ours = ours.withColumn("grp", F.lit(0)).withColumn("first", F.lit(None).cast(kind))
-    numbered = firsts.join(right.classes.select("cid", "cls"), "cls").select("cid", "first")
+    numbered = firsts.join(classes[1].select("cid", "cls"), "cls").select("cid", "first")
     found = _compared(work, ours, theirs.withColumn("grp", F.lit(0)).join(numbered, "cid"), threshold, "least", kind)
     best = found.groupBy("cid").agg(F.min_by(F.struct("first", "similarity"), "first").alias("best"))
-    return best.join(left.classes.select("cid", "cls"), "cid").select("cls", "best.*")
+    return best.join(classes[0].select("cid", "cls"), "cid").select("cls", "best.*")
