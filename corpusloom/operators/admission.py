@@ -35,18 +35,20 @@ def admit(rows: DataFrame, base: DataFrame, key: str, source: str, minimum_token
     found = hashed.join(exact, "_exact").select(key, "base_id", F.lit(0).alias("p")).union(hashed.join(normal, "_normal").select(key, "base_id", F.lit(1).alias("p"))).union(near)
     first = found.groupBy(key).agg(F.min(F.struct("base_id", "p")).alias("match"))
     kind = F.element_at(F.array(*map(F.lit, ("EXACT", "NORMALIZED", "NEAR"))), F.col("match.p") + 1)
-    joined = rows.join(first, key, "left").withColumn("lexical_tokens", t.token_count(F.col("text")))
+    # what is asked of a text is found before its row is joined, so a caller that takes no texts has none shuffled
+    asked = rows.withColumn("lexical_tokens", t.token_count(F.col("text"))).withColumn("_signals", t.contains_any(F.col("text"), signals))
+    joined = asked.join(first, key, "left")
     reasons = F.array_compact(
         F.array(
             F.when(F.col("lexical_tokens") < minimum_tokens, F.lit("CONTENT_BELOW_TOKEN_THRESHOLD")),
-            F.when(~t.contains_any(F.col("text"), signals), F.lit("KERNEL_STRUCTURE_MISSING")),
+            F.when(~F.col("_signals"), F.lit("KERNEL_STRUCTURE_MISSING")),
             F.when(F.col("match").isNotNull(), F.concat(F.lit("BASE_DAPT_"), kind, F.lit("_DUPLICATE:"), F.col("match.base_id"))),
         )
     )
     judged = joined.withColumn("reasons", F.array_sort(reasons)).withColumn("status", F.when(F.size("reasons") == 0, F.lit("authorized")).otherwise(F.lit("rejected")))
     admitted = judged.where("status = 'authorized'").groupBy(source).agg(F.count(F.lit(1)).alias("_n"))
     weight = F.when(F.col("status") == "authorized", 1.0 / F.col("_n")).otherwise(0.0)
-    return judged.join(admitted, source, "left").withColumn("split", t.hash_split(F.col(source), validation)).withColumn("sampling_weight", weight).drop("match", "_n")
+    return judged.join(admitted, source, "left").withColumn("split", t.hash_split(F.col(source), validation)).withColumn("sampling_weight", weight).drop("match", "_n", "_signals")
 
 
 def yields(judged: DataFrame, sources: DataFrame) -> DataFrame:
