@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as t
 from corpusloom.operators.dedup import contained_passages
 from corpusloom.operators.similarity import THRESHOLD, least_classes, shingle_sets
+from corpusloom.staging import Workspace
 
 #: Short bodies that a text is searched for at once, and the first letters by which more of them are found.
 FEW_BODIES, LETTERS = 1000, 8
@@ -144,7 +145,7 @@ def containing(df: DataFrame, key: str, bodies: DataFrame, body_key: str) -> Dat
     long, short = bodies.where(size >= 8), bodies.where(size < 8).select(body_key, F.col("text").alias("_body"))
     seq = t.tokens(F.col("text"))
     inner = long.select(body_key, F.array_join(F.slice(seq, F.lit(2), F.size(seq) - 2), " ").alias("text"))
-    proposed = contained_passages(df, key, inner, body_key, 1.0).select(key, body_key)
+    proposed = Workspace(df.sparkSession, "containing").table(contained_passages(df, key, inner, body_key, 1.0).select(key, body_key), "proposed")
     texts = df.select(key, F.col("text").alias("_text"))
     verified = proposed.join(texts, key).join(long.select(body_key, F.col("text").alias("_body")), body_key)
     found = verified.where(F.contains("_text", F.col("_body"))).select(key, body_key)

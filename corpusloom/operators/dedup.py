@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.functions.text import digest, squeeze
+from corpusloom.functions.text import digest, squeeze, tokens
 from corpusloom.operators.joins import hub_join
-from corpusloom.operators.similarity import THRESHOLD, ShingleSets, earlier_classes, least_classes, shingle_sets
+from corpusloom.operators.similarity import THRESHOLD, ShingleSets, earlier_classes, least_classes, shingle_sets, shingles
 from corpusloom.staging import Workspace, spread
 
 
@@ -130,18 +130,20 @@ def accepted_first(sets: DataFrame, key: str, links: DataFrame) -> DataFrame:
     return done
 
 
-def contained_passages(df: DataFrame, key: str, passages: DataFrame, passage_key: str, share: float = 0.9) -> DataFrame:
+def contained_passages(df: DataFrame, key: str, passages: DataFrame, passage_key: str, share: float = 0.9, text: str = "text") -> DataFrame:
     """``key, passage_key, share``: passages of which at least ``share`` of the shingles stand in a row.
 
     An extension beside whole-document similarity, which misses passages inside longer documents. Only shingles of
-    passages are joined; a row per document and passage is counted before the shuffle.
+    passages are joined; a row per document and passage is counted before the shuffle. Each text is read and cut where it
+    is, so neither texts nor shingles of documents are staged or travel while the passages' are few.
     """
     theirs = shingle_sets(passages, passage_key)
     asked = theirs.classes.where("n > 0").select("cls", F.col("n").alias("total"), F.explode("shingles").alias("shingle"))
-    ours = shingle_sets(df, key)
-    hits = ours.classes.select(F.col("cls").alias("ours"), F.explode("shingles").alias("shingle")).join(asked, "shingle").groupBy("ours", "cls", "total").agg(F.count(F.lit(1)).alias("common"))
-    hits = hits.join(theirs.rows.select("cls", passage_key), "cls").join(ours.rows.select(F.col("cls").alias("ours"), key), "ours")
-    return hits.where(F.col("common") >= share * F.col("total")).select(key, passage_key, (F.col("common") / F.col("total")).alias("share"))
+    asked = Workspace(df.sparkSession, "asked").table(asked, "asked")
+    ours = spread(df.select(key, F.coalesce(F.col(text), F.lit("")).alias("text"))).select(key, F.explode(shingles(tokens(F.col("text")))).alias("shingle"))
+    hits = ours.join(asked, "shingle").groupBy(key, "cls", "total").agg(F.count(F.lit(1)).alias("common"))
+    found = hits.where(F.col("common") >= share * F.col("total")).join(theirs.rows.select("cls", passage_key), "cls")
+    return found.select(key, passage_key, (F.col("common") / F.col("total")).alias("share"))
 
 
 def newest_first(df: DataFrame, partition: list[str], order: list[Column]) -> DataFrame:
