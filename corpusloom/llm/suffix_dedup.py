@@ -18,13 +18,13 @@ neighbours in the order are found by sending numbers and not strings. Different
 
 Texts are staged as blocks of about ``BLOCK`` bytes. A block sends each of its numbers once to the task that owns its
 part of their range, so a string that occurs everywhere costs a row per block; strings are compared between a
-block and the one before it that has them too.
+block and the one before it that has them too. An answer holds its neighbours' blocks as two packed lists, so what it
+takes depends on the names in it and not on the number of pairs of blocks.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +42,8 @@ PERIOD, COVER = 50, (0, 1, 3, 8, 17, 28, 32, 38)
 TRIPLE = 3 * PERIOD
 #: Bytes of text in a block, positions numbered at once (their arrays fit a core's cache), bytes of text for each part of the numbers.
 BLOCK, SLICE, PART_BYTES = 4 << 20, 1 << 16, 16 << 20
+#: Positions that a part of the remaining suffixes' numbers is meant for: as many as a part has of the sample.
+PART_NAMES = PART_BYTES * len(COVER) // PERIOD
 #: Bits of the numbers of tuples and triples, and of remaining suffixes.
 SAMPLE_BITS, BITS = 48, 64
 
@@ -160,9 +162,9 @@ def _extract(buffer: np.ndarray, positions: np.ndarray) -> tuple[np.ndarray, np.
 
 
 SENT = "part int, block long, names binary, many binary"
-#: What a part tells a block, in one row: which of the names it sent are repeated; their ranks; with which blocks before
-#: and behind it shares names as a neighbour, and which names with each.
-ANSWER = "block long, part int, bits binary, ranks binary, before array<long>, before_places array<binary>, behind array<long>, behind_places array<binary>"
+#: What a part tells a block, in one row: which of the names it sent are repeated; their ranks; which names it shares as
+#: a neighbour with a block before and behind it, and which blocks these are.
+ANSWER = "block long, part int, bits binary, ranks binary, before binary, behind binary"
 
 
 def _encode(names: np.ndarray) -> bytes:
@@ -187,6 +189,27 @@ def _bits(raw: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(raw, np.uint8), count=n).astype(bool)
 
 
+def _pack_blocks(blocks: np.ndarray) -> bytes:
+    """Numbers of blocks, -1 for none: a bit for each place, then those there are, in the least bytes that hold them."""
+    there = blocks >= 0
+    high, low = blocks[there] >> 32, blocks[there] & 0xFFFFFFFF
+    shift = int(low.max(initial=0)).bit_length()
+    short = (high << shift) | low
+    width = (int(short.max(initial=0)).bit_length() + 7) // 8
+    planes = short.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
+    return bytes([shift, width]) + np.packbits(there).tobytes() + planes.tobytes()
+
+
+def _unpack_blocks(blob: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of ``n`` places those that have a block, and the blocks."""
+    shift, width, begin = blob[0], blob[1], 2 + -(-n // 8)
+    places = np.flatnonzero(_bits(blob[2:begin], n))
+    short = np.zeros((len(places), 8), np.uint8)
+    short[:, :width] = np.frombuffer(blob, np.uint8, -1, begin).reshape(width, len(places)).T if width else 0
+    short = short.view("<i8").ravel()
+    return places, (short >> shift << 32) | (short & ((1 << shift) - 1))
+
+
 class Distinct:
     """A block's names: the distinct ones ascending, where each occurs first, and the place of each name among them."""
 
@@ -227,11 +250,17 @@ class Distinct:
 
     def shared(self, answers: list[dict], side: str) -> dict[int, np.ndarray]:
         """For each block before or behind this one the places, ascending, of the names that both share as neighbours."""
-        found = defaultdict(list)
+        places, others = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for x in sorted(answers, key=lambda x: x["part"]):
-            for other, places in zip(x[side], x[f"{side}_places"], strict=True):
-                found[other].append(self.cuts[x["part"]] + _decode(places).astype(np.int64))
-        return {other: np.concatenate(places) for other, places in found.items()}
+            low, high = self.cuts[x["part"]], self.cuts[x["part"] + 1]
+            at, blocks = _unpack_blocks(x[side], high - low)
+            places.append(low + at)
+            others.append(blocks)
+        places, others = np.concatenate(places), np.concatenate(others)
+        order = np.argsort(others, kind="stable")
+        places, others = places[order], others[order]
+        cuts = np.flatnonzero(np.diff(others)) + 1
+        return {int(others[a]): places[a:b] for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(others)], strict=True) if a < b}
 
 
 def _merge(with_ranks: bool, with_neighbours: bool):
@@ -250,26 +279,18 @@ def _merge(with_ranks: bool, with_neighbours: bool):
         repeated = many
         repeated[order[1:][equal]] = True
         repeated[order[:-1][equal]] = True
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        ranks = np.zeros(len(names), np.uint64)
+        ranks = np.zeros(len(names) if with_ranks else 0, np.uint64)
         if with_ranks:
             ranks[order] = np.cumsum(np.r_[True, ~equal][: len(names)]) - 1
+        before, behind = (np.full(len(names) if with_neighbours else 0, -1) for _ in range(2))
+        if with_neighbours:
+            owner, one, two = np.repeat(blocks, sizes), order[:-1][equal], order[1:][equal]
+            before[two], behind[one] = owner[one], owner[two]
         rows = []
         for k, (a, b) in enumerate(zip(begins[:-1], begins[1:], strict=True)):
             own = _encode(ranks[a:b][repeated[a:b]]) if with_ranks else b""
-            rows.append((blocks[k], part, np.packbits(repeated[a:b]).tobytes(), own, [], [], [], []))
-        if with_neighbours:
-            one, two = order[:-1][equal], order[1:][equal]
-            pair = owner[one] * len(sizes) + owner[two]
-            by_pair = np.argsort(pair, kind="stable")
-            one, two, pair = one[by_pair], two[by_pair], pair[by_pair]
-            cuts = np.flatnonzero(np.diff(pair)) + 1
-            for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(pair)], strict=True):
-                if a < b:
-                    r, s = owner[one[a]], owner[two[a]]
-                    for k, x, other in ((s, 4, r), (r, 6, s)):
-                        rows[k][x].append(blocks[other])
-                        rows[k][x + 1].append(_encode(((two if k == s else one)[a:b] - begins[k]).astype(np.uint64)))
+            near = [_pack_blocks(x[a:b]) if with_neighbours else b"" for x in (before, behind)]
+            rows.append((blocks[k], part, np.packbits(repeated[a:b]).tobytes(), own, *near))
         return _table(rows, ANSWER)
 
     return merge
@@ -313,6 +334,7 @@ def _copies(blocks: DataFrame, n_texts: int) -> DataFrame:
     return found.groupBy("block").agg(F.collect_list(F.col("place") * 2 + F.col("is_first")).alias("copies"))
 
 
+MARKED = "block long, repeated binary, copies binary"
 STRINGS = "block long, other long, at binary, text binary"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -356,8 +378,8 @@ def remove_repeats(docs: DataFrame, bits: int = BITS) -> DataFrame:
     total, n_texts = (x or 0 for x in blocks.agg(F.sum(size), F.sum(F.size("doc_ids"))).first())
     parts, sample_bits = max(8, -(-total // PART_BYTES)), min(bits, SAMPLE_BITS)
 
-    def merged(sent: DataFrame, name: str, with_ranks: bool = False, with_neighbours: bool = False) -> DataFrame:
-        return work.table(sent.groupBy("part").applyInArrow(_merge(with_ranks, with_neighbours), ANSWER), name)
+    def merged(sent: DataFrame, name: str, with_ranks: bool = False, with_neighbours: bool = False, **options: str) -> DataFrame:
+        return work.table(sent.groupBy("part").applyInArrow(_merge(with_ranks, with_neighbours), ANSWER), name, **options)
 
     def met(answers: DataFrame, function, schema: str, left: DataFrame = blocks) -> DataFrame:
         """Each block with what it was told."""
@@ -389,25 +411,29 @@ def remove_repeats(docs: DataFrame, bits: int = BITS) -> DataFrame:
     def repeated(left: pa.Table, right: pa.Table) -> pa.Table:
         own = Distinct(np.frombuffer(left["numbers"][0].as_py(), "<u8"), parts, sample_bits)
         kept = np.frombuffer(left["positions"][0].as_py(), "<i4")[own.repeated(right.to_pylist())[own.place]]
-        return _table([(left["block"][0].as_py(), kept.tobytes(), left["copies"][0].as_py())], "block long, repeated binary, copies binary")
+        near = int(np.minimum(np.diff(kept), PERIOD).sum()) + PERIOD * (len(kept) > 0)
+        return _table([(left["block"][0].as_py(), kept.tobytes(), left["copies"][0].as_py(), near)], f"{MARKED}, near long")
 
     told = merged(blocks.select("block", "texts").mapInArrow(tuples, SENT), "tuples", with_ranks=True).withColumn("copies", F.lit(None).cast("array<long>"))
     known = told.unionByName(_copies(blocks, n_texts), allowMissingColumns=True)
     second = work.table(met(known, triples, "block long, positions binary, numbers binary, copies binary"), "second", compression="zstd")
     answers = merged(second.select("block", "numbers").mapInArrow(names_of_triples, SENT), "triples")
-    marked = work.table(met(answers, repeated, "block long, repeated binary, copies binary", second), "marked")
+    marked = work.table(met(answers, repeated, f"{MARKED}, near long", second), "marked")
     work.drop("tuples", "second", "triples")
+    # their number depends on the texts, so these have parts of their own
+    last_parts = max(8, -(-(marked.agg(F.sum("near")).first()[0] or 0) // PART_NAMES))
+    marked = marked.drop("near")
 
     def suffixes(texts: pa.Table, mark: dict) -> tuple[Block, np.ndarray, Distinct]:
         block = Block(texts["texts"][0].as_py())
         positions = block.remaining(np.frombuffer(mark["repeated"], "<i4").astype(np.int64))
-        return block, positions, Distinct(block.at(positions, LENGTH, bits), parts, bits)
+        return block, positions, Distinct(block.at(positions, LENGTH, bits), last_parts, bits)
 
     def remaining(left: pa.Table, right: pa.Table) -> pa.Table:
         batches = list(suffixes(left, right.to_pylist()[0])[2].sent(left["block"][0].as_py()))
         return pa.Table.from_batches(batches) if batches else _table([], SENT)
 
-    answers = merged(met(marked, remaining, SENT), "merged", with_neighbours=True)
+    answers = merged(met(marked, remaining, SENT), "merged", with_neighbours=True, compression="zstd")
     # every row that tells a block of its own names goes with it from here on
     for_block = answers.withColumn("repeated", F.lit(None).cast("binary")).withColumn("copies", F.lit(None).cast("binary")).unionByName(marked, allowMissingColumns=True)
 
@@ -456,7 +482,7 @@ def remove_repeats(docs: DataFrame, bits: int = BITS) -> DataFrame:
     work.drop("strings")
     wrong = result.where("wrong is not null")
     if not wrong.isEmpty():
-        result = work.table(_by_bytes(work, blocks, for_block, wrong, parts, bits, met, split, suffixes), "exact")
+        result = work.table(_by_bytes(work, blocks, for_block, wrong, last_parts, bits, met, split, suffixes), "exact")
     work.drop("blocks", "marked", "merged")
     return result.drop("wrong")
 
