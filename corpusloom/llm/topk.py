@@ -12,10 +12,12 @@ from pyspark.sql.window import Window
 
 from corpusloom.llm.common import Workspace, read_table
 
-#: Vectors of an index shard, queries that travel together, queries whose accumulators are held at once.
-SHARD, BLOCK, HELD = 16384, 8192, 256
-#: Impact levels, and the members a query may have left when it stops before the last level.
-LEVELS, FEW = 12, 200
+#: Vectors of an index shard, queries that travel together, shards that a task goes through one after the other.
+SHARD, BLOCK, BUNDLE = 16384, 8192, 4
+#: Queries and vectors whose accumulators are held at once (they fit a core's cache), members that are rescored at once.
+HELD, TILE, RESCORED = 512, 1024, 4096
+#: Impact levels, and the members a query may have left of a shard when it stops before the last level.
+LEVELS, FEW = 24, 400
 #: Vectors of a shard have norms within a factor of two to the power of one by this.
 NORM_CLASSES = 8
 
@@ -77,7 +79,7 @@ class Vectors:
 def _unpack(table: pa.Table) -> Vectors:
     read = lambda name, kind: np.frombuffer(table[name][0].as_py(), kind)
     v = read("v", f"<i{table['width'][0].as_py()}").astype(np.int64).reshape(-1, table["dims"][0].as_py())
-    return Vectors(read("rows", "<i8"), read("ids", "<i8"), v, read("least", "<f8"))
+    return Vectors(read("rows", "<i8"), read("ids", "<i8"), v, read("least", "<f8").copy())
 
 
 @dataclass
@@ -92,22 +94,24 @@ class Segment:
 def impact_index(v: np.ndarray, levels: int = LEVELS) -> tuple[list[list[Segment]], np.ndarray]:
     """Posting segments by descending level of their impact, and what each level leaves of the vectors' norms.
 
-    A component stands in one segment, that of its dimension, sign and level, and counts there as the middle of the
-    level's range; zeros stand in none. ``rest[k]`` is the norm of what the levels up to ``k`` leave of each vector: whole
+    A component stands in one segment, that of its dimension, sign and level, and counts there as the mean of the
+    segment; zeros stand in none. ``rest[k]`` is the norm of what the levels up to ``k`` leave of each vector: whole
     components that are still to come, and what quantising took from those that came.
     """
     top = max(1, int(np.abs(v).max(initial=0)))
     place, dim = np.nonzero(v)
     value = v[place, dim].astype(np.float64)
     level = levels - 1 - np.minimum(levels - 1, (np.abs(value) * levels / (top + 1)).astype(int))
-    impact = np.sign(value) * (levels - level - 0.5) * (top + 1) / levels
-    order = np.lexsort((place, value > 0, dim, level))
-    place, dim, value, level, impact = (x[order] for x in (place, dim, value, level, impact))
-    new = np.r_[True, (np.diff(dim) != 0) | (np.diff(level) != 0) | (np.diff(impact) != 0)][: len(place)]
-    starts = np.flatnonzero(new)
+    key = 2 * (level * v.shape[1] + dim) + (value > 0)
+    order = np.argsort(key.astype(np.int16) if 2 * levels * v.shape[1] < 1 << 15 else key, kind="stable")
+    place, dim, value, level, key = (x[order] for x in (place, dim, value, level, key))
+    starts = np.flatnonzero(np.r_[True, np.diff(key) != 0][: len(place)])
+    sizes = np.diff(np.r_[starts, len(place)])
+    means = np.add.reduceat(value, starts) / sizes if len(starts) else np.zeros(0)
     segments: list[list[Segment]] = [[] for _ in range(levels)]
-    for at, end in zip(starts, np.r_[starts[1:], len(place)], strict=False):
-        segments[level[at]].append(Segment(int(dim[at]), float(impact[at]), place[at:end]))
+    for at, size, mean in zip(starts, sizes, means, strict=True):
+        segments[level[at]].append(Segment(int(dim[at]), float(mean), place[at : at + size]))
+    impact = np.repeat(means, sizes)
     rest, left = np.zeros((levels, len(v))), (v.astype(np.float64) ** 2).sum(1)
     for k in range(levels):
         here = slice(*np.searchsorted(level, (k, k + 1)))
@@ -116,64 +120,131 @@ def impact_index(v: np.ndarray, levels: int = LEVELS) -> tuple[list[list[Segment
     return segments, rest
 
 
-def _checked(rest: np.ndarray) -> list[int]:
-    """The levels after which bounds are looked at: whenever the largest rest has halved, and at the end."""
+def _checked(rest: np.ndarray, largest: float) -> list[int]:
+    """The levels after which bounds are looked at: when the largest rest is an eighth of the largest norm, whenever it has halved, and at the end."""
     most, out = rest.max(1, initial=0), []
     for k in range(len(most) - 1):
-        if most[k] < 0.5 * (most[out[-1]] if out else most[0] + 1):
+        if most[k] < (0.5 * most[out[-1]] if out else 0.125 * largest):
             out.append(k)
     return [*out, len(most) - 1]
 
 
+def _norms(v: np.ndarray) -> np.ndarray:
+    return np.sqrt((v.astype(np.float64) ** 2).sum(1))
+
+
+class Accumulators:
+    """The postings of a shard up to a level, as the matrix by which all of them are added to the scores of many queries at once.
+
+    Two more columns belong to the norm of the query and to the score it has to reach, so a product with a query's
+    column says by how much its upper bound reaches that score. The norm's column allows for the rounding of ``real``.
+    """
+
+    def __init__(self, segments: list[list[Segment]], rest: np.ndarray, norms: np.ndarray, dims: int, real: type):
+        self.segments, self.rest, self.norms, self.dims, self.real = segments, rest, norms, dims, real
+        self.held: dict[int, np.ndarray] = {}
+
+    def upto(self, level: int) -> np.ndarray:
+        if level not in self.held:
+            begin = max((k for k in self.held if k < level), default=-1)
+            out = self.held[begin].copy() if begin >= 0 else np.zeros((len(self.norms), self.dims + 2), self.real)
+            for postings in self.segments[begin + 1 : level + 1]:
+                for s in postings:
+                    out[s.places, s.dim] = s.impact
+            rounding = (self.dims + 16) * np.finfo(self.real).eps
+            out[:, -2] = self.rest[level] + rounding * (self.norms + 2 * self.rest[level] + 2 * self.norms.max(initial=0))
+            out[:, -1] = 1
+            self.held[level] = out
+        return self.held[level]
+
+
+def _rescored(q: np.ndarray, v: np.ndarray):
+    """Exact products of rows of ``q`` and ``v`` by their places, in the fastest numbers that hold all partial sums."""
+    most = float(np.abs(q).max(initial=0)) * float(np.abs(v).max(initial=0)) * q.shape[1]
+    kind = np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64
+    q, v = q.astype(kind), v.astype(kind)
+
+    def scores(qs: np.ndarray, vs: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(qs), np.int64)
+        for i in range(0, len(qs), RESCORED):
+            here = slice(i, i + RESCORED)
+            out[here] = np.einsum("ij,ij->i", q[qs[here]], v[vs[here]])
+        return out
+
+    return scores
+
+
 def score_at_a_time(queries: Vectors, shard: Vectors, k: int, index=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best of a shard for each query: places of queries and of vectors, and exact scores.
 
-    Segments are added to the accumulators by descending impact. What is not yet processed changes a score by at most the
-    product of the query's norm and the norm of the rest of the vector. A query stops once few members are left whose
-    upper bound reaches both its k-th best lower bound and ``least``, the k-th best score it has elsewhere; nothing
-    else can be among its best. Otherwise it goes on to the last segment. Possible members are rescored with integers.
+    Segments are added to the accumulators by descending impact, those between two looks at the bounds as one product. What
+    is not yet processed changes a score by at most the product of the query's norm and the norm of the rest of the vector.
+    A query stops once few members are left whose upper bound reaches the k-th best score that it has: ``least``, from
+    elsewhere, or the best so far of this shard; nothing else can be among its best. Otherwise it goes on to the last
+    segment. Possible members are rescored with whole numbers.
     """
     width = max(queries.v.shape[1], shard.v.shape[1])
     q, v = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (queries.v, shard.v))
     segments, rest = index or impact_index(shard.v)
-    checks, n = set(_checked(rest)), len(v)
+    n, norms, q_norms = len(v), _norms(v), _norms(q)
+    largest = norms.max(initial=0)
+    real = np.float32 if largest * q_norms.max(initial=0) < 1e30 else np.float64
+    checks, sums, exact = _checked(rest, largest), Accumulators(segments, rest, norms, width, real), _rescored(q, v)
+    most = max(FEW, 2 * k) / max(1, n)
     order = np.argsort(shard.rows)
-    found_q, found_v = [], []
-    for low in range(0, len(q), HELD):
-        live = np.arange(low, min(low + HELD, len(q)))
-        weights = np.ascontiguousarray(q[live].T.astype(np.float64))
-        norm = np.sqrt((weights**2).sum(0))
-        scores = np.zeros((n, len(live)))
-        for level, postings in enumerate(segments):
-            for s in postings:
-                scores[s.places] += s.impact * weights[s.dim]
-            if level not in checks:
-                continue
-            slack = rest[level][:, None] * norm * (1 + 1e-9)
-            spot = np.minimum(np.searchsorted(shard.rows[order], queries.rows[live]), n - 1)
-            own = shard.rows[order][spot] == queries.rows[live]
-            upper = scores + slack
-            upper[order[spot[own]], np.flatnonzero(own)] = -np.inf
-            least = queries.least[live].copy() if len(queries.least) else np.full(len(live), -np.inf)
-            if n > k:
-                lower = scores - slack
-                lower[order[spot[own]], np.flatnonzero(own)] = -np.inf
-                least = np.maximum(least, np.partition(lower, n - k, axis=0)[n - k])
-            possible = (upper >= least) & (upper > -np.inf)
-            done = (possible.sum(0) <= max(FEW, 2 * k)) | (level == len(segments) - 1)
-            members, at = np.nonzero(possible[:, done])
-            found_q.append(live[done][at])
-            found_v.append(members)
-            live, weights, norm, scores = live[~done], np.ascontiguousarray(weights[:, ~done]), norm[~done], scores[:, ~done]
-            if not len(live):
-                break
+    spot = np.minimum(np.searchsorted(shard.rows[order], queries.rows), n - 1)
+    own = np.where(shard.rows[order][spot] == queries.rows, order[spot], -1)
     empty = np.zeros(0, np.int64)
-    qs, vs = np.concatenate(found_q or [empty]), np.concatenate(found_v or [empty])
-    exact = np.concatenate([(q[qs[i : i + 65536]] * v[vs[i : i + 65536]]).sum(1) for i in range(0, len(qs), 65536)] or [empty])
-    order = np.lexsort((shard.ids[vs], -exact, qs))
-    qs, vs, exact = qs[order], vs[order], exact[order]
+    found = []
+    for low in range(0, len(q), HELD):
+        group = slice(low, min(low + HELD, len(q)))
+        least = queries.least[group].copy() if len(queries.least) else np.full(len(q[group]), -np.inf)
+        weights = np.empty((width + 2, len(least)), real)
+        weights[:-2], weights[-2] = q[group].T, q_norms[group]
+        ends, first = [n], min(n, TILE)
+        if np.isinf(least).any():
+            if first > k:
+                sure = sums.upto(checks[0])[:first]
+                lower = sure[:, :-2] @ weights[:-2] - sure[:, -2:-1] * weights[-2]
+                mine = np.flatnonzero((own[group] >= 0) & (own[group] < first))
+                lower[own[group][mine], mine] = -np.inf
+                least = np.maximum(least, np.partition(lower, first - k, axis=0)[first - k])
+            while ends[0] > TILE:  # what the first vectors score is known when the others are looked at
+                ends.insert(0, -(-ends[0] // 2))
+        qs, vs, scores = empty, empty, empty
+        for begin, end in zip([0, *ends[:-1]], ends, strict=True):
+            # whatever reaches less than nothing reaches this
+            weights[-1] = -np.maximum(least, -2 * largest * q_norms[group] - 1)
+            new_q, new_v = [qs], [vs]
+            for at in range(begin, end, TILE):
+                rows, live, columns = slice(at, min(at + TILE, end)), np.arange(len(least)), weights
+                for level in checks:
+                    hit = np.flatnonzero(sums.upto(level)[rows] @ columns >= 0)
+                    member, asked = np.divmod(hit, len(live))
+                    done = (np.bincount(asked, minlength=len(live)) <= most * (rows.stop - at)) | (level == checks[-1])
+                    kept = done[asked]
+                    new_q.append(live[asked[kept]])
+                    new_v.append(member[kept] + at)
+                    live = live[~done]
+                    if not len(live):
+                        break
+                    columns = np.ascontiguousarray(weights[:, live])
+            old, qs, vs = len(qs), np.concatenate(new_q), np.concatenate(new_v)
+            scores = np.r_[scores, exact(qs[old:] + low, vs[old:])]
+            good = (scores >= least[qs]) & (vs != own[group][qs])
+            qs, vs, scores = qs[good], vs[good], scores[good]
+            by_score = np.lexsort((-scores, qs))
+            ranked = qs[by_score]
+            last = by_score[np.arange(len(ranked)) - np.searchsorted(ranked, ranked, "left") == k - 1]
+            least[qs[last]] = np.maximum(least[qs[last]], scores[last])
+            good = scores >= least[qs]
+            qs, vs, scores = qs[good], vs[good], scores[good]
+        found.append((qs + low, vs, scores))
+    qs, vs, scores = (np.concatenate([empty, *x]) for x in (zip(*found, strict=True) if found else [[]] * 3))
+    order = np.lexsort((shard.ids[vs], -scores, qs))
+    qs, vs, scores = qs[order], vs[order], scores[order]
     best = np.arange(len(qs)) - np.searchsorted(qs, qs, "left") < k
-    return qs[best], vs[best], exact[best]
+    return qs[best], vs[best], scores[best]
 
 
 FOUND = "query long, query_id long, vec_id long, score long"
@@ -211,19 +282,31 @@ def exact_top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 6
     queries = ints.where(F.col("vec_id") % every == 0).withColumn("block", F.pmod(draw, F.lit(blocks).cast("long")))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {"query": [], "query_id": [], "vec_id": [], "score": []}
+        """The best of some shards for each query of a block; a shard is held against what those before it have."""
+        empty = np.zeros(0, np.int64)
+        found = (empty,) * 4
         if left.num_rows and right.num_rows:
-            shard, asked = _unpack(left), _unpack(right)
-            qs, vs, scores = score_at_a_time(asked, shard, k)
-            out = {"query": asked.rows[qs], "query_id": asked.ids[qs], "vec_id": shard.ids[vs], "score": scores}
-        return pa.table({name: pa.array(x, pa.int64()) for name, x in out.items()})
+            asked, (qs, ids, scores) = _unpack(right), (empty,) * 3
+            for at in range(left.num_rows):
+                shard = _unpack(left.slice(at, 1))
+                q, v, score = score_at_a_time(asked, shard, k)
+                qs, ids, scores = np.r_[qs, q], np.r_[ids, shard.ids[v]], np.r_[scores, score]
+                order = np.lexsort((ids, -scores, qs))
+                qs, ids, scores = qs[order], ids[order], scores[order]
+                place = np.arange(len(qs)) - np.searchsorted(qs, qs, "left")
+                last = place == k - 1
+                asked.least[qs[last]] = np.maximum(asked.least[qs[last]], scores[last])
+                qs, ids, scores = qs[place < k], ids[place < k], scores[place < k]
+            found = asked.rows[qs], asked.ids[qs], ids, scores
+        return pa.table({name: pa.array(x, pa.int64()) for name, x in zip(("query", "query_id", "vec_id", "score"), found, strict=True)})
 
     def met(shards: DataFrame, asked: DataFrame) -> DataFrame:
-        """Blocks of queries with the shards named in their ``shards``."""
-        pairs = asked.withColumn("shard", F.explode("shards")).drop("shards")
-        wanted = pairs.select("shard", F.col("block").alias("by")).distinct()
-        sent = shards.withColumnRenamed("block", "shard").join(wanted, "shard").withColumnRenamed("by", "block")
-        return sent.groupBy("shard", "block").cogroup(pairs.groupBy("shard", "block")).applyInArrow(search, FOUND)
+        """Blocks of queries with the shards named in their ``shards``, some of them at a time."""
+        bundle = lambda s: F.floor(s / BUNDLE)
+        wanted = asked.select(F.explode("shards").alias("shard"), F.col("block").alias("by"))
+        sent = shards.withColumnRenamed("block", "shard").join(wanted, "shard").withColumn("bundle", bundle(F.col("shard"))).withColumnRenamed("by", "block")
+        blocks = asked.withColumn("bundle", F.explode(F.array_distinct(F.transform("shards", bundle)))).drop("shards")
+        return sent.groupBy("bundle", "block").cogroup(blocks.groupBy("bundle", "block")).applyInArrow(search, FOUND)
 
     def packed(asked: DataFrame, name: str) -> DataFrame:
         bounds = asked.groupBy("block").agg(F.max("norm").alias("norm"), F.min("least").alias("reach"))
