@@ -5,9 +5,9 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.staging import Workspace, scratch, shared_dir
+from corpusloom.staging import Workspace, scratch, settings, shared_dir
 
-__all__ = ["Workspace", "read_table", "readable", "scratch", "shared_dir"]
+__all__ = ["Workspace", "read_table", "readable", "scratch", "settings", "shared_dir"]
 
 
 def readable(raw: pa.Array) -> pa.Array:

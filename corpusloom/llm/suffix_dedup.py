@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import Workspace, read_table
+from corpusloom.llm.common import Workspace, read_table, settings
 from corpusloom.llm.components import hub_join
 
 LENGTH = 200
@@ -44,6 +44,10 @@ TRIPLE = 3 * PERIOD
 BLOCK, SLICE, PART_BYTES = 4 << 20, 1 << 16, 16 << 20
 #: Positions that a part of the remaining suffixes' numbers is meant for: as many as a part has of the sample.
 PART_NAMES = PART_BYTES * len(COVER) // PERIOD
+#: While a result is made, a batch that goes to Python ends at a block's bytes, however many texts or blocks a task reads.
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(BLOCK)}
+#: A row that holds a block, or lists of its positions, is a row group: it is written and read by itself, and splits end between blocks.
+BY_ROW = {"compression": "zstd", "parquet.block.row.count.limit": "1"}
 #: Bits of the numbers of tuples and triples, and of remaining suffixes.
 SAMPLE_BITS, BITS = 48, 64
 
@@ -372,8 +376,13 @@ def remove_repeats(docs: DataFrame, bits: int = BITS) -> DataFrame:
     no row; other columns are not read. ``bits`` of the numbers that suffixes are sorted by: with
     fewer, more strings are compared in vain, and the result is the same.
     """
+    with settings(docs.sparkSession, BATCHES):
+        return _without_repeats(docs, bits)
+
+
+def _without_repeats(docs: DataFrame, bits: int) -> DataFrame:
     work = Workspace(docs.sparkSession, "suffix")
-    blocks = work.table(text_blocks(docs), "blocks", compression="zstd")
+    blocks = work.table(text_blocks(docs), "blocks", **BY_ROW)
     size = F.aggregate("texts", F.lit(0).cast("long"), lambda n, t: n + F.octet_length(t))
     total, n_texts = (x or 0 for x in blocks.agg(F.sum(size), F.sum(F.size("doc_ids"))).first())
     parts, sample_bits = max(8, -(-total // PART_BYTES)), min(bits, SAMPLE_BITS)
@@ -416,9 +425,9 @@ def remove_repeats(docs: DataFrame, bits: int = BITS) -> DataFrame:
 
     told = merged(blocks.select("block", "texts").mapInArrow(tuples, SENT), "tuples", with_ranks=True).withColumn("copies", F.lit(None).cast("array<long>"))
     known = told.unionByName(_copies(blocks, n_texts), allowMissingColumns=True)
-    second = work.table(met(known, triples, "block long, positions binary, numbers binary, copies binary"), "second", compression="zstd")
+    second = work.table(met(known, triples, "block long, positions binary, numbers binary, copies binary"), "second", **BY_ROW)
     answers = merged(second.select("block", "numbers").mapInArrow(names_of_triples, SENT), "triples")
-    marked = work.table(met(answers, repeated, f"{MARKED}, near long", second), "marked")
+    marked = work.table(met(answers, repeated, f"{MARKED}, near long", second), "marked", **BY_ROW)
     work.drop("tuples", "second", "triples")
     # their number depends on the texts, so these have parts of their own
     last_parts = max(8, -(-(marked.agg(F.sum("near")).first()[0] or 0) // PART_NAMES))

@@ -40,6 +40,19 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if df.count() < FEW_ROWS else df
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Settings of the session that hold for the jobs started inside."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 class Workspace:
     """A folder of staged tables. Whoever consumes the result removes it: by :func:`scratch`, or at the end of the process."""
 
@@ -55,12 +68,8 @@ class Workspace:
 
     def table(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         """Writes ``df`` once and reads it back; its lineage and its shuffle files end here."""
-        before = self.spark.conf.get(CLEANUP, "false")
-        self.spark.conf.set(CLEANUP, "true")
-        try:
+        with settings(self.spark, {CLEANUP: "true"}):
             df.write.options(**options).mode("overwrite").parquet(self.path(name))
-        finally:
-            self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
